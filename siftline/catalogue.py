@@ -1,0 +1,6 @@
+"""Registry of the findings queries."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
