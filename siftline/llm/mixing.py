@@ -9,7 +9,8 @@ r = min(ceiling, exp(lambda s / mean size)).  All sources' Newton steps run toge
 counts by (source, size), which hold the same sums in far fewer rows; a step that leaves the bracket is a bisection.
 
 Copies: rates are rounded by systematic sampling inside blocks of about ``block`` documents of one source, ordered by
-size, so that a block's words differ from the rates' by less than its largest open document.  Only DataFrame functions.
+size, so that a block's words differ from the rates' by less than its largest open document; of ``STARTS`` offsets
+each block takes the one that comes nearest.  Only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.runtime import WORD, materialise, text_or_empty
 
-WEIGHTS, BUDGET, CEILING, BLOCK, STEPS = (3, 1, 2), 1.5, 2.0, 512, 24
+WEIGHTS, BUDGET, CEILING, BLOCK, STEPS, STARTS = (3, 1, 2), 1.5, 2.0, 512, 24, 16
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -90,8 +91,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceiling: float
     x = x.withColumn("rate", rate).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / block)))
     of_block = Window.partitionBy("key", "block").orderBy(F.desc("size"), "doc_id")
     part = F.col("rate") - F.floor("rate")
-    start = F.pmod(F.xxhash64("key", "block"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    x = x.withColumn("part", part).withColumn("upto", F.sum("part").over(of_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + start)
-    extra = F.floor(F.col("upto") + 1e-9) - F.floor(F.col("upto") - F.col("part") + 1e-9)
-    x = x.withColumn("copies", F.least(F.floor("rate") + extra, F.lit(int(ceiling))).cast("int"))
+    x = x.withColumn("part", part).withColumn("upto", F.sum("part").over(of_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = Window.partitionBy("key", "block")
+    extra = lambda k: F.floor(F.col("upto") + (k + 0.5) / STARTS + 1e-9) - F.floor(F.col("upto") - F.col("part") + (k + 0.5) / STARTS + 1e-9)
+    off = [F.struct(F.abs(F.sum((extra(k) - F.col("part")) * F.col("size")).over(whole)).alias("off"), F.lit(k).alias("start")) for k in range(STARTS)]
+    x = x.withColumn("start", F.array_min(F.array(*off))["start"])
+    chosen = F.element_at(F.array(*(extra(k) for k in range(STARTS))), F.col("start") + 1)
+    x = x.withColumn("copies", F.least(F.floor("rate") + chosen, F.lit(int(ceiling))).cast("int"))
     return x.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
