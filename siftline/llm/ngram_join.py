@@ -315,9 +315,9 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> D
 
     # one row a class that shares a short list: its size, bitmap, and how many shared lists it is in
     weight = lists.groupBy("class").agg(F.count("*").alias("lists"))
-    info = described.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), *(F.first(f"b{i}").alias(f"b{i}") for i in range(BITMAP)))
+    info = described.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("own"), F.first("n").alias("n"), *(F.first(f"b{i}").alias(f"b{i}") for i in range(BITMAP)))
     info = materialise(info.join(weight, "class").withColumn("weight", F.col("lists") / F.col("n")).withColumn("step", F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(threshold))).cast("int")), "classes")
-    sets = _fetch(rows, info, words)
+    owners = info.select(F.expr("class + 0").alias("of"), "own")
 
     of = info.select(F.expr("class + 0").alias("of"), "n", "step", "weight", *(f"b{i}" for i in range(BITMAP)))
     posted = lists.join(of, lists["class"] == of["of"]).drop("of")
@@ -330,7 +330,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> D
     x = posted.alias("x")
     stars = x.join(near, (F.col("x.token") == F.col("of")) & (F.col("x.step") == F.col("at"))).where(F.col("x.class") != F.col("p.class")).where(_may_link("x", "p", threshold))
     stars = materialise(stars.select(F.least("x.class", "p.class").alias("a"), F.greatest("x.class", "p.class").alias("b")).distinct(), "pairs")
-    linked = materialise(_verify(stars, sets, threshold), "links")
+    linked = materialise(_verify(stars, _fetch(rows, stars, owners, words), threshold), "links")
 
     # lists whose sets still lie in several components: those outside the list's largest one meet all the others
     root = components(linked).select(F.expr("class + 0").alias("of"), "root")
@@ -342,8 +342,10 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> D
     y = labelled.alias("y")
     across = left.join(y, (F.col("x.of") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", threshold))
     across = across.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    across = across.join(stars, ["a", "b"], "left_anti")
-    every = materialise(linked.unionByName(_verify(across, sets, threshold)), "links")
+    across = materialise(across.join(stars, ["a", "b"], "left_anti"), "pairs")
+    every = linked
+    if across.limit(1).count():
+        every = materialise(linked.unionByName(_verify(across, _fetch(rows, across, owners, words), threshold)), "links")
 
     root = components(every)
     degree = every.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_tree_links"))
@@ -357,33 +359,30 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> D
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, 0).otherwise(F.col("n_tree_links")).cast("long").alias("n_tree_links"))
 
 
-def _fetch(rows: DataFrame, info: DataFrame, words: int) -> DataFrame:
-    """(class, set) of the classes of ``info``, made again from the texts; a filter of fixed size skips the others."""
-    cell = F.shiftrightunsigned(F.xxhash64("class"), 64 - FILTER_BITS)
-    marks = info.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")).toArrow()
+def _fetch(rows: DataFrame, pairs: DataFrame, owners: DataFrame, words: int) -> DataFrame:
+    """(class, set) of the classes of ``pairs``, made again from the text of each class's least doc_id.
+
+    A filter of fixed size tells most of the other documents apart before they are shingled; those that pass it by
+    chance find no partner in the joins that follow.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(owners, F.col("class") == F.col("of")).select("own")
+    cell = F.shiftrightunsigned(F.xxhash64("own"), 64 - FILTER_BITS)
+    marks = asked.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     table[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
     sent = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = sent.value, set()
+        table = sent.value
         for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            batch = batch.filter(pa.array((table[cells >> 6] >> (cells & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             for _, own in _sets(batch, words):
-                if not len(own) or (name := class_of(own)) in seen:
-                    continue
-                at = spark_hash(name) >> (64 - FILTER_BITS)
-                if table[at >> 6] >> np.uint64(at & 63) & np.uint64(1):
-                    seen.add(name)
-                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["class", "set"])
-
-    found = rows.select("text").mapInArrow(run, "class long, set binary")
-    first = found.join(info.select("class"), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
-    return materialise(first, "sets")
-
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array([class_of(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["class", "set"])
 
-def spark_hash(value: int) -> int:
-    """xxhash64 of one long with seed 42, as the SQL function computes it."""
-    return xxhash.xxh64_intdigest(value.to_bytes(8, "little", signed=True), seed=42)
+    named = rows.where("doc_id IS NOT NULL").select("text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS).alias("cell"))
+    return materialise(named.mapInArrow(run, "class long, set binary"), "sets")
 
 
 __all__ = ["components", "join", "levels", "shingle_sets", "word_hashes"]
