@@ -187,7 +187,8 @@ def _prefixes(words: int, threshold: float, total: int, sent):
     """Per flush and bucket: (shingle, class) of the short lists, sorted by shingle."""
 
     def flush(tokens: list[np.ndarray], classes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        t, c = np.concatenate(tokens), np.concatenate(classes)
+        # short lists hold low hashes for the most part; mixed again, they spread over all buckets
+        t, c = mix(np.concatenate(tokens)), np.concatenate(classes)
         order = np.argsort(t, kind="stable")
         t, c = t[order], c[order]
         edges = _buckets(t, 64, total)
