@@ -88,7 +88,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceiling: float
     x = own.join(of, own["key"] == of["of"])
     z = F.col("size") / F.col("mean")
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("full"), F.lit(ceiling)).otherwise(F.exp(F.least(F.col("lam") * z, F.log(F.lit(ceiling)))))
-    x = x.withColumn("rate", rate).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / block)))
+    # dealt out by block: else the windows would keep the join's partitions, one for each source however large
+    x = x.withColumn("rate", rate).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / block))).repartition("key", "block")
     of_block = Window.partitionBy("key", "block").orderBy(F.desc("size"), "doc_id")
     part = F.col("rate") - F.floor("rate")
     x = x.withColumn("part", part).withColumn("upto", F.sum("part").over(of_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
