@@ -29,12 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.runtime import BLOCK_BYTES, Texts, buckets_for, materialise
+from siftline.llm.runtime import BLOCK_BYTES, Texts, buckets_for, materialise, release
 
 WORDS, THRESHOLD = 5, 0.8
 #: Longs of the parity bitmap; cells of the level table and of the filter of candidates (both of fixed size).
 BITMAP, LEVEL_BITS, FILTER_BITS = 8, 24, 24
 LEVEL_KEYS, LEAST = 1 << 20, 16
+#: Sets from which a list is long: its pairs are bounded by bitmaps inside the join, those of shorter ones after it.
+LONG_LIST = 32
 #: Rows of documents to a bucket of shingles; postings or counts that a task holds before it passes them on.
 ROWS_PER_BUCKET, FLUSH = 1024, 1 << 20
 
@@ -168,7 +170,9 @@ def _count(table: pa.Table) -> pa.Table:
 def levels(rows: DataFrame, words: int, total: int) -> np.ndarray:
     """The level table: for each cell the highest level of the frequent shingles that fall into it, else 0."""
     counted = rows.select("text").mapInArrow(_sketch(words, total), "bucket int, lone binary, more binary").groupBy("bucket").applyInArrow(_count, "key long, n long")
+    spark = rows.sparkSession
     counted = materialise(counted.select("key", F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("level")), "frequent")
+    release(spark)
     by_level = sorted(((r.level, r["count"]) for r in counted.groupBy("level").count().collect()), reverse=True)
     lowest, held = None, 0
     for level, n in by_level:
@@ -241,12 +245,22 @@ def _links(m: Column, n: Column, both: Column, threshold: float) -> Column:
     return F.lit(100) * both >= F.lit(round(threshold * 100)) * (m + n - both)
 
 
+def _sizes_fit(m: Column, n: Column, threshold: float) -> Column:
+    return F.least(m, n) * 100 >= F.greatest(m, n) * round(threshold * 100)
+
+
 def _may_link(a: str, b: str, threshold: float) -> Column:
     """Bounds by size and bitmap: the overlap can't be above (m + n - Hamming distance) / 2."""
     m, n = F.col(f"{a}.n"), F.col(f"{b}.n")
     distance = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(BITMAP)), F.lit(0))
-    most = F.floor((m + n - distance) / 2)
-    return (F.least(m, n) * 100 >= F.greatest(m, n) * round(threshold * 100)) & _links(m, n, F.least(most, m, n), threshold)
+    return _sizes_fit(m, n, threshold) & _links(m, n, F.least(F.floor((m + n - distance) / 2), m, n), threshold)
+
+
+def _prune(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that the bounds leave."""
+    sides = [info.select(F.expr("class + 0").alias(f"of_{v}"), F.struct("n", *(f"b{i}" for i in range(BITMAP))).alias(v)) for v in ("x", "y")]
+    x = pairs.join(sides[0], F.col("a") == F.col("of_x")).join(sides[1], F.col("b") == F.col("of_y"))
+    return x.where(_may_link("x", "y", threshold)).select("a", "b")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -309,10 +323,12 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> D
             bits = np.stack([parity(own) for own in sets]) if sets else np.zeros((0, BITMAP), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([class_of(own) for own in sets], pa.int64()), pa.array([len(own) for own in sets], pa.int64()), *(pa.array(bits[:, i]) for i in range(BITMAP))], ["doc_id", "class", "n", *(f"b{i}" for i in range(BITMAP))])
 
+    spark = docs.sparkSession
     described = materialise(rows.mapInArrow(describe, "doc_id long, class long, n long, " + ", ".join(f"b{i} long" for i in range(BITMAP))), "described")
     sent = docs.sparkSession.sparkContext.broadcast(levels(rows, words, total))
     merged = rows.select("text").mapInArrow(_prefixes(words, threshold, total, sent), "bucket int, tokens binary, classes binary").groupBy("bucket").applyInArrow(_merge, "token long, class long")
     lists = materialise(merged, "lists")
+    release(spark)
 
     # one row a class that shares a short list: its size, bitmap, and how many shared lists it is in
     weight = lists.groupBy("class").agg(F.count("*").alias("lists"))
@@ -320,30 +336,40 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> D
     info = materialise(info.join(weight, "class").withColumn("weight", F.col("lists") / F.col("n")).withColumn("step", F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(threshold))).cast("int")), "classes")
     owners = info.select(F.expr("class + 0").alias("of"), "own")
 
-    of = info.select(F.expr("class + 0").alias("of"), "n", "step", "weight", *(f"b{i}" for i in range(BITMAP)))
-    posted = lists.join(of, lists["class"] == of["of"]).drop("of")
-    posted = materialise(posted, "posted")
+    of = info.select(F.expr("class + 0").alias("of"), "n", "step", F.col("weight").cast("float").alias("weight"))
+    posted = materialise(lists.join(of, lists["class"] == of["of"]).drop("of"), "posted")
     # pivots: the set of each list and size step that shares most of its lists, as an original does among its copies
-    star = F.struct("weight", "class")
-    member = F.struct("class", "n", *(f"b{i}" for i in range(BITMAP))).alias("p")
-    pivots = posted.groupBy("token", "step").agg(F.max_by(member, star).alias("p"))
-    near = pivots.select(F.col("token").alias("of"), F.explode(F.array(F.col("step"), F.col("step") - 1, F.col("step") + 1)).alias("at"), "p")
-    x = posted.alias("x")
-    stars = x.join(near, (F.col("x.token") == F.col("of")) & (F.col("x.step") == F.col("at"))).where(F.col("x.class") != F.col("p.class")).where(_may_link("x", "p", threshold))
-    stars = materialise(stars.select(F.least("x.class", "p.class").alias("a"), F.greatest("x.class", "p.class").alias("b")).distinct(), "pairs")
+    pivots = posted.groupBy("token", "step").agg(F.max(F.struct("weight", "class", "n")).alias("p"))
+    near = pivots.select(F.expr("token + 0").alias("of"), F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("at"), F.col("p.class").alias("pivot"), F.col("p.n").alias("m"))
+    fits = (F.col("class") != F.col("pivot")) & _sizes_fit(F.col("n"), F.col("m"), threshold)
+    stars = posted.join(near, (F.col("token") == F.col("of")) & (F.col("step") == F.col("at")) & fits)
+    stars = stars.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
+    stars = materialise(_prune(stars, info, threshold), "pairs")
+    release(spark)
     linked = materialise(_verify(stars, _fetch(rows, stars, owners, words), threshold), "links")
+    release(spark)
 
     # lists whose sets still lie in several components: those outside the list's largest one meet all the others
     root = components(linked).select(F.expr("class + 0").alias("of"), "root")
-    labelled = posted.join(root, posted["class"] == root["of"], "left").drop("of").withColumn("root", F.coalesce("root", "class"))
+    labelled = posted.join(root, posted["class"] == root["of"], "left").select("token", "class", "n", F.coalesce("root", "class").alias("root"))
     labelled = materialise(labelled, "labelled")
     per = labelled.groupBy("token", "root").agg(F.count("*").alias("k"))
-    open_lists = per.groupBy("token").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("largest")).where("roots > 1")
-    left = labelled.join(open_lists.select(F.expr("token + 0").alias("of"), "largest"), F.col("token") == F.col("of")).where("root <> largest").alias("x")
-    y = labelled.alias("y")
-    across = left.join(y, (F.col("x.of") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", threshold))
-    across = across.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    across = materialise(across.join(stars, ["a", "b"], "left_anti"), "pairs")
+    open_lists = per.groupBy("token").agg(F.count("*").alias("roots"), F.sum("k").alias("length"), F.max(F.struct("k", "root")).alias("largest")).where("roots > 1")
+    open_lists = open_lists.select(F.expr("token + 0").alias("of"), F.col("largest.root").alias("largest"), (F.col("length") > LONG_LIST).alias("long"))
+    opened = materialise(labelled.join(open_lists, F.col("token") == F.col("of")).drop("of"), "open")
+    release(spark)
+    fits = (F.col("x.root") != F.col("y.root")) & _sizes_fit(F.col("x.n"), F.col("y.n"), threshold)
+    pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
+    x, y = opened.where("not long and root <> largest").alias("x"), opened.where("not long").select(F.expr("token + 0").alias("of"), "class", "n", "root").alias("y")
+    short = x.join(y, (F.col("x.token") == F.col("y.of")) & fits).select(*pair).distinct()
+    # long lists carry the bitmaps, so that the join itself drops what can't link
+    bits = [f"b{i}" for i in range(BITMAP)]
+    carried = opened.where("long").join(info.select(F.expr("class + 0").alias("named"), *bits), F.col("class") == F.col("named")).drop("named")
+    x, y = carried.where("root <> largest").alias("x"), carried.select(F.expr("token + 0").alias("of"), "class", "n", "root", *bits).alias("y")
+    long = x.join(y, (F.col("x.token") == F.col("y.of")) & fits & _may_link("x", "y", threshold)).select(*pair)
+    across = short.unionByName(long).distinct().join(stars, ["a", "b"], "left_anti")
+    across = materialise(_prune(across, info, threshold), "pairs")
+    release(spark)
     every = linked
     if across.limit(1).count():
         every = materialise(linked.unionByName(_verify(across, _fetch(rows, across, owners, words), threshold)), "links")
