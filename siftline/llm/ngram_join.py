@@ -71,8 +71,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     place -= np.repeat(at, np.diff(np.append(at, len(data)))) if at[0] == 0 else np.concatenate([np.zeros(at[0], np.int64), np.repeat(at, np.diff(np.append(at, len(data))))])
     longest = int(place[inside].max()) + 1
     powers = np.resize(_PLACE, longest)
-    if longest > len(_PLACE):  # long words: another multiplier each 64 bytes
-        powers = powers * np.repeat(mix(np.arange(1, -(-longest // 64) + 1, dtype=np.uint64)) | np.uint64(1), 64)[:longest]
+    if longest > len(_PLACE):  # long words: another multiplier each 64 bytes, 1 for the first
+        powers = powers * np.repeat(mix(np.arange(-(-longest // 64), dtype=np.uint64)) | np.uint64(1), 64)[:longest]
     terms = _TABLE[data]
     terms *= powers[np.minimum(place, longest - 1)]
     terms[~inside] = 0
