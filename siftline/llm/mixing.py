@@ -47,6 +47,11 @@ def targets(by_source: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceili
 
 
 
+def _total(x):
+    """A sum in fixed point: the same in whatever order the rows arrive, so that reruns agree."""
+    return F.sum(F.round(x * 1e6).cast("decimal(38,0)")).cast("double") / 1e6
+
+
 def balance(counts: DataFrame, goal: DataFrame, ceiling: float = CEILING, steps: int = STEPS) -> DataFrame:
     """(key, target, lam, mean): the dual's solution per source, from (key, size, n) and (key, target, source_size)."""
     stats = counts.groupBy("key").agg((F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
@@ -57,7 +62,7 @@ def balance(counts: DataFrame, goal: DataFrame, ceiling: float = CEILING, steps:
         x = hist.join(state.where("not full"), "key").withColumn("z", F.col("size") / F.col("mean"))
         rate = F.exp(F.least(F.col("lam") * F.col("z"), F.log(F.lit(ceiling))))
         free = F.col("lam") * F.col("z") < F.log(F.lit(ceiling))
-        sums = x.groupBy("key").agg(F.sum(F.col("n") * F.col("size") * rate).alias("made"), F.sum(F.when(free, F.col("n") * F.col("size") * F.col("z") * rate).otherwise(0.0)).alias("slope"))
+        sums = x.groupBy("key").agg(_total(F.col("n") * F.col("size") * rate).alias("made"), _total(F.when(free, F.col("n") * F.col("size") * F.col("z") * rate).otherwise(0.0)).alias("slope"))
         y = state.join(sums, "key", "left").withColumn("gap", F.col("target") - F.coalesce("made", F.lit(0.0)))
         y = y.withColumn("low", F.when(F.col("gap") >= 0, F.col("lam")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("gap") <= 0, F.col("lam")).otherwise(F.col("high")))
         newton = F.col("lam") + F.try_divide(F.col("gap"), F.col("slope"))
@@ -95,7 +100,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceiling: float
     x = x.withColumn("part", part).withColumn("upto", F.sum("part").over(of_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     whole = Window.partitionBy("key", "block")
     extra = lambda k: F.floor(F.col("upto") + (k + 0.5) / STARTS + 1e-9) - F.floor(F.col("upto") - F.col("part") + (k + 0.5) / STARTS + 1e-9)
-    off = [F.struct(F.abs(F.sum((extra(k) - F.col("part")) * F.col("size")).over(whole)).alias("off"), F.lit(k).alias("start")) for k in range(STARTS)]
+    off = [F.struct(F.abs(F.sum(F.round((extra(k) - F.col("part")) * F.col("size") * 1e6).cast("long")).over(whole)).alias("off"), F.lit(k).alias("start")) for k in range(STARTS)]
     x = x.withColumn("start", F.array_min(F.array(*off))["start"])
     chosen = F.element_at(F.array(*(extra(k) for k in range(STARTS))), F.col("start") + 1)
     x = x.withColumn("copies", F.least(F.floor("rate") + chosen, F.lit(int(ceiling))).cast("int"))
