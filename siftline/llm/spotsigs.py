@@ -29,7 +29,7 @@ RANGES = 64
 _ANY = "(?:" + "|".join(ANCHORS) + ")"
 #: An anchor, and in a look-ahead (so that chains may overlap) the words up to the end of its chain.
 _SPOT = rf"(?<= ){_ANY}(?=((?: (?:{_ANY} )*+[^ ]++){{{CHAIN}}}))"
-_SKIP = rf"(?<= ){_ANY}(?= )"
+_SKIP = rf" {_ANY}(?= )"
 
 
 def signatures(text: Column) -> Column:
