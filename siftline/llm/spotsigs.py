@@ -1,8 +1,9 @@
 """Document fingerprints: SpotSigs.
 
 Each occurrence of an anchor (a common word of several languages) starts a signature: the chain of the next ``CHAIN``
-content words, anchors in between being skipped.  A text's fingerprint is the set of its signatures; a text without
-any takes its word chains from every word instead, so short and anchorless texts are told apart too.  Sets are compared
+content words, anchors in between being skipped.  So does each place that ``GAP`` words without an anchor follow, so a
+passage without anchors has signatures of its own, whatever stands beside it.  A text's fingerprint is the set of its
+signatures; the words of texts of less than ``SHORT`` characters, or without a signature, join it.  Sets are compared
 by Jaccard, and pairs whose set lengths alone rule out the threshold are pruned: ``near_pairs`` deals sets out by
 length partitions.  Only DataFrame functions on every path.
 """
@@ -10,6 +11,7 @@ length partitions.  Only DataFrame functions on every path.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from siftline.llm.runtime import text_or_empty
 #: Common words of English, French, German and Spanish.
 ANCHORS = ("the", "a", "an", "and", "of", "in", "to", "is", "that", "this", "with", "for", "was", "by", "on", "le", "la", "les", "des", "du", "un", "une", "et", "en", "de", "que", "der", "die", "das", "und", "ein", "eine", "ist", "mit", "el", "los", "las", "del", "y", "por", "es")
 CHAIN = 2
+#: Words without an anchor that make a place a signature's start; characters of a text below which its words count too.
+GAP, SHORT = 8, 400
 #: Signature hashes that the printable fingerprint keeps: the least ones.
 PRINTED = 64
 #: Documents to a block of neighbours in doc_id order.
@@ -26,20 +30,35 @@ BLOCK = 2048
 #: Quantile ranges of doc_id; each holds blocks / RANGES blocks.
 RANGES = 64
 
-_ANY = "(?:" + "|".join(ANCHORS) + ")"
-#: An anchor, and in a look-ahead (so that chains may overlap) the words up to the end of its chain.
-_SPOT = rf"(?<= ){_ANY}(?=((?: (?:{_ANY} )*+[^ ]++){{{CHAIN}}}))"
+
+def _either(words: tuple[str, ...]) -> str:
+    """A pattern of the words that shares their common beginnings."""
+    rest: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        if word:
+            rest.setdefault(word[0], []).append(word[1:])
+    found = "|".join(first + _either(tuple(more)) for first, more in rest.items())
+    return f"(?:{found})" + "?" * ("" in words) if found else ""
+
+
+_ANY = _either(ANCHORS)
+#: A space after an anchor or before GAP words without one, and in a look-ahead (so that chains may overlap) its chain.
+_SPOT = rf"(?:(?<= ){_ANY}(?= )|(?=(?: (?!{_ANY} )[^ ]++){{{GAP}}}))(?=((?: (?:{_ANY} )*+[^ ]++){{{CHAIN}}}))"
 _SKIP = rf" {_ANY}(?= )"
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def signatures(text: Column) -> Column:
     """Sorted distinct signatures (as 64-bit hashes) of a text; null counts as empty, which has none."""
     clean = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    spots = F.regexp_extract_all(clean, F.lit(_SPOT), F.lit(1))
-    words = F.array_remove(F.split(clean, " "), "")
-    spots = F.when(F.size(spots) > 0, spots).otherwise(words)
-    hashed = F.transform(spots, lambda s: F.xxhash64(F.regexp_replace(s, _SKIP, "")))
-    return F.array_sort(F.array_distinct(hashed))
+    words = lambda c: F.array_remove(F.split(c, " "), "")
+    spots = lambda c: F.transform(F.regexp_extract_all(c, F.lit(_SPOT), F.lit(1)), lambda s: F.regexp_replace(s, _SKIP, ""))
+    found = lambda c: _once(spots(c), lambda s: F.when((F.length(c) < SHORT) | (F.size(s) == 0), F.concat(s, words(c))).otherwise(s))
+    return F.array_sort(F.array_distinct(F.transform(_once(clean, found), lambda s: F.xxhash64(s))))
 
 
 def printed(sigs: Column) -> Column:
@@ -57,24 +76,26 @@ def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
 
 
 def with_next(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, text, next_text): the next text by ascending doc_id, after the last one the first.
+    """(doc_id, text, sigs, next_text, next_sigs): the next text by ascending doc_id, after the last one the first.
 
     Null texts count as empty.  Rows of equal doc_id follow each other by text.  Documents are dealt out in blocks of
-    neighbouring ids, about ``block`` each, so no window sees all rows; the blocks' first rows close the gaps.
+    neighbouring ids, about ``block`` each, so no window sees all rows; the blocks' first rows close the gaps.  A text's
+    signatures are computed once, where its block is, and the row before it takes them over.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     count = docs.count()
     if not count:
-        return rows.withColumn("next_text", F.col("text"))
+        return rows.select("doc_id", "text", signatures(F.col("text")).alias("sigs"), F.col("text").alias("next_text"), signatures(F.col("text")).alias("next_sigs"))
     rows = rows.withColumn("block", _block_of(docs, max(1, math.ceil(count / block))))
     order = Window.partitionBy("block").orderBy("doc_id", "text")
-    inside = rows.withColumn("following", F.lead("text").over(order)).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
+    inside = rows.repartition("block").withColumn("sigs", signatures(F.col("text")))
+    inside = inside.withColumns({"following": F.lead("text").over(order), "following_sigs": F.lead("sigs").over(order), "last": F.lead(F.lit(1)).over(order).isNull()})
     firsts = rows.groupBy("block").agg(F.min_by("text", F.struct("doc_id", "text")).alias("first_text"))
-    ring = Window.partitionBy(F.lit(0)).orderBy("block")
-    after = firsts.select("block", "first_text").withColumn("n", F.row_number().over(ring) - 1)
-    total = firsts.count()
-    seam = after.select(F.pmod(F.col("n") - 1, F.lit(total)).alias("n"), F.col("first_text").alias("seam")).join(after.select("n", "block"), "n").select("block", "seam")
-    return inside.join(seam.withColumn("last", F.lit(True)), ["block", "last"], "left").select("doc_id", "text", F.coalesce("following", "seam").alias("next_text"))
+    ring = Window.partitionBy(F.lit(0)).orderBy("block")  # over block numbers alone, one to every ``block`` documents
+    follows = firsts.select("block").withColumn("next_block", F.coalesce(F.lead("block").over(ring), F.first("block").over(ring)))
+    seam = follows.join(firsts.select(F.col("block").alias("next_block"), F.col("first_text").alias("seam")), "next_block").select("block", "seam")
+    x = inside.join(seam.withColumn("last", F.lit(True)), ["block", "last"], "left")
+    return x.select("doc_id", "text", "sigs", F.coalesce("following", "seam").alias("next_text"), F.coalesce("following_sigs", signatures(F.col("seam"))).alias("next_sigs"))
 
 
 def _block_of(docs: DataFrame, blocks: int) -> Column:
@@ -110,7 +131,7 @@ def fingerprint_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     table gives no rows; other columns are ignored.
     """
     x = with_next(docs, block).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    x = x.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("own"), signatures(F.col("edited")).alias("other"), signatures(F.col("next_text")).alias("next"))
+    x = x.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("sigs").alias("own"), signatures(F.col("edited")).alias("other"), F.col("next_sigs").alias("next"))
     return x.select("doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"), F.size("own").alias("n_signatures"))
 
 

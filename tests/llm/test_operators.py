@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -265,16 +266,31 @@ def test_spotsigs(spark):
     assert spotsigs.fingerprint_documents(empty(spark)).count() == 0
 
 
+def spots(text):
+    """Brute force: the chains and words that are a text's signatures."""
+    words, anchors = re.findall(r"[^\W_]+", text.lower()), set(spotsigs.ANCHORS)
+    found = set()
+    for i in range(len(words) + 1):
+        window = words[i : i + spotsigs.GAP]
+        after = [x for x in words[i:] if x not in anchors][: spotsigs.CHAIN]
+        starts = (i > 0 and words[i - 1] in anchors) or (len(window) == spotsigs.GAP and not anchors & set(window))
+        if starts and len(after) == spotsigs.CHAIN:
+            found.add(" " + " ".join(after))
+    if not found or len(f" {' '.join(words)} ") < spotsigs.SHORT:
+        found |= set(words)
+    return found
+
+
 def test_spot_chains(spark):
-    text = "The cat is on the red mat and the dog"
-    got = spark.createDataFrame([(text,)], "text string").select(spotsigs.signatures(F.col("text"))).first()[0]
-    content = [w for w in text.lower().split() if w not in spotsigs.ANCHORS]
-    words, chains = text.lower().split(), set()
-    for i, w in enumerate(words):
-        after = [x for x in words[i + 1 :] if x not in spotsigs.ANCHORS][:2]
-        if w in spotsigs.ANCHORS and len(after) == 2:
-            chains.add(" ".join(after))
-    assert content and len(got) == len(chains)
+    rng = random.Random(6)
+    texts = ["The cat is on the red mat and the dog", "a", "the of", "", None, "Das  Haus, der \n Baum."]
+    for share in (0.0, 0.03, 0.3, 0.9):
+        for n in (7, 8, 9, 20, 90, 300):
+            texts.append(" ".join(rng.choice(spotsigs.ANCHORS) if rng.random() < share else rng.choice(["w", "the", "é", "An"]) + str(rng.randint(0, 99)) for _ in range(n)))
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", spotsigs.signatures(F.col("text")).alias("s")).collect()
+    for i, sigs in got:
+        want = {xxhash.xxh64_intdigest(x.encode(), seed=42) for x in spots(texts[i] or "")}
+        assert sigs == sorted(x - (1 << 64) if x >> 63 else x for x in want), texts[i]
 
 
 def test_spotsig_pairs(spark):
