@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy operators work on at once (one longer document is a block of its own).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Rows to an Arrow batch while a table is materialised: texts, or two whole sets a row, in the JVM and in Python at once.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: The class of a word byte: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,10 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back with its own schema."""
+    """``df`` written as Parquet to the shared folder and read back with its own schema; Arrow batches hold BATCH_ROWS meanwhile."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
