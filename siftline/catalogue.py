@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftline.functions import fixed, guards
 from siftline.functions import scalar as S
 from siftline.operators import findings as ops
-from siftline.operators import storage, triage
+from siftline.operators import scans, storage, triage
 from siftline.plans import reports
 from siftline.plans.views import DUCK_K, FINDINGS, findings
 from siftline.sources import adapters
@@ -141,14 +141,14 @@ _ISSUES = f"""{_PAIRS}, g AS (SELECT issue_id, min(ord) AS g FROM c GROUP BY 1),
 
 @query(f"{_ISSUES} SELECT i.*, coalesce(why.reason, '') AS correlation_reason FROM i LEFT JOIN why ON why.ga = i.component")
 def correlated_components(spark, sf_dir):
-    x = ops.dedupe(_scored(spark, sf_dir).where("scan = 'current'"))
+    x = ops.dedupe(_scored(spark, sf_dir).where("scan = 'current'"), duplicates=False)
     return x.select("component", F.col("primary.instance_id").alias("primary_id"), "issue_id", F.col("primary.score").alias("score"), F.col("occurrences").cast("long").alias("occurrences"), "confirmed_by_multiple_tools", "correlation_reason")
 
 
 @query(f"{_ISSUES} SELECT issue_id, score, occurrences FROM i ORDER BY score DESC, issue_id LIMIT 40")
 def top_issues(spark, sf_dir):
     """Flagship: ingest, score, fingerprint, deduplicate, and show the first issues."""
-    x = ops.dedupe(_scored(spark, sf_dir).where("scan = 'current'"))
+    x = ops.dedupe(_scored(spark, sf_dir).where("scan = 'current'"), duplicates=False)
     return reports.terminal(x).select("issue_id", "score", F.col("occurrences").cast("long").alias("occurrences"))
 
 
@@ -397,3 +397,49 @@ def sarif_report_flatten(spark, sf_dir):
     run = F.struct(F.struct(F.struct(F.lit("x").alias("name"), F.collect_set(rule).alias("rules")).alias("driver")).alias("tool"), F.collect_list(result).alias("results"))
     x = adapters.sarif_findings(_reports(spark, sf_dir, F.struct(F.array(run).alias("runs"))))
     return x.select("rule_id", "file_path", "line_start", "line_end", "severity", "title")
+
+
+# -- what surrounds a scan ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH g AS (SELECT * FROM (VALUES ('recall', true, 0.95), ('hold_rate', false, 0.40), ('noise_reduction', true, 0.15)) AS t(gate, at_least, lim)),
+  """ + _EVAL.removeprefix("WITH ") + """, m AS (SELECT tp / CAST(tp + fn + held_positive AS DOUBLE) AS recall, held / CAST(tp + fp + tn + fn + held AS DOUBLE) AS hold_rate, tn / CAST(tp + fp + tn + fn + held AS DOUBLE) AS noise_reduction FROM k),
+  u AS (UNPIVOT m ON recall, hold_rate, noise_reduction INTO NAME gate VALUE value)
+  SELECT gate, round(value, 9) AS value, CAST(lim AS DOUBLE) AS "limit" FROM g JOIN u USING (gate) WHERE CASE WHEN at_least THEN value < lim ELSE value > lim END""")
+def gate_failures(spark, sf_dir):
+    x = ops.metrics(_judged(spark, sf_dir)).withColumn("run", F.lit("newest"))
+    return scans.gate_failures(x).withColumn("value", F.round("value", 9))
+
+
+@query("""WITH d AS (SELECT DISTINCT source AS source, CASE lang WHEN 'en' THEN 'Python' WHEN 'de' THEN 'C++' WHEN 'fr' THEN 'C' ELSE 'Shell' END AS language FROM documents),
+  p AS (SELECT source, array_to_string(list_sort(list_distinct(list(CASE language WHEN 'Python' THEN 'p/python' WHEN 'C++' THEN 'p/c' WHEN 'C' THEN 'p/c' END))), ',') AS own FROM d GROUP BY 1)
+  SELECT source, concat('p/security-audit,p/secrets', CASE WHEN own <> '' THEN concat(',', own) ELSE '' END) AS packs FROM p""")
+def rule_packs(spark, sf_dir):
+    """Rule packs by source, from languages of code that stand for the documents' languages."""
+    code = F.when(F.col("lang") == "en", "Python").when(F.col("lang") == "de", "C++").when(F.col("lang") == "fr", "C").otherwise("Shell")
+    x = _table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set(code).alias("languages"))
+    return x.select("source", F.array_join(scans.rule_packs(F.col("languages")), ",").alias("packs"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CAST(event_id % 1500 AS BIGINT) AS ms FROM events)
+  SELECT event_id, CAST(coalesce(sum(ms) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_ms, CAST(sum(ms) OVER (PARTITION BY user_id) AS BIGINT) AS total_ms FROM s""")
+def step_timings(spark, sf_dir):
+    order = F.struct(F.col("ts"), F.col("event_id"))
+    x = _table(spark, sf_dir, "events").select(F.col("user_id").alias("scan_id"), order.alias("ord"), "event_id", (F.col("event_id") % 1500).alias("duration_ms"))
+    return scans.timings(x).select("event_id", "offset_ms", "total_ms")
+
+
+@query(f"""{_ISSUES}, v AS (SELECT instance_id, max(verdict) AS verdict FROM c GROUP BY 1), j AS (SELECT i.occurrences, i.confirmed_by_multiple_tools AS multi, severity, coalesce(v.verdict, 'needs_human') AS verdict
+    FROM i JOIN (SELECT DISTINCT component, arg_min(severity, struct_pack(a := -score, b := tool, c := instance_id, d := issue_id, e := rule_id, f := severity)) AS severity FROM m GROUP BY 1) p USING (component) LEFT JOIN v ON v.instance_id = i.primary_id)
+  SELECT CAST(sum(occurrences) AS BIGINT) AS raw_findings, count(*) AS issues, count(*) FILTER (verdict <> 'false_positive') AS actionable, count(*) FILTER (verdict = 'false_positive') AS dismissed, count(*) FILTER (verdict = 'needs_human') AS needs_review,
+    count(*) FILTER (multi) AS multi_tool, {', '.join(f"count(*) FILTER (verdict <> 'false_positive' AND severity = '{s}') AS {s}" for s in fixed.SEVERITIES)} FROM j""")
+def issue_summary(spark, sf_dir):
+    x = _scored(spark, sf_dir).where("scan = 'current'")
+    return scans.issue_summary(ops.dedupe(x, duplicates=False), x.select("instance_id", "verdict"))
+
+
+@query(r"""SELECT event_id, CASE WHEN ms < 1000 THEN concat(ms, 'ms') WHEN ms < 60000 AND ms >= 10000 THEN concat(CAST(floor(ms / 1000.0 + 0.5) AS BIGINT), 's') WHEN ms >= 60000 THEN concat(ms // 60000, 'm ', CAST(floor((ms % 60000) / 1000.0 + 0.5) AS BIGINT), 's') END AS shown
+  FROM (SELECT event_id, event_id * 37 % 200000 AS ms FROM events) WHERE ms < 1000 OR ms >= 10000""")
+def durations(spark, sf_dir):
+    ms = F.col("event_id") * 37 % 200000
+    return _table(spark, sf_dir, "events").where((ms < 1000) | (ms >= 10000)).select("event_id", scans.duration(ms).alias("shown"))

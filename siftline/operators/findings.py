@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import fixed
 from siftline.functions import scalar as S
 from siftline.functions.guards import lines
-from siftline.operators.graph import components
+from siftline.operators.graph import components, written
 
 LINE_PROXIMITY = 3
 CONTEXT_LINES, MATCHED_CHARS, CONTEXT_CHARS = 8, 4000, 8000
@@ -80,12 +80,23 @@ def risk(findings: DataFrame, policy_floor: float = fixed.CRITICAL_FLOOR) -> Dat
 
 
 def ranked(findings: DataFrame) -> DataFrame:
-    """Adds ``ord``, the place in (score descending, path, arrival) order; arrival is the column ``arrival``.
+    """Adds ``ord``, the place in (score descending, path, arrival) order, within each ``scan`` where there is that column.
 
-    The order is total only inside one scan, so scans are the window's partitions when they are known (``scan``).
+    One task never sorts a whole scan: rows are dealt into ranges of that order and written, each range numbers its own
+    rows, and a small table of the ranges' sizes tells how many rows of the scan come before.
     """
-    by = ["scan"] if "scan" in findings.columns else ["file_path"]
-    return findings.withColumn("ord", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "file_path", "arrival")))
+    by = ["scan"] if "scan" in findings.columns else []
+    order = [F.desc("score"), F.col("file_path"), F.col("arrival")]
+    slices = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = written(findings.repartitionByRange(slices, *by, *order).withColumn("_slice", F.spark_partition_id()), "ranked")
+    sizes = x.groupBy("_slice", *by).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("_slice").alias("_of"), *(F.col(k).alias(f"_{k}") for k in by), F.coalesce(before, F.lit(0)).alias("_before"))
+    on = F.col("_slice") == F.col("_of")
+    for k in by:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    x = x.withColumn("_at", F.row_number().over(Window.partitionBy("_slice", *by).orderBy(*order))).join(sizes, on)
+    return x.withColumn("ord", (F.col("_at") + F.col("_before")).cast("long")).select(*findings.columns, "ord")
 
 
 def correlated(findings: DataFrame) -> DataFrame:
@@ -101,25 +112,32 @@ def correlated(findings: DataFrame) -> DataFrame:
     return l.join(r, on).select(F.col("l.ord").alias("a"), F.col("r.ord").alias("b"), F.col("l.issue_id").alias("group_a"), F.col("r.issue_id").alias("group_b"), reason.alias("reason"))
 
 
-def dedupe(findings: DataFrame) -> DataFrame:
+def dedupe(findings: DataFrame, duplicates: bool = True) -> DataFrame:
     """One row per issue: issue_id, primary, duplicates, tools, occurrences, confirmed_by_multiple_tools, correlation_reason.
 
+    Without ``duplicates`` that column is left out and nothing grows with an issue's findings: the primary is a partial
+    aggregate.  With it, an issue's findings are one array of its row.
+
     Findings (with ord, issue_id, instance_id, tool, score) of one issue_id are a group; correlated groups merge, as
     connected components; the primary is first by (score descending, tool, instance_id).  The reason is that of the
     edge from the component's earliest group to the earliest other group, by the findings' order.
     """
     groups = findings.groupBy("issue_id").agg(F.min("ord").alias("g"))
-    edges = correlated(findings)
+    # findings alike in all that correlation reads stand for each other; the earliest has the least place
+    alike = findings.where("domain = 'sast'").groupBy("domain", "tool", "issue_id", "file_path", "line_start", "cwe_ids").agg(F.min("ord").alias("ord"))
+    edges = written(correlated(alike), "correlated")
     first, second = (groups.select(F.col("issue_id").alias(f"group_{x}"), F.col("g").alias(f"g_{x}")) for x in "ab")
     edges = edges.join(first, "group_a").join(second, "group_b")
     root = components(edges.select(F.col("g_a").alias("a"), F.col("g_b").alias("b")))
     why = edges.join(root, edges["g_a"] == root["root"], "left_semi").groupBy("g_a").agg(F.min_by("reason", F.struct("g_b", "a", "b")).alias("correlation_reason"))
     labelled = groups.join(root, groups["g"] == root["node"], "left").select("issue_id", F.coalesce("root", "g").alias("component"))
-    x = findings.join(labelled, "issue_id")
+    x = findings.join(labelled.withColumnRenamed("issue_id", "_issue"), F.col("issue_id").eqNullSafe(F.col("_issue")))
     member = F.struct(F.negative("score").alias("order"), "tool", "instance_id", "issue_id", "rule_id", "severity", "score", "file_path", "line_start", "ord")
-    out = x.groupBy("component").agg(F.array_sort(F.collect_list(member)).alias("m"), F.array_sort(F.collect_set("tool")).alias("tools"))
+    more = [F.array_sort(F.collect_list(member)).alias("m")] if duplicates else []
+    out = x.groupBy("component").agg(F.min(member).alias("primary"), F.count("*").cast("int").alias("occurrences"), F.array_sort(F.collect_set("tool")).alias("tools"), *more)
     out = out.join(why, F.col("component") == F.col("g_a"), "left")
-    return out.select(F.get("m", 0)["issue_id"].alias("issue_id"), F.get("m", 0).alias("primary"), F.slice("m", 2, 1 << 30).alias("duplicates"), "tools", F.size("m").alias("occurrences"), (F.size("tools") > 1).alias("confirmed_by_multiple_tools"), F.coalesce("correlation_reason", F.lit("")).alias("correlation_reason"), "component")
+    rest = [F.slice("m", 2, 1 << 30).alias("duplicates")] if duplicates else []
+    return out.select("primary.issue_id", "primary", *rest, "tools", "occurrences", (F.size("tools") > 1).alias("confirmed_by_multiple_tools"), F.coalesce("correlation_reason", F.lit("")).alias("correlation_reason"), "component")
 
 
 def reconcile(current: DataFrame, baseline: DataFrame | None) -> DataFrame:
