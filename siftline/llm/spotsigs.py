@@ -3,9 +3,9 @@
 Each occurrence of an anchor (a common word of several languages) starts a signature: the chain of the next ``CHAIN``
 content words, anchors in between being skipped.  So does each place that ``GAP`` words without an anchor follow, so a
 passage without anchors has signatures of its own, whatever stands beside it.  A text's fingerprint is the set of its
-signatures; the words of texts of less than ``SHORT`` characters, or without a signature, join it.  Sets are compared
-by Jaccard, and pairs whose set lengths alone rule out the threshold are pruned: ``near_pairs`` deals sets out by
-length partitions.  Only DataFrame functions on every path.
+signatures and its words, by one rule for texts of every length.  Sets are compared by Jaccard, and pairs whose set
+lengths alone rule out the threshold are pruned: ``near_pairs`` deals sets out by length partitions.  Only DataFrame
+functions on every path.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from siftline.llm.runtime import text_or_empty
 #: Common words of English, French, German and Spanish.
 ANCHORS = ("the", "a", "an", "and", "of", "in", "to", "is", "that", "this", "with", "for", "was", "by", "on", "le", "la", "les", "des", "du", "un", "une", "et", "en", "de", "que", "der", "die", "das", "und", "ein", "eine", "ist", "mit", "el", "los", "las", "del", "y", "por", "es")
 CHAIN = 2
-#: Words without an anchor that make a place a signature's start; characters of a text below which its words count too.
-GAP, SHORT = 8, 400
+#: Words without an anchor that make a place a signature's start; characters of a text below which its words count too: no limit.
+GAP, SHORT = 8, math.inf
 #: Signature hashes that the printable fingerprint keeps: the least ones.
 PRINTED = 64
 #: Documents to a block of neighbours in doc_id order.
@@ -57,7 +57,7 @@ def signatures(text: Column) -> Column:
     clean = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     words = lambda c: F.array_remove(F.split(c, " "), "")
     spots = lambda c: F.transform(F.regexp_extract_all(c, F.lit(_SPOT), F.lit(1)), lambda s: F.regexp_replace(s, _SKIP, ""))
-    found = lambda c: _once(spots(c), lambda s: F.when((F.length(c) < SHORT) | (F.size(s) == 0), F.concat(s, words(c))).otherwise(s))
+    found = lambda c: F.concat(spots(c), words(c))
     return F.array_sort(F.array_distinct(F.transform(_once(clean, found), lambda s: F.xxhash64(s))))
 
 

@@ -293,6 +293,24 @@ def test_spot_chains(spark):
         assert sigs == sorted(x - (1 << 64) if x >> 63 else x for x in want), texts[i]
 
 
+def test_spotsigs_of_near_copies_of_any_length(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in range(385, 416, 3):
+        text = ""
+        while len(text) < n:
+            text += rng.choice(["the ", "of ", "", ""]) + f"{rng.choice('vw')}{rng.randint(0, 9999)} "
+        rows += [(2 * n, text[:n].strip()), (2 * n + 1, text[:n].strip() + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {r.doc_id: set(r.sigs) for r in spotsigs.near_classes(df).collect()}
+    assert all(len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8 for i, _ in rows[::2])
+    near = {r.doc_id: r.near_next for r in spotsigs.fingerprint_documents(df).collect()}
+    assert all(near[i] >= 0.8 for i, _ in rows[::2])
+    classes = {r.doc_id: r["class"] for r in spotsigs.near_classes(df).collect()}
+    pairs = {frozenset((r.class_a, r.class_b)) for r in spotsigs.near_pairs(df).collect()}
+    assert {frozenset((classes[i], classes[i + 1])) for i, _ in rows[::2]} <= pairs
+
+
 def test_spotsig_pairs(spark):
     rng = random.Random(5)
     base = " ".join(rng.choice(["the", "of"]) + f" w{rng.randint(0, 999)} v{rng.randint(0, 999)}" for _ in range(60))
