@@ -187,9 +187,12 @@ def time_ago(at: Column, now: Column) -> Column:
 
 
 def duration(ms: Column) -> Column:
-    """Milliseconds as ``12ms``, ``1.5s``, ``34s``, ``2m 5s``."""
+    """Milliseconds as ``12ms``, ``1.5s``, ``34s``, ``2m 5s``; tenths go by the double's exact value, ties up."""
     s = ms / 1000
-    short = F.concat(F.format_string("%.1f", s), F.lit("s"))
+    # ms / 1000 against the middle between two tenths: both differences are exact
+    up = (ms % 100 > 50) | ((ms % 100 == 50) & ((16 * s - ms / 50) + 4 * s >= 0))
+    tenths = F.floor(ms / 100) + F.when(up, 1).otherwise(0)
+    short = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("s"))
     return F.when(ms < 1000, F.concat(ms.cast("long").cast("string"), F.lit("ms"))).when(s < 10, short).when(s < 60, F.concat(_half_up(s), F.lit("s"))).otherwise(F.concat(F.floor(s / 60).cast("string"), F.lit("m "), _half_up(s % 60), F.lit("s")))
 
 

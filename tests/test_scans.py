@@ -3,14 +3,18 @@
 import hashlib
 import json
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from siftline import catalogue
 from siftline.operators import findings as ops
 from siftline.operators import scans
 from siftline.plans import pipeline, reports
 
+SF = "/root/testdata/sf0.001"
+
 
 def value(spark, column, **given):
     row = spark.createDataFrame([tuple(given.values())], list(given)) if given else spark.range(1)
@@ -131,3 +135,17 @@ def test_scan_with_triage(spark):
     got = scan_of(spark, triage=dismiss, duplicates=False)
     assert pipeline.exit_code(got) == 0 and "duplicates" not in got.issues.columns
     assert {r.score for r in got.findings.where("severity = 'critical'").collect()} == {60.0}
+
+
+def test_durations_of_all_events(spark):
+    def shown(ms):
+        if ms < 1000:
+            return f"{ms}ms"
+        s, half_up = ms / 1000, lambda x, unit="1": Decimal(x).quantize(Decimal(unit), ROUND_HALF_UP)
+        return f"{half_up(s, '0.1')}s" if s < 10 else f"{half_up(s)}s" if s < 60 else f"{ms // 60000}m {half_up(s % 60)}s"
+
+    got = spark.range(70000).select("id", scans.duration(F.col("id")).alias("shown")).collect()
+    assert [r for r in got if r.shown != shown(r.id)] == []
+    got = catalogue.QUERIES["all_durations"](spark, SF).collect()
+    want = [(r.event_id, shown(r.event_id * 37 % 200000)) for r in spark.read.parquet(f"{SF}/events.parquet").collect()]
+    assert sorted(map(tuple, got)) == sorted(want) and any("." in v for _, v in want)
