@@ -228,6 +228,13 @@ def redacted_lines(spark, sf_dir):
     return x.select("doc_id", "line_no", guards.redact_line(F.col("line"), 3.0).alias("line"))
 
 
+@query()
+def all_redacted_lines(spark, sf_dir):
+    """Every line of documents that redaction changes, from an entropy of 3 on; no SQL, tests hold it against brute force."""
+    x = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    return x.withColumn("line", guards.redact_line(F.col("raw"), 3.0)).where("line <> raw").select("doc_id", "line_no", "line")
+
+
 @query()
 def injection_lines(spark, sf_dir):
     """Suspicious lines of conversations, from a fixed appeal appended to every seventh one."""
