@@ -28,13 +28,13 @@ DATE = "2000-01-01T00:00:00Z"
 
 
 def decisions(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, refers_to) of the pages that revisit another: equal payloads of ``least`` bytes or more, largest id kept."""
+    """(page_id, digest, refers_to) of the pages that revisit another: equal payloads of ``least`` bytes or more, largest id kept."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     x = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least).drop("n")
     kept = x.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     # concat() makes the digest a new expression: the join deals out both sides itself and can split a hot digest
     kept = kept.select(F.concat("digest").alias("same"), "refers_to")
-    return x.join(kept, x["digest"] == kept["same"]).where(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to").distinct()
+    return x.join(kept, x["digest"] == kept["same"]).where(F.col("page_id") != F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
 
 
 def record(page_id, url, payload: bytes, refers_to, date: str = DATE) -> bytes:
@@ -145,7 +145,7 @@ def write(pages: DataFrame, least: int = REVISIT_BYTES, archive_bytes: int = ARC
         if held:
             yield out()
 
-    return materialise(rows.join(decisions(pages, least), "page_id", "left").select("page_id", "url", "html", "refers_to").mapInArrow(run, "name string, data binary"), "warc")
+    return materialise(rows.withColumn("digest", F.sha2("html", 256)).join(decisions(pages, least), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to").mapInArrow(run, "name string, data binary"), "warc")
 
 
 def read(archives: DataFrame) -> DataFrame:

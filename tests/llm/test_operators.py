@@ -345,6 +345,15 @@ def test_warc(spark, tmp_path):
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+def test_warc_repeated_page_ids(spark):
+    a, b, c = ("<p>" + w * 400 for w in ("one ", "two ", "three "))
+    pages = spark.createDataFrame([(1, "u", a), (1, "u", c), (2, "u", b), (2, "u", a), (9, "u", a), (8, "u", b)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(warc.write(pages)).collect())
+    sha1 = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    want = [(1, sha1(a), "revisit", 9), (1, sha1(c), "response", None), (2, sha1(b), "revisit", 8), (2, sha1(a), "revisit", 9), (9, sha1(a), "response", None), (8, sha1(b), "response", None)]
+    assert got == sorted(want)
+
+
 # -- 9 --------------------------------------------------------------------------------------------------------------------
 
 
