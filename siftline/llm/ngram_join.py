@@ -1,26 +1,36 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
 A document's set holds its distinct ``WORDS``-word shingles.  Two sets of sizes m and n link when their overlap reaches
-T = ceil(t / (1 + t) (m + n)), which is at least ceil(t n).  DivideSkip sets aside the long inverted lists: of a set of
-n, the ceil(t n) - 1 most frequent shingles.  A partner must then occur in one of the remaining, short lists.  Short
-lists are merged (sorted runs from all tasks meet in buckets of the shingle's hash), and the long lists are only probed
-by binary search, in the exact check of the candidates that the merge retains.
+T = ceil(t / (1 + t) (m + n)), which is at least ceil(t n).  DivideSkip sets aside the L longest inverted lists of a
+query: a partner must occur T - L times in the remaining, short lists, and only such ids are probed in the long ones.
+
+* Over all documents, L = ceil(t n) - ``COUNT``: the other, rarest shingles of each set are posted, and two sets become
+  candidates when ``COUNT`` of their short lists meet, at places from which the rest of both sets can still reach T.
+* Candidates are gathered by query in chunks of bounded size.  There ``divide_skip`` builds the inverted lists of the
+  query's shingles, merges the short ones with a heap (skipping ahead by binary search), probes the long ones by binary
+  search and keeps the members that reach their T: the exact overlap decides.
 
 What keeps it in bounds:
 
-* Equal sets are one class from the start; classes are what is joined.
-* "Frequent" is a global order (level, hash): level is log2 of the shingle's count over all documents where that is at
-  least ``least`` (raised by doubling until at most ``LEVEL_KEYS`` shingles have one), else 0.  Levels travel as a
+* Equal sets are one class from the start; classes are what is joined.  A class is named by 64 bits of a 128-bit hash of
+  its set, or by the other 64 where two classes have the first ones in common.
+* "Rare" is a global order (level, hash): level is log2 of the shingle's count over all documents where that is at
+  least ``LEAST`` (raised by doubling until at most ``LEVEL_KEYS`` shingles have one), else 0.  Levels travel as a
   table of fixed size; two shingles that share a cell only change the order, never the result.
+* The list of a shingle that many documents hold is dealt out over several buckets by a hash of the class.
 * A list is not turned into all its pairs.  Its sets are compared with one pivot per size step (sizes within 1/t link
-  at all), those that link become components, and only then are lists that still hold several components joined,
-  across components only.  A pair that is skipped lies within one component, so no component is lost.
+  at all), those that link become components, and lists that still hold several components get further pivots while
+  the pairs left outnumber the postings.  Only then are they joined, across components only.  A pair that is skipped
+  lies within one component, so no component is lost.
 * Size bounds and a 512-bit parity bitmap (its Hamming distance bounds the symmetric difference from below) drop
   candidates before any set is fetched.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +39,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.runtime import BLOCK_BYTES, Texts, buckets_for, materialise, release
+from siftline.llm.runtime import BLOCK_BYTES, Texts, buckets_for, dropped, materialise, trimmed, unused
 
 WORDS, THRESHOLD = 5, 0.8
-#: Longs of the parity bitmap; cells of the level table and of the filter of candidates (both of fixed size).
-BITMAP, LEVEL_BITS, FILTER_BITS = 8, 24, 24
+#: Short lists that two sets must have in common, at most; weight of a list's length when lists are divided.
+COUNT, MU = 2, 0.0085
+#: Longs of the parity bitmap; cells of the level table and bits of the filter of candidates (all of fixed size).
+BITMAP, LEVEL_BITS, FILTER_BITS = 8, 24, 27
 LEVEL_KEYS, LEAST = 1 << 20, 16
+#: Level (log2 of the documents that hold a shingle) from which its list is dealt out over several buckets.
+HOT_LEVEL = 10
 #: Sets from which a list is long: its pairs are bounded by bitmaps inside the join, those of shorter ones after it.
 LONG_LIST = 32
+#: Rounds of pivots at most; pairs for each posting that are joined without a further round.
+ROUNDS, PAIRS_PER_POSTING = 6, 4
+#: Bytes of the members' sets that a query meets at once.
+CHUNK_BYTES = 4 << 20
 #: Rows of documents to a bucket of shingles; postings or counts that a task holds before it passes them on.
 ROWS_PER_BUCKET, FLUSH = 1024, 1 << 20
+#: Classes that share 64 bits of their hashes: none at all is likely below some 10**9 classes.
+MOST_TWINS = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -111,9 +131,11 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
         yield from zip(range(a, b), shingle_sets(texts.data, texts.offsets[a : b + 1], words))
 
 
-def class_of(own: np.ndarray) -> int:
-    """The class: a signed 64-bit hash of the whole set (equal sets, equal classes)."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(own))).astype(np.int64))
+def class_of(own: np.ndarray, twins: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """(class, check): the halves of a 128-bit hash of the set, signed; the check is the class where the first half is a twin."""
+    both = xxhash.xxh3_128_intdigest(own.tobytes(), seed=len(own)).to_bytes(16, "little", signed=False)
+    first, second = int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
+    return (second, first) if first in twins else (first, second)
 
 
 def parity(own: np.ndarray) -> np.ndarray:
@@ -151,7 +173,7 @@ def _sketch(words: int, total: int):
         if size:
             yield from flush(held)
 
-    return run
+    return trimmed(run)
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -170,9 +192,7 @@ def _count(table: pa.Table) -> pa.Table:
 def levels(rows: DataFrame, words: int, total: int) -> np.ndarray:
     """The level table: for each cell the highest level of the frequent shingles that fall into it, else 0."""
     counted = rows.select("text").mapInArrow(_sketch(words, total), "bucket int, lone binary, more binary").groupBy("bucket").applyInArrow(_count, "key long, n long")
-    spark = rows.sparkSession
     counted = materialise(counted.select("key", F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("level")), "frequent")
-    release(spark)
     by_level = sorted(((r.level, r["count"]) for r in counted.groupBy("level").count().collect()), reverse=True)
     lowest, held = None, 0
     for level, n in by_level:
@@ -184,56 +204,82 @@ def levels(rows: DataFrame, words: int, total: int) -> np.ndarray:
     if lowest is not None:
         found = counted.where(F.col("level") >= lowest).toArrow()
         np.maximum.at(out, found.column("key").to_numpy() >> (32 - LEVEL_BITS), found.column("level").to_numpy().astype(np.uint8))
+    dropped(counted)
     return out
 
 
-def _prefixes(words: int, threshold: float, total: int, sent):
-    """Per flush and bucket: (shingle, class) of the short lists, sorted by shingle."""
+def short_lists(n: int, threshold: float, count: int) -> int:
+    """How many shingles of a set of ``n`` are posted: all but the L that DivideSkip sets aside; 0 where no other set can link."""
+    return 0 if n < fewest(threshold) else min(n, n - overlap_of_one(n, threshold) + count)
+
+
+def fewest(threshold: float) -> int:
+    """The least overlap of two different sets that link: t <= o / (o + 1)."""
+    t = round(threshold * 100)
+    return -(-t // (100 - t)) if t < 100 else 1 << 60
+
+
+def _prefixes(words: int, threshold: float, count: int, total: int, twins: frozenset[int], sent):
+    """Per flush and bucket: (shingle, class, reach) of the short lists; reach bounds the share of the set that follows.
+
+    Buckets below ``total`` hold whole lists; a frequent shingle's list lies dealt out by class over those from there on.
+    """
 
-    def flush(tokens: list[np.ndarray], classes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         # short lists hold low hashes for the most part; mixed again, they spread over all buckets
-        t, c = mix(np.concatenate(tokens)), np.concatenate(classes)
-        order = np.argsort(t, kind="stable")
-        t, c = t[order], c[order]
-        edges = _buckets(t, 64, total)
-        full = [b for b in range(total) if edges[b + 1] > edges[b]]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([v[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()) for v in (t, c))], ["bucket", "tokens", "classes"])
+        t, c, reach, rank = (np.concatenate(x) for x in zip(*held))
+        t = mix(t)
+        hot = rank >= HOT_LEVEL
+        salt = mix(c.view(np.uint64)) & ((np.uint64(2) << (np.maximum(rank, HOT_LEVEL) - HOT_LEVEL).astype(np.uint64)) - np.uint64(1))
+        place = np.where(hot, mix(t + salt * np.uint64(0x9E3779B97F4A7C15)), t)
+        for first, own in ((0, np.flatnonzero(~hot)), (total, np.flatnonzero(hot))):
+            own = own[np.argsort(place[own], kind="stable")]
+            edges = _buckets(place[own], 64, total)
+            full = [b for b in range(total) if edges[b + 1] > edges[b]]
+            if full:
+                yield pa.RecordBatch.from_arrays([pa.array([first + b for b in full], pa.int32()), *(pa.array([v[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()) for v in (t[own], c[own], reach[own]))], ["bucket", "tokens", "classes", "reach"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, tokens, classes, size, seen = sent.value, [], [], 0, set()
+        level, held, size, seen = sent.value, [], 0, set()
         for batch in batches:
             for _, own in _sets(batch, words):
                 n = len(own)
-                if not n or (name := class_of(own)) in seen:
+                short = short_lists(n, threshold, count)
+                if not short or (name := class_of(own, twins)[0]) in seen:
                     continue
                 seen.add(name)
-                short = n - overlap_of_one(n, threshold) + 1
                 rank = level[(own >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
                 # the sets are sorted by hash, so a stable sort by level gives the order (level, hash)
-                tokens.append(own[np.argsort(rank, kind="stable")[:short]])
-                classes.append(np.full(short, name, np.int64))
+                order = np.argsort(rank, kind="stable")[:short]
+                rest = n - 1 - np.arange(short)
+                held.append((own[order], np.full(short, name, np.int64), (-(-rest * 255 // n)).astype(np.uint8), rank[order]))
                 size += short
                 if size >= FLUSH:
-                    yield from flush(tokens, classes)
-                    tokens, classes, size, seen = [], [], 0, set()
+                    yield from flush(held)
+                    held, size, seen = [], 0, set()
         if size:
-            yield from flush(tokens, classes)
+            yield from flush(held)
 
-    return run
+    return trimmed(run)
+
+
+def _merge(total: int):
+    """Joins the runs of a bucket to lists; of whole lists those of two classes or more stay."""
 
+    def run(table: pa.Table) -> pa.Table:
+        t, c, reach = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]) for name, kind in (("tokens", np.uint64), ("classes", np.int64), ("reach", np.uint8)))
+        order = np.lexsort((c, t))
+        t, c, reach = t[order], c[order], reach[order]
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])]) if len(t) else np.zeros(0, bool)
+        t, c, reach = t[new], c[new], reach[new]
+        if table.column("bucket")[0].as_py() < total:
+            first = np.concatenate([[True], t[1:] != t[:-1]]) if len(t) else np.zeros(0, bool)
+            length = np.diff(np.append(np.flatnonzero(first), len(t)))
+            keep = np.repeat(length > 1, length)
+            t, c, reach = t[keep], c[keep], reach[keep]
+        return pa.table({"token": pa.array(t.view(np.int64)), "class": pa.array(c), "reach": pa.array(reach.astype(np.int16))})
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Merges the sorted runs of a bucket and keeps the lists of two classes or more."""
-    t = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")])
-    c = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("classes")])
-    order = np.lexsort((c, t))
-    t, c = t[order], c[order]
-    new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])]) if len(t) else np.zeros(0, bool)
-    t, c = t[new], c[new]
-    first = np.concatenate([[True], t[1:] != t[:-1]]) if len(t) else np.zeros(0, bool)
-    length = np.diff(np.append(np.flatnonzero(first), len(t)))
-    keep = np.repeat(length > 1, length)
-    return pa.table({"token": pa.array(t[keep].view(np.int64)), "class": pa.array(c[keep])})
+    return run
 
 
 def overlap_of_one(n: int, threshold: float) -> int:
@@ -241,6 +287,107 @@ def overlap_of_one(n: int, threshold: float) -> int:
     return -(-n * round(threshold * 100) // 100)
 
 
+def overlap_of_two(m: int, n: int, threshold: float) -> int:
+    """T: the least overlap at which sets of m and n link."""
+    t = round(threshold * 100)
+    return -(-t * (m + n) // (100 + t))
+
+
+# -- the search at one query ----------------------------------------------------------------------------------------------
+
+
+def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """(id, in how many lists) of the ids in ``least`` of the sorted lists or more, by a heap of their heads.
+
+    An id in fewer lists lets ``least`` - 1 lists skip, by binary search, to the least head of the others.
+    """
+    heap = [(own[0], k, 0) for k, own in enumerate(lists)]
+    heapq.heapify(heap)
+    while len(heap) >= least:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap))
+        if len(popped) >= least:
+            yield top, len(popped)
+            to = top + 1
+        else:
+            while heap and len(popped) < least - 1:
+                popped.append(heapq.heappop(heap))
+            if not heap:
+                return
+            to = heap[0][0]
+        for _, k, j in popped:
+            if (j := bisect_left(lists[k], to, j)) < len(lists[k]):
+                heapq.heappush(heap, (lists[k][j], k, j))
+
+
+def divide_skip(query: np.ndarray, members: list[np.ndarray], threshold: float) -> list[int]:
+    """The places of the members (sorted sets, as the query is) that link with the query."""
+    need = [overlap_of_two(len(query), len(m), threshold) for m in members]
+    at = np.searchsorted(query, tokens := np.concatenate(members))
+    owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
+    hit = query[np.minimum(at, len(query) - 1)] == tokens
+    at, owner = at[hit], owner[hit]
+    order = np.argsort(at, kind="stable")  # the owners of a shingle stay in order
+    owner = owner[order].tolist()
+    edges = np.searchsorted(at[order], np.arange(len(query) + 1)).tolist()
+    lists = sorted((owner[a:b] for a, b in zip(edges, edges[1:]) if b > a), key=len)
+    least = min(need)
+    if len(lists) < least:
+        return []
+    longest = min(int(least / (MU * math.log2(len(lists[-1])) + 1)), least - 1)
+    short, long = lists[: len(lists) - longest], lists[len(lists) - longest :]
+    found = []
+    for i, count in merge_skip(short, least - longest):
+        left = need[i] - count
+        for k, own in enumerate(long):
+            if left <= 0 or left > len(long) - k:
+                break
+            j = bisect_left(own, i)
+            left -= j < len(own) and own[j] == i
+        if left <= 0:
+            found.append(i)
+    return found
+
+
+def _search(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that link, of pairs (query, member, m): each query meets its members in chunks of CHUNK_BYTES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, query, ids, held = None, None, [], []
+
+        def out() -> pa.RecordBatch:
+            kept = [ids[i] for i in divide_skip(query, held, threshold)] if held else []
+            of = key[0] if key else 0
+            return pa.RecordBatch.from_arrays([pa.array([min(of, i) for i in kept], pa.int64()), pa.array([max(of, i) for i in kept], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for q, chunk, kind, name, own in zip(*(batch.column(c).to_pylist() for c in ("query", "chunk", "kind", "id")), batch.column("set")):
+                if (q, chunk) != key:
+                    if held:
+                        yield out()
+                    key, ids, held = (q, chunk), [], []
+                own = np.frombuffer(own.as_buffer(), np.uint64)
+                if kind == 0:
+                    query = own
+                elif not ids or ids[-1] != name:  # a set that several tasks made comes several times
+                    ids.append(name)
+                    held.append(own)
+        if held:
+            yield out()
+
+    chunks = pairs.groupBy("query").agg(F.ceil(F.sum("m") * 8 / CHUNK_BYTES).alias("chunks"))
+    named = sets.select(F.expr("class + 0").alias("id"), "set")
+    dealt = pairs.select("query", "member").join(chunks.select(F.expr("query + 0").alias("of"), "chunks"), F.col("query") == F.col("of"))
+    members = dealt.select("query", F.pmod(F.xxhash64("member"), F.col("chunks")).alias("chunk"), F.lit(1).alias("kind"), "member").join(named, F.col("member") == F.col("id")).select("query", "chunk", "kind", "id", "set")
+    heads = chunks.join(named, F.col("query") == F.col("id")).select("query", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), "id", "set")
+    rows = heads.unionByName(members).repartition("query", "chunk").sortWithinPartitions("query", "chunk", "kind", "id")
+    return rows.mapInArrow(trimmed(run), "a long, b long")
+
+
+# -- candidates -----------------------------------------------------------------------------------------------------------
+
+
 def _links(m: Column, n: Column, both: Column, threshold: float) -> Column:
     return F.lit(100) * both >= F.lit(round(threshold * 100)) * (m + n - both)
 
@@ -256,36 +403,52 @@ def _may_link(a: str, b: str, threshold: float) -> Column:
     return _sizes_fit(m, n, threshold) & _links(m, n, F.least(F.floor((m + n - distance) / 2), m, n), threshold)
 
 
-def _prune(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that the bounds leave."""
-    sides = [info.select(F.expr("class + 0").alias(f"of_{v}"), F.struct("n", *(f"b{i}" for i in range(BITMAP))).alias(v)) for v in ("x", "y")]
-    x = pairs.join(sides[0], F.col("a") == F.col("of_x")).join(sides[1], F.col("b") == F.col("of_y"))
-    return x.where(_may_link("x", "y", threshold)).select("a", "b")
+def _meet(m: Column, n: Column, x: Column, y: Column, threshold: float, count: int) -> Column:
+    """Whether sets of sizes m and n may still reach T from places with the reaches x and y, the ``count``-th in common at most."""
+    rest = F.least(F.floor(m * x / 255), F.floor(n * y / 255))
+    return _sizes_fit(m, n, threshold) & _links(m, n, rest + count, threshold)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that link: the shingles of the smaller set are probed in the larger by binary search."""
-    t = round(threshold * 100)
+def _pairs(met: DataFrame, count: int) -> DataFrame:
+    """(a, b, query) of the pairs (class, other, of query) that met in ``count`` lists or more."""
+    return met.groupBy(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).agg(F.count("*").alias("met"), F.min("asks").alias("query")).where(F.col("met") >= count).drop("met")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = sorted((np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), key=len)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= t * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x = pairs.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
-    return x.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+def _by_pivots(posted: DataFrame, threshold: float, count: int) -> DataFrame:
+    """Every set against the pivots of its lists: for each size step the set that shares most of its lists, as an original does."""
+    steps = posted.where("root <> largest").groupBy("token", "step").agg(F.max(F.struct("weight", "class", "n", "reach", "root")).alias("p"))
+    near = steps.select(F.expr("token + 0").alias("of"), F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("at"), F.col("p.class").alias("other"), F.col("p.n").alias("o_n"), F.col("p.reach").alias("o_reach"), F.col("p.root").alias("o_root"))
+    on = (F.col("token") == F.col("of")) & (F.col("step") == F.col("at")) & (F.col("root") != F.col("o_root")) & _meet(F.col("n"), F.col("o_n"), F.col("reach"), F.col("o_reach"), threshold, count)
+    return _pairs(posted.join(near, on).select("class", "other", F.col("other").alias("asks")), count)
+
+
+def _by_lists(posted: DataFrame, info: DataFrame, threshold: float, count: int) -> DataFrame:
+    """The sets outside a list's largest component against all of its other components."""
+    y_columns = ["class", "n", "reach", "root"]
+    on = (F.col("x.token") == F.col("y.of")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("x.largest")) | (F.col("x.class") < F.col("y.class"))) & _meet(F.col("x.n"), F.col("y.n"), F.col("x.reach"), F.col("y.reach"), threshold, count)
+    both = [F.col("x.class").alias("class"), F.col("y.class").alias("other"), F.least("x.class", "y.class").alias("asks")]
+    rows = posted.where("not long")
+    short = rows.where("root <> largest").alias("x").join(rows.select(F.expr("token + 0").alias("of"), *y_columns).alias("y"), on).select(*both)
+    # long lists carry the bitmaps, so that the join itself drops what can't link
+    bits = [f"b{i}" for i in range(BITMAP)]
+    rows = posted.where("long").join(info.select(F.expr("class + 0").alias("named"), *bits), F.col("class") == F.col("named")).drop("named")
+    long = rows.where("root <> largest").alias("x").join(rows.select(F.expr("token + 0").alias("of"), *y_columns, *bits).alias("y"), on & _may_link("x", "y", threshold)).select(*both)
+    return _pairs(short.unionByName(long), count)
+
+
+def _prune(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, query, member, m): the pairs that size and bitmap leave; m is the member's size."""
+    sides = [info.select(F.expr("class + 0").alias(f"of_{v}"), F.struct("n", *(f"b{i}" for i in range(BITMAP))).alias(v)) for v in ("x", "y")]
+    x = pairs.join(sides[0], F.col("a") == F.col("of_x")).join(sides[1], F.col("b") == F.col("of_y")).where(_may_link("x", "y", threshold))
+    asks = F.col("query") == F.col("a")
+    return x.select("a", "b", "query", F.when(asks, F.col("b")).otherwise(F.col("a")).alias("member"), F.when(asks, F.col("y.n")).otherwise(F.col("x.n")).alias("m"))
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(class, root): the least class that each node of ``edges`` (a, b) reaches; alternating star contraction.
 
     Each round links every node's larger neighbours to the least of its neighbourhood, then its smaller ones; rounds
-    grow as the logarithm of the nodes.  Written tables cut the lineage.
+    grow as the logarithm of the nodes.  Written tables cut the lineage, so this runs jobs when it is called.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(limit):
@@ -296,88 +459,185 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         small = large.join(small_least.select(F.expr("u + 0").alias("w"), "m"), F.col("u") == F.col("w"))
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).distinct()
         then = materialise(small, "edges")
+        dropped(now)
         # a forest of stars: every edge's smaller end is the least of its own neighbourhood
         done = not then.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() and not then.select(F.col("v").alias("u")).join(then.select("u"), "u", "left_semi").limit(1).count()
         now = then
         if done:
-            return now.select(F.col("u").alias("class"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("class"), F.col("v").alias("root"))
+            out._written_to = now._written_to
+            return out
     raise RuntimeError("components did not settle")
 
 
-def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_tree_links): one row per row of ``docs``.
+def _fetch(rows: DataFrame, pairs: DataFrame, owners: DataFrame, words: int, twins: frozenset[int]) -> DataFrame:
+    """(class, set) of the classes of ``pairs``, made again from the text of each class's least row key.
 
-    component_id is the least doc_id that links reach, itself included.  n_tree_links counts the verified links of the
-    document's class that the search needed to find the components: one at least where the class has any, but not all
-    of them inside a component, whose number grows with the square of a group of near copies.  Null
-    texts and texts without words are empty sets, linked with nothing; equal rows, and equal sets, share a component;
-    an empty table gives no rows; other columns take no part.  Shingles and classes are 64-bit hashes.
+    A filter of fixed size tells most of the other texts apart before they are shingled; those that pass it by chance
+    find no partner in the joins that follow.  Where more texts are asked for than the filter can hold, texts and row
+    keys are joined instead.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    count = docs.count()
-    total = 1 << (buckets_for(count, ROWS_PER_BUCKET) - 1).bit_length()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(owners, F.col("class") == F.col("of")).select("own")
+    asked = materialise(asked, "asked")
+    cell = F.shiftrightunsigned(F.xxhash64("own"), 64 - FILTER_BITS)
+    marks = asked.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    table[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    named = rows.select("text", F.col("key").alias("own"))
+    crowded = int(np.bitwise_count(table).sum()) > 1 << (FILTER_BITS - 3)
+    if crowded:
+        named = named.join(asked.select(F.expr("own + 0").alias("of")), F.col("own") == F.col("of"), "left_semi")
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen, ids, held, size = sent.value, set(), [], [], 0
+        for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            batch = batch.filter(pa.array((table[cells >> 6] >> (cells & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            for _, own in _sets(batch, words):
+                name = class_of(own, twins)[0]
+                if len(own) and name not in seen:
+                    seen.add(name)
+                    ids.append(name)
+                    held.append(own.tobytes())
+                    size += len(held[-1])
+                if size >= BLOCK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], ["class", "set"])
+                    ids, held, size = [], [], 0
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], ["class", "set"])
+
+    cells = F.shiftrightunsigned(F.xxhash64("own"), 64 - FILTER_BITS)
+    out = materialise(named.select("text", cells.alias("cell")).mapInArrow(trimmed(run), "class long, set binary"), "sets")
+    dropped(asked)
+    return out
+
+
+# -- the join -------------------------------------------------------------------------------------------------------------
+
+
+def _described(rows: DataFrame, words: int) -> DataFrame:
+    """Per row: doc_id, key, class, check, size of the set, bitmap."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [own for _, own in _sets(batch, words)]
             bits = np.stack([parity(own) for own in sets]) if sets else np.zeros((0, BITMAP), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([class_of(own) for own in sets], pa.int64()), pa.array([len(own) for own in sets], pa.int64()), *(pa.array(bits[:, i]) for i in range(BITMAP))], ["doc_id", "class", "n", *(f"b{i}" for i in range(BITMAP))])
+            names = [class_of(own) for own in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()), pa.array([len(own) for own in sets], pa.int64()), *(pa.array(bits[:, i]) for i in range(BITMAP))], ["doc_id", "key", "class", "check", "n", *(f"b{i}" for i in range(BITMAP))])
+
+    return rows.mapInArrow(trimmed(describe), "doc_id long, key long, class long, check long, n long, " + ", ".join(f"b{i} long" for i in range(BITMAP)))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
 
-    spark = docs.sparkSession
-    described = materialise(rows.mapInArrow(describe, "doc_id long, class long, n long, " + ", ".join(f"b{i} long" for i in range(BITMAP))), "described")
-    sent = docs.sparkSession.sparkContext.broadcast(levels(rows, words, total))
-    merged = rows.select("text").mapInArrow(_prefixes(words, threshold, total, sent), "bucket int, tokens binary, classes binary").groupBy("bucket").applyInArrow(_merge, "token long, class long")
+
+def _twins(described: DataFrame) -> frozenset[int]:
+    """The classes whose sets differ in the other half of their hashes."""
+    twins = frozenset(r["class"] for r in described.groupBy("class").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").limit(MOST_TWINS + 1).collect())
+    if len(twins) > MOST_TWINS:
+        raise RuntimeError("too many sets share the first half of their hashes")
+    return twins
+
+
+def _linked(rows: DataFrame, described: DataFrame, twins: frozenset[int], words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links between classes, enough of them for the components; (class, root): the components of linked classes."""
+    count = max(1, min(COUNT, fewest(threshold)))
+    total = 1 << (buckets_for(rows.count(), ROWS_PER_BUCKET) - 1).bit_length()
+    sent = rows.sparkSession.sparkContext.broadcast(levels(rows, words, total))
+    merged = rows.select("text").mapInArrow(_prefixes(words, threshold, count, total, twins, sent), "bucket int, tokens binary, classes binary, reach binary").groupBy("bucket").applyInArrow(_merge(total), "token long, class long, reach short")
     lists = materialise(merged, "lists")
-    release(spark)
 
     # one row a class that shares a short list: its size, bitmap, and how many shared lists it is in
     weight = lists.groupBy("class").agg(F.count("*").alias("lists"))
-    info = described.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("own"), F.first("n").alias("n"), *(F.first(f"b{i}").alias(f"b{i}") for i in range(BITMAP)))
-    info = materialise(info.join(weight, "class").withColumn("weight", F.col("lists") / F.col("n")).withColumn("step", F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(threshold))).cast("int")), "classes")
+    info = described.where("n > 0").groupBy("class").agg(F.min("key").alias("own"), F.first("n").alias("n"), *(F.first(f"b{i}").alias(f"b{i}") for i in range(BITMAP)))
+    info = info.join(weight, "class").withColumn("weight", (F.col("lists") / F.col("n")).cast("float")).withColumn("step", F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(threshold))).cast("int"))
+    info = materialise(info.drop("lists"), "classes")
     owners = info.select(F.expr("class + 0").alias("of"), "own")
+    of = info.select(F.expr("class + 0").alias("of"), "n", "step", "weight")
+    postings = materialise(lists.join(of, lists["class"] == of["of"]).drop("of"), "posted")
+    dropped(lists)
+    links: list[DataFrame] = []
+    tested: list[DataFrame] = []
+
+    def judge(pairs: DataFrame) -> bool:
+        for done in tested:
+            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialise(_prune(pairs, info, threshold), "pairs")
+        tested.append(pairs)
+        if not pairs.limit(1).count():
+            return False
+        sets = _fetch(rows, pairs, owners, words, twins)
+        links.append(materialise(_search(pairs, sets, threshold), "links"))
+        dropped(sets)
+        return True
+
+    # at first every set is a component of its own, and no list has a largest one
+    judge(_by_pivots(postings.withColumns({"root": F.col("class"), "largest": F.col("class").bitwiseXOR(F.lit(1).cast("long"))}), threshold, count))
+    root, turn = None, 0
+    while True:
+        dropped(root)
+        root = components(_union(links)) if links else None
+        # lists whose sets still lie in several components
+        own = root.select(F.expr("class + 0").alias("of"), "root") if links else postings.select(F.col("class").alias("of"), F.col("class").alias("root")).where(F.lit(False))
+        labelled = postings.join(own, F.col("class") == F.col("of"), "left").drop("of").withColumn("root", F.coalesce("root", "class"))
+        labelled = materialise(labelled, "labelled")
+        dropped(postings)
+        per = labelled.groupBy("token", "root").agg(F.count("*").alias("k"))
+        still = per.groupBy("token").agg(F.count("*").alias("roots"), F.sum("k").alias("length"), F.max(F.struct("k", "root")).alias("most")).where("roots > 1")
+        still = still.select(F.expr("token + 0").alias("of"), F.col("most.root").alias("largest"), "length")
+        opened = materialise(labelled.join(still, F.col("token") == F.col("of")).drop("of"), "open")
+        dropped(labelled)
+        left = opened.agg(F.count("*").alias("n"), F.sum(F.when(F.col("root") != F.col("largest"), F.col("length"))).alias("pairs")).first()
+        postings = opened.drop("root", "largest", "length")
+        postings._written_to = opened._written_to
+        if not left.n:
+            break
+        if turn >= ROUNDS or left.pairs <= PAIRS_PER_POSTING * left.n + LONG_LIST**2:
+            if judge(_by_lists(opened.withColumn("long", F.col("length") > LONG_LIST), info, threshold, count)):
+                dropped(root)
+                root = components(_union(links))
+            break
+        turn = turn + 1 if judge(_by_pivots(opened, threshold, count)) else ROUNDS
+    dropped(postings, info, *tested)
+    empty = described.select(F.col("class").alias("a"), F.col("class").alias("b")).where(F.lit(False))
+    return _union(links) if links else empty, root if root is not None else empty.select(F.col("a").alias("class"), F.col("b").alias("root"))
 
-    of = info.select(F.expr("class + 0").alias("of"), "n", "step", F.col("weight").cast("float").alias("weight"))
-    posted = materialise(lists.join(of, lists["class"] == of["of"]).drop("of"), "posted")
-    # pivots: the set of each list and size step that shares most of its lists, as an original does among its copies
-    pivots = posted.groupBy("token", "step").agg(F.max(F.struct("weight", "class", "n")).alias("p"))
-    near = pivots.select(F.expr("token + 0").alias("of"), F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("at"), F.col("p.class").alias("pivot"), F.col("p.n").alias("m"))
-    fits = (F.col("class") != F.col("pivot")) & _sizes_fit(F.col("n"), F.col("m"), threshold)
-    stars = posted.join(near, (F.col("token") == F.col("of")) & (F.col("step") == F.col("at")) & fits)
-    stars = stars.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-    stars = materialise(_prune(stars, info, threshold), "pairs")
-    release(spark)
-    linked = materialise(_verify(stars, _fetch(rows, stars, owners, words), threshold), "links")
-    release(spark)
-
-    # lists whose sets still lie in several components: those outside the list's largest one meet all the others
-    root = components(linked).select(F.expr("class + 0").alias("of"), "root")
-    labelled = posted.join(root, posted["class"] == root["of"], "left").select("token", "class", "n", F.coalesce("root", "class").alias("root"))
-    labelled = materialise(labelled, "labelled")
-    per = labelled.groupBy("token", "root").agg(F.count("*").alias("k"))
-    open_lists = per.groupBy("token").agg(F.count("*").alias("roots"), F.sum("k").alias("length"), F.max(F.struct("k", "root")).alias("largest")).where("roots > 1")
-    open_lists = open_lists.select(F.expr("token + 0").alias("of"), F.col("largest.root").alias("largest"), (F.col("length") > LONG_LIST).alias("long"))
-    opened = materialise(labelled.join(open_lists, F.col("token") == F.col("of")).drop("of"), "open")
-    release(spark)
-    fits = (F.col("x.root") != F.col("y.root")) & _sizes_fit(F.col("x.n"), F.col("y.n"), threshold)
-    pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
-    x, y = opened.where("not long and root <> largest").alias("x"), opened.where("not long").select(F.expr("token + 0").alias("of"), "class", "n", "root").alias("y")
-    short = x.join(y, (F.col("x.token") == F.col("y.of")) & fits).select(*pair).distinct()
-    # long lists carry the bitmaps, so that the join itself drops what can't link
-    bits = [f"b{i}" for i in range(BITMAP)]
-    carried = opened.where("long").join(info.select(F.expr("class + 0").alias("named"), *bits), F.col("class") == F.col("named")).drop("named")
-    x, y = carried.where("root <> largest").alias("x"), carried.select(F.expr("token + 0").alias("of"), "class", "n", "root", *bits).alias("y")
-    long = x.join(y, (F.col("x.token") == F.col("y.of")) & fits & _may_link("x", "y", threshold)).select(*pair)
-    across = short.unionByName(long).distinct().join(stars, ["a", "b"], "left_anti")
-    across = materialise(_prune(across, info, threshold), "pairs")
-    release(spark)
-    every = linked
-    if across.limit(1).count():
-        every = materialise(linked.unionByName(_verify(across, _fetch(rows, across, owners, words), threshold)), "links")
-
-    root = components(every)
-    degree = every.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_tree_links"))
+
+def _keyed(docs: DataFrame) -> Column:
+    """A 64-bit hash of a whole row: all columns, and which of them are null."""
+    plain = lambda f: F.to_json(F.struct(f.name)) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else F.col(f"`{f.name}`")
+    return F.xxhash64(*map(plain, docs.schema), *(F.col(f"`{c}`").isNull() for c in docs.columns))
+
+
+def _solved(docs: DataFrame, key: Column, words: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per row: doc_id, key, class, n; links between classes; (of, root): component of each linked class."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
+    described = materialise(_described(rows, words), "described")
+    if twins := _twins(described):
+        described = described.withColumn("class", F.when(F.col("class").isin(*twins), F.col("check")).otherwise(F.col("class")))
+    links, root = _linked(rows, described, twins, words, threshold)
+    return described.select("doc_id", "key", "class", "n"), links, root.select(F.expr("class + 0").alias("of"), "root")
+
+
+def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_tree_links): one row per row of ``docs``.  Runs its jobs when it is called.
+
+    component_id is the least doc_id that links reach, itself included (null if none of them has one).  n_tree_links
+    counts the verified links of the document's class that the search needed to find the components: one at least where
+    the class has any, but not all of them inside a component, whose number grows with the square of a group of near
+    copies.  Null texts and texts without words are empty sets, linked with nothing; equal rows, and equal sets, share a
+    component, whatever their ids; an empty table gives no rows; other columns take no part.  Shingles are 64-bit
+    hashes, classes 128-bit ones.
+    """
+    described, links, root = _solved(docs, F.xxhash64("doc_id", "text"), words, threshold)
+    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_tree_links"))
     owner = described.groupBy("class").agg(F.min("doc_id").alias("own"))
-    labels = owner.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    labels = owner.join(root, F.col("class") == F.col("of"), "left").drop("of").withColumn("root", F.coalesce("root", "class"))
     least = labels.groupBy("root").agg(F.min("own").alias("component_id"))
     labels = labels.join(least.select(F.expr("root + 0").alias("of"), "component_id"), F.col("root") == F.col("of")).join(degree, "class", "left")
     labels = labels.select(F.expr("class + 0").alias("of"), "component_id", F.coalesce("n_tree_links", F.lit(0)).alias("n_tree_links"))
@@ -386,30 +646,27 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> D
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, 0).otherwise(F.col("n_tree_links")).cast("long").alias("n_tree_links"))
 
 
-def _fetch(rows: DataFrame, pairs: DataFrame, owners: DataFrame, words: int) -> DataFrame:
-    """(class, set) of the classes of ``pairs``, made again from the text of each class's least doc_id.
-
-    A filter of fixed size tells most of the other documents apart before they are shingled; those that pass it by
-    chance find no partner in the joins that follow.
+def keep_first(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, one of each component: the one of the least doc_id (rows without an id last; ties: the least
+    hash of the whole row).  Decisions go by row, not by doc_id: rows of one id whose texts do not link all stay, of
+    wholly equal rows one stays.  Rows with empty sets all stay.  Columns and their order stay, whatever their names; an
+    empty table gives no rows.  Runs its jobs when it is called.
     """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(owners, F.col("class") == F.col("of")).select("own")
-    cell = F.shiftrightunsigned(F.xxhash64("own"), 64 - FILTER_BITS)
-    marks = asked.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")).toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    table[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
-    sent = rows.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        for batch in batches:
-            cells = batch.column("cell").to_numpy()
-            batch = batch.filter(pa.array((table[cells >> 6] >> (cells & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
-            for _, own in _sets(batch, words):
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array([class_of(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["class", "set"])
-
-    named = rows.where("doc_id IS NOT NULL").select("text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS).alias("cell"))
-    return materialise(named.mapInArrow(run, "class long, set binary"), "sets")
-
-
-__all__ = ["components", "join", "levels", "shingle_sets", "word_hashes"]
+    described, _, root = _solved(docs, _keyed(docs), words, threshold)
+    x = described.where("n > 0").join(root, F.col("class") == F.col("of"), "left").select("doc_id", "key", F.coalesce("root", "class").alias("root"))
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")
+    groups = x.groupBy("root").agg(F.count("*").alias("size"), F.min(place).alias("first")).where("size > 1").select(F.expr("root + 0").alias("of"), "first")
+    rows = x.groupBy("root", "doc_id", "key").agg(F.count("*").alias("copies")).join(groups, F.col("root") == F.col("of"))
+    stays = F.col("key").eqNullSafe(F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    marks = materialise(rows.select("key", "doc_id", stays.alias("stays"), "copies").where("NOT stays OR copies > 1"), "marks")
+
+    key, of_key, of_id = (unused(docs.columns, x) for x in ("key", "of_key", "of_id"))
+    keyed = docs.withColumn(key, _keyed(docs))
+    marked = marks.select(F.col("key").alias(of_key), F.col("doc_id").alias(of_id), "stays")
+    on = (F.col(key) == F.col(of_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(of_id))
+    kept = keyed.join(marked.drop("stays"), on, "left_anti")
+    once = keyed.join(marked.where("stays").drop("stays"), on, "left_semi").dropDuplicates([key, "doc_id"])
+    return kept.unionByName(once).select(*(f"`{c}`" for c in docs.columns))
+
+
+__all__ = ["components", "divide_skip", "join", "keep_first", "levels", "merge_skip", "shingle_sets", "word_hashes"]

@@ -1,17 +1,17 @@
 """Shared helpers of the training-data operators.
 
 * ``materialise`` cuts lineage by writing Parquet below ``spark.checkpoint.dir`` (shared by all executors), so a lost
-  executor only costs the tasks that were running on it.
+  executor only costs the tasks that were running on it; ``dropped`` removes such a table once no later one needs it.
 * ``Texts`` exposes an Arrow string column as one flat UTF-8 buffer with offsets, so numpy works on bytes and no Python
   string is made per row.
 """
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy operators work on at once (one longer document is a block of its own).
 BLOCK_BYTES = 1 << 18
-#: Rows to an Arrow batch while a table is materialised: texts, or two whole sets a row, in the JVM and in Python at once.
-BATCH_ROWS = 1024
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Settings of a write by ``materialise``: bytes to an Arrow batch, so that neither long texts nor whole sets pile up in
+#: the JVM and in Python at once; shuffle files go when the write ends.
+WRITE = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: The class of a word byte: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``; a temporary one is set only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -39,23 +39,40 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back with its own schema; Arrow batches hold BATCH_ROWS meanwhile."""
+    """``df`` written as Parquet to the shared folder and read back with its own schema.
+
+    The write runs in a clone of the session, so that its settings (``WRITE``) reach no other query of the session.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, BATCH_ROWS)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+    own = spark._jsparkSession.cloneSession()
+    for key, value in WRITE.items():
+        own.conf().set(key, value)
+    frames = getattr(spark.sparkContext._jvm.org.apache.spark.sql.classic, "Dataset$").__getattr__("MODULE$")
+    frames.ofRows(own, df._jdf.queryExecution().analyzed()).write().parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``materialise`` wrote: only after all that reads them has been written itself."""
+    for x in tables:
+        if path := getattr(x, "_written_to", None):
+            where = x.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(x.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function whose worker gives its free memory back to the system when a task ends; workers outlive tasks."""
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of what has been written: they go when the driver's JVM collects their handles."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def trim(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return trim
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +83,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column has it (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def buckets_for(rows: int, per_bucket: int) -> int:
     return max(1, -(-rows // per_bucket))
 

@@ -209,10 +209,7 @@ def brute_components(rows):
     return sorted((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("seed, level, long_list", [(1, 16, 32), (2, 2, 2), (3, 4, 3)])
-def test_ngram_join_equals_brute_force(spark, monkeypatch, seed, level, long_list):
-    monkeypatch.setattr(ngram_join, "LEAST", level)
-    monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
+def near_copies(seed):
     rng = random.Random(seed)
     vocabulary, rows = [f"w{i}" for i in range(40)], texts()
     shared = [rng.choice(vocabulary) for _ in range(30)]
@@ -223,6 +220,18 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, seed, level, long_lis
             for _ in range(rng.randint(0, 3)):
                 copy[rng.randrange(len(copy))] = f"e{rng.random()}"
             rows.append(rng.choice([" ", "\n"]).join(copy[rng.randint(0, 3) :]))
+    return rows
+
+
+@pytest.mark.parametrize("seed, level, long_list, hot, spare", [(1, 16, 32, 10, 4), (2, 2, 2, 1, 4), (3, 4, 3, 2, 0)])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, seed, level, long_list, hot, spare):
+    """Long lists, lists over several buckets, further rounds of pivots, small chunks: all give the same components."""
+    monkeypatch.setattr(ngram_join, "LEAST", level)
+    monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
+    monkeypatch.setattr(ngram_join, "HOT_LEVEL", hot)
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_POSTING", spare)
+    monkeypatch.setattr(ngram_join, "CHUNK_BYTES", 1000 if seed > 1 else 4 << 20)
+    rows = near_copies(seed)
     df = docs(spark, rows)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df).collect())
     assert got == brute_components([(3 * i, t) for i, t in enumerate(rows)])
@@ -232,6 +241,54 @@ def test_ngram_join_edges(spark):
     assert ngram_join.join(empty(spark)).count() == 0
     twice = ngram_join.join(docs(spark)).where("doc_id = 15").collect()
     assert len(twice) == 2 and {r.component_id for r in twice} == {15}
+    base = texts()[5]
+    df = spark.createDataFrame([(None, base), (None, base + " tail"), (None, None), (7, base + " more")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.join(df).collect()) == [(0, 0), (0, 7), (0, 7), (7, 7)]
+
+
+def test_ngram_join_tells_classes_of_one_name_apart(spark, monkeypatch):
+    seen = spark.createDataFrame([(1, 5), (1, 5), (2, 6), (2, 7), (3, 8)], "class long, check long")
+    assert ngram_join._twins(seen) == {2}
+    own = np.arange(9, dtype=np.uint64)
+    first, second = ngram_join.class_of(own)
+    assert ngram_join.class_of(own, frozenset([first])) == (second, first)
+    rows = near_copies(4)
+    # every other class counts as a twin and goes by the other half of its hash
+    monkeypatch.setattr(ngram_join, "_twins", lambda described: frozenset(r["class"] for r in described.where("class % 2 = 0").collect()))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(docs(spark, rows)).collect()) == brute_components([(3 * i, t) for i, t in enumerate(rows)])
+
+
+def test_merge_skip_and_divide_skip_equal_brute_force():
+    rng = random.Random(9)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(30), rng.randint(1, 12))) for _ in range(rng.randint(1, 12))]
+        least = rng.randint(1, 5)
+        count = {i: sum(i in x for x in lists) for i in range(30)}
+        assert dict(ngram_join.merge_skip(lists, least)) == {i: n for i, n in count.items() if n >= least}
+        query = np.array(sorted(rng.sample(range(60), rng.randint(4, 40))), np.uint64)
+        members = []
+        for _ in range(rng.randint(1, 8)):
+            own = set(query.tolist()) - set(rng.sample(range(60), rng.randint(0, 20))) | set(rng.sample(range(60, 99), rng.randint(0, 6)))
+            members.append(np.array(sorted(own or {1}), np.uint64))
+        want = [i for i, m in enumerate(members) if 100 * len(x := set(m.tolist()) & set(query.tolist())) >= 80 * (len(m) + len(query) - len(x))]
+        assert sorted(ngram_join.divide_skip(query, members, 0.8)) == want
+
+
+def test_keep_first_goes_by_row(spark):
+    """Repeated and null ids, wholly equal rows, clashing and odd columns, empty texts: against brute force."""
+    base, other = texts()[5], " ".join(f"o{i}" for i in range(60))
+    values = [(1, base, "x"), (1, other, "x"), (2, base + " tail", "x"), (None, base, "y"), (None, None, "y"), (None, None, "y"), (None, "alone here", "z"), (None, "alone here", "z"), (4, "", "q"), (4, "", "q"), (1, other, "x"), (5, other, None), (6, "one two", "k"), (6, "one two", "l")]
+    df = spark.createDataFrame([(d, t, k, k, {"a": 1}, 1, 2) for d, t, k in values], "doc_id int, text string, key string, of_key string, m map<string,int>, root long, class long").repartition(3)
+    kept = ngram_join.keep_first(df)
+    assert kept.columns == df.columns and kept.schema["doc_id"] == df.schema["doc_id"]
+    got = sorted(((r.doc_id, r.text, r.key) for r in kept.collect()), key=str)
+    one = [k for k in "kl" if (6, "one two", k) in got]
+    want = [(1, base, "x"), (1, other, "x"), (None, None, "y"), (None, None, "y"), (None, "alone here", "z"), (4, "", "q"), (4, "", "q"), (6, "one two", one[0])]
+    assert len(one) == 1 and got == sorted(want, key=str)
+    assert ngram_join.keep_first(df.limit(0)).count() == 0
+    rows = near_copies(5)
+    least = {c for _, n, c in brute_components([(3 * i, t) for i, t in enumerate(rows)])}
+    assert {r.doc_id for r in ngram_join.keep_first(docs(spark, rows)).collect()} == least
 
 
 def test_word_hashes_ignore_neighbours():
