@@ -46,6 +46,11 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def spotsigs_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near documents of op6's fingerprints, as classes."""
+    return spotsigs.near_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), *vocabulary()), *vocabulary())
 
@@ -64,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, net).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_topk, op3_language, op4_secrets, op5_ngram_join, op6_spotsigs, op7_bpe, op8_warc, op9_mixing, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_topk, op3_language, op4_secrets, op5_ngram_join, op6_spotsigs, spotsigs_near_documents, op7_bpe, op8_warc, op9_mixing, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": """
@@ -91,6 +96,24 @@ ORACLE_SQL: dict[str, str] = {
         l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
         c AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
         SELECT n.doc_id, n.n AS n_shingles, min(c.b) AS component_id FROM n JOIN c ON c.a = n.doc_id GROUP BY 1, 2""",
+    "spotsigs_near_documents": rf"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
+        a AS (SELECT doc_id, i, word, word IN ({", ".join(f"'{x}'" for x in spotsigs.ANCHORS)}) AS anchor FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w)),
+        b AS (
+          SELECT doc_id, lag(anchor, 1, true) OVER (PARTITION BY doc_id ORDER BY i) AS spot,
+            count(*) FILTER (NOT anchor) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {spotsigs.GAP - 1} FOLLOWING) AS plain,
+            coalesce(count(*) FILTER (NOT anchor) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+          FROM a),
+        c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, word FROM a WHERE NOT anchor),
+        s AS (
+          SELECT DISTINCT b.doc_id, unnest([x.word, concat_ws(' ', x.word, y.word)]) AS s
+          FROM b JOIN c x ON x.doc_id = b.doc_id AND x.k = b.k + 1 LEFT JOIN c y ON y.doc_id = b.doc_id AND y.k = b.k + 2 WHERE spot OR plain = {spotsigs.GAP}),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS INTEGER) AS n_signatures, min(r.b) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GROUP BY 1""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         x AS (SELECT page_id, h, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)

@@ -1,11 +1,14 @@
 """Document fingerprints: SpotSigs.
 
-Each occurrence of an anchor (a common word of several languages) starts a signature: the chain of the next ``CHAIN``
-content words, anchors in between being skipped.  So does each place that ``GAP`` words without an anchor follow, so a
-passage without anchors has signatures of its own, whatever stands beside it.  A text's fingerprint is the set of its
-signatures and its words, by one rule for texts of every length.  Sets are compared by Jaccard, and pairs whose set
-lengths alone rule out the threshold are pruned: ``near_pairs`` deals sets out by length partitions.  Only DataFrame
-functions on every path.
+A spot is the beginning of a text, each place after an anchor (a common word of several languages), and each place that
+``GAP`` words without an anchor follow, so that a passage without anchors has spots of its own, whatever stands beside
+it.  At every spot the chains of the next 1 and the next ``CHAIN`` content words are signatures, anchors in between being
+skipped (at a text's end a chain may be shorter).  A text's fingerprint is the set of its signatures, by one rule for
+texts of every length, and is printed whole.
+
+Sets are partitioned by length: partition p holds the lengths of which the logarithm to base 1/threshold lies between p
+and p + 1.  Sets of partitions further apart than one can't reach the threshold, and within them the lengths decide
+again before any intersection is made.  Only DataFrame functions on every path.
 """
 
 from __future__ import annotations
@@ -16,18 +19,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.runtime import text_or_empty
+from siftline.llm.linking import settle
+from siftline.llm.runtime import dropped, materialise, text_or_empty
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = ("the", "a", "an", "and", "of", "in", "to", "is", "that", "this", "with", "for", "was", "by", "on", "le", "la", "les", "des", "du", "un", "une", "et", "en", "de", "que", "der", "die", "das", "und", "ein", "eine", "ist", "mit", "el", "los", "las", "del", "y", "por", "es")
 CHAIN = 2
-#: Words without an anchor that make a place a signature's start; characters of a text below which its words count too: no limit.
-GAP, SHORT = 8, math.inf
-#: Signature hashes that the printable fingerprint keeps: the least ones.
-PRINTED = 64
+#: Words without an anchor that make a place a spot; bits of a signature.
+GAP, BITS = 8, 40
+#: Likeness below which the query on fingerprints reports 0 where lengths alone show it; likeness of near documents.
+LEAST, NEAR = 0.05, 0.8
 #: Documents to a block of neighbours in doc_id order.
 BLOCK = 2048
-#: Quantile ranges of doc_id; each holds blocks / RANGES blocks.
+#: Quantile ranges of doc_id; each holds blocks by the length of its texts.
 RANGES = 64
 
 
@@ -42,8 +46,8 @@ def _either(words: tuple[str, ...]) -> str:
 
 
 _ANY = _either(ANCHORS)
-#: A space after an anchor or before GAP words without one, and in a look-ahead (so that chains may overlap) its chain.
-_SPOT = rf"(?:(?<= ){_ANY}(?= )|(?=(?: (?!{_ANY} )[^ ]++){{{GAP}}}))(?=((?: (?:{_ANY} )*+[^ ]++){{{CHAIN}}}))"
+#: A space at a spot, and in a look-ahead (so that chains may overlap) its chain.
+_SPOT = rf"(?:^|(?<= ){_ANY}(?= )|(?=(?: (?!{_ANY} )[^ ]++){{{GAP}}}))(?=((?: (?:{_ANY} )*+[^ ]++){{1,{CHAIN}}}))"
 _SKIP = rf" {_ANY}(?= )"
 
 
@@ -53,44 +57,49 @@ def _once(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def signatures(text: Column) -> Column:
-    """Sorted distinct signatures (as 64-bit hashes) of a text; null counts as empty, which has none."""
+    """Sorted distinct signatures (hashes of BITS bits) of a text; null counts as empty, which has none."""
     clean = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    words = lambda c: F.array_remove(F.split(c, " "), "")
-    spots = lambda c: F.transform(F.regexp_extract_all(c, F.lit(_SPOT), F.lit(1)), lambda s: F.regexp_replace(s, _SKIP, ""))
-    found = lambda c: F.concat(spots(c), words(c))
-    return F.array_sort(F.array_distinct(F.transform(_once(clean, found), lambda s: F.xxhash64(s))))
+    spots = F.transform(F.regexp_extract_all(clean, F.lit(_SPOT), F.lit(1)), lambda s: F.regexp_replace(s, _SKIP, ""))
+    short = lambda s: F.substring_index(s, " ", 2)
+    chains = _once(spots, lambda found: F.concat(found, F.transform(found, short)))
+    return F.array_sort(F.array_distinct(F.transform(chains, lambda s: F.shiftrightunsigned(F.xxhash64(s), 64 - BITS))))
 
 
 def printed(sigs: Column) -> Column:
-    """The fingerprint as text: set length, then the least signature hashes; equal texts have equal ones."""
-    least = F.transform(F.slice(sigs, 1, PRINTED), lambda h: F.substring(F.lpad(F.lower(F.hex(h)), 16, "0"), 1, 16))
-    return F.concat_ws("-", F.size(sigs).cast("string"), F.array_join(least, ""))
+    """The fingerprint as text: set length and every signature; equal sets, and so equal texts, have equal ones."""
+    digits = BITS // 4
+    return F.concat_ws("-", F.size(sigs).cast("string"), F.array_join(F.transform(sigs, lambda h: F.lpad(F.lower(F.hex(h)), digits, "0")), ""))
 
 
-def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
-    """Jaccard of two signature sets; 1 for two empty ones; 0 unseen where the lengths alone put it below ``threshold``."""
+def partition(length: Column, threshold: float) -> Column:
+    """The length partition of a set: 0 for empty ones, which lie apart from all others."""
+    return F.when(length > 0, F.floor(F.log(length.cast("double")) / -math.log(threshold)).cast("int") + 2).otherwise(0)
+
+
+def likeness(a: Column, b: Column, threshold: float = LEAST) -> Column:
+    """Jaccard of two signature sets; 1 for two empty ones; 0 unseen where partitions or lengths rule ``threshold`` out."""
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     both = F.size(F.array_intersect(a, b))
-    exact = both / (F.size(a) + F.size(b) - both)
-    return F.when(large == 0, 1.0).when((small == 0) | (small < F.lit(threshold) * large), 0.0).otherwise(exact)
+    apart = (F.abs(partition(F.size(a), threshold) - partition(F.size(b), threshold)) > 1) | (small < F.lit(threshold) * large)
+    return F.when(large == 0, 1.0).when(apart, 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def with_next(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, text, sigs, next_text, next_sigs): the next text by ascending doc_id, after the last one the first.
 
-    Null texts count as empty.  Rows of equal doc_id follow each other by text.  Documents are dealt out in blocks of
-    neighbouring ids, about ``block`` each, so no window sees all rows; the blocks' first rows close the gaps.  A text's
-    signatures are computed once, where its block is, and the row before it takes them over.
+    Null texts count as empty.  Rows without a doc_id come first; rows of equal doc_id follow each other by a hash of
+    the text, so that a frequent doc_id is dealt out as well.  Documents are dealt out in blocks of neighbours, about
+    ``block`` of middling length each, so no window sees all rows; the blocks' first rows close the gaps.  A text's
+    signatures are computed once, where its block is, and the row before it takes them over.  The blocks' bounds are
+    found when this is called.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    count = docs.count()
-    if not count:
-        return rows.select("doc_id", "text", signatures(F.col("text")).alias("sigs"), F.col("text").alias("next_text"), signatures(F.col("text")).alias("next_sigs"))
-    rows = rows.withColumn("block", _block_of(docs, max(1, math.ceil(count / block))))
-    order = Window.partitionBy("block").orderBy("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("block", _block_of(rows, block))
+    by = [F.asc_nulls_first("doc_id"), F.col("tie"), F.col("text")]
+    order = Window.partitionBy("block").orderBy(*by)
     inside = rows.repartition("block").withColumn("sigs", signatures(F.col("text")))
     inside = inside.withColumns({"following": F.lead("text").over(order), "following_sigs": F.lead("sigs").over(order), "last": F.lead(F.lit(1)).over(order).isNull()})
-    firsts = rows.groupBy("block").agg(F.min_by("text", F.struct("doc_id", "text")).alias("first_text"))
+    firsts = rows.groupBy("block").agg(F.min_by("text", F.struct(F.col("doc_id").isNotNull(), "doc_id", "tie", "text")).alias("first_text"))
     ring = Window.partitionBy(F.lit(0)).orderBy("block")  # over block numbers alone, one to every ``block`` documents
     follows = firsts.select("block").withColumn("next_block", F.coalesce(F.lead("block").over(ring), F.first("block").over(ring)))
     seam = follows.join(firsts.select(F.col("block").alias("next_block"), F.col("first_text").alias("seam")), "next_block").select("block", "seam")
@@ -98,24 +107,39 @@ def with_next(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return x.select("doc_id", "text", "sigs", F.coalesce("following", "seam").alias("next_text"), F.coalesce("following_sigs", signatures(F.col("seam"))).alias("next_sigs"))
 
 
-def _block_of(docs: DataFrame, blocks: int) -> Column:
-    """Rising block number of a doc_id: at most RANGES quantile ranges of the ids, each cut evenly."""
-    ranges = min(RANGES, blocks)
-    ids = docs.select(F.col("doc_id").cast("long").alias("i"))
-    found = ids.agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.percentile_approx("i", [k / ranges for k in range(1, ranges)] or [0.5], 20000).alias("cuts")).first()
-    if found.lo is None:
-        return F.lit(-1)
-    edges = sorted({found.lo, *(found.cuts if ranges > 1 else ()), found.hi + 1})
-    each = math.ceil(blocks / ranges)
-
-    def at(lo: int, hi: int) -> str:  # a tree of comparisons, log2(RANGES) of them a row
-        if lo == hi:
-            a, b = edges[lo], edges[lo + 1]
-            return f"{lo * each}L + CAST(floor((doc_id - {a}L) * {each}D / {max(1, b - a)}D) AS BIGINT)"
+def _block_of(rows: DataFrame, block: int) -> Column:
+    """Rising block number: quantile ranges of the ids, an id that fills a whole one and the missing ids being ranges of
+    their own; each is cut evenly, by id or (a single id) by ``tie``, into blocks in proportion to its texts' length."""
+    found = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.percentile_approx("doc_id", [k / RANGES for k in range(1, RANGES)], 20000).alias("cuts")).first()
+    cuts = sorted(found.cuts or ())
+    heavy = {a for a, b in zip(cuts, cuts[1:]) if a == b}
+    edges = sorted({found.lo, found.hi + 1, *cuts, *(x + 1 for x in heavy)} - {None}) if found.lo is not None else []
+    span = _tree(edges, lambda k: f"{k + 1}L")
+    stats = rows.groupBy(F.coalesce(F.expr(span), F.lit(0)).alias("span")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    count, chars = sum(r.n for r in stats), sum(r.chars for r in stats)
+    cut = {r.span: max(1, math.ceil((r.n / count + r.chars / max(1, chars)) / 2 * count / block)) for r in stats}
+    first, at = {}, 0
+    for k in range(len(edges) + 1):
+        first[k], at = at, at + cut.get(k, 1)
+    by_tie = lambda k: f"{first[k]}L + CAST(floor((tie / 18446744073709551616D + 0.5D) * {cut.get(k, 1)}D * 0.999999D) AS BIGINT)"
+
+    def of(k: int) -> str:
+        lo, width = edges[k], edges[k + 1] - edges[k]
+        return by_tie(k + 1) if width == 1 else f"{first[k + 1]}L + CAST(floor((doc_id - {lo}L) * {cut.get(k + 1, 1)}D / {width}D * 0.999999D) AS BIGINT)"
+
+    return F.coalesce(F.expr(_tree(edges, of)), F.expr(by_tie(0)))
+
+
+def _tree(edges: list[int], leaf: Callable[[int], str]) -> str:
+    """SQL of ``leaf(k)`` for the ids from edges[k] to edges[k + 1]: log2(ranges) comparisons a row; null without an id."""
+
+    def at(lo: int, hi: int) -> str:
+        if lo >= hi:
+            return leaf(lo)
         mid = (lo + hi + 1) // 2
         return f"IF(doc_id < {edges[mid]}L, {at(lo, mid - 1)}, {at(mid, hi)})"
 
-    return F.coalesce(F.expr(at(0, len(edges) - 2)), F.lit(-1))
+    return f"CASE WHEN doc_id IS NOT NULL THEN {at(0, len(edges) - 2)} END" if len(edges) > 1 else "CAST(NULL AS BIGINT)"
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -124,43 +148,45 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(other, F.lit(1), half))
 
 
-def fingerprint_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, block: int = BLOCK, least: float = LEAST) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures.
 
     Null texts count as empty (fingerprint of 0 signatures); repeated rows and ties are kept, each row once; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored.  A likeness that lengths alone put below ``least`` is 0.
     """
     x = with_next(docs, block).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     x = x.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("sigs").alias("own"), signatures(F.col("edited")).alias("other"), F.col("next_sigs").alias("next"))
-    return x.select("doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"), F.size("own").alias("n_signatures"))
+    return x.select("doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other"), least).alias("near_edited"), likeness(F.col("own"), F.col("next"), least).alias("near_next"), F.size("own").alias("n_signatures"))
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(class_a, class_b, likeness) between classes of equal fingerprints; ``near_classes`` gives the membership.
+def near_documents(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
+    """(doc_id, n_signatures, component_id): documents of fingerprints with a likeness of ``threshold`` or more, and their closure.
 
-    Sets are partitioned by length: a partner's length is within the threshold, so it lies in the same or the next
-    partition.  Inside a partition, candidates share one of the signatures that the overlap bound forces them to
-    (the rarest ones of each set), and the exact pruned Jaccard decides.
+    component_id is the least doc_id of the component.  Documents without signatures are near to nothing; equal
+    fingerprints are one class; other columns take no part; an empty table gives no rows.  Candidates share one of the
+    signatures that the threshold forces them to (the rarest ones of each set) and lie in the same or neighbouring
+    length partitions; pivots keep a list of many sets from meeting itself whole.  Runs jobs when it is called.
     """
-    sets = near_classes(docs).groupBy("class").agg(F.first("sigs").alias("sigs")).where(F.size("sigs") > 0)
-    freq = sets.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("df"))
-    ranked = sets.select("class", F.size("sigs").alias("n"), F.explode("sigs").alias("sig")).join(freq, "sig").where("df > 1")
-    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
-    # signatures in one set only never match: they take the first ranks, so only their number matters
-    lone = sets.join(ranked.groupBy("class").agg(F.count("*").alias("shared")), "class").select("class", (F.size("sigs") - F.col("shared")).alias("lone"))
-    order = Window.partitionBy("class").orderBy("df", "sig")
-    heads = ranked.join(lone, "class").withColumn("at", F.row_number().over(order) + F.col("lone")).where(F.col("at") <= prefix)
-    part = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(threshold))).cast("int")
-    left = heads.select("sig", F.col("class").alias("class_a"), F.col("n").alias("n_a"), part.alias("part"))
-    right = heads.select("sig", F.col("class").alias("class_b"), F.col("n").alias("n_b"), F.explode(F.array(part, part - 1)).alias("part"))
-    fits = (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= F.lit(threshold) * F.col("n_b")) & ((F.col("n_a") < F.col("n_b")) | (F.col("class_a") < F.col("class_b")))
-    pairs = left.join(right, ["sig", "part"]).where(fits).select("class_a", "class_b").distinct()
-    a, b = (sets.select(F.col("class").alias(f"class_{x}"), F.col("sigs").alias(f"sigs_{x}")) for x in "ab")
-    judged = pairs.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", likeness(F.col("sigs_a"), F.col("sigs_b"), threshold).alias("likeness"))
-    return judged.where(F.col("likeness") >= threshold)
-
-
-def near_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class, sigs): the class is a hash of the whole signature set."""
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text")).alias("sigs"))
-    return x.select("doc_id", F.xxhash64(F.array_join(F.transform("sigs", lambda s: s.cast("string")), " ")).alias("class"), "sigs")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text")).alias("sigs"))
+    name = F.xxhash64(F.array_join(F.transform("sigs", lambda s: s.cast("string")), " "))
+    rows = materialise(rows.select("doc_id", name.alias("class"), "sigs"), "spots")
+    sets = materialise(rows.where(F.size("sigs") > 0).groupBy("class").agg(F.first("sigs").alias("sigs")), "sets")
+    each = sets.select("class", F.size("sigs").alias("n"), F.explode("sigs").alias("token"))
+    df = each.groupBy(F.expr("token + 0").alias("of")).agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(df, F.col("token") == F.col("of")).groupBy("class").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    # signatures in one set only never match: they take the first places, so only their number matters
+    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    heads = shared.where(keep > 0).select("class", "n", partition(F.col("n"), threshold).alias("step"), (F.size("shared") / F.col("n")).cast("float").alias("weight"), F.explode(F.slice("shared", F.lit(1), F.greatest(keep, F.lit(1)).cast("int"))).alias("head"))
+    postings = materialise(heads.select(F.col("head.token").alias("token"), "class", F.col("n").cast("long").alias("n"), "step", "weight", F.lit(255).cast("short").alias("reach")), "heads")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        a, b = (sets.select(F.expr("class + 0").alias(f"of_{x}"), F.col("sigs").alias(f"sigs_{x}")) for x in "ab")
+        x = pairs.join(a, F.col("a") == F.col("of_a")).join(b, F.col("b") == F.col("of_b"))
+        return materialise(x.where(likeness(F.col("sigs_a"), F.col("sigs_b"), threshold) >= threshold).select("a", "b"), "links")
+
+    _, root = settle(postings, linked, threshold, 1)
+    dropped(sets)
+    x = rows.join(root.select(F.expr("class + 0").alias("of"), "root"), F.col("class") == F.col("of"), "left").withColumn("root", F.coalesce("root", "class"))
+    least = x.groupBy(F.expr("root + 0").alias("of_root")).agg(F.min("doc_id").alias("least"))
+    out = x.join(least, F.col("root") == F.col("of_root"))
+    return out.select("doc_id", F.size("sigs").alias("n_signatures"), F.when(F.size("sigs") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

@@ -306,6 +306,22 @@ def test_word_hashes_ignore_neighbours():
 # -- 6 --------------------------------------------------------------------------------------------------------------------
 
 
+def spots(text):
+    """Brute force: the chains of one and of CHAIN content words at a text's spots."""
+    words, anchors = re.findall(r"[^\W_]+", (text or "").lower()), set(spotsigs.ANCHORS)
+    found = set()
+    for i in range(len(words)):
+        window = words[i : i + spotsigs.GAP]
+        after = [x for x in words[i:] if x not in anchors][: spotsigs.CHAIN]
+        if after and (i == 0 or words[i - 1] in anchors or (len(window) == spotsigs.GAP and not anchors & set(window))):
+            found |= {" " + after[0], " " + " ".join(after)}
+    return {xxhash.xxh64_intdigest(x.encode(), seed=42) >> (64 - spotsigs.BITS) for x in found}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_spotsigs(spark):
     df = docs(spark)
     for block in (2, 2048):
@@ -317,65 +333,75 @@ def test_spotsigs(spark):
             half = len(t) // 2
             want = t[: len(t) - half] + other[:half]
             assert (r.doc_id, r.n_chars, r.edited_sha256) == (d, len(t), hashlib.sha256(want.encode()).hexdigest())
-            assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+            own, edit, after = spots(t), spots(want), spots(other)
+            shown = lambda x: f"{len(x)}-" + "".join(f"{v:010x}" for v in sorted(x))
+            assert (r.fingerprint, r.edited_fingerprint, r.n_signatures) == (shown(own), shown(edit), len(own))
+            for value, pair in ((r.near_edited, edit), (r.near_next, after)):
+                short, long = sorted((len(own), len(pair)))
+                assert abs(value - (0 if short < spotsigs.LEAST * long else jaccard(own, pair))) < 1e-12
         by = {r.doc_id: r for r in got}
         assert by[15].fingerprint == by[18].fingerprint and by[15].near_next == 1
     assert spotsigs.fingerprint_documents(empty(spark)).count() == 0
 
 
-def spots(text):
-    """Brute force: the chains and words that are a text's signatures."""
-    words, anchors = re.findall(r"[^\W_]+", text.lower()), set(spotsigs.ANCHORS)
-    found = set()
-    for i in range(len(words) + 1):
-        window = words[i : i + spotsigs.GAP]
-        after = [x for x in words[i:] if x not in anchors][: spotsigs.CHAIN]
-        starts = (i > 0 and words[i - 1] in anchors) or (len(window) == spotsigs.GAP and not anchors & set(window))
-        if starts and len(after) == spotsigs.CHAIN:
-            found.add(" " + " ".join(after))
-    if not found or len(f" {' '.join(words)} ") < spotsigs.SHORT:
-        found |= set(words)
-    return found
+def test_spotsigs_of_missing_and_frequent_ids(spark):
+    """Rows without an id come first, a frequent id is dealt out over several blocks, and no row loses its next one."""
+    rng = random.Random(12)
+    ids = [None] * 40 + [7] * 60 + list(range(8, 60)) + [10**15, -5]
+    rows = [(i, f"the t{k} of {rng.random()} and the x{k}" * rng.randint(1, 3)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    x = spotsigs.with_next(df, 4)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text, r.next_text) for r in x.select("doc_id", "text", "next_text").collect())
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), seed=42)), r[1]))
+    assert got == sorted((d is not None, d or 0, t, order[(k + 1) % len(order)][1]) for k, (d, t) in enumerate(order))
+    blocks = df.withColumns({"tie": F.xxhash64("text"), "text": F.col("text")})
+    sizes = {(r.block, r.seven): r["count"] for r in blocks.groupBy(spotsigs._block_of(blocks, 4).alias("block"), (F.col("doc_id") == 7).alias("seven")).count().collect()}
+    assert max(sizes.values()) <= 16
 
 
 def test_spot_chains(spark):
     rng = random.Random(6)
-    texts = ["The cat is on the red mat and the dog", "a", "the of", "", None, "Das  Haus, der \n Baum."]
+    texts = ["The cat is on the red mat and the dog", "a", "the of", "", None, "Das  Haus, der \n Baum.", "one", "one two the"]
     for share in (0.0, 0.03, 0.3, 0.9):
         for n in (7, 8, 9, 20, 90, 300):
             texts.append(" ".join(rng.choice(spotsigs.ANCHORS) if rng.random() < share else rng.choice(["w", "the", "é", "An"]) + str(rng.randint(0, 99)) for _ in range(n)))
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", spotsigs.signatures(F.col("text")).alias("s")).collect()
     for i, sigs in got:
-        want = {xxhash.xxh64_intdigest(x.encode(), seed=42) for x in spots(texts[i] or "")}
-        assert sigs == sorted(x - (1 << 64) if x >> 63 else x for x in want), texts[i]
+        assert sigs == sorted(spots(texts[i])), texts[i]
+
 
+def brute_near(rows):
+    sets = [spots(t) for _, t in rows]
+    root = list(range(len(rows)))
 
-def test_spotsigs_of_near_copies_of_any_length(spark):
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and jaccard(a, sets[j]) >= 0.8:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return sorted((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows))
+
+
+def test_spotsigs_near_documents(spark):
     rng = random.Random(8)
-    rows = []
+    rows = near_copies(7) + ["the other text stands of its own the whole way", None, "", "the", "of the"]
     for n in range(385, 416, 3):
         text = ""
         while len(text) < n:
             text += rng.choice(["the ", "of ", "", ""]) + f"{rng.choice('vw')}{rng.randint(0, 9999)} "
-        rows += [(2 * n, text[:n].strip()), (2 * n + 1, text[:n].strip() + " tail")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = {r.doc_id: set(r.sigs) for r in spotsigs.near_classes(df).collect()}
-    assert all(len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8 for i, _ in rows[::2])
-    near = {r.doc_id: r.near_next for r in spotsigs.fingerprint_documents(df).collect()}
-    assert all(near[i] >= 0.8 for i, _ in rows[::2])
-    classes = {r.doc_id: r["class"] for r in spotsigs.near_classes(df).collect()}
-    pairs = {frozenset((r.class_a, r.class_b)) for r in spotsigs.near_pairs(df).collect()}
-    assert {frozenset((classes[i], classes[i + 1])) for i, _ in rows[::2]} <= pairs
-
-
-def test_spotsig_pairs(spark):
-    rng = random.Random(5)
-    base = " ".join(rng.choice(["the", "of"]) + f" w{rng.randint(0, 999)} v{rng.randint(0, 999)}" for _ in range(60))
-    values = [base, base + " the end now", base, "the other text stands of its own the whole way", None, ""]
-    df = docs(spark, values)
-    sets = {r.doc_id: (r["class"], set(r.sigs)) for r in spotsigs.near_classes(df).collect()}
-    want = {frozenset((a, b)) for a, x in sets.values() for b, y in sets.values() if a != b and x and y and len(x & y) / len(x | y) >= 0.8}
-    assert {frozenset((r.class_a, r.class_b)) for r in spotsigs.near_pairs(df).collect()} == want and len(want) == 1
+        rows += [text[:n].strip(), text[:n].strip() + " tail"]
+    df = docs(spark, rows)
+    got = sorted((r.doc_id, r.n_signatures, r.component_id) for r in spotsigs.near_documents(df).collect())
+    assert got == brute_near([(3 * i, t) for i, t in enumerate(rows)])
+    assert spotsigs.near_documents(empty(spark)).count() == 0
 
 
 # -- 8 --------------------------------------------------------------------------------------------------------------------
