@@ -1,9 +1,11 @@
 """Exact top-k inner products by columnar branch and bound.
 
-Vectors stay where they are read; queries travel in blocks of at most ``block_bytes``, one broadcast at a time.  A task
-turns each batch into a vertical layout (one array per dimension) and takes, for each query, blocks of dimensions in
-turn: partial score + |rest of query| |rest of vector| (Cauchy-Schwarz on the remaining mass) bounds the final score.
-After each block the candidates whose bound is below the query's k-th best so far are compacted away.
+Vectors stay where they are read; queries travel in blocks of at most ``block_bytes``.  One block at a time is sent, met
+by all vectors, its results written and its copies on the executors removed, so neither the driver nor an executor holds
+more than a block however many queries there are.  A task turns each batch into a vertical layout (one array per
+dimension) and takes, for each query, blocks of dimensions in turn: partial score + |rest of query| |rest of vector|
+(Cauchy-Schwarz on the remaining mass) bounds the final score.  After each block the candidates whose bound is below the
+query's k-th best so far are compacted away.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.llm.runtime import dropped, materialise, trimmed
+
 K, SCALE, DIM_BLOCK, BLOCK_BYTES = 5, 256, 16, 8 << 20
 #: Vectors that a task works on at once.
 BATCH = 8192
@@ -41,9 +45,17 @@ class Searcher:
         squares = self.q**2
         self.rest = [np.sqrt(squares[:, c:].sum(axis=1)) for c in self.cuts]
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
+        #: Rows that are the query's own, or wholly equal to it.
+        self.own = np.zeros(len(ids), np.int64)
+        self.places: dict[int, list[int]] = {}
+        for i, name in enumerate(ids.tolist()):
+            self.places.setdefault(name, []).append(i)
 
     def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
         """Scores are sums of products of integers: exact in float64 while below 2**53, which the callers check."""
+        for at in np.flatnonzero(np.isin(ids, self.ids)).tolist():
+            for i in self.places[int(ids[at])]:
+                self.own[i] += bool((self.q[i] == matrix[at]).all())
         columns = matrix.T.astype(np.float64)
         mass = np.sqrt((columns**2).sum(axis=0))
         # rows of large norm first: the first slice sets a high threshold for the rest
@@ -55,7 +67,7 @@ class Searcher:
         for i, query in enumerate(self.q):
             first = 0
             if len(self.best[i]) < self.k:
-                self._merge(i, ids[:head], query @ columns[:, :head])
+                self._merge(i, ids[:head], query @ columns[:, :head], columns[:, :head])
                 first = head
             floor = self.best[i][-1][0] if len(self.best[i]) >= self.k else -np.inf
             alive, scores = np.arange(first, len(ids)), None
@@ -67,11 +79,13 @@ class Searcher:
                     live = scores + self.rest[b + 1][i] * rest[b + 1][alive] >= floor - 1e-6 * (1 + abs(floor))
                     alive, scores = alive[live], scores[live]
             if len(alive):
-                self._merge(i, ids[alive], scores)
+                self._merge(i, ids[alive], scores, columns[:, alive] if (ids[alive] == self.ids[i]).any() else columns)
 
-    def _merge(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        other = ids != self.ids[i]
-        ids, scores = ids[other], scores[other]
+    def _merge(self, i: int, ids: np.ndarray, scores: np.ndarray, columns: np.ndarray) -> None:
+        same = ids == self.ids[i]
+        if same.any():  # another vector of the query's id is a candidate, an equal one is counted apart
+            same[same] = (columns[:, same] == self.q[i][:, None]).all(axis=0)
+        ids, scores = ids[~same], scores[~same]
         if len(ids) > 4 * self.k:  # ties with the k-th score stay
             least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
             ids, scores = ids[scores >= least], scores[scores >= least]
@@ -80,45 +94,76 @@ class Searcher:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, dim_block: int = DIM_BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest integer inner products of each query with every other vector.
+    """(query_id, rank, vec_id, score): the k highest integer inner products of each query row with every other row.
 
-    Both inputs are (id, v: array<long>); ties go to the smaller id, and a vector with the query's own id is no
-    candidate.  Only vectors of the query's length are compared.  Repeated ids are candidates each.  Null and
-    non-finite vectors must be gone (``quantise`` drops them).  Empty tables give no rows.
+    Both inputs are (id, v: array<long>); ties go to the smaller id.  A query's own row is no candidate: of the rows with
+    its id and its very vector one is left out, the others of that id are candidates.  Every query row has ranks of its
+    own, so a repeated query id has as many rows of each rank as it has query rows.  Only vectors of the query's length
+    are compared.  Null and non-finite vectors must be gone (``quantise`` drops them).  Empty tables give no rows.  Runs
+    its jobs when it is called.
     """
     spark = vectors.sparkSession
-    found = None
     shapes = queries.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).collect()
     most = vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0
+    found: list[DataFrame] = []
     for shape in sorted(shapes):
         if shape.dims * max(1, shape.most) * max(1, most) >= 1 << 53:
             raise ValueError("inner products of these vectors pass 2**53, and float64 would not be exact")
         own = vectors.where(F.size("v") == shape.dims)
         blocks = -(-shape.n * shape.dims * 8 // block_bytes)
+        asked = queries.where(F.size("v") == shape.dims).groupBy("id", "v").agg(F.count("*").alias("asked"))
+        asked = materialise(asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks))), "queries")
         for block in range(blocks):
-            rows = queries.where((F.size("v") == shape.dims) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)).toArrow()
+            rows = asked.where(F.col("block") == block).toArrow()
             if not len(rows):
                 continue
-            sent = spark.sparkContext.broadcast((rows.column("id").to_numpy(), _matrix(rows.column("v").combine_chunks(), shape.dims)))
-            part = own.mapInArrow(_task(sent, shape.dims, k, dim_block), "query_id long, vec_id long, score long")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            sent = spark.sparkContext.broadcast((rows.column("id").to_numpy(), _matrix(rows.column("v").combine_chunks(), shape.dims), rows.column("asked").to_numpy()))
+            part = own.mapInArrow(trimmed(_task(sent, shape.dims, k, dim_block)), "query long, query_id long, asked long, vec_id long, score long, own long")
+            found.append(materialise(_best(part, k), "best"))
+            sent.destroy()
+            if len(found) == 64:  # a plan over few tables, however many blocks there are
+                found = _one(found)
+        dropped(asked)
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "asked"))).select("query_id", "rank", "vec_id", "score")
+
+
+def _one(tables: list[DataFrame]) -> list[DataFrame]:
+    every = tables[0]
+    for more in tables[1:]:
+        every = every.unionByName(more)
+    out = materialise(every, "best")
+    dropped(*tables)
+    return [out]
+
+
+def _best(part: DataFrame, k: int) -> DataFrame:
+    """The first k rows of each query; the rows that equal it count as candidates but for one."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    own = part.where("own > 0").groupBy("query", "query_id", "asked", "vec_id", "score").agg(F.least(F.sum("own") - 1, F.lit(k)).alias("n")).where("n > 0")
+    own = own.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long")))).select("query", "query_id", "asked", "vec_id", "score")
+    every = part.where("own = 0").drop("own").unionByName(own)
+    return every.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "asked", "rank", "vec_id", "score")
 
 
 def _task(sent, dims: int, k: int, dim_block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = None
+        searcher, asked = None, None
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 piece = batch.slice(at, BATCH)
-                searcher = searcher or Searcher(*sent.value, k, dim_block)
+                if searcher is None:
+                    ids, matrix, asked = sent.value
+                    searcher = Searcher(ids, matrix, k, dim_block)
                 searcher.add(piece.column("id").to_numpy(), _matrix(piece.column("v"), dims))
         if searcher:
-            rows = [(int(q), v, s) for q, best in zip(searcher.ids, searcher.best) for s, v in best]
-            q, v, s = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
+            rows = [(i, int(q), int(n), v, s, 0) for i, (q, n, best) in enumerate(zip(searcher.ids, asked, searcher.best)) for s, v in best]
+            rows += [(i, int(searcher.ids[i]), int(asked[i]), int(searcher.ids[i]), int(searcher.q[i] @ searcher.q[i]), int(searcher.own[i])) for i in np.flatnonzero(searcher.own)]
+            columns = zip(*rows) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["query", "query_id", "asked", "vec_id", "score", "own"])
 
     return run

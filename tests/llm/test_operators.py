@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 
@@ -13,7 +14,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, langid, mixing, ngram_join, packing, quality, queries, secretscan, spotsigs, topk, warc
+from siftline.llm import bpe, langid, linking, mixing, ngram_join, packing, quality, queries, secretscan, spotsigs, topk, warc
 
 SF = "/root/testdata/sf0.001"
 PATH, PATTERN = queries.vocabulary()
@@ -83,21 +84,33 @@ def test_best_fit_decreasing():
         assert min(left.values()) >= 0
 
 
-def test_packing_loses_nothing(spark, enc):
-    df = docs(spark)
-    packed = packing.pack_documents(df, PATH, PATTERN, seq_len=64, group_docs=4).collect()
+def test_packing_loses_nothing(spark, enc, tmp_path):
+    df = docs(spark).unionByName(spark.createDataFrame([(None, f"no id {i} at all " * 30, "en", None, 1, 7, 0.5, 9, 0.1) for i in range(8)], DOCS))
+    shards = packing.write(df, PATH, PATTERN, seq_len=64, group_segments=16)
+    packed = packing.rows(shards).collect()
     got = {}
     for r in packed:
-        ids = np.frombuffer(r.ids, "<u4")
-        assert len(ids) == 64 and r.cu_seqlens[0] == 0 and r.position_resets == r.cu_seqlens[:-1]
+        ids = np.frombuffer(r.ids, "<u2" if r.id_bytes == 2 else "<u4")
+        assert len(ids) == 64 and r.cu_seqlens[0] == 0 and r.position_resets == r.cu_seqlens[:-1] and r.n_tokens == r.cu_seqlens[-1] and r.n_segments == len(r.doc_ids)
+        assert not ids[r.n_tokens :].any()
         for d, s, p, a, b in zip(r.doc_ids, r.segments, r.position_starts, r.cu_seqlens, r.cu_seqlens[1:]):
             assert p == 64 * s
             got.setdefault((d, s), []).append(ids[a:b].tolist())
-    for row in df.dropDuplicates(["doc_id"]).collect():
-        ids, n = enc.encode_ordinary(row.text or ""), 2 if row.doc_id == 15 else 1
+    want = {}
+    for row in df.collect():
+        ids = enc.encode_ordinary(row.text or "")
         for s, a in enumerate(range(0, len(ids), 64)):
-            assert got.pop((row.doc_id, s)) == [ids[a : a + 64]] * n
-    assert not got and packing.pack_documents(empty(spark), PATH, PATTERN).count() == 0
+            want.setdefault((row.doc_id, s), []).append(ids[a : a + 64])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    groups = {g: sum(r.n_segments for r in packed if r.group == g) for g in {r.group for r in packed}}
+    assert len(groups) > 8 and max(groups.values()) < 64  # the long text and the rows without an id are dealt out
+    files = packing.export(shards, str(tmp_path))
+    assert sum(np.fromfile(f, "<u2").size for f in files if ".ids." in f) == 64 * len(packed) and not [f for f in os.listdir(tmp_path) if f.endswith(".part")]
+    first = min(groups)
+    own = sorted((r for r in packed if r.group == first), key=lambda r: r.row)
+    assert np.fromfile(f"{tmp_path}/{first:08d}.cu_seqlens.bin", "<i4").tolist() == [x for r in own for x in r.cu_seqlens]
+    assert np.fromfile(f"{tmp_path}/{first:08d}.resets.bin", "<i4").tolist() == [x for r in own for x in r.position_resets]
+    assert packing.rows(packing.write(empty(spark), PATH, PATTERN)).count() == 0
 
 
 # -- 2 --------------------------------------------------------------------------------------------------------------------
@@ -120,6 +133,21 @@ def test_topk_is_exact(spark, block_bytes, dim_block):
     assert got == want and topk.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_rows(spark):
+    """Every query row has its own ranks; another row of its id is a candidate, whether its vector differs or not."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i) % 12, [int(x) for x in v]) for i, v in enumerate(rng.integers(-3, 4, (30, 4)))]
+    rows += [rows[0], rows[0], (0, [1, 2, 3, 4]), (12, [0, 0, 0, 0]), (12, [0, 0, 0, 0]), (3, [1, 1])]
+    v = spark.createDataFrame(rows, "id long, v array<long>").repartition(3)
+    got = sorted(tuple(r) for r in topk.search(v, v.where("id % 6 = 0"), 3, 2, 64).collect())
+    want = []
+    for i, (q, x) in enumerate(rows):
+        if q % 6 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, y)), d) for j, (d, y) in enumerate(rows) if j != i and len(x) == len(y))[:3]
+            want += [(q, k + 1, d, -s) for k, (s, d) in enumerate(scores)]
+    assert got == sorted(want)
+
+
 # -- 3, 10, 4 -------------------------------------------------------------------------------------------------------------
 
 
@@ -227,9 +255,9 @@ def near_copies(seed):
 def test_ngram_join_equals_brute_force(spark, monkeypatch, seed, level, long_list, hot, spare):
     """Long lists, lists over several buckets, further rounds of pivots, small chunks: all give the same components."""
     monkeypatch.setattr(ngram_join, "LEAST", level)
-    monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
+    monkeypatch.setattr(linking, "LONG_LIST", long_list)
     monkeypatch.setattr(ngram_join, "HOT_LEVEL", hot)
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_POSTING", spare)
+    monkeypatch.setattr(linking, "PAIRS_PER_POSTING", spare)
     monkeypatch.setattr(ngram_join, "CHUNK_BYTES", 1000 if seed > 1 else 4 << 20)
     rows = near_copies(seed)
     df = docs(spark, rows)
