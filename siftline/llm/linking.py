@@ -17,8 +17,8 @@ from siftline.llm.runtime import dropped, materialise
 BITMAP = 8
 #: Sets from which a list is long: its pairs are bounded by bitmaps inside the join, those of shorter ones after it.
 LONG_LIST = 32
-#: Rounds of pivots at most; pairs for each posting that are joined without a further round.
-ROUNDS, PAIRS_PER_POSTING = 6, 4
+#: Pairs for each posting that are joined without a further round of pivots; share of the pairs that a round must save.
+PAIRS_PER_POSTING, SAVED = 64, 0.5
 
 
 def _kept(view: DataFrame, table: DataFrame) -> DataFrame:
@@ -93,8 +93,9 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).distinct()
         then = materialise(small, "edges")
         dropped(now)
-        # a forest of stars: every edge's smaller end is the least of its own neighbourhood
-        done = not then.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() and not then.select(F.col("v").alias("u")).join(then.select("u"), "u", "left_semi").limit(1).count()
+        # a forest of stars: no node has two smaller ends, or is one itself
+        ends = then.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("over")), F.struct(F.col("v").alias("x"), F.lit(0).alias("over")))).alias("e")).groupBy("e.x").agg(F.sum("e.over").alias("over"), F.min("e.over").alias("least"))
+        done = not ends.where("over > 1 OR (over = 1 AND least = 0)").limit(1).count()
         now = then
         if done:
             return _kept(now.select(F.col("u").alias("class"), F.col("v").alias("root")), now)
@@ -130,7 +131,7 @@ def settle(postings: DataFrame, linked: Callable[[DataFrame], DataFrame | None],
 
     # at first every set is a component of its own, and no list has a largest one
     judge(_by_pivots(postings.withColumns({"root": F.col("class"), "largest": F.col("class").bitwiseXOR(F.lit(1).cast("long"))}), threshold, count))
-    root, turn = None, 0
+    root, before = None, None
     while True:
         dropped(root)
         root = components(_union(links)) if links else None
@@ -148,12 +149,12 @@ def settle(postings: DataFrame, linked: Callable[[DataFrame], DataFrame | None],
         postings = _kept(opened.drop("root", "largest", "length"), opened)
         if not left.n:
             break
-        if turn >= ROUNDS or left.pairs <= PAIRS_PER_POSTING * left.n + LONG_LIST**2:
+        if left.pairs <= PAIRS_PER_POSTING * left.n or (before is not None and left.pairs > SAVED * before):
             if judge(_by_lists(opened.withColumn("long", F.col("length") > LONG_LIST), bitmaps, threshold, count)):
                 dropped(root)
                 root = components(_union(links))
             break
-        turn = turn + 1 if judge(_by_pivots(opened, threshold, count)) else ROUNDS
+        before = left.pairs if judge(_by_pivots(opened, threshold, count)) else 0
     spark = postings.sparkSession
     dropped(postings, *tested)
     return _union(links) if links else spark.createDataFrame([], "a long, b long"), root if links else spark.createDataFrame([], "class long, root long")

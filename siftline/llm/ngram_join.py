@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.linking import BITMAP, components, may_link, settle
-from siftline.llm.runtime import BLOCK_BYTES, Texts, buckets_for, dropped, materialise, trimmed, unused
+from siftline.llm.runtime import BLOCK_BYTES, Texts, buckets_for, dropped, materialise, row_key, trimmed, unused
 
 WORDS, THRESHOLD = 5, 0.8
 #: Short lists that two sets must have in common, at most; weight of a list's length when lists are divided.
@@ -51,7 +51,7 @@ LEVEL_KEYS, LEAST = 1 << 20, 16
 #: Level (log2 of the documents that hold a shingle) from which its list is dealt out over several buckets.
 HOT_LEVEL = 10
 #: Bytes of the members' sets that a query meets at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 256 << 10
 #: Rows of documents to a bucket of shingles; postings or counts that a task holds before it passes them on.
 ROWS_PER_BUCKET, FLUSH = 1024, 1 << 20
 #: Classes that share 64 bits of their hashes: none at all is likely below some 10**9 classes.
@@ -489,12 +489,6 @@ def _linked(rows: DataFrame, described: DataFrame, twins: frozenset[int], words:
     return out
 
 
-def _keyed(docs: DataFrame) -> Column:
-    """A 64-bit hash of a whole row: all columns, and which of them are null."""
-    plain = lambda f: F.to_json(F.struct(f.name)) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else F.col(f"`{f.name}`")
-    return F.xxhash64(*map(plain, docs.schema), *(F.col(f"`{c}`").isNull() for c in docs.columns))
-
-
 def _solved(docs: DataFrame, key: Column, words: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per row: doc_id, key, class, n; links between classes; (of, root): component of each linked class."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
@@ -533,7 +527,7 @@ def keep_first(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     wholly equal rows one stays.  Rows with empty sets all stay.  Columns and their order stay, whatever their names; an
     empty table gives no rows.  Runs its jobs when it is called.
     """
-    described, _, root = _solved(docs, _keyed(docs), words, threshold)
+    described, _, root = _solved(docs, row_key(docs), words, threshold)
     x = described.where("n > 0").join(root, F.col("class") == F.col("of"), "left").select("doc_id", "key", F.coalesce("root", "class").alias("root"))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")
     groups = x.groupBy("root").agg(F.count("*").alias("size"), F.min(place).alias("first")).where("size > 1").select(F.expr("root + 0").alias("of"), "first")
@@ -542,7 +536,7 @@ def keep_first(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     marks = materialise(rows.select("key", "doc_id", stays.alias("stays"), "copies").where("NOT stays OR copies > 1"), "marks")
 
     key, of_key, of_id = (unused(docs.columns, x) for x in ("key", "of_key", "of_id"))
-    keyed = docs.withColumn(key, _keyed(docs))
+    keyed = docs.withColumn(key, row_key(docs))
     marked = marks.select(F.col("key").alias(of_key), F.col("doc_id").alias(of_id), "stays")
     on = (F.col(key) == F.col(of_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(of_id))
     kept = keyed.join(marked.drop("stays"), on, "left_anti")
