@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.runtime import text_or_empty
+from siftline.llm.runtime import text_or_empty, trimmed
 
 CHUNK, OVERLAP = 1 << 15, 1 << 10
 #: Characters that a cut at a chunk's end can affect: the longest contraction, and the character looked at.
@@ -88,11 +88,12 @@ def _ids_bytes(ids: np.ndarray) -> bytes:
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, ids): every whole text's ids as little-endian uint32 bytes.
 
-    Nulls count as empty texts, which have no ids.  Repeated rows are encoded each for itself.  Texts of up to
-    ``chunk`` characters are one chunk and never move between executors; only longer ones are dealt out by chunk.
+    Nulls count as empty texts, which have no ids.  Repeated rows give a row each.  Texts of up to ``chunk`` characters
+    are one chunk and never move between executors; only longer ones are dealt out by chunk.  Other columns take no
+    part, whatever their names; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    short = rows.where(F.length("text") <= chunk).mapInArrow(_encode_short(path, pattern), "doc_id long, ids binary")
+    short = rows.where(F.length("text") <= chunk).mapInArrow(trimmed(_encode_short(path, pattern)), "doc_id long, ids binary")
     return short.unionByName(_encode_long(rows.where(F.length("text") > chunk), path, pattern, chunk, overlap))
 
 
@@ -140,13 +141,13 @@ def _encode_long(rows: DataFrame, path: str, pattern: str, chunk: int, overlap:
 
     # equal rows are encoded once and counted
     counted = rows.groupBy("doc_id", F.sha2("text", 256).alias("row")).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    found = counted.mapInArrow(cut, columns).repartition("doc_id", "no").mapInArrow(find, f"{columns}, before array<long>, after array<long>")
+    found = counted.mapInArrow(cut, columns).repartition("doc_id", "row", "no").mapInArrow(find, f"{columns}, before array<long>, after array<long>")
     of_text = Window.partitionBy("doc_id", "row")
     seam = F.array_min(F.array_intersect("after", F.lead("before").over(of_text.orderBy("no"))))
     last = F.col("start") + chunk >= F.col("length")
     sewn = found.withColumn("to_", F.when(last, F.col("length")).otherwise(seam)).drop("before", "after")
     sewn = sewn.withColumn("from_", F.coalesce(F.lag("to_").over(of_text.orderBy("no")), F.lit(0))).withColumn("open", F.max(F.col("to_").isNull()).over(of_text))
-    parts = sewn.where("not open").mapInArrow(encode_pieces, "doc_id long, row string, copies long, no int, ids binary")
+    parts = sewn.where("not open").mapInArrow(trimmed(encode_pieces), "doc_id long, row string, copies long, no int, ids binary")
     in_order = F.array_sort(F.collect_list(F.struct("no", "ids")))
     joined = parts.groupBy("doc_id", "row", "copies").agg(F.aggregate(in_order, F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
     whole = sewn.where("open").select("doc_id", "row", "copies", "no", "text").groupBy("doc_id", "row").applyInArrow(encode_whole, "doc_id long, row string, copies long, ids binary")
@@ -166,18 +167,29 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, ids binary, data binary")
 
 
-def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per text: count of ids, SHA-256 of the decimal ids joined by spaces, SHA-256 of the decoded bytes."""
-
+def _digests(path: str, pattern: str, carried: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in batches:
-            counts, ids_sha, data_sha = [], [], []
-            for raw in batch.column("ids"):
-                ids = np.frombuffer(raw.as_buffer(), "<u4").tolist()
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                data_sha.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(data_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for at in range(0, len(batch), 256):
+                piece = batch.slice(at, 256)
+                counts, ids_sha, data_sha = [], [], []
+                for raw in piece.column("ids"):
+                    ids = np.frombuffer(raw.as_buffer(), "<u4").tolist()
+                    counts.append(len(ids))
+                    ids_sha.append(None if carried else hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    data_sha.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
+                first = piece.column("ids") if carried else pa.array(ids_sha, pa.string())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(counts, pa.int64()), first, pa.array(data_sha, pa.string())], ["doc_id", "n_tokens", "ids" if carried else "ids_sha256", "decoded_sha256"])
+
+    return trimmed(run)
+
+
+def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Per text: count of ids, SHA-256 of the decimal ids joined by spaces, SHA-256 of the decoded bytes."""
+    return encoded.mapInArrow(_digests(path, pattern, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def decoded(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256): the ids with the SHA-256 of the bytes that they decode to."""
+    return encoded.mapInArrow(_digests(path, pattern, True), "doc_id long, n_tokens long, ids binary, decoded_sha256 string")

@@ -1,8 +1,9 @@
 """Language ID by language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter is one table of bit masks, one bit per language.  An n-gram's ``HASHES`` slots are and-ed,
-which gives all languages that contain it at once.  Per language the masks' bits are counted over a text's n-grams and
-corrected for the false positives that the filter's fill lets through; the highest corrected count decides.
+A bit-sliced Bloom filter is one table of bit masks, one bit per language and as many 64-bit words a slot as the
+languages need.  An n-gram's ``HASHES`` slots are and-ed, which gives all languages that contain it at once.  Per
+language the masks' bits are counted over a text's n-grams and corrected for the false positives that the filter's fill
+lets through; the highest corrected count decides.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.runtime import Texts
+from siftline.llm.runtime import Texts, trimmed
 
 #: Documents of each language that the filters learn from, at most (about; chosen by a hash of doc_id).
 SAMPLE_DOCS = 400
+#: Bytes of a text to learn from, at most; a language whose texts are all longer is learned from LONG_DOCS of them (about).
+SAMPLE_BYTES, LONG_DOCS = 1 << 18, 4
 #: N-gram sizes in bytes; slots of the table; hashes; share of a language's documents that an n-gram of it is in.
 SIZES, SLOT_BITS, HASHES, LEAST_SHARE = (3, 5), 20, 2, 0.02
 #: A document is rejected by the filter ``accepted`` where fewer of its n-grams belong to the language.
@@ -51,11 +54,12 @@ def slots(value: np.ndarray, k: int) -> np.ndarray:
 
 
 class Filters:
-    """languages in code point order; ``table`` of masks; ``false``: share of foreign n-grams that each filter lets through."""
+    """languages in code point order; ``table`` of masks, one array of slots for every 64 languages; ``false``: share of
+    foreign n-grams that each filter lets through."""
 
-    def __init__(self, languages: list[str], table: np.ndarray):
+    def __init__(self, languages: list[str], table: list[np.ndarray]):
         self.languages, self.table = languages, table
-        self.false = np.array([float((table >> np.uint64(i) & np.uint64(1)).mean()) ** HASHES for i in range(len(languages))])
+        self.false = np.array([float((table[i >> 6] >> np.uint64(i & 63) & np.uint64(1)).mean()) ** HASHES for i in range(len(languages))])
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per text of the flat buffer: n-grams per language after correction (texts x languages), all n-grams."""
@@ -70,14 +74,15 @@ class Filters:
             for end in bounds[1:-1]:  # n-grams that run into the next text
                 valid[max(0, end - n + 1) : end] = False
             at = np.flatnonzero(valid)
-            value = value[at]
-            masks = self.table[slots(value, 0)]
-            for k in range(1, HASHES):
-                masks &= self.table[slots(value, k)]
+            places = [slots(value[at], k) for k in range(HASHES)]
             edges = np.searchsorted(at, bounds)
-            for i in range(len(self.languages)):
-                up = np.concatenate([[0], np.cumsum(masks >> np.uint64(i) & np.uint64(1), dtype=np.int64)])
-                hits[:, i] += np.diff(up[edges])
+            for first, words in enumerate(self.table):
+                masks = words[places[0]]
+                for place in places[1:]:
+                    masks &= words[place]
+                for i in range(64 * first, min(64 * first + 64, len(self.languages))):
+                    up = np.concatenate([[0], np.cumsum(masks >> np.uint64(i & 63) & np.uint64(1), dtype=np.int64)])
+                    hits[:, i] += np.diff(up[edges])
             total += np.diff(edges)
         corrected = (hits - total[:, None] * self.false) / np.maximum(1e-9, 1 - self.false)
         return np.clip(corrected, 0, None), total
@@ -97,9 +102,7 @@ def build(texts: list[tuple[str, bytes]]) -> Filters:
     by: dict[str, list[bytes]] = {}
     for lang, text in texts:
         by.setdefault(lang, []).append(text)
-    if len(by) > 64:
-        raise ValueError("a mask holds 64 languages")
-    table = np.zeros(1 << SLOT_BITS, np.uint64)
+    table = [np.zeros(1 << SLOT_BITS, np.uint64) for _ in range(-(-len(by) // 64))]
     for i, lang in enumerate(sorted(by)):
         for n in SIZES:
             seen = []
@@ -109,47 +112,69 @@ def build(texts: list[tuple[str, bytes]]) -> Filters:
             value, found = np.unique(np.concatenate(seen), return_counts=True)
             value = value[found >= max(min(2, len(by[lang])), LEAST_SHARE * len(by[lang]))]
             for k in range(HASHES):
-                table[slots(value, k)] |= np.uint64(1 << i)
+                table[i >> 6][slots(value, k)] |= np.uint64(1 << (i & 63))
     return Filters(sorted(by), table)
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
-    """From text and lang of the rows of ``docs`` that have both; about ``sample_docs`` of each language."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Filters:
+    """From text and lang of the rows of ``docs`` that have both; about ``sample_docs`` of each language, of texts of up to
+    ``sample_bytes``.  Runs its jobs when it is called."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", (F.octet_length("text") <= sample_bytes).alias("short"))
+    counts = known.groupBy("lang").agg(F.count_if("short").alias("short"), F.count("*").alias("n")).collect()
     if not counts:
         return build([])
-    share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / n))) for lang, n in counts.items()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    limit = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, (sample_docs / r.short) if r.short else LONG_DOCS / r.n))))
+    only_long = [r.lang for r in counts if not r.short]
+    chosen = known.where((F.col("short") | F.col("lang").isin(*only_long)) & (F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) < F.element_at(limit, F.col("lang")) * (1 << 30)))
     rows = chosen.select("lang", "text").toArrow()
     return build([(lang, text.encode()) for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist())])
 
 
+def _judged(batch: pa.RecordBatch, filters: Filters) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: language (index), whether it has one, score, cover."""
+    texts = Texts(batch.column("text"))
+    lettered = pa.compute.match_substring_regex(batch.column("text").cast(pa.large_string()), r"\pL").fill_null(False).to_numpy(zero_copy_only=False)
+    best, score, cover = (np.concatenate(x) for x in zip(*(filters.decide(texts.data, texts.offsets[a : b + 1]) for a, b in texts.blocks()))) if len(texts) else (np.zeros(0, int), np.zeros(0), np.zeros(0))
+    known = lettered & (best >= 0)
+    return best, known, np.where(known, score, 0.0), np.where(known, cover, 0.0)
+
+
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """``docs`` with lang_pred, lang_score, lang_cover added.
 
     ``und`` with score 0 where the text is null or has no letter (or nothing was learned); texts of letters that no
     filter knows get the first language with score 0; ties go to the first language in code point order.  Rows are
-    judged each for itself, whatever other columns they have; names that clash are replaced.
+    judged each for itself, repeated ones too, whatever other columns they have; columns of these three names are
+    replaced; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.table))
     names = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_cover")]
-    rows = docs.select(*names)
+    rows = docs.select(*(f"`{c}`" for c in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = Filters(*sent.value)
         for batch in batches:
-            texts = Texts(batch.column("text"))
-            lettered = pa.compute.match_substring_regex(batch.column("text").cast(pa.large_string()), r"\pL").fill_null(False).to_numpy(zero_copy_only=False)
-            best, score, cover = (np.concatenate(x) for x in zip(*(filters.decide(texts.data, texts.offsets[a : b + 1]) for a, b in texts.blocks()))) if len(texts) else (np.zeros(0, int), np.zeros(0), np.zeros(0))
-            known = lettered & (best >= 0)
+            best, known, score, cover = _judged(batch, filters)
             pred = [filters.languages[i] if k else UNKNOWN for i, k in zip(best, known)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, cover, 0.0))], [*names, "lang_pred", "lang_score", "lang_cover"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(cover)], [*names, "lang_pred", "lang_score", "lang_cover"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, lang_score double, lang_cover double"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
+
+
+def accept(docs: DataFrame, filters: Filters, least_cover: float = LEAST_COVER) -> DataFrame:
+    """The rows of ``docs`` that have a language, of which at least ``least_cover`` of their n-grams are.
+
+    Null texts and texts without letters go; repeated rows are judged each for itself; columns stay as they are,
+    whatever their names; an empty table gives no rows.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.table))
+    at = docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = Filters(*sent.value)
+        for batch in batches:
+            _, known, _, cover = _judged(pa.RecordBatch.from_arrays([batch.column(at)], ["text"]), filters)
+            yield batch.filter(pa.array(known & (cover >= least_cover)))
 
-def accepted(least_cover: float = LEAST_COVER) -> Column:
-    """Whether the filter keeps an identified document: it has a language, and enough of its n-grams are that language's."""
-    return (F.col("lang_pred") != UNKNOWN) & (F.col("lang_cover") >= least_cover)
+    return docs.mapInArrow(trimmed(run), docs.schema)

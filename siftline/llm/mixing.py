@@ -18,14 +18,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.runtime import WORD, materialise, text_or_empty
+from siftline.llm.runtime import WORD, dropped, materialise, row_key, text_or_empty, unused
 
-WEIGHTS, BUDGET, CEILING, BLOCK, STEPS, STARTS = (3, 1, 2), 1.5, 2.0, 512, 24, 16
+WEIGHTS, BUDGET, CEILING, BLOCK, STEPS, STARTS = (3, 1, 2), 1.5, 2.0, 512, 80, 16
+#: Distance from the targets, as a share of them, at which the steps may end at the latest, and that they try to reach.
+LOOSE, TIGHT = 1e-6, 1e-9
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each text; null texts have none."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
+    """(doc_id, row, source, size): row hash and words of each text; null texts have none."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col("source").cast("string").alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
 
 
 def targets(by_source: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceiling: float = CEILING) -> DataFrame:
@@ -45,18 +47,19 @@ def targets(by_source: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceili
     return x.select("source", "source_size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * F.col("water"))).alias("target"))
 
 
-
-
 def _total(x):
     """A sum in fixed point: the same in whatever order the rows arrive, so that reruns agree."""
     return F.sum(F.round(x * 1e6).cast("decimal(38,0)")).cast("double") / 1e6
 
 
 def balance(counts: DataFrame, goal: DataFrame, ceiling: float = CEILING, steps: int = STEPS) -> DataFrame:
-    """(key, target, lam, mean): the dual's solution per source, from (key, size, n) and (key, target, source_size)."""
+    """(key, target, lam, mean): the dual's solution per source, from (key, size, n) and (key, target, source_size).
+
+    Ends when every open source is within TIGHT of its target, or after ``steps``; an error if one is then not within LOOSE.
+    """
     stats = counts.groupBy("key").agg((F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
     state = goal.join(stats, "key").select("key", "target", (F.col("target") >= F.col("source_size") * ceiling).alias("full"), "mean", F.lit(0.0).alias("lam"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"))
-    state = materialise(state, "mix-state")
+    state, off = materialise(state, "mix-state"), 0.0
     hist = counts.where("size > 0")
     for _ in range(steps):
         x = hist.join(state.where("not full"), "key").withColumn("z", F.col("size") / F.col("mean"))
@@ -69,18 +72,22 @@ def balance(counts: DataFrame, goal: DataFrame, ceiling: float = CEILING, steps:
         inside = (newton > F.col("low")) & (newton < F.col("high"))
         y = y.withColumn("next", F.when(F.col("full") | (F.col("made").isNull()), F.col("lam")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2))
         y = materialise(y.select("key", "target", "full", "mean", F.col("next").alias("lam"), "low", "high", (F.abs("gap") / F.greatest("target", F.lit(1.0))).alias("off")), "mix-state")
-        state = y.drop("off")
-        if not y.where("not full and off > 1e-9").limit(1).count():
-            break
+        dropped(state)
+        state = y
+        off = y.agg(F.max(F.when(~F.col("full") & (F.col("target") > 0), F.col("off"))).alias("off")).first().off or 0.0
+        if off <= TIGHT:
+            return state
+    if off > LOOSE:
+        raise RuntimeError(f"the rates stayed {off:.3g} of a target away from it after {steps} steps")
     return state
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceiling: float = CEILING, block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source, source_size, target, rate, copies, taken), one row per row of ``docs``.
+    """(doc_id, row, size, source, source_size, target, rate, copies, taken), one row per row of ``docs``.
 
     Null texts have size 0 and are not taken; a null source is a source of its own; equal rows are rounded each for
-    itself (ties broken by doc_id, then by arrival among wholly equal rows, which have equal sizes); an empty table
-    gives no rows.  Extra columns are ignored.
+    itself (ties broken by doc_id, a hash of the row, then by arrival among wholly equal rows, which have equal sizes);
+    an empty table gives no rows.  Extra columns only count in the row's hash.  Runs its jobs when it is called.
     """
     own = materialise(sizes(docs).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-sizes")
     counts = materialise(own.groupBy("key", "size").agg(F.count("*").alias("n")), "mix-counts")
@@ -94,8 +101,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceiling: float
     z = F.col("size") / F.col("mean")
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("full"), F.lit(ceiling)).otherwise(F.exp(F.least(F.col("lam") * z, F.log(F.lit(ceiling)))))
     # dealt out by block: else the windows would keep the join's partitions, one for each source however large
-    x = x.withColumn("rate", rate).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / block))).repartition("key", "block")
-    of_block = Window.partitionBy("key", "block").orderBy(F.desc("size"), "doc_id")
+    x = x.withColumn("rate", rate).withColumn("block", F.pmod(F.xxhash64("doc_id", "row"), F.ceil(F.col("docs") / block))).repartition("key", "block")
+    of_block = Window.partitionBy("key", "block").orderBy(F.desc("size"), "doc_id", "row")
     part = F.col("rate") - F.floor("rate")
     x = x.withColumn("part", part).withColumn("upto", F.sum("part").over(of_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     whole = Window.partitionBy("key", "block")
@@ -104,4 +111,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceiling: float
     x = x.withColumn("start", F.array_min(F.array(*off))["start"])
     chosen = F.element_at(F.array(*(extra(k) for k in range(STARTS))), F.col("start") + 1)
     x = x.withColumn("copies", F.least(F.floor("rate") + chosen, F.lit(int(ceiling))).cast("int"))
-    return x.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return x.select("doc_id", "row", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def take(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceiling: float = CEILING, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; rows that it doesn't take go.
+
+    Copies go by row, not by doc_id; of wholly equal rows the sum is taken.  Columns and their order stay, whatever
+    their names; rows without words go; an empty table gives no rows.  Runs its jobs when it is called.
+    """
+    mixed = mix(docs, weights, budget, ceiling, block)
+    by_row = mixed.groupBy("row", "doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    by_row = materialise(by_row, "mix-copies")
+    row, of, of_id, times = (unused(docs.columns, x) for x in ("row", "of", "of_id", "times"))
+    keyed = docs.withColumn(row, row_key(docs))
+    on = (F.col(row) == F.col(of)) & F.col("doc_id").cast("long").eqNullSafe(F.col(of_id))
+    named = by_row.select(F.col("row").alias(of), F.col("doc_id").alias(of_id), F.col("copies").alias(times), F.col("rows"))
+    single = keyed.join(named.where("rows = 1").drop("rows"), on)
+    equal = keyed.join(named.where("rows > 1").drop("rows"), on).dropDuplicates([row, of_id])
+    every = single.unionByName(equal)
+    return every.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*(f"`{c}`" for c in docs.columns))

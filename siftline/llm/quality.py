@@ -1,6 +1,6 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Filters of ``WIDTH`` bytes slide over the whole text with a step of ``STRIDE``.  Each filter's activation is max-pooled
+Filters of ``WIDTH`` bytes slide over the whole text, byte by byte.  Each filter's activation is max-pooled
 over overlapping chunks of 2 x ``HALF`` bytes (each half belongs to two chunks), averaged over the chunks, and a logistic
 unit combines the filters into one probability.  A filter over one-hot bytes is a table of 256 weights for each of its
 places, so a convolution is WIDTH table look-ups a position.
@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.runtime import Texts
+from siftline.llm.runtime import Texts, trimmed
 
-FILTERS, WIDTH, STRIDE, HALF = 16, 6, 2, 256
+FILTERS, WIDTH, STRIDE, HALF = 16, 6, 1, 256
 #: Labelled documents to learn from, at most (about; chosen by a hash of doc_id); passes over them; texts to a step.
 SAMPLE_DOCS, EPOCHS, STEP_DOCS, RATE = 1500, 10, 32, 0.02
+#: Bytes of a text to learn from, at most (longer ones are left out of the sample, and scored whole as all are).
+SAMPLE_BYTES = 1 << 18
 #: Bytes scored at once; a longer text is scored in pieces, and only its chunks' maxima are kept.
 PIECE = 1 << 17
 
@@ -120,7 +122,8 @@ def train(examples: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = 7
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Network:
-    """From ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0/1); about ``sample_docs`` whole texts, half of each label.
+    """From ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0/1); about ``sample_docs`` whole texts of up to
+    SAMPLE_BYTES, half of each label.  Runs its jobs when it is called.
 
     The sample is drawn from the labels, so its ids are few and only their texts are fetched.  Where a label has fewer
     rows than half the sample, all of them are taken.
@@ -131,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_doc
     for y, n in counts.items():
         share = F.when(F.col("y") == y, F.lit(min(1.0, sample_docs / 2 / n))).otherwise(share)
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toArrow()
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toArrow()
     return train([(t.encode(), y) for t, y in zip(rows.column("text").to_pylist(), rows.column("y").to_pylist())])
 
 
@@ -149,4 +152,4 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             scores = [net.score(texts.data[a:b]) for a, b in zip(texts.offsets, texts.offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, score double")

@@ -35,7 +35,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secretscan.scan(table(spark, sf_dir, "documents"), secretscan.learn())
+    return secretscan.scan(table(spark, sf_dir, "documents"), secretscan.learn(secretscan.labelled_table(spark)))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

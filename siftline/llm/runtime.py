@@ -91,6 +91,12 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit hash of a whole row: all columns, and which of them are null."""
+    plain = lambda f: F.to_json(F.struct(f"`{f.name}`")) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else F.col(f"`{f.name}`")
+    return F.xxhash64(*map(plain, docs.schema), *(F.col(f"`{c}`").isNull() for c in docs.columns))
+
+
 def buckets_for(rows: int, per_bucket: int) -> int:
     return max(1, -(-rows // per_bucket))
 

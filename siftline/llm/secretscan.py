@@ -1,8 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more key characters that has a digit or mixed case.  The forest looks at its
-length, character transitions, dictionary coverage, the path (source) and the neighbouring words, and is trained from
-labelled findings: a table of (text, start, end, path, label), or by default findings generated from the formats below.
+A candidate is a run of 16 or more key characters that has a digit or mixed case, a value of 6 characters or more that a
+name such as password or api_key is set to, or a private key block from its first line to its last.  Candidates that
+overlap are one, the widest.  The forest looks at its length, character transitions, dictionary coverage, the path
+(source) and the neighbouring words, and is trained from a table of labelled findings (text, start, end, path, label).
+``labelled_table`` makes such a table from key formats, for corpora that have none of their own.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.runtime import text_or_empty
+from siftline.llm.runtime import text_or_empty, trimmed
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
+#: A name that secrets are set to, and its value: quoted, or up to the next blank; a private key's block.
+ASSIGNED = re.compile(r"""(?i:passw(?:or)?d|pwd|secret|token|api_?key|access_?key|auth|credentials?)\w{0,20}["']?\s?[:=]{1,2}>?\s?(?:"([^"\n]{6,200})"|'([^'\n]{6,200})'|([^\s"'`,;(){}<>\[\]]{6,200}))""")
+BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]{0,20000}?-----END [A-Z ]{0,40}PRIVATE KEY-----")
 #: Labelled findings to learn from, at most; trees; their depth; findings that a leaf holds at least.
 SAMPLE_FINDINGS, TREES, DEPTH, LEAF = 20000, 40, 10, 4
 #: Characters of context on either side of a candidate.
@@ -31,11 +36,29 @@ LEAST_SCORE = 0.5
 FOR = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api", "auth", "bearer", "credential", "credentials", "private", "access")
 AGAINST = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "guid", "example", "sample", "test", "dummy", "placeholder", "version", "http", "https", "www", "file", "path", "integrity", "revision", "etag")
 PATHS_AGAINST = ("test", "tests", "example", "examples", "docs", "doc", "fixtures", "mock", "vendor")
-#: The dictionary for coverage (words of four letters and more that names and paths are made of).
-DICTIONARY = ("about", "access", "account", "action", "address", "admin", "agent", "alert", "answer", "application", "array", "author", "background", "backup", "base", "block", "board", "body", "border", "build", "button", "cache", "call", "category", "center", "change", "channel", "character", "check", "child", "class", "client", "close", "cloud", "code", "color", "column", "command", "comment", "commit", "common", "company", "component", "config", "connect", "connection", "console", "constant", "contact", "container", "content", "context", "control", "count", "create", "current", "custom", "data", "database", "date", "debug", "default", "delete", "description", "design", "detail", "development", "device", "digital", "directory", "display", "document", "domain", "download", "drive", "editor", "element", "email", "empty", "enable", "error", "event", "example", "export", "feature", "field", "file", "filter", "final", "first", "folder", "font", "form", "format", "frame", "function", "general", "generator", "global", "group", "handler", "header", "hello", "help", "hidden", "history", "home", "host", "html", "icon", "image", "import", "index", "info", "input", "instance", "integer", "interface", "internal", "item", "java", "label", "language", "large", "layout", "left", "length", "level", "library", "line", "link", "list", "load", "local", "location", "login", "main", "manager", "master", "match", "media", "member", "memory", "menu", "message", "method", "middle", "model", "module", "name", "navigation", "network", "node", "none", "note", "number", "object", "option", "order", "output", "package", "page", "panel", "parameter", "parent", "password", "path", "pattern", "placeholder", "platform", "player", "point", "position", "post", "process", "product", "profile", "project", "property", "public", "query", "random", "read", "record", "reference", "release", "remote", "report", "request", "resource", "response", "result", "return", "right", "root", "route", "sample")
+#: The dictionary for coverage (words of four letters and more that names and paths are made of); a parameter.
+DICTIONARY = tuple(
+    """
+    access account address admin alert application author base block body button cache category change channel check child class
+    client cloud code column command comment component config connection contact container content context control create current custom data
+    database date default delete description design development device directory display document domain download editor element email empty enable
+    error event export feature field file filter first folder format function global group handler header hello help home
+    host image import index info input interface item language left length level library line link list load local
+    location login main manager master match member memory menu message method model module name network node none note
+    number object option order output package page panel parameter parent path pattern platform point position process product profile
+    project property public query random read record reference release remote report request resource response result return right root
+    route sample screen search section select send server service session setting shared show size source start state status
+    step store string style system table target task team template text theme thread time title type unit update
+    upload user value version video view volume word work world write year your zone
+    """.split()
+)
+#: How keys of some providers begin.
+PROVIDER = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{20}|sk-[A-Za-z0-9]{20}|xox[abprs]-[A-Za-z0-9]")
 _WORD = re.compile(r"[A-Za-z]+|[0-9]+")
+_NAMED = re.compile(r"""(?i:passw(?:or)?d|pwd|secret|token|api_?key|access_?key|auth|credentials?)\w{0,20}["']?\s?[:=]{1,2}>?\s?["']?$""")
+_HINT = re.compile(r"(?i)passw|pwd|secret|token|key|auth|credential")
 _FOUND = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
-FEATURES = ("length", "log_length", "entropy", "digits", "upper", "lower", "symbols", "class_changes", "hex", "distinct", "longest_run", "vowel_rate", "transition_score", "coverage", "words_for", "words_against", "assigned", "quoted", "path_against", "only_letters", "uuid_like")
+FEATURES = ("length", "log_length", "entropy", "digits", "upper", "lower", "symbols", "class_changes", "hex", "distinct", "longest_run", "vowel_rate", "transition_score", "coverage", "words_for", "words_against", "assigned", "quoted", "path_against", "only_letters", "uuid_like", "key_block", "named", "spaces", "provider", "called")
 
 #: Commonness of character pairs in English text, for the transition score (the most common ones).
 PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split())
@@ -67,50 +90,84 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         sum(c in "aeiou" for c in letters) / max(1, len(letters)), sum(low[i : i + 2] in PAIRS for i in range(n - 1)) / max(1, n - 1), covered / n,
         sum(w in FOR for w in left), sum(w in AGAINST for w in near), float(bool(re.search(r"[:=]\s*[\"'`]?$", before))), float(before[-1:] in "\"'`" and before != ""),
         float(any(w in PATHS_AGAINST for w in _WORD.findall(path.lower()))), float(value.isalpha()), float(bool(re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", low))),
+        float(value.startswith("-----BEGIN")), float(bool(_NAMED.search(before))), value.count(" ") / n,
+        float(bool(PROVIDER.match(value))), float(after[:1] in "([" and after != ""),
     ]
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """[start, end) of each candidate in code points; words without a digit or a change of case are none."""
+def candidates(text: str) -> list[tuple[int, int]]:
+    """[start, end) of each candidate in code points, in order; of those that overlap the one that begins first and ends last."""
+    found = []
     for m in CANDIDATE.finditer(text):
         value = m.group()
-        if any(c.isdigit() for c in value) or not (value.islower() or value.isupper()):
-            yield m.start(), m.end()
+        if any(c.isdigit() for c in value) or not (value.islower() or value.isupper()):  # words are none
+            found.append((m.start(), m.end()))
+    if _HINT.search(text):
+        found += [m.span(m.lastindex) for m in ASSIGNED.finditer(text)]
+        if "PRIVATE KEY-----" in text:
+            found += [m.span() for m in BLOCK.finditer(text)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
-def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int, str, int]]:
+def labelled_findings(n: int = 4000, seed: int = 11, dictionary: tuple[str, ...] = DICTIONARY) -> list[tuple[str, int, int, str, int]]:
     """Generated labelled findings (text, start, end, path, label): key formats in assignments, and what looks like keys."""
     rng = random.Random(seed)
     pick = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
     hexa, lower, upper, digit = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     every = lower + upper + digit
-    word = lambda: rng.choice(DICTIONARY)
-    syllables = lambda: "".join(rng.choice(sorted(PAIRS)) for _ in range(rng.randint(6, 12)))
+    word = lambda: rng.choice(dictionary)
+    pairs = sorted(PAIRS)
+    syllables = lambda: "".join(rng.choice(pairs) for _ in range(rng.randint(6, 12)))
+    plain = lambda: "".join(rng.choice(pairs) for _ in range(rng.randint(2, 4)))
+    names = ("token", "api_key", "secret", "password", "auth_token", "access_key", "client_secret", "db_password", "PASSWORD", "credentials", "SECRET_TOKEN", "passwd")
     out = []
     for _ in range(n):
-        secret = rng.random() < 0.5
-        if secret:
+        lead, name = " ".join(syllables() for _ in range(rng.randint(0, 4))), rng.choice(names)
+        opens = rng.choice((f'{name} = "', f"{name}: ", f"{name}='", f"{name}=", f'"{name}": "', f"{name}:"))
+        kind, call = rng.random(), ""
+        if kind < 0.3:  # keys by their formats
             value = rng.choice([lambda: pick(hexa, rng.choice((32, 40, 40, 64))), lambda: pick(every, rng.randint(20, 64)), lambda: "AKIA" + pick(upper + digit, 16), lambda: "ghp_" + pick(every, 36), lambda: "sk-" + pick(every, rng.randint(32, 48)), lambda: "xoxb-" + pick(digit, 11) + "-" + pick(every, 24), lambda: pick(every + "+/", rng.randint(30, 86)) + "=="])()
-            name = rng.choice(("token", "api_key", "secret", "password", "auth_token", "access_key", "client_secret", "private_key", "Authorization: Bearer", "credentials"))
-            before = rng.choice((f'{name} = "', f"{name}: ", f"{name}='", f"{name}=", f'"{name}": "', f"{name} "))
-            path = rng.choice(("src/app.py", "config/settings.yml", "src0", ".env", "deploy/values.yaml"))
+            bare = rng.choice(("key ", "using ", "aws = ", 'id = "', "")) if PROVIDER.match(value) else opens
+            before, secret = rng.choice((opens, opens, bare, bare, "private_key " + opens, "Authorization: Bearer ", f"{name} ")), 1
+            path = rng.choice(("src/app.py", "config/settings.yml", "src0", ".env", "deploy/values.yaml", ""))
+        elif kind < 0.5:  # passwords that people make: words with digits or marks, phrases of words, short random ones
+            value = rng.choice([lambda: plain() + pick(digit, rng.randint(1, 4)) + rng.choice("!@#$%&*?"), lambda: plain().capitalize() + rng.choice("!@#$_-.") + pick(digit, rng.randint(2, 4)), lambda: pick(every + "!@#$%^&*", rng.randint(8, 15)), lambda: plain() + pick(digit, 1) + plain() + rng.choice(("", "!", "#")), lambda: "".join(plain() for _ in range(4)), lambda: "".join(word() for _ in range(rng.randint(3, 4)))])()
+            before, secret, path = opens, 1, rng.choice(("src/app.py", "config/settings.yml", "src1", ".env", ""))
+        elif kind < 0.56:
+            value = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(pick(every + "+/", rng.choice((14, 40, 64, 64))) for _ in range(rng.randint(1, 12))) + "\n-----END RSA PRIVATE KEY-----"
+            before, secret, path = rng.choice(("", "key: |\n", 'PRIVATE_KEY = """')), 1, rng.choice(("id_rsa", "src2", "deploy/values.yaml"))
+        elif kind < 0.7:  # names that are set to something else
+            value = rng.choice([lambda: rng.choice(("required", "string", "optional", "invalid", "changeme", "redacted", "missing", "undefined", "password", "unknown")), lambda: ".".join(word() for _ in range(rng.randint(2, 3))), lambda: f"{word()}_{word()}", lambda: f"{word()} {word()} {word()}", lambda: f"${{{word().upper()}_{word().upper()}}}", lambda: f"your_{word()}_here", lambda: "*" * rng.randint(6, 12), lambda: f"<{word()}-{word()}>", lambda: f"/etc/{word()}/{word()}", lambda: f"{word()}[{word()}]", lambda: "the " + " ".join(plain() for _ in range(4)), lambda: word(), lambda: f"{word()}_{word()}(", lambda: f"{word()}.{word()}_{word()}(", lambda: f"{word()}{word().title()}["])()
+            value, call = value.rstrip("(["), value[-1:] if value[-1] in "([" else ""
+            before, secret, path = (f"{name} = " if call else opens), 0, rng.choice(("src/app.py", "README.md", "docs/guide.md", "tests/test_app.py", "src3"))
         else:
             value, name = rng.choice([
                 lambda: (pick(hexa, 40), rng.choice(("commit", "revision", "merge commit"))), lambda: (pick(hexa, rng.choice((32, 64))), rng.choice(("sha256", "md5", "checksum", "integrity sha256", "digest", "etag"))),
                 lambda: ("-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), rng.choice(("uuid", "guid", "id", "request"))), lambda: ("/".join(word() for _ in range(rng.randint(3, 6))) + "/" + pick(digit, 3), rng.choice(("path", "file", "see", "https"))),
                 lambda: ("_".join(word() for _ in range(rng.randint(3, 5))).title() + pick(digit, 1), rng.choice(("function", "class", "def", "name"))), lambda: (pick(digit, rng.randint(16, 20)), rng.choice(("number", "card", "phone", "order", "the"))),
-                lambda: (rng.choice(("xxxxxxxxxxxxxxxx", "your-token-here-1234", "EXAMPLE_KEY_1234567890", "changeme-changeme-1", "AAAAAAAAAAAAAAAAAAAA1")), rng.choice(("token", "key", "password"))),
+                lambda: (rng.choice(("xxxxxxxxxxxxxxxx1", "your-token-here-1234", "EXAMPLE_KEY_1234567890", "changeme-changeme-1", "AAAAAAAAAAAAAAAAAAAA1", "AKIA" + pick(upper + digit, 9) + "EXAMPLE")), rng.choice(("token", "key", "password"))),
                 lambda: (syllables().capitalize() + syllables()[:4].upper() + pick(digit, 1), rng.choice(("the", "and", "of", "in"))), lambda: (syllables().capitalize() + rng.choice(("-", "_", "/")) + syllables(), rng.choice(("the", "la", "der", "que"))),
                 lambda: (pick(digit, 4) + "-" + pick(digit, 2) + "-" + pick(digit, 2) + "T" + pick(digit, 6), rng.choice(("date", "at", "version"))),
             ])()
-            before = rng.choice((f"{name} ", f"{name}: ", f"{name} = ", f'{name}="'))
+            before, secret = rng.choice((f"{name} ", f"{name}: ", f"{name} = ", f'{name}="')), 0
             path = rng.choice(("src/app.py", "README.md", "docs/guide.md", "tests/test_app.py", "src3", "examples/demo.js"))
-        lead = " ".join(syllables() for _ in range(rng.randint(0, 4)))
         text = f"{lead} {before}"
-        out.append((f"{text}{value}{rng.choice(('', chr(34), chr(39), ' ', ','))} {syllables()}", len(text), len(text) + len(value), path, int(secret)))
+        after = before[-1] if before[-1:] in "\"'" and before else rng.choice(("", " ", ",", "\n"))
+        out.append((f"{text}{value}{call or after} {syllables()}", len(text), len(text) + len(value), path, secret))
     return out
 
 
+def labelled_table(spark: SparkSession, n: int = 4000, seed: int = 11) -> DataFrame:
+    """``labelled_findings`` as the table that ``learn`` takes."""
+    return spark.createDataFrame(labelled_findings(n, seed), "text string, start long, end long, path string, label int")
+
+
 class Forest:
     """Trees as flat arrays: feature (-1: leaf), threshold, left, right, value."""
 
@@ -168,17 +225,16 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.nd
     return f.astype(np.int64), t, left.astype(np.int64), right.astype(np.int64), v
 
 
-def learn(findings: DataFrame | None = None, sample_findings: int = SAMPLE_FINDINGS) -> Forest:
-    """From a table (text, start, end, path, label), at most ``sample_findings`` of it by hash; generated findings without one."""
-    if findings is None:
-        return train(labelled_findings())
+def learn(findings: DataFrame, sample_findings: int = SAMPLE_FINDINGS) -> Forest:
+    """From a table (text, start, end, path, label), at most ``sample_findings`` of it by hash; rows without text or label go.
+    Runs its job when it is called."""
     own = findings.select("text", "start", "end", "path", F.col("label").cast("int").alias("label")).where(F.col("text").isNotNull() & F.col("label").isNotNull())
     return train([tuple(r) for r in own.orderBy(F.xxhash64("text", "start", "end"), "text", "start", "end", "path", "label").limit(sample_findings).collect()])
 
 
 def judge(text: str, path: str, forest: Forest) -> list[tuple[int, int, float]]:
     """(start, end, score) of every candidate of a text."""
-    found = list(candidates(text))
+    found = candidates(text)
     if not found:
         return []
     x = np.array([features(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], path) for a, b in found])
@@ -205,11 +261,15 @@ def scan(docs: DataFrame, forest: Forest, path_col: str = "source", least_score:
 
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), path.alias("path"))
-    return rows.mapInArrow(run, "doc_id long, start long, end long, score double, secret_sha256 string")
+    return rows.mapInArrow(trimmed(run), "doc_id long, start long, end long, score double, secret_sha256 string")
 
 
 def redact(docs: DataFrame, forest: Forest, path_col: str = "source", least_score: float = LEAST_SCORE, mask: str = "<SECRET>") -> DataFrame:
-    """``docs`` with each secret of ``text`` replaced by ``mask``; all rows and columns stay, nulls stay null."""
+    """``docs`` with each secret of ``text`` replaced by ``mask``.
+
+    All rows and columns stay, whatever their names; null and empty texts stay as they are; a null path counts as empty;
+    repeated rows are masked alike; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(forest.trees)
     at, by = docs.columns.index("text"), docs.columns.index(path_col) if path_col in docs.columns else None
 
@@ -226,4 +286,4 @@ def redact(docs: DataFrame, forest: Forest, path_col: str = "source", least_scor
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
