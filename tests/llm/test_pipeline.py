@@ -1,42 +1,116 @@
-"""The stages against brute force on a small table."""
+"""The stages against brute force on small tables: planted rows, repeated and missing ids, clashing columns, long texts."""
 
+import base64
 import hashlib
+import os
+import random
+import re
+import sys
+
+import numpy as np
+import tiktoken
 
 import corpus_pipeline
-from siftline.llm import mixing
+from siftline.llm import langid, mixing, queries, secretscan
+
+sys.path.insert(0, os.path.dirname(__file__))
+from test_operators import brute_components, naive_language  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = COLUMNS + ", of long, copies long, lang_pred string, lang_cover double, row string, key long, size long"
 
 
-def test_stages_keep_columns_and_act(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+def planted():
+    """Rows of four invented languages with copies, near copies, secrets, repeated and missing ids, odd texts."""
+    rng = random.Random(31)
+    alphabets = {"aa": "mopstu", "bb": "defghi", "cc": "wxyzkl", "dd": "rnbcvq"}
+    word = lambda k: "".join(rng.choice(alphabets[k]) for _ in range(rng.randint(2, 6)))
+    rows = []
+    for i in range(120):
+        lang = rng.choice(sorted(alphabets))
+        rows.append([i, " ".join(word(lang) for _ in range(rng.randint(40, 90))), lang, f"s{i % 3}"])
+    for i in range(40):
+        d, text, lang, source = rng.choice(rows[:60])
+        words = text.split()
+        if i % 2:
+            words[rng.randrange(len(words))] = "zz"
+        rows.append([rng.choice([200 + i, None, d, d]), " ".join(words), lang, source])
     secret = hashlib.sha1(b"k").hexdigest()
-    planted = [(10**6, None, "en", "src0", 0), (10**6 + 1, "12 34 !!", "en", "src0", 8), (10**6 + 2, docs.first().text, "en", "src0", 1), (10**6 + 3, docs.first().text + f' token = "{secret}" end', "en", None, 1)]
-    docs = docs.unionByName(spark.createDataFrame(planted, COLUMNS))
-    out, columns = docs, docs.columns
-    seen = {}
-    for name, stage in corpus_pipeline.STAGES:
-        before, out = out, stage(spark, out, SF)
-        seen[name] = (before, out)
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert out.columns == columns
-    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
-    before, after = seen["language ID"]
-    gone = ids(before) - ids(after)
-    assert {10**6, 10**6 + 1} <= gone and len(gone) <= 4
-    before, after = seen["n-gram Jaccard join"]
-    assert 10**6 + 2 in ids(before) - ids(after) and docs.first().doc_id in ids(after)
-    before, after = seen["secret scans"]
-    assert ids(before) == ids(after) and not after.where(after.text.contains(secret)).count()
-    before, after = seen["mixing"]
-    want = {r.doc_id: r.copies for r in mixing.mix(before).collect() if r.copies}
-    assert {r.doc_id: r["count"] for r in after.groupBy("doc_id").count().collect()} == want
-    before, after = seen["byte-level BPE"]
-    assert before.count() == after.count() and after.where("n_tokens <> octet_length(ids) / 4").count() == 0
+    rows += [[300, rows[3][1] + f' token = "{secret}" end', "aa", None], [301, None, "aa", "s1"], [302, "12 34 !!", "bb", "s1"], [None, "", None, "s1"], [303, " ".join(word("aa") for _ in range(30000)), "aa", "s2"], rows[7][:], rows[7][:]]
+    return [tuple(r) for r in rows], secret
+
+
+def test_stages_equal_brute_force(spark):
+    """Each stage on its own input, with every clashing column."""
+    rows, secret = planted()
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 1, 2, "p", 0.5, "r", 3, 4) for r in rows], CLASHES).repartition(3)
+    stages, ids = dict(corpus_pipeline.STAGES), lambda x: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in x)
+
+    out = stages["language ID"](spark, docs, SF)
+    assert out.columns == docs.columns
+    known = [(r[2], r[1].encode()) for r in rows if r[1] is not None and r[2] is not None]
+    want = []
+    for r in docs.collect():
+        counts, n = naive_language(known, (r.text or "").encode()) if len(r.text or "") < 5000 else ({"": 1.0}, 1)
+        if re.search(r"[^\W\d_]", r.text or "") and max(counts.values()) / max(1, n) >= langid.LEAST_COVER:
+            want.append(r)
+    assert ids(out.collect()) == ids(want) and len(want) == len(rows) - 3
+
+    kept = stages["n-gram Jaccard join"](spark, out, SF)
+    assert kept.columns == docs.columns
+    held = out.collect()
+    # components by row, then the least id of each, rows without one last
+    component = {i: c for i, _, c in brute_components([(i, r.text) for i, r in enumerate(held)])}
+    first = {}
+    for i, r in enumerate(held):
+        place = (r.doc_id is None, r.doc_id or 0)
+        first[component[i]] = min(place, first.get(component[i], place))
+    got = kept.collect()
+    assert len(got) == len(first)
+    texts = {}
+    for i, r in enumerate(held):
+        texts.setdefault((r.doc_id is None, r.doc_id or 0, r.text), component[i])
+    assert {texts[r.doc_id is None, r.doc_id or 0, r.text]: (r.doc_id is None, r.doc_id or 0) for r in got} == first
+
+    red = stages["secret scans"](spark, kept, SF)
+    forest = secretscan.train(secretscan.labelled_findings())
+    want = []
+    for r in got:
+        text = r.text
+        for a, b, s in reversed(secretscan.judge(text, r.source or "", forest)):
+            text = text[:a] + "<SECRET>" + text[b:] if s >= secretscan.LEAST_SCORE else text
+        want.append((r.doc_id is None, r.doc_id or 0, text))
+    assert red.columns == docs.columns and ids(red.collect()) == sorted(want) and not [t for *_, t in want if secret in t]
+
+    mixed = stages["mixing"](spark, red, SF)
+    copies = {}
+    for r in mixing.mix(red).collect():
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + r.copies
+    counts = {}
+    for r in mixed.collect():
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
+    assert mixed.columns == docs.columns and counts == {d: n for d, n in copies.items() if n}
+    sizes = {}
+    for r in red.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
+    for r in mixing.mix(red).select("source", "source_size").distinct().collect():
+        assert r.source_size == sizes[r.source]
+
+    path, pattern = queries.vocabulary()
+    enc = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    coded = stages["byte-level BPE"](spark, mixed, SF)
+    got = sorted((r.doc_id, bytes(r.ids), r.n_tokens, r.decoded_sha256) for r in coded.collect() if r.doc_id is not None)
+    want = []
+    for r in mixed.collect():
+        if r.doc_id is not None:
+            e = enc.encode_ordinary(r.text)
+            want.append((r.doc_id, np.array(e, "<u4").tobytes(), len(e), hashlib.sha256(r.text.encode()).hexdigest()))
+    assert got == sorted(want)
 
 
 def test_run_and_empty_table(spark, tmp_path):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    got = corpus_pipeline.run(spark, SF)
+    assert got.count() > 0 and got.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
