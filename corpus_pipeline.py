@@ -1,49 +1,45 @@
 """Corpus pipeline: language ID, near-duplicate removal, secret redaction, source mixing, tokenisation.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept; ``run`` writes each stage's
-result as Parquet to the shared folder and rereads it.  All but the last return the columns of documents.
+result as Parquet to the shared folder and rereads it.  All but the last return the columns of documents, in their
+order, whatever further columns there are and however they are named.  Stages decide by row, not by doc_id: repeated
+and missing ids lose no row.  Every stage takes null, empty and very long texts and empty tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siftline.llm import bpe, langid, mixing, ngram_join, secretscan
 from siftline.llm.queries import vocabulary
-from siftline.llm.runtime import materialise, table
+from siftline.llm.runtime import dropped, materialise, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose n-grams belong to a learned language; nulls and texts without letters go."""
-    return langid.identify(docs, langid.learn(docs)).where(langid.accepted()).select(*docs.columns)
+    return langid.accept(docs, langid.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of each component; rows without doc_id stay."""
-    gone = ngram_join.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")) if _repeats(docs) else kept
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return bool(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count())
+    """Keeps one row of each component of linked texts: that of the least doc_id, rows without an id last (ties: by a hash of
+    the row; of wholly equal rows one).  Rows of one doc_id whose texts do not link all stay, and so do empty texts."""
+    return ngram_join.keep_first(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the texts; every document stays."""
-    return secretscan.redact(docs, secretscan.learn())
+    """Masks secrets in the texts; every row stays, null and empty texts as they are."""
+    return secretscan.redact(docs, secretscan.learn(secretscan.labelled_table(spark)))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; documents that it doesn't take go."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("of"))).withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """Repeats each row as often as the mix takes it; rows that it doesn't take, and those without words, go."""
+    return mixing.take(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian uint32 bytes, which decode to the text's bytes."""
-    return bpe.encode(docs, *vocabulary()).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    """(doc_id, n_tokens, ids, decoded_sha256), a row each row: ids as little-endian uint32 bytes, and the SHA-256 of the
+    bytes that they decode to, which are the text's; null texts count as empty."""
+    return bpe.decoded(bpe.encode(docs, *vocabulary()), *vocabulary())
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("secret scans", secrets), ("mixing", mixture), ("byte-level BPE", tokens)]
@@ -55,5 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), "stage")
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
