@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from siftline.functions import fixed
-from siftline.functions.scalar import entropy
+from siftline.functions.scalar import entropy, strip
 
 #: Line ends as a text reader sees them; CR LF is one.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
-REASONS = ("text addressed to an automated reviewer requesting a verdict", "text addressed to an automated reviewer asserting prior approval", "text attempts to override prior instructions")
 
 
 def lines(text: Column) -> Column:
@@ -45,7 +44,23 @@ def scan_directives(texts: DataFrame, key: str, text: str, start: str | None = N
     first = F.col(start) if start else F.lit(1)
     x = texts.select(key, first.alias("start"), F.posexplode(lines(F.col(text))).alias("at", "raw"))
     x = x.withColumn("why", directive(fold(F.col("raw"), unicode))).where(F.col("why").isNotNull())
-    return x.select(key, (F.col("start") + F.col("at")).alias("line"), F.substring(F.trim("raw"), 1, 200).alias("excerpt"), F.element_at(F.array(*map(F.lit, REASONS)), F.col("why") + 1).alias("reason"))
+    return x.select(key, (F.col("start") + F.col("at")).alias("line"), F.substring(strip(F.col("raw")), 1, 200).alias("excerpt"), F.element_at(F.array(*map(F.lit, fixed.REASONS)), F.col("why") + 1).alias("reason"))
+
+
+def is_suspicious(text: Column, unicode: bool = True) -> Column:
+    """Whether any line of a text addresses an automated reviewer."""
+    folded = fold(F.regexp_replace(text, LINE_END, "\n"), unicode)
+    return F.exists(F.split(folded, "\n", -1), lambda line: directive(line).isNotNull())
+
+
+def first_signal(text: Column, start: Column, unicode: bool = True) -> Column:
+    """struct(line, excerpt, reason) of the first suspicious line of a text that begins at line ``start``; null for none."""
+    raw = lines(text)
+    folded = F.split(fold(F.array_join(raw, "\n"), unicode), "\n", -1)
+    every = F.filter(F.transform(folded, lambda line, i: F.struct(i.alias("at"), directive(line).alias("why"))), lambda x: x["why"].isNotNull())
+    found = F.get(every, F.lit(0))
+    reason = F.element_at(F.array(*map(F.lit, fixed.REASONS)), found["why"] + 1)
+    return F.when(found.isNotNull(), F.struct((start + found["at"]).alias("line"), F.substring(strip(F.get(raw, found["at"])), 1, 200).alias("excerpt"), reason.alias("reason")))
 
 
 def redact_line(line: Column, least: float = fixed.TOKEN_ENTROPY) -> Column:
@@ -59,19 +74,30 @@ def redact_line(line: Column, least: float = fixed.TOKEN_ENTROPY) -> Column:
     return F.when(F.size(tokens) == 0, line).otherwise(woven)
 
 
+#: Lines to a band, in which the lines of blocks and of secrets meet.
+BAND = 32
+
+
 def redact_blocks(blocks: DataFrame, secrets: DataFrame, key: list[str], text: str, start: str, least: float = fixed.TOKEN_ENTROPY) -> DataFrame:
     """``blocks`` (key, file_path, text, start) with the text redacted.
 
     A line that a secret of the file covers (file_path, line_start, line_end, kind, ord) is masked whole, by the first
-    such secret; other lines by ``redact_line``.
+    such secret; other lines by ``redact_line``.  Lines and secrets meet in bands of BAND lines of a file.
     """
     x = blocks.select(*key, "file_path", F.posexplode(F.split(text, "\n", -1)).alias("at", "line"), F.col(start).alias("first")).withColumn("no", F.col("first") + F.col("at"))
-    hits = x.alias("x").join(secrets.alias("s"), (F.col("x.file_path") == F.col("s.file_path")) & F.col("x.no").between(F.col("s.line_start"), F.col("s.line_end")))
-    cover = hits.groupBy(*(F.col(f"x.{k}").alias(k) for k in key), F.col("x.at").alias("at")).agg(F.min_by("s.kind", "s.ord").alias("kind"))
+    cover = covered(x.select(*key, "at", "file_path", "no"), secrets, [*key, "at"])
     y = x.join(cover, [*key, "at"], "left").withColumn("line", F.when(F.col("kind").isNotNull(), F.concat(F.lit("<REDACTED:"), "kind", F.lit(">"))).otherwise(redact_line(F.col("line"), least)))
     return y.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda v: v["line"]), "\n").alias(text))
 
 
+def covered(rows: DataFrame, secrets: DataFrame, key: list[str]) -> DataFrame:
+    """(key, kind, by): kind and ord of the first secret that covers each of the lines (key, file_path, no); others are left out."""
+    band = F.floor(F.col("no") / BAND)
+    s = secrets.select(F.col("file_path").alias("s_path"), "line_start", "line_end", "kind", F.col("ord").alias("s_ord"), F.explode(F.sequence(F.floor(F.col("line_start") / BAND), F.floor(F.greatest("line_start", "line_end") / BAND))).alias("s_band"))
+    hits = rows.withColumn("band", band).join(s, (F.col("file_path") == F.col("s_path")) & (F.col("band") == F.col("s_band")) & F.col("no").between(F.col("line_start"), F.col("line_end")))
+    return hits.groupBy(*key).agg(F.min_by("kind", "s_ord").alias("kind"), F.min("s_ord").alias("by"))
+
+
 def within_window(evidence: Column, context: Column, context_start: Column) -> Column:
     """Whether every piece of evidence (array of structs with line_start) lies in the shown context; no evidence passes."""
     last = context_start + F.size(lines(context)) - 1

@@ -21,6 +21,32 @@ def digest(*parts: Column | str) -> Column:
     return F.substring(F.sha2(F.concat_ws(SEPARATOR, *columns), 256), 1, ID_LENGTH)
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end, line ends and the information separators included."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
+
+
+def round2(x: Column) -> Column:
+    """Rounded to two places by the double's exact value, ties to the even digit; for magnitudes below 2**20.
+
+    The double is split into two parts whose products by 25 are exact, so its distance from the middle between two
+    hundredths has the right sign.
+    """
+    size = F.abs(x)
+    high = F.floor(size * 1048576.0) / 1048576.0
+    low, k = (size - high) * 25.0, F.floor(size * 100.0 + 0.5)
+    past = lambda odd: (high * 25.0 - odd / 8.0) + low
+    below, above, odd = past(2 * k - 1), past(2 * k + 1), k % 2 == 1
+    near = F.when((below < 0) | ((below == 0) & odd), k - 1).when((above > 0) | ((above == 0) & odd), k + 1).otherwise(k)
+    return F.when(x < 0, -(near / 100.0)).otherwise(near / 100.0)
+
+
+def utf8_prefix(text: Column, size: int) -> Column:
+    """The first ``size`` bytes of a text in UTF-8, without a character that they cut in two."""
+    head = F.hex(F.substring(F.encode(text, "UTF-8"), 1, size))
+    return F.decode(F.unhex(F.regexp_replace(head, "(?:F[0-7](?:[89AB].){0,2}|E.(?:[89AB].)?|[CD].)$", "")), "UTF-8")
+
+
 _STRING = r"""(?s)("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
 
 
@@ -181,6 +207,28 @@ def repository_url(url: Column) -> Column:
     return F.when(ok, F.struct(host.alias("host"), owner.alias("owner"), name.alias("name"), ref.alias("ref")))
 
 
+def clone_url(repo: Column) -> Column:
+    return F.concat(F.lit("https://"), repo["host"], F.lit("/"), repo["owner"], F.lit("/"), repo["name"], F.lit(".git"))
+
+
+def repository_name(repo: Column) -> Column:
+    """owner/name, with @ref where there is one."""
+    return F.concat(repo["owner"], F.lit("/"), repo["name"], F.coalesce(F.concat(F.lit("@"), repo["ref"]), F.lit("")))
+
+
+def tool_version(output: Column, key: str | None = None) -> Column:
+    """The version in a tool's output: a key of its JSON, else the whole output; ``unknown`` for nothing."""
+    whole = F.coalesce(F.nullif(strip(output), F.lit("")), F.lit("unknown"))
+    if key is None:
+        return whole
+    inside = F.coalesce(F.nullif(F.get_json_object(output, f"$.{key}"), F.lit("")), F.lit("unknown"))
+    return F.when(F.try_parse_json(output).isNotNull() & strip(output).startswith("{"), inside).otherwise(whole)
+
+
+def ruleset_hash(rules: Column) -> Column:
+    return F.substring(F.sha2(F.array_join(rules, "\n"), 256), 1, 16)
+
+
 def archive_format(head: Column) -> Column:
     """zip, tar or null, by the leading bytes (binary) of a file."""
     starts = lambda *marks: F.hex(head).rlike("^(?:" + "|".join(marks) + ")")

@@ -9,9 +9,10 @@ from siftline.functions import fixed
 from siftline.functions import scalar as S
 from siftline.functions.guards import lines
 from siftline.operators.graph import components, written
+from siftline.operators.scans import policy_hash
 
 LINE_PROXIMITY = 3
-CONTEXT_LINES, MATCHED_CHARS, CONTEXT_CHARS = 8, 4000, 8000
+CONTEXT_LINES, MATCHED_CHARS, CONTEXT_CHARS, SNIPPET_BYTES = 8, 4000, 8000, 2 << 20
 
 
 def validate(findings: DataFrame) -> DataFrame:
@@ -29,9 +30,18 @@ def validate(findings: DataFrame) -> DataFrame:
     return findings.withColumn("violations", F.filter(found, lambda v: v.isNotNull()))
 
 
+def readable(files: DataFrame, max_bytes: int = SNIPPET_BYTES) -> DataFrame:
+    """(file_path, content as text) of files (file_path, content: text or bytes): none that is too large or has a NUL in its
+    first 8192 bytes; bytes that are no UTF-8 become replacement characters; a path that leaves its root is an error."""
+    raw = F.col("content").cast("binary")
+    path = F.when(S.relative_path(F.col("file_path")).isNull(), F.raise_error(F.concat(F.lit("snippet path is outside the scan root: "), "file_path")).cast("string")).otherwise(F.col("file_path"))
+    return files.where((F.octet_length(raw) <= max_bytes) & ~S.looks_binary(raw)).select(path.alias("file_path"), F.decode(raw, "UTF-8").alias("content"))
+
+
 def snippets(keys: DataFrame, files: DataFrame) -> DataFrame:
     """``keys`` (file_path, line_start, line_end) with matched, context, context_start, truncated from ``files``
-    (file_path, content).  Each file's lines are cut once; a missing file or a start beyond its end gives empty text."""
+    (file_path, content), as ``readable`` gives them.  Each file's lines are cut once; a missing file or a start beyond
+    its end gives empty text."""
     cut = files.select("file_path", lines(F.col("content")).alias("all"))
     x = keys.join(cut, "file_path", "left")
     total = F.size("all")
@@ -57,33 +67,37 @@ def fingerprint(findings: DataFrame, found: DataFrame | None = None) -> DataFram
     })
 
 
-def risk(findings: DataFrame, policy_floor: float = fixed.CRITICAL_FLOOR) -> DataFrame:
-    """Adds score (unrounded, 0 to 100), contributions and held_by_policy.
+def risk(findings: DataFrame, policy: dict = fixed.POLICY) -> DataFrame:
+    """Adds score (0 to 100) and contributions, rounded to two places, held_by_policy and policy_hash.
 
     Needs severity, domain, file_path, verdict (null: no analysis), confidence, package.  No analysis weighs as
     needs_human without blending; a critical finding dismissed below the floor is lifted to it and held.
     """
     c = F.col
-    base = S.lookup(fixed.SEVERITY_BASE, c("severity"))
-    path = S.lookup(fixed.PATH_FACTOR, S.path_role(c("file_path")))
-    verdict = F.when(c("verdict").isNull(), F.lit(fixed.VERDICT_FACTOR["needs_human"])).otherwise(S.blend(S.lookup(fixed.VERDICT_FACTOR, c("verdict")), c("confidence")))
+    base = S.lookup(policy["severity_base"], c("severity"))
+    path = S.lookup(policy["path_multiplier"], S.path_role(c("file_path")))
+    factors = policy["verdict_multiplier"]
+    verdict = F.when(c("verdict").isNull(), F.lit(factors["needs_human"])).otherwise(S.blend(S.lookup(factors, c("verdict")), c("confidence"), policy["confidence_pull"]))
     x = findings.withColumns({"_base": base, "_path": path, "_verdict": verdict})
     x = x.withColumn("_placed", c("_base") * c("_path")).withColumn("_judged", c("_placed") * c("_verdict"))
-    bonus = F.when(S.fix_availability(c("package.name"), c("package.fixed_version")) == 1, fixed.FIX_BONUS).otherwise(0.0) + F.when(S.dependency_depth(c("package.name"), c("package.is_direct")) == 1, fixed.DIRECT_BONUS).otherwise(0.0)
+    bonus = F.when(S.fix_availability(c("package.name"), c("package.fixed_version")) == 1, policy["sca_fix_bonus"]).otherwise(0.0) + F.when(S.dependency_depth(c("package.name"), c("package.is_direct")) == 1, policy["sca_direct_bonus"]).otherwise(0.0)
     x = x.withColumn("_bonus", F.when(c("domain") == "sca", bonus).otherwise(0.0)).withColumn("_raw", c("_judged") + c("_bonus"))
-    floored = F.coalesce((c("severity") == "critical") & (c("verdict") == "false_positive") & (c("_raw") < policy_floor), F.lit(False))
-    x = x.withColumn("held_by_policy", floored).withColumn("_lifted", F.when(c("held_by_policy"), F.lit(policy_floor)).otherwise(c("_raw")))
-    names = ["severity", "path_role", "verdict", "dependency", "policy_floor"]
-    parts = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(c("_base"), c("_base") * (c("_path") - 1), c("_placed") * (c("_verdict") - 1), F.when(c("domain") == "sca", c("_bonus")), F.when(c("held_by_policy"), c("_lifted") - c("_raw"))))
-    x = x.withColumn("contributions", F.map_filter(parts, lambda k, v: v.isNotNull()))
-    return x.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), c("_lifted")))).drop("_base", "_path", "_verdict", "_placed", "_judged", "_bonus", "_raw", "_lifted")
+    floor = policy["critical_floor"]
+    floored = F.coalesce((c("severity") == "critical") & (c("verdict") == "false_positive") & (c("_raw") < floor), F.lit(False))
+    x = x.withColumn("held_by_policy", floored).withColumn("_lifted", F.when(c("held_by_policy"), F.lit(floor)).otherwise(c("_raw")))
+    parts = {"severity": c("_base"), "path_role": c("_base") * (c("_path") - 1), "verdict": c("_placed") * (c("_verdict") - 1), "dependency": F.when(c("domain") == "sca", c("_bonus")), "policy_floor": F.when(c("held_by_policy"), c("_lifted") - c("_raw"))}
+    x = x.withColumns({f"_{k}_part": v for k, v in parts.items()} | {"_clamped": F.greatest(F.lit(0.0), F.least(F.lit(100.0), c("_lifted")))})
+    named = F.map_from_arrays(F.array(*map(F.lit, parts)), F.array(*(S.round2(c(f"_{k}_part")) for k in parts)))
+    x = x.withColumns({"contributions": F.map_filter(named, lambda k, v: v.isNotNull()), "score": S.round2(c("_clamped")), "policy_hash": F.lit(policy_hash(policy))})
+    return x.drop("_base", "_path", "_verdict", "_placed", "_judged", "_bonus", "_raw", "_lifted", "_clamped", *(f"_{k}_part" for k in parts))
 
 
 def ranked(findings: DataFrame) -> DataFrame:
     """Adds ``ord``, the place in (score descending, path, arrival) order, within each ``scan`` where there is that column.
 
     One task never sorts a whole scan: rows are dealt into ranges of that order and written, each range numbers its own
-    rows, and a small table of the ranges' sizes tells how many rows of the scan come before.
+    rows, and a small table of the ranges' sizes tells how many rows of the scan come before.  Whole rows are written, so
+    filter them and drop what isn't needed first.  Runs its job when it is called.
     """
     by = ["scan"] if "scan" in findings.columns else []
     order = [F.desc("score"), F.col("file_path"), F.col("arrival")]
@@ -112,16 +126,9 @@ def correlated(findings: DataFrame) -> DataFrame:
     return l.join(r, on).select(F.col("l.ord").alias("a"), F.col("r.ord").alias("b"), F.col("l.issue_id").alias("group_a"), F.col("r.issue_id").alias("group_b"), reason.alias("reason"))
 
 
-def dedupe(findings: DataFrame, duplicates: bool = True) -> DataFrame:
-    """One row per issue: issue_id, primary, duplicates, tools, occurrences, confirmed_by_multiple_tools, correlation_reason.
-
-    Without ``duplicates`` that column is left out and nothing grows with an issue's findings: the primary is a partial
-    aggregate.  With it, an issue's findings are one array of its row.
-
-    Findings (with ord, issue_id, instance_id, tool, score) of one issue_id are a group; correlated groups merge, as
-    connected components; the primary is first by (score descending, tool, instance_id).  The reason is that of the
-    edge from the component's earliest group to the earliest other group, by the findings' order.
-    """
+def dedupe_members(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(findings with ``component``; (component, correlation_reason)): exact groups of one issue_id, and correlated groups
+    merged as connected components.  ``component`` is the least ord of a component.  Runs its jobs when it is called."""
     groups = findings.groupBy("issue_id").agg(F.min("ord").alias("g"))
     # findings alike in all that correlation reads stand for each other; the earliest has the least place
     alike = findings.where("domain = 'sast'").groupBy("domain", "tool", "issue_id", "file_path", "line_start", "cwe_ids").agg(F.min("ord").alias("ord"))
@@ -131,11 +138,32 @@ def dedupe(findings: DataFrame, duplicates: bool = True) -> DataFrame:
     root = components(edges.select(F.col("g_a").alias("a"), F.col("g_b").alias("b")))
     why = edges.join(root, edges["g_a"] == root["root"], "left_semi").groupBy("g_a").agg(F.min_by("reason", F.struct("g_b", "a", "b")).alias("correlation_reason"))
     labelled = groups.join(root, groups["g"] == root["node"], "left").select("issue_id", F.coalesce("root", "g").alias("component"))
-    x = findings.join(labelled.withColumnRenamed("issue_id", "_issue"), F.col("issue_id").eqNullSafe(F.col("_issue")))
-    member = F.struct(F.negative("score").alias("order"), "tool", "instance_id", "issue_id", "rule_id", "severity", "score", "file_path", "line_start", "ord")
+    members = findings.join(labelled.withColumnRenamed("issue_id", "_issue"), F.col("issue_id").eqNullSafe(F.col("_issue"))).drop("_issue")
+    return members, why.withColumnRenamed("g_a", "component")
+
+
+def dedupe(findings: DataFrame, duplicates: bool = True) -> DataFrame:
+    """One row per issue: issue_id, primary, duplicates, tools, occurrences, confirmed_by_multiple_tools, correlation_reason.
+
+    Without ``duplicates`` that column is left out and nothing grows with an issue's findings: the primary is a partial
+    aggregate.  With it, an issue's findings are one array of its row; ``dedupe_members`` and ``reports.json_duplicates``
+    give them as rows.
+
+    Findings (with ord, issue_id, instance_id, tool, score) of one issue_id are a group; correlated groups merge, as
+    connected components; the primary is first by (score descending, tool, instance_id).  The reason is that of the
+    edge from the component's earliest group to the earliest other group, by the findings' order.  Runs jobs when it is
+    called.
+    """
+    return issues_of(*dedupe_members(findings), duplicates)
+
+
+def issues_of(members: DataFrame, why: DataFrame, duplicates: bool = True) -> DataFrame:
+    """The issues of ``dedupe_members``."""
+    own = [c for c in ("title", "cwe_ids") if c in members.columns]
+    member = F.struct(F.negative("score").alias("order"), "tool", "instance_id", "issue_id", "rule_id", "severity", "score", "file_path", "line_start", "ord", *own)
     more = [F.array_sort(F.collect_list(member)).alias("m")] if duplicates else []
-    out = x.groupBy("component").agg(F.min(member).alias("primary"), F.count("*").cast("int").alias("occurrences"), F.array_sort(F.collect_set("tool")).alias("tools"), *more)
-    out = out.join(why, F.col("component") == F.col("g_a"), "left")
+    out = members.groupBy("component").agg(F.min(member).alias("primary"), F.count("*").cast("int").alias("occurrences"), F.array_sort(F.collect_set("tool")).alias("tools"), *more)
+    out = out.join(why, "component", "left")
     rest = [F.slice("m", 2, 1 << 30).alias("duplicates")] if duplicates else []
     return out.select("primary.issue_id", "primary", *rest, "tools", "occurrences", (F.size("tools") > 1).alias("confirmed_by_multiple_tools"), F.coalesce("correlation_reason", F.lit("")).alias("correlation_reason"), "component")
 
@@ -193,6 +221,20 @@ def summary(findings: DataFrame, by: list[str] | None = None) -> DataFrame:
     return findings.groupBy(*(by or [])).agg(*(v.alias(k) for k, v in counts.items()))
 
 
+def facet_counts(issues: DataFrame) -> DataFrame:
+    """(actionable, true_positive, needs_human, false_positive, all): what each tab of a view holds; no verdict: needs_human."""
+    verdict = F.coalesce("verdict", F.lit("needs_human"))
+    counts = {"actionable": F.count_if(verdict != "false_positive")} | {v: F.count_if(verdict == v) for v in ("true_positive", "needs_human", "false_positive")} | {"all": F.count("*")}
+    return issues.agg(*(v.alias(k) for k, v in counts.items()))
+
+
+def groups(findings: DataFrame, key: str) -> DataFrame:
+    """(key, n, members): the instance ids of each key in the findings' order.  A member list is one array; for counts use
+    ``summary`` or ``facet_counts``, which keep partial aggregates only."""
+    member = F.struct("ord", "instance_id")
+    return findings.groupBy(key).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(member)), lambda m: m["instance_id"]).alias("members"))
+
+
 def confusion(rows: DataFrame, truth: str, verdict: str, by: list[str] | None = None) -> DataFrame:
     """tp, fp, tn, fn, held, held_positive of predictions against a 0/1 truth; no prediction counts as held."""
     t, v = F.col(truth) == 1, F.coalesce(verdict, F.lit("needs_human"))
@@ -213,17 +255,59 @@ def metrics(counts: DataFrame) -> DataFrame:
 
 
 def match_labels(findings: DataFrame, labels: DataFrame) -> DataFrame:
-    """``findings`` with the first label (by label_ord) of the same case, file and weakness at most 3 lines away."""
+    """``findings`` with the first label (by label_ord) of the same case, file and weakness at most 3 lines away.
+
+    Labels lie in bands of LINE_PROXIMITY + 1 lines and their neighbours, so a file of many labels isn't met whole."""
+    width = LINE_PROXIMITY + 1
     l = labels.select(F.col("case").alias("l_case"), F.col("file_path").alias("l_path"), F.col("line").alias("l_line"), F.col("cwe").alias("l_cwe"), "vulnerable", "label_ord")
-    on = (F.col("case") == F.col("l_case")) & (F.col("file_path") == F.col("l_path")) & F.array_contains("cwe_ids", F.col("l_cwe")) & (F.abs(F.col("line_start") - F.col("l_line")) <= LINE_PROXIMITY)
-    best = findings.join(l, on).groupBy("ord").agg(F.min_by(F.struct("label_ord", "vulnerable"), "label_ord").alias("label"))
+    l = l.withColumn("l_band", F.explode(F.array(*(F.floor(F.col("l_line") / width) + k for k in (-1, 0, 1)))))
+    x = findings.select("ord", "case", "file_path", "line_start", F.explode("cwe_ids").alias("one"), F.floor(F.col("line_start") / width).alias("band"))
+    on = (F.col("case") == F.col("l_case")) & (F.col("file_path") == F.col("l_path")) & (F.col("one") == F.col("l_cwe")) & (F.col("band") == F.col("l_band")) & (F.abs(F.col("line_start") - F.col("l_line")) <= LINE_PROXIMITY)
+    best = x.join(l, on).groupBy("ord").agg(F.min_by(F.struct("label_ord", "vulnerable"), "label_ord").alias("label"))
     return findings.join(best, "ord", "left")
 
 
+def evaluate(findings: DataFrame, labels: DataFrame, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(confusion and metrics, one row; unmatched findings) of findings against labels.
+
+    A finding without a label is unmatched: (case, place, rule_id).  Labelled findings are scored once an instance, by
+    the last (by ord) label and verdict; ``verdicts`` (instance_id, verdict, ord) may lack some (held), and without the
+    table everything is kept, as true_positive.
+    """
+    x = match_labels(findings, labels)
+    place = F.concat("file_path", F.lit(":"), F.col("line_start").cast("string"))
+    unmatched = x.where("label IS NULL").select("case", place.alias("place"), "rule_id", "ord")
+    truth = x.where("label IS NOT NULL").groupBy("instance_id").agg(F.max_by("label.vulnerable", "ord").alias("vulnerable"))
+    if verdicts is None:
+        truth = truth.withColumn("verdict", F.lit("true_positive"))
+    else:
+        last = verdicts.groupBy("instance_id").agg(F.max_by("verdict", "ord").alias("verdict"))
+        truth = truth.join(last, "instance_id", "left")
+    return metrics(confusion(truth.withColumn("truth", F.col("vulnerable").cast("int")), "truth", "verdict")), unmatched
+
+
+def excluded(path: Column) -> Column:
+    """Whether a file lies under a directory that profiles leave out."""
+    parts = F.split(path, "/")
+    return F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, fixed.EXCLUDED_DIRS)))
+
+
+def file_counts(files: DataFrame, max_bytes: int = 5 << 20) -> DataFrame:
+    """(total_files, scanned_files, skipped_files, total_bytes) of a table (path, size): files under excluded directories,
+    larger ones and those without a size (unreadable) are skipped; the total leaves out the excluded directories."""
+    out = excluded(F.col("path"))
+    kept = ~out & F.coalesce(F.col("size") <= max_bytes, F.lit(False))
+    return files.agg(F.count_if(~out).alias("total_files"), F.count_if(kept).alias("scanned_files"), F.count_if(~kept).alias("skipped_files"), F.coalesce(F.sum(F.when(kept, F.col("size"))), F.lit(0)).alias("total_bytes"))
+
+
+def top_languages(languages: DataFrame, limit: int = 5) -> DataFrame:
+    """The first languages by bytes, each with its share of all."""
+    return languages.orderBy(F.desc("bytes"), "language").limit(limit)
+
+
 def profile(files: DataFrame, max_bytes: int = 5 << 20) -> DataFrame:
     """(language, files, bytes, share, supported) of a table (path, size), without excluded directories and oversize files."""
-    parts = F.split("path", "/")
-    kept = files.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, fixed.EXCLUDED_DIRS))) & (F.col("size") <= max_bytes))
+    kept = files.where(~excluded(F.col("path")) & (F.col("size") <= max_bytes))
     x = kept.withColumn("language", S.language_of(F.col("path"))).where("language IS NOT NULL").groupBy("language").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
     total = F.sum("bytes").over(Window.partitionBy(F.lit(0)))
     return x.select("language", "files", "bytes", F.try_divide("bytes", total).alias("share"), F.col("language").isin(*fixed.SAST_LANGUAGES).alias("supported"))

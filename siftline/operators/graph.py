@@ -10,24 +10,40 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` cut from its lineage: written below ``spark.checkpoint.dir``, which all executors share, and read back."""
+    """``df`` cut from its lineage: written below ``spark.checkpoint.dir``, which all executors share, and read back.
+
+    The write runs in a clone of the session, in which shuffle files go when it ends.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = spark._jsparkSession.cloneSession()
+    own.conf().set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    frames = getattr(spark.sparkContext._jvm.org.apache.spark.sql.classic, "Dataset$").__getattr__("MODULE$")
+    frames.ofRows(own, df._jdf.queryExecution().analyzed()).write().parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` made, once nothing reads them any more."""
+    for x in tables:
+        if path := getattr(x, "_written_to", None):
+            where = x.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(x.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (a, b) reaches.
 
     Labels start as the least neighbour; every round takes the least label around and then the label's label, so paths
-    halve.  Rounds end when no label changes.
+    halve.  Rounds end when no label changes.  Runs a job a round when it is called.
     """
     links = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     now = written(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
@@ -35,8 +51,12 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         around = links.join(now.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
         step = now.join(around, "node").select("node", F.least("root", "r").alias("root"), F.col("root").alias("old"))
         jump = step.select(F.col("node").alias("n"), F.col("root").alias("further"))
-        then = written(step.join(jump, F.col("root") == F.col("n"), "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"), "old"), "roots")
+        before, then = now, written(step.join(jump, F.col("root") == F.col("n"), "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"), "old"), "roots")
+        changed = then.where("root <> old").limit(1).count()
+        discard(before)
         now = then.select("node", "root")
-        if not then.where("root <> old").limit(1).count():
+        now._written_to = then._written_to
+        if not changed:
+            discard(links)
             return now
     raise RuntimeError("components did not settle")

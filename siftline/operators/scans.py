@@ -47,10 +47,10 @@ def coverage(languages: DataFrame, ecosystems: DataFrame) -> DataFrame:
     e = ecosystems.select(F.col("ecosystem").alias("name"), (F.col("coverage") == "full").alias("locked"))
     e = e.agg(F.count("*").alias("n"), names(F.lit(True)).alias("all"), names(~F.col("locked")).alias("open"))
     level = F.when(F.col("n") == 0, "none").when(F.col("open") == "", "full").otherwise("partial")
-    reason = F.when(F.col("n") == 0, "no dependency manifests found").when(F.col("open") == "", F.concat(F.lit("lockfiles present for "), "all"))
-    reason = reason.otherwise(F.concat(F.lit("no lockfile for "), "open", F.lit("; dependency versions cannot be resolved and vulnerabilities may be missed")))
+    reason = F.when(F.col("n") == 0, fixed.NO_MANIFEST).when(F.col("open") == "", F.concat(F.lit(fixed.LOCKED), "all"))
+    reason = reason.otherwise(F.concat(F.lit(fixed.UNLOCKED), "open", F.lit(fixed.UNRESOLVED)))
     l = languages.select(F.col("language").alias("name"), "supported").agg(names(F.col("supported")).alias("all"))
-    code = F.when(F.col("all") == "", "no files in a supported source language").otherwise(F.concat(F.lit("source detected for "), "all"))
+    code = F.when(F.col("all") == "", fixed.NO_LANGUAGE).otherwise(F.concat(F.lit(fixed.LANGUAGES_FOUND), "all"))
     sast = l.select(F.lit("sast").alias("domain"), F.when(F.col("all") == "", "none").otherwise("full").alias("coverage"), code.alias("reason"))
     return e.select(F.lit("sca").alias("domain"), level.alias("coverage"), reason.alias("reason")).unionByName(sast)
 

@@ -1,12 +1,20 @@
-"""Tables that change: outbox, retention, tenants, the scan catalogue.  Plain Parquet: rewrites and logs, no UPDATE."""
+"""Tables that change: outbox, retention, tenants, the scan catalogue, evaluation runs.  Plain Parquet and JSON files:
+rewrites and logs, no UPDATE.  Paths may lie in any file system that Spark reads."""
 
 from __future__ import annotations
 
+import json
 import re
+import threading
+import uuid
+from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftline.functions import fixed
+from siftline.operators.findings import metrics
+
 _NAME = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
 
 
@@ -46,12 +54,151 @@ def tenant_view(table: DataFrame, name: str, org_id: str, column: str = "org_id"
 
 
 def recovered(scans: DataFrame) -> DataFrame:
-    """The catalogue after a restart: what was queued or running has failed."""
+    """The catalogue after a restart: what was queued or running has failed, and is at no step."""
     broken = F.col("status").isin("queued", "running")
-    return scans.withColumns({"error": F.when(broken, "interrupted").otherwise(F.col("error")), "status": F.when(broken, "failed").otherwise(F.col("status"))})
+    changes = {"error": F.when(broken, fixed.INTERRUPTED).otherwise(F.col("error")), "status": F.when(broken, "failed").otherwise(F.col("status"))}
+    if "current_step" in scans.columns:
+        changes["current_step"] = F.when(~broken, F.col("current_step"))
+    return scans.withColumns(changes)
+
+
+def in_flight(scans: DataFrame) -> DataFrame:
+    """(in_flight): whether any scan is queued or running."""
+    return scans.agg(F.coalesce(F.bool_or(F.col("status").isin("queued", "running")), F.lit(False)).alias("in_flight"))
+
+
+def newest_first(scans: DataFrame) -> DataFrame:
+    return scans.orderBy(F.desc("created_at"), F.desc("scan_id"))
 
 
 def latest_completed(scans: DataFrame, label: str = "label") -> DataFrame:
     """Each label's newest completed scan."""
     order = Window.partitionBy(label).orderBy(F.desc("created_at"), F.desc("scan_id"))
     return scans.where("status = 'completed'").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def portfolio(scans: DataFrame, label: str = "label") -> DataFrame:
+    """(repositories, raw, actionable, urgent, noise) over each label's newest completed scan, so that rescans don't count
+    twice; urgent: critical and high; noise: 1 - actionable / raw, null without raw findings.  Needs raw_findings,
+    actionable, critical and high."""
+    x = latest_completed(scans, label)
+    total = lambda *c: F.coalesce(F.sum(sum((F.coalesce(k, F.lit(0)) for k in c), F.lit(0))), F.lit(0))
+    x = x.agg(F.count("*").alias("repositories"), total("raw_findings").alias("raw"), total("actionable").alias("actionable"), total("critical", "high").alias("urgent"))
+    return x.withColumn("noise", noise_reduction(F.col("raw"), F.col("actionable")))
+
+
+def noise_reduction(raw: Column, actionable: Column) -> Column:
+    """The share of raw findings that nobody has to look at; null without any."""
+    return 1.0 - F.try_divide(actionable, raw)
+
+
+def noise_funnel(summary: DataFrame) -> DataFrame:
+    """(stage, label, n, share) of a scan's summary (raw_findings, issues, actionable): the share is of the raw findings."""
+    most = F.greatest("raw_findings", F.lit(1))
+    stages = [("raw_findings", "Raw findings"), ("issues", "After dedup"), ("actionable", "Actionable")]
+    return summary.select(F.inline(F.array(*(F.struct(F.lit(k).alias("stage"), F.lit(name).alias("label"), F.col(c).cast("long").alias("n"), (F.col(c) / most).alias("share")) for k, (c, name) in enumerate(stages)))))
+
+
+def severity_bars(counts: Column) -> Column:
+    """map(severity -> struct(n, part, height)) of a map of counts: the part of all, and the share of the largest (1 at least)."""
+    n = lambda s: F.coalesce(counts[s], F.lit(0)).cast("long")
+    total, most = sum((n(s) for s in fixed.SEVERITIES), F.lit(0)), F.greatest(*(n(s) for s in fixed.SEVERITIES), F.lit(1))
+    return F.create_map(*(x for s in reversed(fixed.SEVERITIES) for x in (F.lit(s), F.struct(n(s).alias("n"), F.try_divide(n(s), total).alias("part"), (n(s) / most).alias("height")))))
+
+
+def events(rows: DataFrame, now: Column | None = None) -> DataFrame:
+    """Outbox rows of (org_id, event_type, payload as a struct or JSON text): a new event_id each, unpublished."""
+    text = F.col("payload") if rows.schema["payload"].dataType.simpleString() == "string" else F.to_json("payload")
+    name = F.concat(F.lit("evt_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16))
+    return rows.select(name.alias("event_id"), "org_id", "event_type", text.alias("payload"), (now if now is not None else F.current_timestamp()).alias("created_at"), F.lit(None).cast("timestamp").alias("published_at"))
+
+
+def enqueue(rows: DataFrame, outbox: str) -> None:
+    """Appends events to the outbox table at a path; Spark's commit makes a batch whole or absent."""
+    events(rows).write.mode("append").parquet(outbox)
+
+
+_META = "id string, label string, status string, error string, current_step string, created_at string, started_at string, finished_at string, reports array<string>, summary map<string,long>"
+
+
+class ScanStore:
+    """The scan catalogue: a folder for each scan with ``meta.json`` and its reports, read as a table, changed as a whole.
+
+    Writes go to a temporary file and are renamed over the old one, under a lock of this process.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self._lock = spark, folder.rstrip("/"), threading.Lock()
+        jvm = spark.sparkContext._jvm
+        self._path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *parts)))
+        self._files = self._path().getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self._files.mkdirs(self._path())
+
+    def scans(self) -> DataFrame:
+        """(scan_id, ...) of every readable record; broken files are left out; what was in flight before has failed."""
+        if not self._files.globStatus(self._path("*", "meta.json")):
+            return recovered(self.spark.createDataFrame([], _META)).withColumnRenamed("id", "scan_id")
+        x = self.spark.read.schema(_META).option("multiLine", True).option("mode", "DROPMALFORMED").json(f"{self.folder}/*/meta.json")
+        return recovered(x.where("id IS NOT NULL")).withColumnRenamed("id", "scan_id")
+
+    def add(self, record: dict) -> dict:
+        with self._lock:
+            self._write(record)
+        return record
+
+    def get(self, scan_id: str) -> dict | None:
+        meta = self._path(scan_id, "meta.json")
+        return json.loads(self._text(meta)) if self._files.exists(meta) else None
+
+    def update(self, scan_id: str, **changes) -> dict:
+        """The record with changes; KeyError for an unknown scan."""
+        with self._lock:
+            if (record := self.get(scan_id)) is None:
+                raise KeyError(scan_id)
+            self._write(record | changes)
+        return record | changes
+
+    def list(self) -> DataFrame:
+        return newest_first(self.scans())
+
+    def reports(self, scan_id: str) -> list[tuple[str, str, int]]:
+        """(format, path, bytes) of the reports that a scan has."""
+        found = ((form, self._path(scan_id, name)) for form, (name, _) in fixed.REPORTS.items())
+        return [(form, p.toString(), self._files.getFileStatus(p).getLen()) for form, p in found if self._files.exists(p)]
+
+    def _text(self, path) -> str:
+        return self.spark.read.text(path.toString(), wholetext=True).first()[0]
+
+    def _write(self, record: dict) -> None:
+        meta, temporary = self._path(record["id"], "meta.json"), self._path(record["id"], f".meta-{uuid.uuid4().hex}.tmp")
+        out = self._files.create(temporary, True)
+        out.write(bytearray(json.dumps(record, indent=2).encode()))
+        out.close()
+        self._files.delete(meta, False)
+        self._files.rename(temporary, meta)
+
+
+def new_scan_id() -> str:
+    return uuid.uuid4().hex[:12]
+
+
+def labels(cases: dict[str, list[dict]], spark: SparkSession) -> DataFrame:
+    """(case, file_path, line, cwe, vulnerable, note, label_ord) of labels by case, in their order, as a label file has them."""
+    rows = [(case, x["file"], x["line"], x["cwe"], x["vulnerable"], x.get("note", "")) for case, entries in cases.items() for x in entries]
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "case string, file_path string, line int, cwe string, vulnerable boolean, note string, label_ord long")
+
+
+def save_run(confusion: DataFrame, unmatched: DataFrame, folder: str, name: str, at: datetime | None = None) -> str:
+    """Writes an evaluation's metrics, counts and unmatched findings below ``folder``; returns the run's folder, whose name sorts by time."""
+    stamp = (at or datetime.now(UTC)).strftime("%Y%m%dT%H%M%S")
+    path = f"{folder.rstrip('/')}/run={stamp}-{name}"
+    x = confusion if "recall" in confusion.columns else metrics(confusion)
+    scored = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn") + F.col("held")
+    x.select(F.lit(name).alias("name"), F.lit(stamp).alias("at"), "recall", "precision", "f1", "mcc", "hold_rate", "noise_reduction", "tp", "fp", "tn", "fn", "held", scored.alias("scored")).coalesce(1).write.mode("overwrite").json(path)
+    unmatched.write.mode("overwrite").json(f"{folder.rstrip('/')}/unmatched/run={stamp}-{name}")
+    return path
+
+
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every saved run, with ``run`` as its key; ``scans.gate_failures`` takes the newest."""
+    return spark.read.option("basePath", folder).json(f"{folder.rstrip('/')}/run=*")

@@ -1,7 +1,8 @@
 """Scanner reports to finding rows: rule-scanner JSON, dependency-scanner JSON, SARIF.
 
 Each takes a table (report: string, arrival: long) of whole reports and returns finding rows in report order, with
-``error`` set where a required field is missing or a path is unsafe (``strict`` raises instead).  JSON of unknown shape is
+``error`` set where a required field is missing or a path is unsafe (``strict`` raises instead).  A report that is no
+whole JSON object gives one row, which has only ``arrival`` and ``error``.  JSON of unknown shape is
 read as a variant only where it is polymorphic; everything else has a schema.
 """
 
@@ -39,6 +40,13 @@ def _finish(x: DataFrame, columns: dict[str, Column], required: dict[str, Column
     return out
 
 
+def _broken(reports: DataFrame, out: DataFrame, strict: bool) -> DataFrame:
+    """``out`` and a row for each report that can't be read."""
+    whole = F.try_parse_json("report").isNotNull() & S.strip(F.col("report")).startswith("{")
+    error = F.lit("malformed report") if not strict else F.raise_error(F.concat(F.lit("malformed report "), F.col("arrival").cast("string"))).cast("string")
+    return out.unionByName(reports.where(~F.coalesce(whole, F.lit(False))).select("arrival", error.alias("error")), allowMissingColumns=True)
+
+
 def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
@@ -58,7 +66,7 @@ def rule_findings(reports: DataFrame, root: str = "/", version: str = "unknown",
     meta = r["extra"]["metadata"]
     entries = F.coalesce(F.from_json(meta["cwe"], "array<string>"), F.array(meta["cwe"]))
     entries = F.when(meta["cwe"].startswith("["), entries).when(meta["cwe"].isNotNull(), F.array(meta["cwe"])).otherwise(F.expr(_EMPTY))
-    message = F.trim(F.coalesce(r["extra"]["message"], F.lit("")))
+    message = S.strip(F.coalesce(r["extra"]["message"], F.lit("")))
     raw = F.when(~secret, F.to_json(F.struct(meta["owasp"].alias("owasp"), meta["references"].alias("references"), meta["confidence"].alias("confidence"), r["extra"]["severity"].alias("severity")))).otherwise("{}")
     columns = {
         "tool": F.lit(tool), "tool_version": F.lit(version), "rule_id": r["check_id"], "domain": F.when(secret, "secret").otherwise("sast"), "title": S.title_of_rule(r["check_id"]),
@@ -66,7 +74,7 @@ def rule_findings(reports: DataFrame, root: str = "/", version: str = "unknown",
         "file_path": path, "line_start": start, "line_end": F.greatest(_line(r["end"]["line"], start), start), "package": _null(PACKAGE),
         "secret": F.when(secret, F.struct(r["check_id"].alias("kind"), S.last_four(F.coalesce(r["extra"]["lines"], F.lit(""))).alias("last_four"))), "raw": raw,
     }
-    return _finish(x, columns, {"check_id": r["check_id"], "path": path}, [F.col("arrival"), F.col("at")], strict)
+    return _broken(reports, _finish(x, columns, {"check_id": r["check_id"], "path": path}, [F.col("arrival"), F.col("at")], strict), strict)
 
 
 def rule_errors(reports: DataFrame, shown: int = 3) -> DataFrame:
@@ -88,7 +96,7 @@ def dependency_findings(reports: DataFrame, version: str = "unknown", tool: str
     places = packages.groupBy("arrival", "result", F.col("p.Identifier.UID").alias("uid")).agg(F.max_by(F.get("p.Locations", 0), "no").alias("place"))
     vulns = x.select("arrival", "result", path.alias("path"), F.posexplode("r.Vulnerabilities").alias("at", "v")).withColumn("uid", F.col("v.PkgIdentifier.UID")).join(places, ["arrival", "result", "uid"], "left")
     start, end = F.coalesce("place.StartLine", F.lit(1)), F.coalesce("place.EndLine", F.lit(1))
-    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    text = lambda c: S.strip(F.coalesce(c, F.lit("")))
     columns = {
         "tool": F.lit(tool), "tool_version": F.lit(version), "rule_id": v["VulnerabilityID"], "domain": F.lit("sca"), "title": _either(v["Title"], v["VulnerabilityID"]), "description": text(v["Description"]),
         "severity": S.named_severity(v["Severity"]), "cwe_ids": F.coalesce(S.clean_cwes(v["CweIDs"]), F.expr(_EMPTY)), "cve_id": F.when(v["VulnerabilityID"].startswith("CVE-"), v["VulnerabilityID"]),
@@ -106,7 +114,7 @@ def dependency_findings(reports: DataFrame, version: str = "unknown", tool: str
         "severity": S.named_severity(s["Severity"]), "cwe_ids": F.expr(_EMPTY), "cve_id": _null("string"), "line_start": F.greatest(begin, F.lit(1)), "line_end": F.greatest(_line(s["EndLine"], begin), begin, F.lit(1)),
         "package": _null(PACKAGE), "secret": F.struct(s["RuleID"].alias("kind"), F.lit("").alias("last_four")), "raw": F.lit("{}"),
     }
-    return first.unionByName(_finish(found, columns, {"Target": F.col("path"), "RuleID": s["RuleID"]}, order(1), strict))
+    return _broken(reports, first.unionByName(_finish(found, columns, {"Target": F.col("path"), "RuleID": s["RuleID"]}, order(1), strict)), strict)
 
 
 def sarif_findings(reports: DataFrame, version: str = "unknown", tool: str = "codeql", strict: bool = False) -> DataFrame:
@@ -121,12 +129,12 @@ def sarif_findings(reports: DataFrame, version: str = "unknown", tool: str = "co
     start = _line(place["region"]["startLine"], 1)
     props = rule["properties"]
     columns = {
-        "tool": F.lit(tool), "tool_version": F.lit(version), "rule_id": r["ruleId"], "domain": F.lit("sast"), "title": _either(rule["shortDescription"]["text"], r["ruleId"]), "description": F.trim(F.coalesce(r["message"]["text"], F.lit(""))),
+        "tool": F.lit(tool), "tool_version": F.lit(version), "rule_id": r["ruleId"], "domain": F.lit("sast"), "title": _either(rule["shortDescription"]["text"], r["ruleId"]), "description": S.strip(F.coalesce(r["message"]["text"], F.lit(""))),
         "severity": S.scored_severity(props["security-severity"], rule["defaultConfiguration"]["level"]), "cwe_ids": F.coalesce(S.tag_cwes(props["tags"]), F.expr(_EMPTY)), "cve_id": _null("string"), "file_path": path,
         "line_start": F.greatest(start, F.lit(1)), "line_end": F.greatest(_line(place["region"]["endLine"], start), start, F.lit(1)), "package": _null(PACKAGE), "secret": _null(SECRET),
         "raw": F.to_json(F.struct(props["precision"].alias("precision"), props["security-severity"].alias("security_severity"))),
     }
-    return _finish(x, columns, {"ruleId": r["ruleId"], "uri": path}, [F.col("arrival"), F.col("at")], strict)
+    return _broken(reports, _finish(x, columns, {"ruleId": r["ruleId"], "uri": path}, [F.col("arrival"), F.col("at")], strict), strict)
 
 
 #: Adapters by the scanner's name; ``register`` adds others.

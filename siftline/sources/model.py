@@ -1,0 +1,72 @@
+"""Models that answer prompts: the reply, the errors, and a client of a local generation server, with attempts and backoff.
+
+``ask`` of the triage operator runs a client on the executors, so a client must be picklable; it opens connections there.
+"""
+
+from __future__ import annotations
+
+import json
+import random
+import time
+import urllib.error
+import urllib.request
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from siftline.functions import fixed
+
+
+class SiftlineError(Exception):
+    """What this package raises when it can't do what it is asked for."""
+
+
+class ModelError(SiftlineError):
+    """The model couldn't be reached, or refused."""
+
+
+class ReportError(SiftlineError, ValueError):
+    """A report, or a row of it, can't be read."""
+
+
+class BudgetExceeded(SiftlineError):
+    """The token budget doesn't allow another prompt."""
+
+
+@dataclass(frozen=True)
+class ModelReply:
+    text: str
+    input_tokens: int
+    output_tokens: int
+
+
+def with_attempts(send: Callable[[str], ModelReply], attempts: int = 4, wait: Callable[[float], None] = time.sleep) -> Callable[[str], ModelReply]:
+    """``send`` repeated on lost connections and on errors worth it, after min(2**n + a random part, 30) seconds."""
+
+    def ask(prompt: str) -> ModelReply:
+        last: Exception | None = None
+        for attempt in range(attempts):
+            try:
+                return send(prompt)
+            except urllib.error.HTTPError as error:
+                if error.code not in fixed.RETRYABLE:
+                    raise ModelError(f"the model refused: {error}") from error
+                last = error
+            except (urllib.error.URLError, TimeoutError, ConnectionError) as error:
+                last = error
+            wait(min(2**attempt + random.random(), 30))
+        raise ModelError(f"the model wasn't reached in {attempts} attempts: {last}")
+
+    return ask
+
+
+def local_model(model_id: str, base_url: str = "http://localhost:11434", timeout: float = 120.0, max_tokens: int = 1024, attempts: int = 4) -> Callable[[str], ModelReply]:
+    """A client of a server with ``/api/generate``; temperature 0, whole answers."""
+    url = f"{base_url.rstrip('/')}/api/generate"
+
+    def send(prompt: str) -> ModelReply:
+        body = json.dumps({"model": model_id, "prompt": prompt, "stream": False, "options": {"temperature": 0, "num_predict": max_tokens}}).encode()
+        with urllib.request.urlopen(urllib.request.Request(url, data=body, headers={"Content-Type": "application/json"}), timeout=timeout) as answer:
+            found = json.loads(answer.read())
+        return ModelReply(found.get("response", ""), found.get("prompt_eval_count", 0), found.get("eval_count", 0))
+
+    return with_attempts(send, attempts)

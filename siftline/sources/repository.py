@@ -4,48 +4,70 @@ from __future__ import annotations
 
 import io
 import os
+import shutil
+import stat
+import tempfile
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from siftline.functions.fixed import EXCLUDED_DIRS
+from siftline.functions.fixed import EXCLUDED_DIRS, UPLOAD_SUFFIXES
+from siftline.sources.model import ReportError
 
 MAX_FILES, MAX_FILE_BYTES, PER_TASK = 200_000, 5 << 20, 256
 ARCHIVE_FILES, ARCHIVE_FILE_BYTES, ARCHIVE_BYTES = 50_000, 100 << 20, 2 << 30
 
 
 class _Files(InputPartition):
-    def __init__(self, paths: list[tuple[str, str]]):
+    def __init__(self, paths: list[tuple[str, str, bool]]):
         self.paths = paths
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str, max_files: int, max_bytes: int):
-        self.root, self.max_files, self.max_bytes = root, max_files, max_bytes
+    """Every file of a tree is a row.  Those beyond ``max_files`` (in path order), too large ones and unreadable ones have no
+    content; links and files under excluded directories are rows only with ``skipped`` (for the profile's count)."""
+
+    def __init__(self, root: str, max_files: int, max_bytes: int, skipped: bool):
+        self.root, self.max_files, self.max_bytes, self.skipped = root, max_files, max_bytes, skipped
 
     def partitions(self) -> list[_Files]:
-        found: list[tuple[str, str]] = []
+        found: list[tuple[str, str, bool]] = []
+        count = 0
         for folder, dirs, names in os.walk(self.root, followlinks=False):
-            dirs[:] = sorted(d for d in dirs if d not in EXCLUDED_DIRS and not os.path.islink(os.path.join(folder, d)))
-            found += [(p, os.path.relpath(p, self.root).replace(os.sep, "/")) for n in sorted(names) if not os.path.islink(p := os.path.join(folder, n))]
-        found = found[: self.max_files]
+            own = os.path.relpath(folder, self.root).split(os.sep)
+            outside = any(d in EXCLUDED_DIRS for d in own)
+            dirs[:] = sorted(d for d in dirs if (self.skipped or d not in EXCLUDED_DIRS) and not os.path.islink(os.path.join(folder, d)))
+            for name in sorted(names):
+                path = os.path.join(folder, name)
+                link = os.path.islink(path)
+                count += not (link or outside)
+                if self.skipped or not link:
+                    found.append((path, os.path.relpath(path, self.root).replace(os.sep, "/"), not (link or outside) and count <= self.max_files))
         return [_Files(found[i : i + PER_TASK]) for i in range(0, len(found), PER_TASK)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
-        for full, path in partition.paths:
-            size = os.path.getsize(full)
-            content = None
-            if size <= self.max_bytes:
-                with open(full, "rb") as f:
-                    content = f.read()
+        for full, path, wanted in partition.paths:
+            size = content = None
+            try:
+                size = os.path.getsize(full) if wanted else None
+                if wanted and size <= self.max_bytes:
+                    with open(full, "rb") as f:
+                        content = f.read()
+            except OSError:  # counts as binary, and as skipped where it has no size
+                content = None
             yield path, size, content, content is None or b"\0" in content[:8192]
 
 
 class Tree(DataSource):
-    """``spark.read.format("siftline-tree").load(root)``: path, size, content (null where too large), is_binary."""
+    """``spark.read.format("siftline-tree").load(root)``: path, size, content (null where too large or unreadable), is_binary.
+
+    Options maxFiles, maxBytes; skipped=true adds rows (without size) for links and for files under excluded directories,
+    which ``findings.file_counts`` counts.  The tree must be in a file system that the driver and all executors mount.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -55,7 +77,7 @@ class Tree(DataSource):
         return "path string, size long, content binary, is_binary boolean"
 
     def reader(self, schema) -> TreeReader:
-        return TreeReader(self.options["path"], int(self.options.get("maxFiles", MAX_FILES)), int(self.options.get("maxBytes", MAX_FILE_BYTES)))
+        return TreeReader(self.options["path"], int(self.options.get("maxFiles", MAX_FILES)), int(self.options.get("maxBytes", MAX_FILE_BYTES)), self.options.get("skipped", "false").lower() == "true")
 
 
 def unsafe(name: str) -> bool:
@@ -100,10 +122,10 @@ class ArchiveReader(DataSourceReader):
         self.paths = paths
 
     def partitions(self) -> list[_Files]:
-        return [_Files([(p, p)]) for p in self.paths]
+        return [_Files([(p, p, True)]) for p in self.paths]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
-        for full, _ in partition.paths:
+        for full, _, _ in partition.paths:
             with open(full, "rb") as f:
                 for path, content in members(f.read()):
                     yield full, path, len(content), content, b"\0" in content[:8192]
@@ -126,3 +148,52 @@ class Archive(DataSource):
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Tree)
     spark.dataSource.register(Archive)
+
+
+UPLOAD_BYTES = 200 << 20
+
+
+def save_upload(name: str, chunks: Iterable[bytes], path: str, most: int = UPLOAD_BYTES) -> int:
+    """Streams an uploaded archive to ``path`` and returns its size; ReportError for another suffix, too many bytes or none."""
+    if not name.lower().endswith(UPLOAD_SUFFIXES):
+        raise ReportError(f"an upload must be one of: {', '.join(UPLOAD_SUFFIXES)}")
+    size = 0
+    try:
+        with open(path, "wb") as out:
+            for chunk in chunks:
+                size += len(chunk)
+                if size > most:
+                    raise ReportError(f"the upload exceeds {most >> 20} MB")
+                out.write(chunk)
+        if not size:
+            raise ReportError("the upload is empty")
+    except ReportError:
+        os.unlink(path)
+        raise
+    return size
+
+
+def extraction(archives):
+    """(archive, files, total_bytes) of the rows of ``siftline-archive``: what unpacking each archive yields."""
+    from pyspark.sql import functions as F
+
+    return archives.groupBy("archive").agg(F.count("*").alias("files"), F.sum("size").alias("total_bytes"))
+
+
+def _writable(remove, path, _) -> None:
+    """Makes a read-only entry and its folder writable, and removes it."""
+    os.chmod(os.path.dirname(path), stat.S_IRWXU)
+    os.chmod(path, stat.S_IRWXU)
+    remove(path)
+
+
+@contextmanager
+def work_tree(source: str | None = None, prefix: str = "siftline-"):
+    """A private folder on the driver, with ``source`` staged in it (excluded directories left out); gone afterwards, whatever happens."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    try:
+        if source is not None:
+            shutil.copytree(source, os.path.join(folder, "source"), symlinks=True, ignore=lambda _, names: [n for n in names if n in EXCLUDED_DIRS])
+        yield folder
+    finally:
+        shutil.rmtree(folder, onexc=_writable)

@@ -146,6 +146,6 @@ def test_durations_of_all_events(spark):
 
     got = spark.range(70000).select("id", scans.duration(F.col("id")).alias("shown")).collect()
     assert [r for r in got if r.shown != shown(r.id)] == []
-    got = catalogue.QUERIES["all_durations"](spark, SF).collect()
+    got = catalogue.QUERIES["durations"](spark, SF).collect()
     want = [(r.event_id, shown(r.event_id * 37 % 200000)) for r in spark.read.parquet(f"{SF}/events.parquet").collect()]
     assert sorted(map(tuple, got)) == sorted(want) and any("." in v for _, v in want)
