@@ -35,7 +35,7 @@ def readable(files: DataFrame, max_bytes: int = SNIPPET_BYTES) -> DataFrame:
     first 8192 bytes; bytes that are no UTF-8 become replacement characters; a path that leaves its root is an error."""
     raw = F.col("content").cast("binary")
     path = F.when(S.relative_path(F.col("file_path")).isNull(), F.raise_error(F.concat(F.lit("snippet path is outside the scan root: "), "file_path")).cast("string")).otherwise(F.col("file_path"))
-    return files.where((F.octet_length(raw) <= max_bytes) & ~S.looks_binary(raw)).select(path.alias("file_path"), F.decode(raw, "UTF-8").alias("content"))
+    return files.where((F.octet_length(raw) <= max_bytes) & ~S.looks_binary(raw)).select(path.alias("file_path"), F.make_valid_utf8(raw.cast("string")).alias("content"))
 
 
 def snippets(keys: DataFrame, files: DataFrame) -> DataFrame:

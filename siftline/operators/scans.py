@@ -80,7 +80,7 @@ def error_detail(output: Column, errors: Column) -> Column:
     """A failed scanner's own message, from the JSON it wrote, else what it wrote to the error stream."""
     first = F.get_json_object(output, "$.errors[0]")
     own = F.when(first.isNotNull(), F.coalesce(F.get_json_object(output, "$.errors[0].message"), F.lit("")))
-    return F.substring(F.trim(F.coalesce(own, errors)), 1, DETAIL_CHARS)
+    return F.substring(S.strip(F.coalesce(own, errors)), 1, DETAIL_CHARS)
 
 
 def upload_label(name: Column) -> Column:
@@ -198,3 +198,37 @@ def duration(ms: Column) -> Column:
 
 def percent(x: Column) -> Column:
     return F.concat(_half_up(x * 100), F.lit("%"))
+
+
+MEMBERS, MEMBER_BYTES, TOTAL_BYTES = 50_000, 100 << 20, 2 << 30
+
+
+def accounted(members: DataFrame, most: int = MEMBERS, each: int = MEMBER_BYTES, total: int = TOTAL_BYTES) -> DataFrame:
+    """``members`` (archive, ord, path, size) with total_bytes up to each one and ``problem``: why the archive can't be
+    extracted from there on (an unsafe path, too many files, a file or a total too large), or null."""
+    upto = Window.partitionBy("archive").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = members.withColumns({"total_bytes": F.sum("size").over(upto), "_n": F.count("*").over(upto)})
+    problem = F.coalesce(S.unsafe_member(F.col("path")), F.when(F.col("_n") > most, "too many files").when(F.col("size") > each, "file too large").when(F.col("total_bytes") > total, "archive too large"))
+    return x.withColumn("problem", problem).drop("_n")
+
+
+def settings(path: str) -> dict:
+    """A policy or label file as a dict: JSON, or YAML where a reader for it is installed."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        return json.loads(text)
+    except ValueError:
+        import yaml
+
+        return yaml.safe_load(text)
+
+
+def policy(values: dict) -> dict:
+    """A risk policy with the keys and types that ``risk`` and ``policy_hash`` rely on; KeyError or ValueError for a bad one."""
+    if extra := sorted(set(values) - set(fixed.POLICY)):
+        raise ValueError(f"unknown keys: {extra}")
+    out = {k: ({n: float(v) for n, v in values[k].items()} if isinstance(kind, dict) else type(kind)(values[k])) for k, kind in fixed.POLICY.items()}
+    if not 0 <= out["confidence_pull"] <= 1:
+        raise ValueError("confidence_pull lies between 0 and 1")
+    return out

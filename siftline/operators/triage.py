@@ -77,9 +77,9 @@ def ask(asked: DataFrame, client: Callable[[str], tuple | ModelReply], attempts:
 
     The budget is one running state, so rows go through one task in their order, but only while it can still pay: the
     prompts' estimated tokens are summed over ranges of the order, and one stretch of at most the input budget at a time
-    is sent; when no prompt of the rest can be paid any more, the rest is held without leaving the JVM.  Without a budget
-    the rows are asked where they lie.  A row that the budget stops costs nothing; of rows of one ``key`` the first one
-    that is answered stands for those after it (status ``cached``), as far as the same task meets them.  ``client``
+    is sent; when no prompt of the rest can be paid any more, the rest is held without leaving the JVM.  A row that the
+    budget stops costs nothing; of rows of one ``key`` the first one that is answered stands for those after it (status
+    ``cached``).  Without a budget the rows are asked where they lie, and share keys within a task only.  ``client``
     returns (text, tokens in, tokens out) and raises ModelError or ConnectionError; an unusable text is asked for again.
     Runs its jobs when it is called, but for the last.
     """
@@ -93,8 +93,8 @@ def ask(asked: DataFrame, client: Callable[[str], tuple | ModelReply], attempts:
             spent, answered = list(used), set()
             for batch in batches:
                 out = []
-                for no, name, prompt in zip(batch["ord"], batch["key"], batch["prompt"]):
-                    if name is not None and name in answered:
+                for no, name, prompt, known in zip(batch["ord"], batch["key"], batch["prompt"], batch["known"]):
+                    if known or (name is not None and name in answered):
                         out.append((no, name, None, "cached", None, *spent))
                         continue
                     if budget and spent[0] + len(prompt) // CHARS_PER_TOKEN > budget[0]:
@@ -122,25 +122,37 @@ def ask(asked: DataFrame, client: Callable[[str], tuple | ModelReply], attempts:
 
         return run
 
+    def flagged(df: DataFrame) -> DataFrame:
+        """With ``known``: whether an earlier stretch has answered the row's key."""
+        found = [x.where("status = 'answered' AND key IS NOT NULL").select(F.col("key").alias("of"), F.lit(True).alias("known")) for x in done]
+        if not found:
+            return df.withColumn("known", F.lit(False))
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
+        return df.join(every.distinct(), F.col("key") == F.col("of"), "left").drop("of").withColumn("known", F.coalesce("known", F.lit(False)))
+
+    done: list[DataFrame] = []
     if budget is None:
-        return rows.mapInPandas(asking([0, 0]), schema)
+        return flagged(rows).mapInPandas(asking([0, 0]), schema)
     slices = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = rows.withColumn("tokens", F.floor(F.length("prompt") / CHARS_PER_TOKEN))
     x = written(x.repartitionByRange(slices, "ord").withColumn("slice", F.spark_partition_id()), "prompts")
     sums = x.groupBy("slice").agg(F.sum("tokens").alias("n")).select(F.col("slice").alias("of"), F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("slice").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     x = written(x.withColumn("at", inside).join(sums, F.col("slice") == F.col("of")).withColumn("at", F.col("at") + F.col("before")).drop("of", "before", "slice"), "prompts")
-    most, used, lo, done = max(1, budget[0]), [0, 0], 0, []
+    most, used, lo = max(1, budget[0]), [0, 0], 0
     while True:
         rest = x.where(F.col("at") >= lo).agg(F.min("tokens").alias("least"), F.min("at").alias("first")).first()
         if rest.first is None:
             break
         if used[1] >= budget[1] or used[0] + rest.least > budget[0]:
             detail = F.when(F.col("tokens") + used[0] > budget[0], f"input budget exhausted: {used[0]}/{budget[0]}").otherwise("output budget exhausted")
-            done.append(x.where(F.col("at") >= lo).select("ord", "key", F.lit(None).cast("string").alias("raw"), F.lit("hold:budget").alias("status"), detail.alias("detail"), F.lit(used[0]).cast("long").alias("used_in"), F.lit(used[1]).cast("long").alias("used_out")))
+            status = F.when(F.col("known"), "cached").otherwise("hold:budget")
+            done.append(flagged(x.where(F.col("at") >= lo)).select("ord", "key", F.lit(None).cast("string").alias("raw"), status.alias("status"), F.when(~F.col("known"), detail).alias("detail"), F.lit(used[0]).cast("long").alias("used_in"), F.lit(used[1]).cast("long").alias("used_out")))
             break
         lo, hi = rest.first, rest.first + most
-        part = x.where((F.col("at") >= lo) & (F.col("at") < hi)).select("ord", "key", "prompt").repartition(1).sortWithinPartitions("ord").mapInPandas(asking(used), schema)
+        part = flagged(x.where((F.col("at") >= lo) & (F.col("at") < hi))).select("ord", "key", "prompt", "known").repartition(1).sortWithinPartitions("ord").mapInPandas(asking(used), schema)
         part = written(part, "asked")
         last = part.agg(F.max("used_in").alias("a"), F.max("used_out").alias("b")).first()
         used, lo = [last.a, last.b], hi

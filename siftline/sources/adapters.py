@@ -119,7 +119,7 @@ def dependency_findings(reports: DataFrame, version: str = "unknown", tool: str
 
 def sarif_findings(reports: DataFrame, version: str = "unknown", tool: str = "codeql", strict: bool = False) -> DataFrame:
     """The first run and each result's first location; an unknown rule gives medium severity and its id as title."""
-    run = F.from_json("report", SARIF)["runs"][0]
+    run = F.get(F.from_json("report", SARIF)["runs"], 0)
     rules = reports.select("arrival", F.posexplode(run["tool"]["driver"]["rules"]).alias("no", "q")).where("q.id IS NOT NULL")
     rules = rules.groupBy("arrival", F.col("q.id").alias("id")).agg(F.max_by("q", "no").alias("rule"))
     x = reports.select("arrival", F.posexplode(run["results"]).alias("at", "r")).withColumn("id", F.col("r.ruleId")).join(rules, ["arrival", "id"], "left")

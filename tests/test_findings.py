@@ -173,7 +173,7 @@ def test_triage(spark):
     got = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, raw string").select("i", triage.parse_reply(F.col("raw")).alias("p")).orderBy("i").collect()
     assert [r.p.problem for r in got] == [c[1] for c in cases]
     prompts = spark.createDataFrame([(i, "x" * 40) for i in range(6)], "ord long, prompt string")
-    out = triage.ask(prompts, lambda p: ("{}", 10, 1), budget=(35, 100)).orderBy("ord").collect()
+    out = triage.ask(prompts, lambda p: (reply(), 10, 1), budget=(35, 100)).orderBy("ord").collect()
     assert [r.status for r in out] == ["answered"] * 3 + ["hold:budget"] * 3
 
 
