@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more key characters that has a digit or mixed case, a value of 6 characters or more that a
+A candidate is a run of 16 or more key characters that has a digit, mixed case or a provider's format, a value of 6 characters or more that a
 name such as password or api_key is set to, or a private key block from its first line to its last.  Candidates that
 overlap are one, the widest.  The forest looks at its length, character transitions, dictionary coverage, the path
 (source) and the neighbouring words, and is trained from a table of labelled findings (text, start, end, path, label).
@@ -100,7 +100,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
     found = []
     for m in CANDIDATE.finditer(text):
         value = m.group()
-        if any(c.isdigit() for c in value) or not (value.islower() or value.isupper()):  # words are none
+        if any(c.isdigit() for c in value) or not (value.islower() or value.isupper()) or PROVIDER.match(value):  # other words are none
             found.append((m.start(), m.end()))
     if _HINT.search(text):
         found += [m.span(m.lastindex) for m in ASSIGNED.finditer(text)]
@@ -132,7 +132,7 @@ def labelled_findings(n: int = 4000, seed: int = 11, dictionary: tuple[str, ...]
         opens = rng.choice((f'{name} = "', f"{name}: ", f"{name}='", f"{name}=", f'"{name}": "', f"{name}:"))
         kind, call = rng.random(), ""
         if kind < 0.3:  # keys by their formats
-            value = rng.choice([lambda: pick(hexa, rng.choice((32, 40, 40, 64))), lambda: pick(every, rng.randint(20, 64)), lambda: "AKIA" + pick(upper + digit, 16), lambda: "ghp_" + pick(every, 36), lambda: "sk-" + pick(every, rng.randint(32, 48)), lambda: "xoxb-" + pick(digit, 11) + "-" + pick(every, 24), lambda: pick(every + "+/", rng.randint(30, 86)) + "=="])()
+            value = rng.choice([lambda: pick(hexa, rng.choice((32, 40, 40, 64))), lambda: pick(every, rng.randint(20, 64)), lambda: "AKIA" + pick(upper + digit, 16), lambda: "AKIA" + pick(upper + "234567", 16), lambda: "AKIA" + pick(upper + "27", 16), lambda: "ghp_" + pick(every, 36), lambda: "sk-" + pick(every, rng.randint(32, 48)), lambda: "xoxb-" + pick(digit, 11) + "-" + pick(every, 24), lambda: pick(every + "+/", rng.randint(30, 86)) + "=="])()
             bare = rng.choice(("key ", "using ", "aws = ", 'id = "', "")) if PROVIDER.match(value) else opens
             before, secret = rng.choice((opens, opens, bare, bare, "private_key " + opens, "Authorization: Bearer ", f"{name} ")), 1
             path = rng.choice(("src/app.py", "config/settings.yml", "src0", ".env", "deploy/values.yaml", ""))
