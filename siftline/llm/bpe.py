@@ -85,16 +85,20 @@ def _ids_bytes(ids: np.ndarray) -> bytes:
     return ids.astype("<u4").tobytes()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, ids): every whole text's ids as little-endian uint32 bytes.
+def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, then: tuple | None = None) -> DataFrame:
+    """(doc_id, ids): every whole text's ids as little-endian uint32 bytes.  ``then`` (a function of such batches, the schema
+    of what it gives) is applied where the ids are made, without another pass through the JVM.
 
     Nulls count as empty texts, which have no ids.  Repeated rows give a row each.  Texts of up to ``chunk`` characters
     are one chunk and never move between executors; only longer ones are dealt out by chunk.  Other columns take no
     part, whatever their names; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    short = rows.where(F.length("text") <= chunk).mapInArrow(trimmed(_encode_short(path, pattern)), "doc_id long, ids binary")
-    return short.unionByName(_encode_long(rows.where(F.length("text") > chunk), path, pattern, chunk, overlap))
+    more, schema = then or (None, "doc_id long, ids binary")
+    ids = _encode_short(path, pattern)
+    short = rows.where(F.length("text") <= chunk).mapInArrow(trimmed((lambda batches: more(ids(batches))) if more else ids), schema)
+    long = _encode_long(rows.where(F.length("text") > chunk), path, pattern, chunk, overlap)
+    return short.unionByName(long.mapInArrow(trimmed(more), schema) if more else long)
 
 
 def _encode_short(path: str, pattern: str):

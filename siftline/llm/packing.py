@@ -80,28 +80,35 @@ def best_fit_decreasing(lengths: list[int], seq_len: int) -> list[int]:
     return out
 
 
-def pack(encoded: DataFrame, segments: int, seq_len: int = SEQ_LEN, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
-    """Shards (``SHARD``) of (doc_id, ids as little-endian uint32 bytes); ``segments`` bounds their number, which sets the groups.
-
-    Null and empty texts have no ids and so no segment; equal rows are packed each; ties go by doc_id, segment, bytes.
-    Ids take two bytes in a shard where all of its ids allow it.  An empty table gives no rows.  Other columns are ignored.
-    """
-    groups = buckets_for(segments, group_segments)
+def splitter(seq_len: int):
+    """Cuts texts' ids into segments: batches (doc_id, ids as uint32) to batches (doc_id, segment, n, ids)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, len(batch), 64):
+            for first in range(0, len(batch), 256):
                 doc, no, sizes, ids = [], [], [], []
-                for doc_id, raw in zip(*(batch.column(c).slice(first, 64) for c in ("doc_id", "ids"))):
+                for doc_id, raw in zip(batch.column("doc_id").slice(first, 256).to_pylist(), batch.column("ids").slice(first, 256)):
                     whole = np.frombuffer(raw.as_buffer() if raw.is_valid else b"", "<u4")
+                    small = len(whole) and whole.max() < 1 << 16  # two bytes an id halve the shuffle
+                    whole = whole.astype("<u2") if small else whole
                     for k, at in enumerate(range(0, len(whole), seq_len)):
-                        piece = whole[at : at + seq_len]
-                        doc.append(doc_id.as_py())
+                        doc.append(doc_id)
                         no.append(k)
-                        sizes.append(len(piece))
-                        ids.append(piece.astype("<u2" if piece.max() < 1 << 16 else "<u4").tobytes())  # two bytes an id halve the shuffle
+                        sizes.append(min(seq_len, len(whole) - at))
+                        ids.append(whole[at : at + seq_len].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(sizes, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "segment", "n", "ids"])
 
+    return split, "doc_id long, segment int, n int, ids binary"
+
+
+def pack(segments: DataFrame, most: int, seq_len: int = SEQ_LEN, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
+    """Shards (``SHARD``) of segments as ``splitter`` makes them; ``most`` bounds their number, which sets the groups.
+
+    Null and empty texts have no ids and so no segment; equal rows are packed each; ties go by doc_id, segment, bytes.
+    Ids take two bytes in a shard where all of its ids allow it.  An empty table gives no rows.  Other columns are ignored.
+    """
+    groups = buckets_for(most, group_segments)
+
     def pack_group(table: pa.Table) -> pa.Table:
         docs, segs, raw = (table.column(c).to_pylist() for c in ("doc_id", "segment", "ids"))
         ns = table.column("n").to_pylist()
@@ -125,8 +132,7 @@ def pack(encoded: DataFrame, segments: int, seq_len: int = SEQ_LEN, group_segmen
         kinds = {"group": pa.int64(), "n_rows": pa.int32(), "seq_len": pa.int32(), "id_bytes": pa.int32(), "doc_ids": pa.list_(pa.int64())}
         return pa.table({k: pa.array([v], kinds.get(k, pa.binary())) for k, v in values.items()})
 
-    cut = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(trimmed(split), "doc_id long, segment int, n int, ids binary")
-    keyed = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "segment", "ids"), F.lit(groups)))
+    keyed = segments.withColumn("group", F.pmod(F.xxhash64("doc_id", "segment", "ids"), F.lit(groups)))
     return keyed.groupBy("group").applyInArrow(pack_group, SHARD)
 
 
@@ -162,7 +168,8 @@ def segments_at_most(docs: DataFrame, seq_len: int) -> int:
 
 def write(docs: DataFrame, path: str, pattern: str, seq_len: int = SEQ_LEN, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
     """The shards of all texts of ``docs``, written to the shared folder.  Runs its jobs when it is called."""
-    return materialise(pack(bpe.encode(docs, path, pattern), segments_at_most(docs, seq_len), seq_len, group_segments), "shards")
+    segments = bpe.encode(docs, path, pattern, then=splitter(seq_len))
+    return materialise(pack(segments, segments_at_most(docs, seq_len), seq_len, group_segments), "shards")
 
 
 def export(shards: DataFrame, folder: str) -> list[str]:
@@ -179,4 +186,4 @@ def export(shards: DataFrame, folder: str) -> list[str]:
     return paths
 
 
-__all__ = ["best_fit_decreasing", "CapacityTree", "export", "pack", "rows", "segments_at_most", "write"]
+__all__ = ["best_fit_decreasing", "CapacityTree", "export", "pack", "rows", "segments_at_most", "splitter", "write"]

@@ -19,7 +19,8 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.rows(packing.write(table(spark, sf_dir, "documents"), *vocabulary()))
+    """The shards as they are written: id matrices, cumulative segment lengths and position resets as raw arrays."""
+    return packing.write(table(spark, sf_dir, "documents"), *vocabulary())
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
