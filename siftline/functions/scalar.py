@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,16 +31,23 @@ def strip(text: Column) -> Column:
 def round2(x: Column) -> Column:
     """Rounded to two places by the double's exact value, ties to the even digit; for magnitudes below 2**20.
 
-    The double is split into two parts whose products by 25 are exact, so its distance from the middle between two
-    hundredths has the right sign.
+    Away from the middle between two hundredths the nearest one is plain.  Near it the double is split into two parts
+    whose products by 25 are exact, so its distance from the middle has the right sign; that rare part is a lambda,
+    which keeps the generated code small enough to be compiled.
     """
-    size = F.abs(x)
+    size = F.abs(x) * 100.0
+    plain = F.floor(size + 0.5) / 100.0
+    clear = F.abs(size - F.floor(size) - 0.5) > 1e-6
+    near = F.when(clear, plain).otherwise(F.get(F.transform(F.array(F.abs(x)), _near_half), F.lit(0)))
+    return F.when(x < 0, -near).otherwise(near)
+
+
+def _near_half(size: Column) -> Column:
     high = F.floor(size * 1048576.0) / 1048576.0
     low, k = (size - high) * 25.0, F.floor(size * 100.0 + 0.5)
     past = lambda odd: (high * 25.0 - odd / 8.0) + low
     below, above, odd = past(2 * k - 1), past(2 * k + 1), k % 2 == 1
-    near = F.when((below < 0) | ((below == 0) & odd), k - 1).when((above > 0) | ((above == 0) & odd), k + 1).otherwise(k)
-    return F.when(x < 0, -(near / 100.0)).otherwise(near / 100.0)
+    return F.when((below < 0) | ((below == 0) & odd), k - 1).when((above > 0) | ((above == 0) & odd), k + 1).otherwise(k) / 100.0
 
 
 def utf8_prefix(text: Column, size: int) -> Column:
@@ -172,10 +181,10 @@ def relative_path(path: Column) -> Column:
 
 
 def path_role(path: Column) -> Column:
-    parts = F.split(F.lower(path), "/")
-    dirs, name = F.slice(parts, F.lit(1), F.size(parts) - 1), F.element_at(parts, -1)
-    among = lambda names: F.arrays_overlap(dirs, F.array(*map(F.lit, names)))
-    return F.when(among(fixed.TEST_DIRS) | name.rlike(fixed.TEST_FILE), "test").when(among(fixed.EXAMPLE_DIRS), "example").when(among(fixed.TOOLING_DIRS), "tooling").otherwise("production")
+    low = F.lower(path)
+    under = lambda names: low.rlike("(?:^|/)(?:" + "|".join(map(re.escape, names)) + ")/")
+    name = F.substring_index(low, "/", -1)
+    return F.when(under(fixed.TEST_DIRS) | name.rlike(fixed.TEST_FILE), "test").when(under(fixed.EXAMPLE_DIRS), "example").when(under(fixed.TOOLING_DIRS), "tooling").otherwise("production")
 
 
 def entropy(text: Column) -> Column:

@@ -87,8 +87,11 @@ def risk(findings: DataFrame, policy: dict = fixed.POLICY) -> DataFrame:
     x = x.withColumn("held_by_policy", floored).withColumn("_lifted", F.when(c("held_by_policy"), F.lit(floor)).otherwise(c("_raw")))
     parts = {"severity": c("_base"), "path_role": c("_base") * (c("_path") - 1), "verdict": c("_placed") * (c("_verdict") - 1), "dependency": F.when(c("domain") == "sca", c("_bonus")), "policy_floor": F.when(c("held_by_policy"), c("_lifted") - c("_raw"))}
     x = x.withColumns({f"_{k}_part": v for k, v in parts.items()} | {"_clamped": F.greatest(F.lit(0.0), F.least(F.lit(100.0), c("_lifted")))})
-    named = F.map_from_arrays(F.array(*map(F.lit, parts)), F.array(*(S.round2(c(f"_{k}_part")) for k in parts)))
-    x = x.withColumns({"contributions": F.map_filter(named, lambda k, v: v.isNotNull()), "score": S.round2(c("_clamped")), "policy_hash": F.lit(policy_hash(policy))})
+    x = x.withColumns({f"_{k}_part": S.round2(c(f"_{k}_part")) for k in parts})
+    of = lambda *names: F.create_map(*(v for k in names for v in (F.lit(k), c(f"_{k}_part"))))
+    three, more, held = ("severity", "path_role", "verdict"), c("_dependency_part").isNotNull(), c("_policy_floor_part").isNotNull()
+    named = F.when(more & held, of(*parts)).when(more, of(*three, "dependency")).when(held, of(*three, "policy_floor")).otherwise(of(*three))
+    x = x.withColumns({"contributions": named, "score": S.round2(c("_clamped")), "policy_hash": F.lit(policy_hash(policy))})
     return x.drop("_base", "_path", "_verdict", "_placed", "_judged", "_bonus", "_raw", "_lifted", "_clamped", *(f"_{k}_part" for k in parts))
 
 
