@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from siftline.llm.runtime import dropped, materialise, trimmed
 
 K, SCALE, DIM_BLOCK, BLOCK_BYTES = 5, 256, 16, 8 << 20
-#: Vectors that a task works on at once.
-BATCH = 8192
+#: Vectors that a task works on at once; smaller Arrow batches are joined until they hold as many.
+BATCH = 16384
 
 
 def quantise(vectors: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
@@ -150,16 +150,29 @@ def _best(part: DataFrame, k: int) -> DataFrame:
     return every.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "asked", "rank", "vec_id", "score")
 
 
+def _joined(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of about BATCH rows, whatever the Arrow batches hold."""
+    held, size = [], 0
+    for batch in batches:
+        for at in range(0, len(batch), BATCH):
+            piece = batch.slice(at, BATCH)
+            held.append((piece.column("id").to_numpy(), _matrix(piece.column("v"), dims)))
+            size += len(piece)
+            if size >= BATCH:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
 def _task(sent, dims: int, k: int, dim_block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher, asked = None, None
-        for batch in batches:
-            for at in range(0, len(batch), BATCH):
-                piece = batch.slice(at, BATCH)
-                if searcher is None:
-                    ids, matrix, asked = sent.value
-                    searcher = Searcher(ids, matrix, k, dim_block)
-                searcher.add(piece.column("id").to_numpy(), _matrix(piece.column("v"), dims))
+        for ids, matrix in _joined(batches, dims):
+            if searcher is None:
+                asked = sent.value[2]
+                searcher = Searcher(*sent.value[:2], k, dim_block)
+            searcher.add(ids, matrix)
         if searcher:
             rows = [(i, int(q), int(n), v, s, 0) for i, (q, n, best) in enumerate(zip(searcher.ids, asked, searcher.best)) for s, v in best]
             rows += [(i, int(searcher.ids[i]), int(asked[i]), int(searcher.ids[i]), int(searcher.q[i] @ searcher.q[i]), int(searcher.own[i])) for i in np.flatnonzero(searcher.own)]
