@@ -118,6 +118,30 @@ def enqueue(rows: DataFrame, outbox: str) -> None:
     events(rows).write.mode("append").parquet(outbox)
 
 
+def insert_rows(rows: DataFrame, connect, table: str, batch: int = 500, mark: str = "?") -> None:
+    """Inserts rows into a table of a database: ``connect`` makes a DB-API connection on the executor that holds a partition,
+    which commits once.  A task that is run again inserts again, so the table needs a key (or take ``relay`` with one)."""
+    names = [identifier(c) for c in rows.columns]
+    text = f"INSERT INTO {identifier(table)} ({', '.join(names)}) VALUES ({', '.join([mark] * len(names))})"
+
+    def send(part) -> None:
+        held, link = [], connect()
+        try:
+            cursor = link.cursor()
+            for row in part:
+                held.append(tuple(row))
+                if len(held) == batch:
+                    cursor.executemany(text, held)
+                    held = []
+            if held:
+                cursor.executemany(text, held)
+            link.commit()
+        finally:
+            link.close()
+
+    rows.foreachPartition(send)
+
+
 _META = "id string, label string, status string, error string, current_step string, created_at string, started_at string, finished_at string, reports array<string>, summary map<string,long>"
 
 

@@ -337,6 +337,31 @@ def test_outbox_and_runs(spark, tmp_path):
     assert [(r.gate, r.value) for r in scans.gate_failures(storage.runs(spark, str(tmp_path / "runs"))).orderBy("gate").collect()] == [("noise_reduction", 0.0), ("recall", 0.5)]
 
 
+def test_rows_of_a_database(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "db")
+    with sqlite3.connect(path) as link:
+        link.execute("CREATE TABLE outbox (event_id TEXT PRIMARY KEY, n INTEGER)")
+    storage.insert_rows(spark.range(0, 1000, 1, 1).selectExpr("concat('e', id) AS event_id", "id AS n"), lambda: sqlite3.connect(path), "outbox", 300)
+    with sqlite3.connect(path) as link:
+        assert link.execute("SELECT count(*), sum(n), max(event_id) FROM outbox").fetchone() == (1000, 499500, "e999")
+    with pytest.raises(ValueError):
+        storage.insert_rows(spark.range(1), lambda: None, "a; drop")
+
+
+def test_reconcile_stream(spark, tmp_path):
+    from siftline.streaming.relay import reconcile_stream
+
+    for no, ids in enumerate((["a", "b"], ["b", "c"])):
+        rows = [(k, i, f"s{i}") for k, i in enumerate(ids)]
+        spark.createDataFrame(rows, "ord long, issue_id string, content_signature string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("ord long, issue_id string, content_signature string").parquet(str(tmp_path / "in"))
+        reconcile_stream(stream, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination(120)
+        got = {r.issue_id: r.status for r in spark.read.parquet(str(tmp_path / f"state/status/{no}")).collect()}
+        assert got == ({"a": "new", "b": "new"} if no == 0 else {"b": "persisting", "c": "new", "a": "fixed"})
+
+
 def test_names_of_reports(spark):
     df = spark.createDataFrame([("a b/ü", "1", ["json", "pdf"], "completed"), ("x", "2", ["sarif"], "completed"), ("y", "3", ["pdf"], "failed")], "label string, id string, formats array<string>, status string")
     got = df.select(reports.download_name(F.col("label"), F.col("id"), F.lit("pdf")).alias("n"), reports.report_order(F.col("formats")).alias("o"), reports.quick_format(F.col("status"), F.col("formats")).alias("q")).collect()
