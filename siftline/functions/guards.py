@@ -64,14 +64,15 @@ def first_signal(text: Column, start: Column, unicode: bool = True) -> Column:
 
 
 def redact_line(line: Column, least: float = fixed.TOKEN_ENTROPY) -> Column:
-    """Provider keys by pattern, then every long token of high entropy."""
+    """Provider keys by pattern, then every long token of high entropy; a line without either is only looked at once."""
+    whole, found = line, line.rlike("|".join((fixed.TOKEN, *fixed.PROVIDER_KEYS.values())))
     for kind, pattern in fixed.PROVIDER_KEYS.items():
         line = F.regexp_replace(line, pattern, f"<REDACTED:{kind}>")
     tokens = F.regexp_extract_all(line, F.lit(fixed.TOKEN), F.lit(0))
     masked = F.transform(tokens, lambda t: F.when(entropy(t) >= least, "<REDACTED:high-entropy>").otherwise(t))
     between = F.split(line, fixed.TOKEN, -1)
     woven = F.array_join(F.transform(F.arrays_zip(between.alias("b"), masked.alias("m")), lambda x: F.concat(x["b"], F.coalesce(x["m"], F.lit("")))), "")
-    return F.when(F.size(tokens) == 0, line).otherwise(woven)
+    return F.when(~found, whole).when(F.size(tokens) == 0, line).otherwise(woven)
 
 
 #: Lines to a band, in which the lines of blocks and of secrets meet.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import fixed
 from siftline.functions import scalar as S
 from siftline.functions.guards import lines
-from siftline.operators.graph import components, written
+from siftline.operators.graph import components, discard, written
 from siftline.operators.scans import policy_hash
 
 LINE_PROXIMITY = 3
@@ -100,12 +100,14 @@ def ranked(findings: DataFrame) -> DataFrame:
 
     One task never sorts a whole scan: rows are dealt into ranges of that order and written, each range numbers its own
     rows, and a small table of the ranges' sizes tells how many rows of the scan come before.  Whole rows are written, so
-    filter them and drop what isn't needed first.  Runs its job when it is called.
+    filter them and drop what isn't needed first.  Runs its jobs when it is called.
     """
     by = ["scan"] if "scan" in findings.columns else []
     order = [F.desc("score"), F.col("file_path"), F.col("arrival")]
     slices = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = written(findings.repartitionByRange(slices, *by, *order).withColumn("_slice", F.spark_partition_id()), "ranked")
+    rows = written(findings, "scored")  # else the ranges' sample would make every row once more
+    x = written(rows.repartitionByRange(slices, *by, *order).withColumn("_slice", F.spark_partition_id()), "ranked")
+    discard(rows)
     sizes = x.groupBy("_slice", *by).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(F.col("_slice").alias("_of"), *(F.col(k).alias(f"_{k}") for k in by), F.coalesce(before, F.lit(0)).alias("_before"))
