@@ -513,7 +513,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> D
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_tree_links"))
     owner = described.groupBy("class").agg(F.min("doc_id").alias("own"))
     labels = owner.join(root, F.col("class") == F.col("of"), "left").drop("of").withColumn("root", F.coalesce("root", "class"))
-    least = labels.groupBy("root").agg(F.min("own").alias("component_id"))
+    least = materialise(labels.groupBy("root").agg(F.min("own").alias("component_id")), "least")  # so the join can split a hot component
     labels = labels.join(least.select(F.expr("root + 0").alias("of"), "component_id"), F.col("root") == F.col("of")).join(degree, "class", "left")
     labels = labels.select(F.expr("class + 0").alias("of"), "component_id", F.coalesce("n_tree_links", F.lit(0)).alias("n_tree_links"))
     out = described.select("doc_id", "class", "n").join(labels, F.col("class") == F.col("of"))
@@ -531,6 +531,7 @@ def keep_first(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     x = described.where("n > 0").join(root, F.col("class") == F.col("of"), "left").select("doc_id", "key", F.coalesce("root", "class").alias("root"))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")
     groups = x.groupBy("root").agg(F.count("*").alias("size"), F.min(place).alias("first")).where("size > 1").select(F.expr("root + 0").alias("of"), "first")
+    groups = materialise(groups, "groups")  # a table beside the rows: the join can then split a hot component
     rows = x.groupBy("root", "doc_id", "key").agg(F.count("*").alias("copies")).join(groups, F.col("root") == F.col("of"))
     stays = F.col("key").eqNullSafe(F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     marks = materialise(rows.select("key", "doc_id", stays.alias("stays"), "copies").where("NOT stays OR copies > 1"), "marks")
