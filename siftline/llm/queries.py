@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where DuckDB can express it."""
+"""The registered queries of the numbered operators, and their SQL where DuckDB can express it."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, langid, mixing, ngram_join, packing, quality, secretscan, spotsigs, topk, warc
-from siftline.llm.runtime import table
+from siftline.llm import bpe, divergence, langid, mixing, ngram_join, packing, periods, quality, secretscan, spotsigs, suffixes, topk, warc
+from siftline.llm.runtime import table, text_or_empty
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -70,7 +70,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, net).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_topk, op3_language, op4_secrets, op5_ngram_join, op6_spotsigs, spotsigs_near_documents, op7_bpe, op8_warc, op9_mixing, op10_quality)}
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.report(periods.find(periods.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
+    return found.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_topk, op3_language, op4_secrets, op5_ngram_join, op6_spotsigs, spotsigs_near_documents, op7_bpe, op8_warc, op9_mixing, op10_quality, op11_periods, op12_divergence, op13_suffixes)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": """
@@ -122,4 +136,39 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
           CASE WHEN first <> page_id THEN first END AS refers_to
         FROM x""",
+    "op12_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS own, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT own, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS lang_count FROM w GROUP BY 1, 2 HAVING count(DISTINCT own) >= 10),
+        c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY 1, 2, 3),
+        l AS (SELECT lang, count(*) AS v, sum(lang_count) AS total FROM k GROUP BY 1),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        t AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2),
+        p AS (
+          SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // CAST(t.total + 2 * l.v AS HUGEINT) AS p,
+            1 + CAST(1000000000 AS HUGEINT) * (k.lang_count + 2) // CAST(l.total + 2 * l.v AS HUGEINT) AS q
+          FROM t JOIN l ON l.lang = t.lang JOIN k ON k.lang = t.lang LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+        s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY 1, 2, 3),
+        r AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q),
+        o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+        SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10""",
+    "op13_suffixes": """
+        WITH d AS (SELECT row_number() OVER () AS own, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        w AS (SELECT own, unnest(range(1, octet_length(b) - 198)) AS i, b FROM d WHERE octet_length(b) >= 200),
+        h AS (SELECT own, i, b[i : i + 199] AS s FROM w),
+        m AS (SELECT s FROM h GROUP BY s HAVING count(*) > 1),
+        f AS (SELECT own, i FROM h SEMI JOIN m ON m.s = h.s),
+        x AS (SELECT own, i, CASE WHEN i <= lag(i) OVER (PARTITION BY own ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM f),
+        y AS (SELECT own, i, sum(new) OVER (PARTITION BY own ORDER BY i) AS span FROM x),
+        z AS (SELECT own, span, min(i) AS first, max(i) + 199 AS last FROM y GROUP BY 1, 2),
+        e AS (SELECT own, span, first, last, coalesce(lag(last) OVER (PARTITION BY own ORDER BY first), 0) + 1 AS begins FROM z),
+        k AS (
+          SELECT own, count(*) AS n_spans, CAST(sum(last - first + 1) AS BIGINT) AS n_removed, max(last) AS ends, list({'a': begins, 'b': first - 1} ORDER BY first) AS gaps
+          FROM e GROUP BY 1)
+        SELECT d.doc_id, CAST(octet_length(d.b) AS BIGINT) AS n_bytes, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.n_spans, 0) AS n_spans,
+          sha256(CASE WHEN k.own IS NULL THEN d.b ELSE unhex(array_to_string(list_transform(k.gaps, lambda g: hex(d.b[g.a : g.b])), '') || hex(d.b[k.ends + 1 : octet_length(d.b)])) END) AS kept_sha256
+        FROM d LEFT JOIN k ON k.own = d.own""",
 }
