@@ -4,8 +4,8 @@ A suffix array of a corpus can't be made in one place, so texts are first cut so
 
 * Each window has a key, the least hash of its ``GRAM``-byte substrings.  Equal windows have equal keys.  Neighbouring
   windows mostly share theirs; a piece is such a stretch (at most ``PIECE`` windows, each in exactly one piece).
-* A key that occurs once holds nothing that repeats; only the pieces of the other keys are cut from the texts, equal
-  pieces once with their number of copies (named by the key and a 64-bit digest: 128 bits).
+* A key whose substring occurs once holds nothing that repeats; only the pieces of the other keys are cut from the
+  texts, equal pieces once with their number of copies (named by the key and a 64-bit digest: 128 bits).
 * The pieces of a task's keys, about ``UNIT`` bytes, are joined to one string, and its suffixes are sorted to the depth
   of a window by two-stage sorting (``suffix_order``): suffixes smaller than their successors are sorted directly, the
   others are induced by scanning the buckets of first bytes.  Common prefixes of neighbours then tell equal windows.
@@ -37,33 +37,45 @@ ODD, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 INVERSE = pow(ODD, -1, 1 << 64)
 
 
-def window_keys(data: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """For each window of ``data`` its key: the least mixed hash of its substrings of ``gram`` bytes."""
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours: prefix minima of blocks, from the left and from the right."""
+    padded = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    padded[: len(values)] = values
+    blocks = padded.reshape(-1, width)
+    left = np.minimum.accumulate(blocks, axis=1).ravel()
+    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    count = len(values) - width + 1
+    return np.minimum(right[:count], left[width - 1 : width - 1 + count])
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A mixed hash of each ``gram`` bytes of ``data``."""
     n = len(data)
-    if n < window:
-        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        powers = np.full(n + 1, INVERSE, np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)  # ODD^-i
+        down, up = np.full(n, INVERSE, np.uint64), np.full(n - gram + 1, ODD, np.uint64)
+        down[0] = up[0] = 1
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-        raise_ = np.full(n + 1, ODD, np.uint64)
-        raise_[0] = 1
-        hashes = (sums[gram:] - sums[: n - gram + 1]) * np.multiply.accumulate(raise_)[: n - gram + 1]
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(down), out=sums[1:])
+        hashes = (sums[gram:] - sums[: n - gram + 1]) * np.multiply.accumulate(up)
         hashes ^= hashes >> np.uint64(32)
         hashes *= np.uint64(MIX)
         hashes ^= hashes >> np.uint64(29)
-    # least of each `width` neighbours: prefix minima of blocks from the left and from the right
-    width = window - gram + 1
-    whole = -(-len(hashes) // width) * width
-    padded = np.full(whole, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(hashes)] = hashes
-    blocks = padded.reshape(-1, width)
-    left = np.minimum.accumulate(blocks, axis=1).ravel()
-    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = n - window + 1
-    return np.minimum(right[:count], left[width - 1 : width - 1 + count])
+    return hashes
+
+
+def key_places(hashes: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
+    """Places of the substrings that are the key of a window: their hash is the largest key of the windows around."""
+    edge = np.full(width - 1, np.iinfo(np.uint64).max, np.uint64)
+    return np.flatnonzero(~sliding_least(np.concatenate([edge, ~keys, edge]), width) == hashes)
+
+
+def hits(places: np.ndarray, hashes: np.ndarray, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
+    """How often the key of each piece occurs in it: equal windows inside of a piece need two."""
+    first, last = np.searchsorted(places, starts), np.searchsorted(places, starts + counts + width - 1)
+    n = last - first
+    at = places[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    piece = np.repeat(np.arange(len(starts)), n)
+    return np.bincount(piece[hashes[at] == keys[starts][piece]], minlength=len(starts))
 
 
 def cut_pieces(keys: np.ndarray, fresh: np.ndarray, longest: int) -> np.ndarray:
@@ -168,8 +180,8 @@ def stretches(flags: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _pieces(docs: DataFrame, window: int, gram: int, longest: int) -> DataFrame:
-    """(row, start, windows, key, digest) of every piece; texts under a window have none."""
-    names = ["row", "start", "windows", "key", "digest"]
+    """(row, start, windows, hits, key, digest) of every piece; texts under a window have none."""
+    names, width = ["row", "start", "windows", "hits", "key", "digest"], window - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,9 +189,10 @@ def _pieces(docs: DataFrame, window: int, gram: int, longest: int) -> DataFrame:
             for first, last in texts.blocks():
                 offsets = texts.offsets[first : last + 1] - texts.offsets[first]
                 data = texts.data[texts.offsets[first] : texts.offsets[last]]
-                keys = window_keys(data, window, gram)
-                if not len(keys):
+                if len(data) < window:
                     continue
+                hashes = gram_hashes(data, gram)
+                keys = sliding_least(hashes, width)
                 of = np.repeat(np.arange(last - first), np.diff(offsets))
                 whole = of[: len(keys)] == of[window - 1 : window - 1 + len(keys)]  # windows in one text
                 fresh = np.concatenate([[True], whole[1:] != whole[:-1]]) | np.concatenate([[True], of[1 : len(keys)] != of[: len(keys) - 1]])
@@ -187,10 +200,11 @@ def _pieces(docs: DataFrame, window: int, gram: int, longest: int) -> DataFrame:
                 counts = np.diff(np.append(starts, len(keys)))
                 good = whole[starts]
                 starts, counts = starts[good], counts[good]
+                often = hits(key_places(hashes, keys, width), hashes, keys, starts, counts, width)
                 raw = memoryview(data)
                 digests = np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + m + window - 1]) for a, m in zip(starts.tolist(), counts.tolist())), np.uint64, len(starts))
                 text = of[starts]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[first + text]), pa.array(starts - offsets[text]), pa.array(counts), pa.array(keys[starts].view(np.int64)), pa.array(digests.view(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[first + text]), pa.array(starts - offsets[text]), pa.array(counts), pa.array(often), pa.array(keys[starts].view(np.int64)), pa.array(digests.view(np.int64))], names)
 
     return docs.select("row", "text").mapInArrow(trimmed(run), ", ".join(f"{x} long" for x in names))
 
@@ -246,7 +260,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, unit
     """(of, spans): for the rows of ``docs`` (row long, text binary; a written table) with repeated windows, the maximal
     stretches [start, end) of covered bytes.  Runs jobs and writes tables when it is called."""
     pieces = materialise(_pieces(docs, window, gram, longest), "pieces")
-    twice = pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.expr("key + 0").alias("k"))
+    twice = pieces.groupBy("key").agg(F.sum("hits").alias("n")).where("n > 1").select(F.expr("key + 0").alias("k"))
     found = materialise(pieces.join(twice, F.col("key") == F.col("k"), "left_semi"), "repeated")
     dropped(pieces)
 
