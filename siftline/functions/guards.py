@@ -75,15 +75,32 @@ def redact_line(line: Column, least: float = fixed.TOKEN_ENTROPY) -> Column:
     return F.when(~found, whole).when(F.size(tokens) == 0, line).otherwise(woven)
 
 
-#: Lines to a band, in which the lines of blocks and of secrets meet.
-BAND = 32
+#: Levels of the dyadic intervals of line numbers: level k has intervals of 2^k lines.
+LEVELS = 62
+
+
+def intervals(first: Column, last: Column) -> Column:
+    """Array of struct(level, place): the fewest dyadic intervals that make up the lines ``first`` .. ``last``, at most two a
+    level, so fewer than 2 log2 of the range; empty where ``last`` is before ``first``, null where either is."""
+    begin, end = first.cast("long"), last.cast("long") + 1
+
+    def of(level: Column) -> Column:
+        # the whole intervals of this level are low .. high - 1; those whose parent is not whole stand alone
+        low, high = F.call_function("shiftright", begin + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level), F.call_function("shiftright", end, level)
+        left, right = F.when((low < high) & (low % 2 != 0), low), F.when((low < high) & (high % 2 != 0), high - 1)
+        return F.filter(F.array(left, F.when(~(left.eqNullSafe(right)), right)), lambda x: x.isNotNull())
+
+    # no interval of a range is longer than the range
+    levels = F.sequence(F.lit(0), F.when(end > begin, F.least(F.floor(F.log2((end - begin).cast("double"))).cast("int"), F.lit(LEVELS))).otherwise(0))
+    parts = F.flatten(F.transform(levels, lambda k: F.transform(of(k), lambda x: F.struct(k.alias("level"), x.alias("place")))))
+    return F.when(end > begin, parts).when(end <= begin, F.slice(parts, 1, 0))
 
 
 def redact_blocks(blocks: DataFrame, secrets: DataFrame, key: list[str], text: str, start: str, least: float = fixed.TOKEN_ENTROPY) -> DataFrame:
     """``blocks`` (key, file_path, text, start) with the text redacted.
 
     A line that a secret of the file covers (file_path, line_start, line_end, kind, ord) is masked whole, by the first
-    such secret; other lines by ``redact_line``.  Lines and secrets meet in bands of BAND lines of a file.
+    such secret; other lines by ``redact_line``.
     """
     x = blocks.select(*key, "file_path", F.posexplode(F.split(text, "\n", -1)).alias("at", "line"), F.col(start).alias("first")).withColumn("no", F.col("first") + F.col("at"))
     cover = covered(x.select(*key, "at", "file_path", "no"), secrets, [*key, "at"])
@@ -92,10 +109,17 @@ def redact_blocks(blocks: DataFrame, secrets: DataFrame, key: list[str], text: s
 
 
 def covered(rows: DataFrame, secrets: DataFrame, key: list[str]) -> DataFrame:
-    """(key, kind, by): kind and ord of the first secret that covers each of the lines (key, file_path, no); others are left out."""
-    band = F.floor(F.col("no") / BAND)
-    s = secrets.select(F.col("file_path").alias("s_path"), "line_start", "line_end", "kind", F.col("ord").alias("s_ord"), F.explode(F.sequence(F.floor(F.col("line_start") / BAND), F.floor(F.greatest("line_start", "line_end") / BAND))).alias("s_band"))
-    hits = rows.withColumn("band", band).join(s, (F.col("file_path") == F.col("s_path")) & (F.col("band") == F.col("s_band")) & F.col("no").between(F.col("line_start"), F.col("line_end")))
+    """(key, kind, by): kind and ord of the first secret that covers each of the lines (key, file_path, no); others are left out.
+
+    A secret's range is cut into dyadic intervals, of which each keeps its first secret; a line looks up the interval that
+    holds it at each level that its file's secrets use.  So a range of any length is a few rows, a line meets one row a
+    level, and a file with many ranges is dealt out by interval.  Null paths and numbers cover nothing.
+    """
+    cut = secrets.select("file_path", "kind", "ord", F.explode(intervals(F.col("line_start"), F.col("line_end"))).alias("i"))
+    parts = cut.groupBy(F.col("file_path").alias("s_path"), F.col("i.level").alias("s_level"), F.col("i.place").alias("s_place")).agg(F.min_by("kind", "ord").alias("kind"), F.min("ord").alias("s_ord"))
+    used = parts.groupBy(F.concat("s_path").alias("u_path")).agg(F.collect_set("s_level").alias("levels"))
+    x = rows.join(used, F.col("file_path") == F.col("u_path")).withColumn("level", F.explode("levels")).withColumn("place", F.expr("shiftright(CAST(no AS BIGINT), level)"))
+    hits = x.join(parts, (F.col("file_path") == F.col("s_path")) & (F.col("level") == F.col("s_level")) & (F.col("place") == F.col("s_place")))
     return hits.groupBy(*key).agg(F.min_by("kind", "s_ord").alias("kind"), F.min("s_ord").alias("by"))
 
 

@@ -38,21 +38,37 @@ def readable(files: DataFrame, max_bytes: int = SNIPPET_BYTES) -> DataFrame:
     return files.where((F.octet_length(raw) <= max_bytes) & ~S.looks_binary(raw)).select(path.alias("file_path"), F.make_valid_utf8(raw.cast("string")).alias("content"))
 
 
+#: Places of one file that are cut together, about.
+PLACES = 1 << 14
+
+
 def snippets(keys: DataFrame, files: DataFrame) -> DataFrame:
     """``keys`` (file_path, line_start, line_end) with matched, context, context_start, truncated from ``files``
-    (file_path, content), as ``readable`` gives them.  Each file's lines are cut once; a missing file or a start beyond
-    its end gives empty text."""
-    cut = files.select("file_path", lines(F.col("content")).alias("all"))
-    x = keys.join(cut, "file_path", "left")
+    (file_path, content), as ``readable`` gives them; a missing file or a start beyond its end gives empty text.
+
+    Each distinct place is cut once.  The places of a file come to its text in blocks of about PLACES, sorted, and a block
+    makes one line index of it: the lines' offsets in the text, from which places take slices.  So neither the text nor
+    its lines travel with every key; what is shuffled is the keys, a text for each block, and the snippets.
+    """
+    place = ["file_path", "line_start", "line_end"]
+    places = keys.select(*place).distinct()
+    many = places.groupBy(F.col("file_path").alias("m_path")).agg(F.count("*").alias("n")).where(F.col("n") > PLACES)
+    dealt = places.join(many, F.col("file_path") == F.col("m_path"), "left").withColumn("block", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("line_start", "line_end"), F.ceil(F.col("n") / PLACES))))
+    blocks = dealt.groupBy("file_path", "block").agg(F.array_sort(F.collect_list(F.struct("line_start", "line_end"))).alias("places"))
+    # concat() makes the path a new expression: the join deals out both sides itself and can split a hot file
+    x = blocks.join(files.select(F.concat("file_path").alias("f_path"), "content"), F.col("file_path") == F.col("f_path")).select("file_path", "places", lines(F.col("content")).alias("all"))
+    x = x.select("file_path", "all", F.explode("places").alias("p")).select("file_path", "p.line_start", "p.line_end", "all")
     total = F.size("all")
-    ok = F.col("all").isNotNull() & (F.col("line_start") <= total)
+    ok = F.col("line_start") <= total
     last, start = F.least("line_end", total), F.greatest(F.col("line_start") - CONTEXT_LINES, F.lit(1))
     end = F.least(last + CONTEXT_LINES, total)
     matched = F.array_join(F.slice("all", F.col("line_start"), F.greatest(last - F.col("line_start") + 1, F.lit(0))), "\n")
     context = F.array_join(F.slice("all", start, end - start + 1), "\n")
-    x = x.withColumns({"matched": F.when(ok, matched).otherwise(""), "context": F.when(ok, context).otherwise(""), "context_start": F.when(ok, start).otherwise(1)})
-    x = x.withColumn("truncated", ~ok | (F.length("matched") > MATCHED_CHARS) | (F.length("context") > CONTEXT_CHARS))
-    return x.withColumns({"matched": F.substring("matched", 1, MATCHED_CHARS), "context": F.substring("context", 1, CONTEXT_CHARS)}).drop("all")
+    x = x.where(ok).select(*(F.col(k).alias(f"c_{k}") for k in place), matched.alias("matched"), context.alias("context"), start.alias("context_start"))
+    cut = x.select(*(f"c_{k}" for k in place), F.substring("matched", 1, MATCHED_CHARS).alias("matched"), F.substring("context", 1, CONTEXT_CHARS).alias("context"), "context_start", ((F.length("matched") > MATCHED_CHARS) | (F.length("context") > CONTEXT_CHARS)).alias("truncated"))
+    on = (F.col("file_path") == F.col("c_file_path")) & (F.col("line_start") == F.col("c_line_start")) & F.col("line_end").eqNullSafe(F.col("c_line_end"))
+    out = keys.join(cut, on, "left").drop(*(f"c_{k}" for k in place))
+    return out.fillna({"matched": "", "context": "", "context_start": 1, "truncated": True})
 
 
 def fingerprint(findings: DataFrame, found: DataFrame | None = None) -> DataFrame:
