@@ -4,16 +4,18 @@ rewrites and logs, no UPDATE.  Paths may lie in any file system that Spark reads
 from __future__ import annotations
 
 import json
+import os
 import re
-import threading
 import uuid
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import fixed
 from siftline.operators.findings import metrics
+from siftline.operators.files import Files
 
 _NAME = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
 
@@ -38,10 +40,27 @@ def expired(scans: DataFrame, org_id: str, days: int, now: Column) -> DataFrame:
 
 
 def purge(scans: DataFrame, org_id: str, days: int, now: Column) -> DataFrame:
-    """What stays when the expired scans of a tenant go."""
+    """What stays when the expired scans of a tenant go; ``purge_table`` deletes them."""
     return scans.where(~F.coalesce((F.col("org_id") == org_id) & (F.col("started_at") < now - F.make_dt_interval(F.lit(days))), F.lit(False)))
 
 
+def purge_table(spark: SparkSession, path: str, org_id: str, days: int, now: Column) -> int:
+    """Deletes the expired scans of a tenant from the Parquet table at ``path``; returns how many.
+
+    Only files that hold such rows are touched: what stays of them is written to new files of the same table first, and
+    then the old ones go.  A crash in between leaves some rows that stay twice (scan_id tells them), and never loses one.
+    """
+    table = spark.read.parquet(path)
+    gone = expired(table, org_id, days, now)
+    hit = gone.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n")).collect()  # file names, no rows
+    if hit:
+        purge(spark.read.schema(table.schema).parquet(*(r.file for r in hit)), org_id, days, now).write.mode("append").parquet(path)
+        files = Files(spark, path)
+        for r in hit:
+            files.fs.delete(files.path(r.file), False)
+    return sum(r.n for r in hit)
+
+
 def identifier(name: str) -> str:
     if not _NAME.match(name):
         raise ValueError(f"not an identifier: {name!r}")
@@ -145,42 +164,105 @@ def insert_rows(rows: DataFrame, connect, table: str, batch: int = 500, mark: st
 _META = "id string, label string, status string, error string, current_step string, created_at string, started_at string, finished_at string, reports array<string>, summary map<string,long>"
 
 
+#: Versions of a record that stay when a newer one is written, for readers that have listed them.
+KEPT_VERSIONS = 8
+
+
 class ScanStore:
-    """The scan catalogue: a folder for each scan with ``meta.json`` and its reports, read as a table, changed as a whole.
+    """The scan catalogue: a folder for each scan with a log of its record and its reports, read as a table, changed as a whole.
 
-    Writes go to a temporary file and are renamed over the old one, under a lock of this process.
+    A record is never changed in place.  Version n + 1 is written beside version n (``log/<number>.json``), complete, and
+    gets its name only if no other writer has taken it: then the change is made anew on what that writer left.  So a
+    reader finds the old record or the new one whatever fails in between, writers in other processes lose nothing, and
+    the newest version that can be read is the record.  A ``meta.json`` from before is version 0.  The file system's
+    rename must refuse to replace a file (as HDFS does); local files are linked instead, since their rename does replace.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._lock = spark, folder.rstrip("/"), threading.Lock()
-        jvm = spark.sparkContext._jvm
-        self._path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *parts)))
-        self._files = self._path().getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        self._files.mkdirs(self._path())
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._files = Files(spark, self.folder)
+        self._files.fs.mkdirs(self._path())
+
+    def _path(self, *parts: str):
+        return self._files.path(self.folder, *parts)
 
     def scans(self) -> DataFrame:
-        """(scan_id, ...) of every readable record; broken files are left out; what was in flight before has failed."""
-        if not self._files.globStatus(self._path("*", "meta.json")):
+        """(scan_id, ...) of every scan's newest readable record; broken files are left out; what was in flight before has failed."""
+        found = [p for p in (f"{self.folder}/*/log/*.json", f"{self.folder}/*/meta.json") if self._files.fs.globStatus(self._files.path(p))]
+        if not found:
             return recovered(self.spark.createDataFrame([], _META)).withColumnRenamed("id", "scan_id")
-        x = self.spark.read.schema(_META).option("multiLine", True).option("mode", "DROPMALFORMED").json(f"{self.folder}/*/meta.json")
-        return recovered(x.where("id IS NOT NULL")).withColumnRenamed("id", "scan_id")
+        x = self.spark.read.schema(_META).option("multiLine", True).option("mode", "DROPMALFORMED").option("ignoreMissingFiles", True).json(found).select("*", "_metadata.file_name")
+        version = F.coalesce(F.regexp_extract("file_name", r"^(\d+)\.json$", 1).try_cast("long"), F.lit(0))
+        x = x.where("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct(*[c for c in x.columns if c not in ("id", "file_name")]), version).alias("r"))
+        return recovered(x.select("id", "r.*")).withColumnRenamed("id", "scan_id")
+
+    def versions(self, scan_id: str) -> list[int]:
+        """The versions of a scan's record that there are, ascending."""
+        log = self._path(scan_id, "log")
+        names = [s.getPath().getName() for s in self._files.fs.listStatus(log)] if self._files.fs.exists(log) else []
+        old = [0] if self._files.fs.exists(self._path(scan_id, "meta.json")) else []
+        return old + sorted(int(n[:-5]) for n in names if re.fullmatch(r"\d+\.json", n))
+
+    def _newest(self, scan_id: str) -> tuple[int, dict | None]:
+        """The newest version's number (-1: none) and the newest record that can be read."""
+        there = self.versions(scan_id)
+        for n in reversed(there):
+            try:
+                return there[-1], json.loads(self._text(self._named(scan_id, n)))
+            except (ValueError, Py4JJavaError):  # broken, or removed since it was listed
+                continue
+        return (there[-1] if there else -1), None
+
+    def _named(self, scan_id: str, version: int):
+        return self._path(scan_id, "log", f"{version:012d}.json") if version else self._path(scan_id, "meta.json")
 
     def add(self, record: dict) -> dict:
-        with self._lock:
-            self._write(record)
-        return record
+        """Puts a record, over an older one of its id."""
+        return self._put(record["id"], lambda _: record)
 
     def get(self, scan_id: str) -> dict | None:
-        meta = self._path(scan_id, "meta.json")
-        return json.loads(self._text(meta)) if self._files.exists(meta) else None
+        return self._newest(scan_id)[1]
 
     def update(self, scan_id: str, **changes) -> dict:
         """The record with changes; KeyError for an unknown scan."""
-        with self._lock:
-            if (record := self.get(scan_id)) is None:
+
+        def change(record: dict | None) -> dict:
+            if record is None:
                 raise KeyError(scan_id)
-            self._write(record | changes)
-        return record | changes
+            return record | changes
+
+        return self._put(scan_id, change)
+
+    def _put(self, scan_id: str, change) -> dict:
+        """``change`` of the newest record as the next version; anew while other writers are faster."""
+        while True:
+            version, record = self._newest(scan_id)
+            record = change(record)
+            temporary = self._path(scan_id, f".record-{uuid.uuid4().hex}.tmp")
+            self._files.write(temporary, json.dumps(record, indent=2).encode())
+            self._files.fs.mkdirs(self._path(scan_id, "log"))
+            taken = self._claim(temporary, self._named(scan_id, max(1, version + 1)))
+            self._files.fs.delete(temporary, False)
+            if taken:
+                self.compact(scan_id, KEPT_VERSIONS)
+                return record
+
+    def _claim(self, temporary, target) -> bool:
+        """Gives a complete file its name, unless there is one of that name."""
+        if self._files.fs.getScheme() != "file":
+            return not self._files.fs.exists(target) and bool(self._files.fs.rename(temporary, target))
+        try:
+            os.link(temporary.toUri().getPath(), target.toUri().getPath())
+        except FileExistsError:
+            return False
+        return True
+
+    def compact(self, scan_id: str, keep: int = 1) -> int:
+        """Deletes all but the newest ``keep`` versions of a record, oldest first; returns how many went."""
+        old = self.versions(scan_id)[:-keep]
+        for n in old:
+            self._files.fs.delete(self._named(scan_id, n), False)
+        return len(old)
 
     def list(self) -> DataFrame:
         return newest_first(self.scans())
@@ -188,18 +270,14 @@ class ScanStore:
     def reports(self, scan_id: str) -> list[tuple[str, str, int]]:
         """(format, path, bytes) of the reports that a scan has."""
         found = ((form, self._path(scan_id, name)) for form, (name, _) in fixed.REPORTS.items())
-        return [(form, p.toString(), self._files.getFileStatus(p).getLen()) for form, p in found if self._files.exists(p)]
+        return [(form, p.toString(), self._files.fs.getFileStatus(p).getLen()) for form, p in found if self._files.fs.exists(p)]
 
     def _text(self, path) -> str:
-        return self.spark.read.text(path.toString(), wholetext=True).first()[0]
-
-    def _write(self, record: dict) -> None:
-        meta, temporary = self._path(record["id"], "meta.json"), self._path(record["id"], f".meta-{uuid.uuid4().hex}.tmp")
-        out = self._files.create(temporary, True)
-        out.write(bytearray(json.dumps(record, indent=2).encode()))
-        out.close()
-        self._files.delete(meta, False)
-        self._files.rename(temporary, meta)
+        source = self._files.fs.open(path)
+        try:
+            return bytes(self._files.jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+        finally:
+            source.close()
 
 
 def new_scan_id() -> str:

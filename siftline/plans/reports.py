@@ -1,7 +1,7 @@
 """Reports of deduplicated issues: JSON, SARIF, HTML, PDF, a terminal table; every writer fails by itself.
 
-What grows with a scan is written by partition (``write_json``, ``write_sarif``); the documents that people read are
-made on the driver and take a limit.
+What grows with a scan is written by partition: as one valid file (``json_file``, ``sarif_file``) or as a folder of parts
+(``write_json``, ``write_sarif``); the documents that people read are made on the driver and take a limit.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import fixed
 from siftline.functions.scalar import report_level
+from siftline.plans.onefile import write_document
 
 DUPLICATE = ("instance_id", "tool", "rule_id", "title", "severity", "cwe_ids", "score", "location")
 
@@ -96,6 +97,39 @@ def _head(header: Header) -> dict:
     return {k: getattr(header, k) for k in ("scan_id", "org_id", "project_id", "generated_at", "provenance")} | {"coverage": list(header.coverage)}
 
 
+def _object(known: dict, **rest: list) -> list:
+    """The sections of a JSON object: ``known`` members, then arrays whose sections are given."""
+    sections = [json.dumps(known)[:-1]]
+    for i, (name, rows) in enumerate(rest.items()):
+        sections += [(", " if known or i else "") + json.dumps(name) + ": [\n", *rows, "]"]
+    return [*sections, "}\n"]
+
+
+def json_file(header: Header, issues: DataFrame, path: str, members: DataFrame | None = None) -> int:
+    """The whole JSON report as one valid file at ``path``, issues by score, then issue_id; returns its bytes.
+
+    ``issues`` of ``dedupe(duplicates=False)`` and ``members`` give the other findings of all issues as a second array,
+    ``duplicates``, so that an issue with very many of them is no large row.
+    """
+    score = issues.select(F.col("issue_id").alias("_issue"), F.col("primary.score").alias("_score"))
+    rows = json_issues(issues).join(score, F.col("issue_id") == F.col("_issue")).select("report", "_score", "issue_id")
+    arrays = {"issues": [(rows, [F.desc("_score"), F.col("issue_id")])]}
+    if members is not None:
+        each = json_duplicates(issues, members).select(F.concat(F.lit('{"issue_id":'), F.to_json(F.array("issue_id")).substr(F.lit(2), F.length(F.to_json(F.array("issue_id"))) - 2), F.lit(',"duplicate":'), "duplicate", F.lit("}")).alias("value"), "issue_id", "ord")
+        arrays["duplicates"] = [(each, [F.col("issue_id"), F.col("ord")])]
+    return write_document(issues.sparkSession, path, _object(_head(header), **arrays))
+
+
+def sarif_file(findings: DataFrame, path: str, tool: str = "siftline", version: str = "1") -> int:
+    """All findings, by ord, as one valid SARIF 2.1.0 file at ``path``; returns its bytes.  Rules are rows as well."""
+    rules = sarif_rules(findings).select(F.to_json(F.struct(F.col("rule_id").alias("id"), F.struct(F.col("title").alias("text")).alias("shortDescription"), F.struct("tags").alias("properties"))).alias("rule"), "rule_id")
+    driver = _object({"name": tool, "version": version}, rules=[(rules, [F.col("rule_id")])])
+    results = sarif_results(findings).select("result", "ord")
+    top = json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"})[:-1]
+    sections = [top + ', "runs": [{"tool": {"driver": ', *driver, '}, "results": [\n', (results, [F.col("ord")]), "]}]}\n"]
+    return write_document(findings.sparkSession, path, sections)
+
+
 def write_json(header: Header, issues: DataFrame, folder: str, members: DataFrame | None = None) -> None:
     """``folder``/header (one line), /issues and, with ``members``, /duplicates: JSON lines, written by partition."""
     spark = issues.sparkSession

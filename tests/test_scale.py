@@ -107,3 +107,105 @@ def test_many_places_of_one_file(spark):
     out = ops.snippets(keys, spark.createDataFrame([("big", text)], "file_path string, content string"))
     got = out.agg(F.count("*").alias("n"), F.sum((F.col("matched").startswith(F.concat(F.lit("line "), F.col("line_start") - 1))).cast("int")).alias("good")).first()
     assert (got.n, got.good) == (400_000, 400_000) and time.time() - start < 120
+
+
+# -- one file, the scan store ---------------------------------------------------------------------------------------------
+
+
+def test_one_file_of_many_rows(spark, tmp_path):
+    import json
+
+    from siftline.plans import reports
+    from siftline.plans.onefile import write_document
+
+    n = 20_000
+    x = spark.range(n, numPartitions=7).select((n - F.col("id")).alias("ord"), F.concat(F.lit("r"), F.col("id") % 5).alias("rule_id"), F.concat(F.lit('t"\n'), F.col("id") % 5).alias("title"), F.lit("").alias("description"), F.lit("high").alias("severity"), F.array(F.lit("CWE-89")).alias("cwe_ids"), F.lit("a.py").alias("file_path"), F.col("id").cast("int").alias("line_start"), F.col("id").cast("int").alias("line_end"), F.lit("i").alias("issue_id"))
+    path = str(tmp_path / "report.sarif")
+    size = reports.sarif_file(x, path)
+    text = open(path).read()
+    assert json.loads(text) == json.loads(reports.sarif_document(x)) and len(json.loads(text)["runs"][0]["results"]) == n and size == len(text.encode())
+    reports.sarif_file(x.limit(0), path)  # over the older one
+    assert json.loads(open(path).read())["runs"][0]["results"] == []
+    assert [f for f in (p.name for p in tmp_path.iterdir()) if not f.endswith(".crc")] == ["report.sarif"]
+    rows = spark.createDataFrame([("1", 2), (None, 1), ("0", 0)], "v string, o int")
+    write_document(spark, str(tmp_path / "x.json"), ["[", (rows, ["o"]), "]"])
+    assert json.loads((tmp_path / "x.json").read_text()) == [0, 1]
+
+
+def test_json_file_equals_the_document(spark, tmp_path):
+    import json
+
+    from siftline.plans import reports
+
+    place = "struct<ord:long,instance_id:string,tool:string,rule_id:string,title:string,severity:string,cwe_ids:array<string>,score:double,file_path:string,line_start:int>"
+    rows = [(f"i{k}", 1, ["semgrep"], False, (k, f"n{k}", "semgrep", "r", "t", "high", ["CWE-1"], float(k % 7), "a.py", k), "") for k in range(500)]
+    issues = spark.createDataFrame(rows, f"issue_id string, occurrences long, tools array<string>, confirmed_by_multiple_tools boolean, primary {place}, correlation_reason string").repartition(5)
+    header = reports.Header("s", "o", "p")
+    reports.json_file(header, issues, str(tmp_path / "report.json"))
+    assert json.loads((tmp_path / "report.json").read_text()) == json.loads(reports.json_document(header, issues))
+
+
+def test_store_survives_a_stop_at_any_file_operation(spark, tmp_path, monkeypatch):
+    from siftline.operators import storage
+
+    class Stop(Exception):
+        pass
+
+    for stop in range(12):
+        store = storage.ScanStore(spark, str(tmp_path / f"s{stop}"))
+        store.add({"id": "a", "status": "queued", "label": "x"})
+        seen = 0
+
+        def counted(do):
+            def run(*args, **more):
+                nonlocal seen
+                seen += 1
+                if seen > stop:
+                    raise Stop
+                return do(*args, **more)
+
+            return run
+
+        with monkeypatch.context() as m:
+            m.setattr(store._files, "write", counted(store._files.write))
+            m.setattr(store, "_claim", counted(store._claim))
+            m.setattr(store, "compact", counted(store.compact))
+            m.setattr(store, "_named", counted(store._named))
+            m.setattr(store, "versions", counted(store.versions))
+            try:
+                store.update("a", status="completed")
+                done = True
+            except Stop:
+                done = False
+        fresh = storage.ScanStore(spark, str(tmp_path / f"s{stop}"))
+        status = fresh.get("a")["status"]
+        assert status == "completed" if done else status in ("queued", "completed")
+        assert fresh.update("a", label="y")["status"] == status and fresh.scans().count() == 1
+    assert done
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from siftline.operators import storage
+
+    stores = [storage.ScanStore(spark, str(tmp_path / "scans")) for _ in range(2)]
+    stores[0].add({"id": "a", "status": "running"})
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda k: [stores[k].update("a", **{f"w{k}_{i}": i}) for i in range(15)], range(2)))
+    record = stores[1].get("a")
+    assert all(record[f"w{k}_{i}"] == i for k in range(2) for i in range(15)) and stores[0].versions("a")[-1] == 31
+    assert stores[0].compact("a") == storage.KEPT_VERSIONS - 1 and stores[0].get("a") == record
+
+
+def test_purge_deletes_and_counts(spark, tmp_path):
+    from siftline.operators import storage
+
+    path = str(tmp_path / "scans")
+    rows = spark.range(100).select(F.concat(F.lit("s"), "id").alias("scan_id"), F.when(F.col("id") % 2 == 0, "o1").otherwise("o2").alias("org_id"), F.expr("timestamp'2024-01-31 00:00:00' - make_dt_interval(CAST(id AS INT))").alias("started_at"))
+    rows.repartitionByRange(5, "scan_id").write.parquet(path)
+    now = F.expr("timestamp'2024-02-01 00:00:00'")
+    want = {r.scan_id for r in storage.purge(rows, "o1", 30, now).collect()}
+    assert storage.purge_table(spark, path, "o1", 30, now) == 100 - len(want) > 0
+    assert sorted(r.scan_id for r in spark.read.parquet(path).collect()) == sorted(want)
+    assert storage.purge_table(spark, path, "o1", 30, now) == 0
