@@ -23,9 +23,15 @@ from pyspark.sql import functions as F
 from siftline.llm.runtime import text_or_empty, trimmed
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
-#: A name that secrets are set to, and its value: quoted, or up to the next blank; a private key's block.
-ASSIGNED = re.compile(r"""(?i:passw(?:or)?d|pwd|secret|token|api_?key|access_?key|auth|credentials?)\w{0,20}["']?\s?[:=]{1,2}>?\s?(?:"([^"\n]{6,200})"|'([^'\n]{6,200})'|([^\s"'`,;(){}<>\[\]]{6,200}))""")
-BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]{0,20000}?-----END [A-Z ]{0,40}PRIVATE KEY-----")
+#: A name that secrets are set to, and its value, of 6 characters or more: up to the closing quote, or else up to a blank, a
+#: quote or a list's next item.  No length ends it.  Every alternative is a plain run of characters, so a text takes linear time.
+NAME = re.compile(r"""(?i:passw(?:or)?d|pwd|secret|token|api_?key|access_?key|auth|credentials?)\w{0,20}["']?\s?[:=]{1,2}>?\s?""")
+VALUE = re.compile(r""""((?:[^"\\\n]|\\.){6,})"|'((?:[^'\\\n]|\\.){6,})'|["']?((?:[^\s"'`,;]|[,;](?!\s|$|[\w.\-]{1,40}[=:])){6,})""")
+#: What opens a call or an index, which ends a bare value; closing marks after one.
+CALL, CLOSING = re.compile(r"[A-Za-z_][\w.]*(?=[(\[])"), ",;)]}>"
+#: A private key's block: its first line, what may stand in it, its last line; lines of it where the last one is missing.
+BEGIN, END = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), re.compile(r"-----END [A-Z ]{0,40}PRIVATE KEY-----")
+BODY, OPEN_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,]|-(?!----BEGIN|----END))*"), re.compile(r"(?:\s*[A-Za-z0-9+/=]{16,}(?=\s|$))+")
 #: Labelled findings to learn from, at most; trees; their depth; findings that a leaf holds at least.
 SAMPLE_FINDINGS, TREES, DEPTH, LEAF = 20000, 40, 10, 4
 #: Characters of context on either side of a candidate.
@@ -86,7 +92,7 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
     covered = sum(len(x) for x in _FOUND.findall(low))
     return [
         n, math.log(n), -sum(v / n * math.log2(v / n) for v in counts.values()), kinds.count(2) / n, kinds.count(1) / n, kinds.count(0) / n, kinds.count(3) / n,
-        sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), float(all(c in "0123456789abcdef" for c in low)), len(counts) / n, longest,
+        sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), float(all(c in "0123456789abcdef" for c in low)), len(counts) / min(n, 64), longest,
         sum(c in "aeiou" for c in letters) / max(1, len(letters)), sum(low[i : i + 2] in PAIRS for i in range(n - 1)) / max(1, n - 1), covered / n,
         sum(w in FOR for w in left), sum(w in AGAINST for w in near), float(bool(re.search(r"[:=]\s*[\"'`]?$", before))), float(before[-1:] in "\"'`" and before != ""),
         float(any(w in PATHS_AGAINST for w in _WORD.findall(path.lower()))), float(value.isalpha()), float(bool(re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", low))),
@@ -95,6 +101,35 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
     ]
 
 
+def assigned(text: str) -> Iterator[tuple[int, int]]:
+    """The values that names of secrets are set to."""
+    done = 0
+    for name in NAME.finditer(text):
+        if name.end() < done or not (m := VALUE.match(text, name.end())):  # a name inside a value is part of it
+            continue
+        done = m.end()
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 3:  # bare
+            if call := CALL.match(text, a, b):
+                b = call.end()
+            while b > a and text[b - 1] in CLOSING and not ("{" in text[a:b] and text[b - 1] == "}") and not (text[a] == "<" and text[b - 1] == ">"):
+                b -= 1
+        if b - a >= 6:
+            yield a, b
+
+
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Private key blocks from their first line to their last, however long; of one without a last line, the lines of key text."""
+    at = 0
+    while m := BEGIN.search(text, at):
+        at = BODY.match(text, m.end()).end()
+        if end := END.match(text, at):
+            at = end.end()
+            yield m.start(), at
+        elif body := OPEN_BODY.match(text, m.end()):
+            yield m.start(), body.end()
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """[start, end) of each candidate in code points, in order; of those that overlap the one that begins first and ends last."""
     found = []
@@ -103,9 +138,9 @@ def candidates(text: str) -> list[tuple[int, int]]:
         if any(c.isdigit() for c in value) or not (value.islower() or value.isupper()) or PROVIDER.match(value):  # other words are none
             found.append((m.start(), m.end()))
     if _HINT.search(text):
-        found += [m.span(m.lastindex) for m in ASSIGNED.finditer(text)]
+        found += assigned(text)
         if "PRIVATE KEY-----" in text:
-            found += [m.span() for m in BLOCK.finditer(text)]
+            found += key_blocks(text)
     out: list[tuple[int, int]] = []
     for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
         if out and a < out[-1][1]:
@@ -132,7 +167,7 @@ def labelled_findings(n: int = 4000, seed: int = 11, dictionary: tuple[str, ...]
         opens = rng.choice((f'{name} = "', f"{name}: ", f"{name}='", f"{name}=", f'"{name}": "', f"{name}:"))
         kind, call = rng.random(), ""
         if kind < 0.3:  # keys by their formats
-            value = rng.choice([lambda: pick(hexa, rng.choice((32, 40, 40, 64))), lambda: pick(every, rng.randint(20, 64)), lambda: "AKIA" + pick(upper + digit, 16), lambda: "AKIA" + pick(upper + "234567", 16), lambda: "AKIA" + pick(upper + "27", 16), lambda: "ghp_" + pick(every, 36), lambda: "sk-" + pick(every, rng.randint(32, 48)), lambda: "xoxb-" + pick(digit, 11) + "-" + pick(every, 24), lambda: pick(every + "+/", rng.randint(30, 86)) + "=="])()
+            value = rng.choice([lambda: pick(hexa, rng.choice((32, 40, 40, 64))), lambda: pick(every, rng.randint(20, 64)), lambda: "AKIA" + pick(upper + digit, 16), lambda: "AKIA" + pick(upper + "234567", 16), lambda: "AKIA" + pick(upper + "27", 16), lambda: "ghp_" + pick(every, 36), lambda: "sk-" + pick(every, rng.randint(32, 48)), lambda: "xoxb-" + pick(digit, 11) + "-" + pick(every, 24), lambda: pick(every + "+/", rng.randint(30, 86)) + "==", lambda: pick(every + rng.choice(("", "+/", "-_", "!#%&*+,-./:;<=>?@^_|~()[]{}")), int(2 ** rng.uniform(6, 13)))])()
             bare = rng.choice(("key ", "using ", "aws = ", 'id = "', "")) if PROVIDER.match(value) else opens
             before, secret = rng.choice((opens, opens, bare, bare, "private_key " + opens, "Authorization: Bearer ", f"{name} ")), 1
             path = rng.choice(("src/app.py", "config/settings.yml", "src0", ".env", "deploy/values.yaml", ""))
@@ -143,7 +178,7 @@ def labelled_findings(n: int = 4000, seed: int = 11, dictionary: tuple[str, ...]
             value = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(pick(every + "+/", rng.choice((14, 40, 64, 64))) for _ in range(rng.randint(1, 12))) + "\n-----END RSA PRIVATE KEY-----"
             before, secret, path = rng.choice(("", "key: |\n", 'PRIVATE_KEY = """')), 1, rng.choice(("id_rsa", "src2", "deploy/values.yaml"))
         elif kind < 0.7:  # names that are set to something else
-            value = rng.choice([lambda: rng.choice(("required", "string", "optional", "invalid", "changeme", "redacted", "missing", "undefined", "password", "unknown")), lambda: ".".join(word() for _ in range(rng.randint(2, 3))), lambda: f"{word()}_{word()}", lambda: f"{word()} {word()} {word()}", lambda: f"${{{word().upper()}_{word().upper()}}}", lambda: f"your_{word()}_here", lambda: "*" * rng.randint(6, 12), lambda: f"<{word()}-{word()}>", lambda: f"/etc/{word()}/{word()}", lambda: f"{word()}[{word()}]", lambda: "the " + " ".join(plain() for _ in range(4)), lambda: word(), lambda: f"{word()}_{word()}(", lambda: f"{word()}.{word()}_{word()}(", lambda: f"{word()}{word().title()}["])()
+            value = rng.choice([lambda: rng.choice(("required", "string", "optional", "invalid", "changeme", "redacted", "missing", "undefined", "password", "unknown")), lambda: ".".join(word() for _ in range(rng.randint(2, 3))), lambda: f"{word()}_{word()}", lambda: f"{word()} {word()} {word()}", lambda: f"${{{word().upper()}_{word().upper()}}}", lambda: f"your_{word()}_here", lambda: "*" * rng.randint(6, 12), lambda: f"<{word()}-{word()}>", lambda: f"/etc/{word()}/{word()}", lambda: f"{word()}[{word()}]", lambda: "the " + " ".join(plain() for _ in range(4)), lambda: " ".join(syllables() for _ in range(int(2 ** rng.uniform(3, 9)))), lambda: rng.choice("x*-.0") * int(2 ** rng.uniform(4, 12)), lambda: word(), lambda: f"{word()}_{word()}(", lambda: f"{word()}.{word()}_{word()}(", lambda: f"{word()}{word().title()}["])()
             value, call = value.rstrip("(["), value[-1:] if value[-1] in "([" else ""
             before, secret, path = (f"{name} = " if call else opens), 0, rng.choice(("src/app.py", "README.md", "docs/guide.md", "tests/test_app.py", "src3"))
         else:

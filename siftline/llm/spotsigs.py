@@ -27,8 +27,8 @@ ANCHORS = ("the", "a", "an", "and", "of", "in", "to", "is", "that", "this", "wit
 CHAIN = 2
 #: Words without an anchor that make a place a spot; bits of a signature.
 GAP, BITS = 8, 40
-#: Likeness below which the query on fingerprints reports 0 where lengths alone show it; likeness of near documents.
-LEAST, NEAR = 0.05, 0.8
+#: Likeness of near documents.
+NEAR = 0.8
 #: Documents to a block of neighbours in doc_id order.
 BLOCK = 2048
 #: Quantile ranges of doc_id; each holds blocks by the length of its texts.
@@ -76,12 +76,17 @@ def partition(length: Column, threshold: float) -> Column:
     return F.when(length > 0, F.floor(F.log(length.cast("double")) / -math.log(threshold)).cast("int") + 2).otherwise(0)
 
 
-def likeness(a: Column, b: Column, threshold: float = LEAST) -> Column:
-    """Jaccard of two signature sets; 1 for two empty ones; 0 unseen where partitions or lengths rule ``threshold`` out."""
-    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard of two signature sets; 1 for two empty ones."""
     both = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
+def near(a: Column, b: Column, threshold: float) -> Column:
+    """Whether the likeness is ``threshold`` or more; not looked at where partitions or lengths rule that out."""
+    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     apart = (F.abs(partition(F.size(a), threshold) - partition(F.size(b), threshold)) > 1) | (small < F.lit(threshold) * large)
-    return F.when(large == 0, 1.0).when(apart, 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    return F.when(apart, False).otherwise(likeness(a, b) >= threshold)
 
 
 def with_next(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -148,15 +153,15 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(other, F.lit(1), half))
 
 
-def fingerprint_documents(docs: DataFrame, block: int = BLOCK, least: float = LEAST) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures.
 
     Null texts count as empty (fingerprint of 0 signatures); repeated rows and ties are kept, each row once; an empty
-    table gives no rows; other columns are ignored.  A likeness that lengths alone put below ``least`` is 0.
+    table gives no rows; other columns are ignored.  Both likenesses are the exact Jaccard of the printed sets.
     """
     x = with_next(docs, block).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     x = x.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("sigs").alias("own"), signatures(F.col("edited")).alias("other"), F.col("next_sigs").alias("next"))
-    return x.select("doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other"), least).alias("near_edited"), likeness(F.col("own"), F.col("next"), least).alias("near_next"), F.size("own").alias("n_signatures"))
+    return x.select("doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"), F.size("own").alias("n_signatures"))
 
 
 def near_documents(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
@@ -182,7 +187,7 @@ def near_documents(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.expr("class + 0").alias(f"of_{x}"), F.col("sigs").alias(f"sigs_{x}")) for x in "ab")
         x = pairs.join(a, F.col("a") == F.col("of_a")).join(b, F.col("b") == F.col("of_b"))
-        return materialise(x.where(likeness(F.col("sigs_a"), F.col("sigs_b"), threshold) >= threshold).select("a", "b"), "links")
+        return materialise(x.where(near(F.col("sigs_a"), F.col("sigs_b"), threshold)).select("a", "b"), "links")
 
     _, root = settle(postings, linked, threshold, 1)
     dropped(sets)

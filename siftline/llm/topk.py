@@ -6,6 +6,10 @@ more than a block however many queries there are.  A task turns each batch into
 dimension) and takes, for each query, blocks of dimensions in turn: partial score + |rest of query| |rest of vector|
 (Cauchy-Schwarz on the remaining mass) bounds the final score.  After each block the candidates whose bound is below the
 query's k-th best so far are compacted away.
+
+Partial scores and bounds are float64; a bound is widened by the most that rounding can have taken from it, and what is
+left is scored anew in integers, so results are exact whatever the components are.  A score beyond a long counts as the
+nearest long, and ties with what else does.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ class Searcher:
     """Keeps each query's k best (score, id) over the batches of one task."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, dim_block: int):
-        self.ids, self.q, self.k = ids, matrix.astype(np.float64), k
+        self.ids, self.whole, self.q, self.k = ids, matrix, matrix.astype(np.float64), k
         self.cuts = [*range(0, matrix.shape[1], dim_block), matrix.shape[1]]
         # norms of what remains of each query from each cut on
         squares = self.q**2
@@ -52,47 +56,64 @@ class Searcher:
             self.places.setdefault(name, []).append(i)
 
     def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
-        """Scores are sums of products of integers: exact in float64 while below 2**53, which the callers check."""
         for at in np.flatnonzero(np.isin(ids, self.ids)).tolist():
             for i in self.places[int(ids[at])]:
-                self.own[i] += bool((self.q[i] == matrix[at]).all())
+                self.own[i] += bool((self.whole[i] == matrix[at]).all())
         columns = matrix.T.astype(np.float64)
         mass = np.sqrt((columns**2).sum(axis=0))
         # rows of large norm first: the first slice sets a high threshold for the rest
         order = np.argsort(-mass, kind="stable")
-        columns, ids = np.ascontiguousarray(columns[:, order]), ids[order]
+        columns, ids, matrix, mass = np.ascontiguousarray(columns[:, order]), ids[order], matrix[order], mass[order]
         squares = columns**2
         rest = [np.sqrt(squares[c:].sum(axis=0)) for c in self.cuts]
+        largest = float(np.abs(columns).max()) if columns.size else 0.0
         head = max(64, 4 * self.k)
         for i, query in enumerate(self.q):
+            # sums below 2^53 are exact; otherwise each of the products and sums may have been rounded
+            exact = len(query) * largest * float(np.abs(query).max()) < 1 << 53
+            slack = np.zeros(len(ids)) if exact else mass * (self.rest[0][i] * (len(query) + 4) * 2.0**-52)
             first = 0
             if len(self.best[i]) < self.k:
-                self._merge(i, ids[:head], query @ columns[:, :head], columns[:, :head])
+                self._merge(i, ids[:head], query @ columns[:, :head], slack[:head], matrix[:head], exact)
                 first = head
-            floor = self.best[i][-1][0] if len(self.best[i]) >= self.k else -np.inf
+            floor = float(self.best[i][-1][0]) if len(self.best[i]) >= self.k else -np.inf
             alive, scores = np.arange(first, len(ids)), None
             for b, (lo, hi) in enumerate(zip(self.cuts, self.cuts[1:])):
                 if not len(alive):
                     break
                 scores = query[lo:hi] @ columns[lo:hi, first:] if scores is None else scores + query[lo:hi] @ columns[lo:hi, alive]
                 if np.isfinite(floor):
-                    live = scores + self.rest[b + 1][i] * rest[b + 1][alive] >= floor - 1e-6 * (1 + abs(floor))
+                    live = scores + self.rest[b + 1][i] * rest[b + 1][alive] + slack[alive] >= floor - 1e-6 * (1 + abs(floor))
                     alive, scores = alive[live], scores[live]
             if len(alive):
-                self._merge(i, ids[alive], scores, columns[:, alive] if (ids[alive] == self.ids[i]).any() else columns)
+                self._merge(i, ids[alive], scores, slack[alive], matrix[alive], exact)
 
-    def _merge(self, i: int, ids: np.ndarray, scores: np.ndarray, columns: np.ndarray) -> None:
+    def _merge(self, i: int, ids: np.ndarray, scores: np.ndarray, slack: np.ndarray, rows: np.ndarray, exact: bool) -> None:
         same = ids == self.ids[i]
         if same.any():  # another vector of the query's id is a candidate, an equal one is counted apart
-            same[same] = (columns[:, same] == self.q[i][:, None]).all(axis=0)
-        ids, scores = ids[~same], scores[~same]
+            same[same] = (rows[same] == self.whole[i]).all(axis=1)
+        ids, scores, slack, rows = ids[~same], scores[~same], slack[~same], rows[~same]
         if len(ids) > 4 * self.k:  # ties with the k-th score stay
-            least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-            ids, scores = ids[scores >= least], scores[scores >= least]
-        both = self.best[i] + [(int(s), int(v)) for s, v in zip(scores, ids)]
+            least = np.partition(np.clip(scores - slack, -(2.0**63), 2.0**63), len(scores) - self.k)[len(scores) - self.k]
+            near = scores + slack >= least
+            ids, scores, rows = ids[near], scores[near], rows[near]
+        whole = scores.astype(np.int64).tolist() if exact else products(rows, self.whole[i])
+        both = self.best[i] + list(zip(whole, ids.tolist()))
         self.best[i] = sorted(both, key=lambda x: (-x[0], x[1]))[: self.k]
 
 
+def products(rows: np.ndarray, query: np.ndarray) -> list[int]:
+    """Inner products in integers, as longs."""
+    if len(query) * float(np.abs(query.astype(np.float64)).max()) * float(np.abs(rows.astype(np.float64)).max(initial=0)) < 2.0**62:
+        return (rows @ query).tolist()
+    own = query.tolist()
+    return [as_long(sum(a * b for a, b in zip(row, own))) for row in rows.tolist()]
+
+
+def as_long(x: int) -> int:
+    return max(-(1 << 63), min((1 << 63) - 1, x))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, dim_block: int = DIM_BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query row with every other row.
 
@@ -103,12 +124,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, dim_block: int =
     its jobs when it is called.
     """
     spark = vectors.sparkSession
-    shapes = queries.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).collect()
-    most = vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0
+    shapes = queries.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).collect()
     found: list[DataFrame] = []
     for shape in sorted(shapes):
-        if shape.dims * max(1, shape.most) * max(1, most) >= 1 << 53:
-            raise ValueError("inner products of these vectors pass 2**53, and float64 would not be exact")
         own = vectors.where(F.size("v") == shape.dims)
         blocks = -(-shape.n * shape.dims * 8 // block_bytes)
         asked = queries.where(F.size("v") == shape.dims).groupBy("id", "v").agg(F.count("*").alias("asked"))
@@ -175,7 +193,7 @@ def _task(sent, dims: int, k: int, dim_block: int):
             searcher.add(ids, matrix)
         if searcher:
             rows = [(i, int(q), int(n), v, s, 0) for i, (q, n, best) in enumerate(zip(searcher.ids, asked, searcher.best)) for s, v in best]
-            rows += [(i, int(searcher.ids[i]), int(asked[i]), int(searcher.ids[i]), int(searcher.q[i] @ searcher.q[i]), int(searcher.own[i])) for i in np.flatnonzero(searcher.own)]
+            rows += [(i, int(searcher.ids[i]), int(asked[i]), int(searcher.ids[i]), products(searcher.whole[i : i + 1], searcher.whole[i])[0], int(searcher.own[i])) for i in np.flatnonzero(searcher.own)]
             columns = zip(*rows) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["query", "query_id", "asked", "vec_id", "score", "own"])
 
