@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from siftline.functions import fixed, guards
 from siftline.functions import scalar as S
 from siftline.operators import findings as ops
 from siftline.operators import scans, storage, triage
+from siftline.operators.graph import shared_folder
 from siftline.plans import pipeline, reports
 from siftline.plans.views import DUCK_K, FINDINGS, findings
 from siftline.sources import adapters
@@ -531,9 +533,9 @@ def token_budget_triage(spark, sf_dir):
 
 
 def _reports(spark, sf_dir, body):
-    """Twenty reports, and one that is cut off."""
-    x = findings(spark, sf_dir).groupBy((F.col("arrival") % 20).alias("arrival")).agg(F.to_json(body).alias("report"))
-    return x.unionByName(spark.createDataFrame([(20, '{"results": [{"check_id": "cut')], "arrival long, report string"))
+    """A report for every thousand findings, and one that is cut off."""
+    x = findings(spark, sf_dir).groupBy(F.expr("arrival div 1000").alias("arrival")).agg(F.to_json(body).alias("report"))
+    return x.unionByName(spark.createDataFrame([(-1, '{"results": [{"check_id": "cut')], "arrival long, report string"))
 
 
 @query(f"""{_F}, t AS (SELECT *, CASE WHEN arrival % 13 = 0 THEN concat('generic.secrets.', arrival % 7) ELSE rule_id END AS rule, ['ERROR', 'WARNING', 'INFO'][CAST(arrival % 3 AS INTEGER) + 1] AS level FROM f)
@@ -585,11 +587,22 @@ def sarif_report_flatten(spark, sf_dir):
     return x.select("rule_id", "file_path", "line_start", "line_end", "severity", "title", F.array_join("cwe_ids", ",").alias("cwes"), "description", "error")
 
 
-@query(f"""{_F}, e AS (SELECT arrival % 20 AS arrival, CASE WHEN arrival % 5 > 0 THEN rule_id END AS rule_id FROM f WHERE arrival % 3 = 0), r AS (SELECT arrival, list_sort(list_distinct(list(rule_id))) AS rules, count(*) FILTER (rule_id IS NULL) AS file_errors FROM e GROUP BY 1)
+@query(f"""{_F}, q AS (SELECT rule_id, arg_min(title, arrival) AS title, arg_min(cwe, arrival) AS cwe FROM f GROUP BY 1)
+  SELECT f.rule_id, file_path, line_start, greatest(line_start, line_end) AS line_end, 'medium' AS severity, CASE WHEN coalesce(q.title, '') = '' THEN f.rule_id ELSE q.title END AS title, q.cwe AS cwes, description
+  FROM f JOIN q ON q.rule_id = f.rule_id""")
+def sarif_file_flatten(spark, sf_dir):
+    """All findings as one SARIF file, which is read back in splits: rules once each, results in order."""
+    x = findings(spark, sf_dir).withColumns({"ord": F.col("arrival"), "issue_id": F.lit("i"), "cwe_ids": F.array("cwe")})
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}.sarif"
+    reports.sarif_file(x, path)
+    x = adapters.sarif_files(spark, path)
+    return x.select("rule_id", "file_path", "line_start", "line_end", "severity", "title", F.array_join("cwe_ids", ",").alias("cwes"), "description")
+
+
+@query(f"""{_F}, e AS (SELECT arrival // 1000 AS arrival, CASE WHEN arrival % 5 > 0 THEN rule_id END AS rule_id FROM f), r AS (SELECT arrival, list_sort(list_distinct(list(rule_id))) AS rules, count(*) FILTER (rule_id IS NULL) AS file_errors FROM e GROUP BY 1)
   SELECT arrival, CAST(len(rules) AS INTEGER) AS failed_rules, file_errors, concat(array_to_string(rules[:3], ', '), CASE WHEN len(rules) > 3 THEN concat(', +', len(rules) - 3, ' more') ELSE '' END) AS names FROM r""")
 def rule_error_rollup(spark, sf_dir):
-    d = F.col("arrival")
-    error = F.when(d % 3 == 0, F.struct(F.when(d % 5 > 0, F.col("rule_id")).alias("rule_id"), F.col("file_path").alias("path"), F.lit("failed").alias("message")))
+    error = F.struct(F.when(F.col("arrival") % 5 > 0, F.col("rule_id")).alias("rule_id"), F.col("file_path").alias("path"), F.lit("failed").alias("message"))
     return adapters.rule_errors(_reports(spark, sf_dir, F.struct(F.collect_list(error).alias("errors"))))
 
 
@@ -805,7 +818,7 @@ def whole_scan(spark, sf_dir):
     result = F.struct(F.lit("one.rule").alias("ruleId"), F.struct(F.col("description").alias("text")).alias("message"), F.array(place).alias("locations"))
     rule = F.struct(F.lit("one.rule").alias("id"), F.struct(F.array(F.lit("external/cwe/cwe-089")).alias("tags")).alias("properties"))
     run = F.struct(F.struct(F.struct(F.lit("x").alias("name"), F.array(rule).alias("rules")).alias("driver")).alias("tool"), F.collect_list(result).alias("results"))
-    reported = x.groupBy((F.col("arrival") % 20).alias("arrival")).agg(F.to_json(F.struct(F.array(run).alias("runs"))).alias("report"))
+    reported = x.groupBy(F.expr("arrival div 1000").alias("arrival")).agg(F.to_json(F.struct(F.array(run).alias("runs"))).alias("report"))
     out = pipeline.scan({"codeql": reported}, duplicates=False).issues
     return out.select("primary.file_path", F.col("occurrences").cast("long").alias("occurrences"), F.array_join("tools", ",").alias("tools"), "primary.score")
 

@@ -118,8 +118,8 @@ def covered(rows: DataFrame, secrets: DataFrame, key: list[str]) -> DataFrame:
     cut = secrets.select("file_path", "kind", "ord", F.explode(intervals(F.col("line_start"), F.col("line_end"))).alias("i"))
     parts = cut.groupBy(F.col("file_path").alias("s_path"), F.col("i.level").alias("s_level"), F.col("i.place").alias("s_place")).agg(F.min_by("kind", "ord").alias("kind"), F.min("ord").alias("s_ord"))
     used = parts.groupBy(F.concat("s_path").alias("u_path")).agg(F.collect_set("s_level").alias("levels"))
-    x = rows.join(used, F.col("file_path") == F.col("u_path")).withColumn("level", F.explode("levels")).withColumn("place", F.expr("shiftright(CAST(no AS BIGINT), level)"))
-    hits = x.join(parts, (F.col("file_path") == F.col("s_path")) & (F.col("level") == F.col("s_level")) & (F.col("place") == F.col("s_place")))
+    x = rows.join(used, F.col("file_path") == F.col("u_path")).withColumn("_level", F.explode("levels")).withColumn("_place", F.expr("shiftright(CAST(no AS BIGINT), _level)"))
+    hits = x.join(parts, (F.col("file_path") == F.col("s_path")) & (F.col("_level") == F.col("s_level")) & (F.col("_place") == F.col("s_place")))
     return hits.groupBy(*key).agg(F.min_by("kind", "s_ord").alias("kind"), F.min("s_ord").alias("by"))
 
 

@@ -5,23 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` cut from its lineage: written below ``spark.checkpoint.dir``, which all executors share, and read back.
-
-    The write runs in a clone of the session, in which shuffle files go when it ends.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share; a temporary one is set only on a local master where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` cut from its lineage: written below the shared folder and read back.
+
+    The write runs in a clone of the session, in which shuffle files go when it ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     own = spark._jsparkSession.cloneSession()
     own.conf().set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     frames = getattr(spark.sparkContext._jvm.org.apache.spark.sql.classic, "Dataset$").__getattr__("MODULE$")

@@ -2,22 +2,29 @@
 
 Each takes a table (report: string, arrival: long) of whole reports and returns finding rows in report order, with
 ``error`` set where a required field is missing or a path is unsafe (``strict`` raises instead).  A report that is no
-whole JSON object gives one row, which has only ``arrival`` and ``error``.  JSON of unknown shape is
-read as a variant only where it is polymorphic; everything else has a schema.
+whole JSON object gives one row, which has only ``arrival`` and ``error``.  A report is scanned and parsed once.  The
+``..._files`` functions read reports of any size from files: split over tasks, the readable rows of a broken report, then
+one row with its error; ``arrival`` is the file there, and ``at`` rises in a file's order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import scalar as S
+from siftline.operators.graph import written
+from siftline.sources.json_parts import read_elements
 
-RULES = "results array<struct<check_id string, path string, start struct<line int>, end struct<line int>, extra struct<message string, severity string, lines string, metadata struct<cwe string, confidence string, owasp string, references string>>>>, errors array<struct<rule_id string, path string, message string>>"
-DEPENDENCIES = "Results array<struct<Target string, Packages array<struct<Identifier struct<UID string>, Locations array<struct<StartLine int, EndLine int>>>>, Vulnerabilities array<struct<VulnerabilityID string, PkgName string, PkgIdentifier struct<UID string>, InstalledVersion string, FixedVersion string, Severity string, CweIDs array<string>, Title string, Description string, VendorIDs string, References string, PrimaryURL string>>, Secrets array<struct<RuleID string, Category string, Severity string, Title string, StartLine int, EndLine int>>>>"
-SARIF = "runs array<struct<tool struct<driver struct<name string, rules array<struct<id string, shortDescription struct<text string>, defaultConfiguration struct<level string>, properties struct<tags array<string>, precision string, `security-severity` string>>>>>, results array<struct<ruleId string, message struct<text string>, locations array<struct<physicalLocation struct<artifactLocation struct<uri string>, region struct<startLine int, endLine int>>>>>>>>"
+RULE_RESULT = "struct<check_id string, path string, start struct<line int>, end struct<line int>, extra struct<message string, severity string, lines string, metadata struct<cwe string, confidence string, owasp string, references string>>>"
+RULES = f"results array<{RULE_RESULT}>, errors array<struct<rule_id string, path string, message string>>"
+DEPENDENCY_RESULT = "struct<Target string, Packages array<struct<Identifier struct<UID string>, Locations array<struct<StartLine int, EndLine int>>>>, Vulnerabilities array<struct<VulnerabilityID string, PkgName string, PkgIdentifier struct<UID string>, InstalledVersion string, FixedVersion string, Severity string, CweIDs array<string>, Title string, Description string, VendorIDs string, References string, PrimaryURL string>>, Secrets array<struct<RuleID string, Category string, Severity string, Title string, StartLine int, EndLine int>>>"
+DEPENDENCIES = f"Results array<{DEPENDENCY_RESULT}>"
+SARIF_RULE = "struct<id string, shortDescription struct<text string>, defaultConfiguration struct<level string>, properties struct<tags array<string>, precision string, `security-severity` string>>"
+SARIF_RESULT = "struct<ruleId string, message struct<text string>, locations array<struct<physicalLocation struct<artifactLocation struct<uri string>, region struct<startLine int, endLine int>>>>>"
+SARIF = f"runs array<struct<tool struct<driver struct<name string, rules array<{SARIF_RULE}>>>, results array<{SARIF_RESULT}>>>"
 
 _EMPTY = "CAST(array() AS array<string>)"
 
@@ -31,20 +38,44 @@ def _line(x: Column, other: Column | int) -> Column:
     return F.when(F.coalesce(x, F.lit(0)) == 0, other).otherwise(x)
 
 
-def _finish(x: DataFrame, columns: dict[str, Column], required: dict[str, Column], order: list[Column], strict: bool) -> DataFrame:
+def _finish(x: DataFrame, columns: dict[str, Column], required: dict[str, Column], order: list[str], strict: bool) -> DataFrame:
+    """The rows' ``columns`` and errors; a row with ``fault`` (its report is broken) has only ``arrival`` and the error."""
     missing = F.filter(F.array(*(F.when(v.isNull(), F.lit(k)) for k, v in required.items())), lambda k: k.isNotNull())
-    error = F.when(F.size(missing) > 0, F.concat(F.lit("missing or invalid: "), F.array_join(missing, ", ")))
-    out = x.select(*order, *(v.alias(k) for k, v in columns.items()), error.alias("error"))
+    fault = F.col("fault").isNotNull()
+    error = F.when(fault, F.col("fault")).when(F.size(missing) > 0, F.concat(F.lit("missing or invalid: "), F.array_join(missing, ", ")))
+    out = x.select("arrival", *(F.when(~fault, F.col(k)).alias(k) for k in order), *(F.when(~fault, v).alias(k) for k, v in columns.items()), error.alias("error"), fault.alias("_whole"))
     if strict:
-        out = out.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("result at index "), F.col("at").cast("string"), F.lit(": "), F.col("error")))))
-    return out
+        said = F.when(F.col("_whole"), F.concat("error", F.lit(" "), F.col("arrival").cast("string"))).otherwise(F.concat(F.lit("result at index "), F.col("at").cast("string"), F.lit(": "), "error"))
+        out = out.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(said)))
+    return out.drop("_whole")
 
 
-def _broken(reports: DataFrame, out: DataFrame, strict: bool) -> DataFrame:
-    """``out`` and a row for each report that can't be read."""
-    whole = F.try_parse_json("report").isNotNull() & S.strip(F.col("report")).startswith("{")
-    error = F.lit("malformed report") if not strict else F.raise_error(F.concat(F.lit("malformed report "), F.col("arrival").cast("string"))).cast("string")
-    return out.unionByName(reports.where(~F.coalesce(whole, F.lit(False))).select("arrival", error.alias("error")), allowMissingColumns=True)
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _exploded(reports: DataFrame, schema: str, element: str, elements: Callable[[Column], Column]) -> DataFrame:
+    """(arrival, at, e, fault): the elements of each report, or one row without any and a fault.  One scan, one parse.
+
+    Fields of an unexpected kind are null, as the parser leaves them; only then is the text looked at again, whether it is
+    a JSON object at all.
+    """
+    read = F.from_json("report", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    text = F.col("report")
+
+    def rows(p: Column) -> Column:
+        whole = F.coalesce(S.strip(text).startswith("{") & (p["_bad"].isNull() | F.try_parse_json(text).isNotNull()), F.lit(False))
+        broken = F.array(F.struct(F.lit(None).cast(element).alias("e"), F.lit("malformed report").alias("fault")))
+        return F.when(whole, F.transform(elements(p), lambda e: F.struct(e.alias("e"), F.lit(None).cast("string").alias("fault")))).otherwise(broken)
+
+    return reports.select("arrival", F.posexplode(_once(read, rows)).alias("at", "_e")).select("arrival", "at", "_e.e", "_e.fault")
+
+
+def _parts(spark: SparkSession, paths: str | list[str], target: str, element: str) -> DataFrame:
+    """The same of files: (arrival, at, e, fault) with a file's name as arrival."""
+    x = read_elements(spark, paths, {"e": target})
+    return x.select(F.col("file").alias("arrival"), "at", F.from_json("value", element).alias("e"), F.when(F.col("error").isNotNull(), F.concat(F.lit("malformed report: "), "error")).alias("fault"))
 
 
 def _null(kind: str) -> Column:
@@ -56,8 +87,15 @@ PACKAGE, SECRET = "struct<name:string,installed_version:string,fixed_version:str
 
 def rule_findings(reports: DataFrame, root: str = "/", version: str = "unknown", tool: str = "semgrep", strict: bool = False) -> DataFrame:
     """A rule that looks for secrets makes a critical secret finding, which keeps four characters and no raw fields."""
-    x = reports.select("arrival", F.posexplode(F.from_json("report", RULES)["results"]).alias("at", "r"))
-    r = F.col("r")
+    return _rule_rows(_exploded(reports, RULES, RULE_RESULT, lambda p: p["results"]), root, version, tool, strict)
+
+
+def rule_files(spark: SparkSession, paths: str | list[str], root: str = "/", version: str = "unknown", tool: str = "semgrep", strict: bool = False) -> DataFrame:
+    return _rule_rows(_parts(spark, paths, "results[]", RULE_RESULT), root, version, tool, strict)
+
+
+def _rule_rows(x: DataFrame, root: str, version: str, tool: str, strict: bool) -> DataFrame:
+    r = F.col("e")
     raw_path = r["path"]
     prefix = root.rstrip("/") + "/"
     path = F.when(raw_path.startswith("/"), F.when(raw_path.startswith(prefix), F.substr(raw_path, F.lit(len(prefix) + 1)))).otherwise(raw_path)
@@ -74,7 +112,7 @@ def rule_findings(reports: DataFrame, root: str = "/", version: str = "unknown",
         "file_path": path, "line_start": start, "line_end": F.greatest(_line(r["end"]["line"], start), start), "package": _null(PACKAGE),
         "secret": F.when(secret, F.struct(r["check_id"].alias("kind"), S.last_four(F.coalesce(r["extra"]["lines"], F.lit(""))).alias("last_four"))), "raw": raw,
     }
-    return _broken(reports, _finish(x, columns, {"check_id": r["check_id"], "path": path}, [F.col("arrival"), F.col("at")], strict), strict)
+    return _finish(x, columns, {"check_id": r["check_id"], "path": path}, ["at"], strict)
 
 
 def rule_errors(reports: DataFrame, shown: int = 3) -> DataFrame:
@@ -87,14 +125,26 @@ def rule_errors(reports: DataFrame, shown: int = 3) -> DataFrame:
 
 
 def dependency_findings(reports: DataFrame, version: str = "unknown", tool: str = "trivy", strict: bool = False) -> DataFrame:
-    """Vulnerabilities before secrets within a result; a vulnerability's lines are those of the last package of its UID."""
-    x = reports.select("arrival", F.posexplode(F.from_json("report", DEPENDENCIES)["Results"]).alias("result", "r"))
+    """Vulnerabilities before secrets within a result; a vulnerability's lines are those of the last package of its UID.
+
+    What is parsed is written once, since packages, vulnerabilities and secrets are read from it; the job runs when this is called.
+    """
+    return _dependency_rows(_exploded(reports, DEPENDENCIES, DEPENDENCY_RESULT, lambda p: p["Results"]), version, tool, strict)
+
+
+def dependency_files(spark: SparkSession, paths: str | list[str], version: str = "unknown", tool: str = "trivy", strict: bool = False) -> DataFrame:
+    """As ``dependency_findings``, of files; one result is a row, so a lock file's packages are in one task."""
+    return _dependency_rows(_parts(spark, paths, "Results[]", DEPENDENCY_RESULT), version, tool, strict)
+
+
+def _dependency_rows(x: DataFrame, version: str, tool: str, strict: bool) -> DataFrame:
+    x = written(x.select("arrival", F.col("at").alias("result"), F.col("e").alias("r"), "fault"), "dependencies")
     path = S.relative_path(F.col("r.Target"))
     v = F.col("v")
     # the last of a result's packages of one UID that has a location wins; a join, so large reports stay linear
     packages = x.select("arrival", "result", F.posexplode("r.Packages").alias("no", "p")).where(F.col("p.Identifier.UID").isNotNull() & (F.size("p.Locations") > 0))
     places = packages.groupBy("arrival", "result", F.col("p.Identifier.UID").alias("uid")).agg(F.max_by(F.get("p.Locations", 0), "no").alias("place"))
-    vulns = x.select("arrival", "result", path.alias("path"), F.posexplode("r.Vulnerabilities").alias("at", "v")).withColumn("uid", F.col("v.PkgIdentifier.UID")).join(places, ["arrival", "result", "uid"], "left")
+    vulns = x.select("arrival", "result", path.alias("path"), F.lit(None).cast("string").alias("fault"), F.posexplode("r.Vulnerabilities").alias("at", "v")).withColumn("uid", F.col("v.PkgIdentifier.UID")).join(places, ["arrival", "result", "uid"], "left")
     start, end = F.coalesce("place.StartLine", F.lit(1)), F.coalesce("place.EndLine", F.lit(1))
     text = lambda c: S.strip(F.coalesce(c, F.lit("")))
     columns = {
@@ -104,25 +154,49 @@ def dependency_findings(reports: DataFrame, version: str = "unknown", tool: str
         "package": F.struct(v["PkgName"].alias("name"), v["InstalledVersion"].alias("installed_version"), F.nullif(v["FixedVersion"], F.lit("")).alias("fixed_version"), _null("boolean").alias("is_direct")),
         "secret": _null(SECRET), "raw": F.to_json(F.struct(v["VendorIDs"].alias("vendor_ids"), v["References"].alias("references"), v["PrimaryURL"].alias("primary_url"))),
     }
-    order = lambda kind: [F.col("arrival"), F.col("result"), F.lit(kind).alias("kind"), F.col("at")]
-    first = _finish(vulns, columns, {"Target": F.col("path"), "VulnerabilityID": v["VulnerabilityID"], "PkgName": v["PkgName"], "InstalledVersion": v["InstalledVersion"]}, order(0), strict)
+    order = ["result", "kind", "at"]
+    first = _finish(vulns.withColumn("kind", F.lit(0)), columns, {"Target": F.col("path"), "VulnerabilityID": v["VulnerabilityID"], "PkgName": v["PkgName"], "InstalledVersion": v["InstalledVersion"]}, order, strict)
     s = F.col("s")
-    found = x.select("arrival", "result", path.alias("path"), F.posexplode("r.Secrets").alias("at", "s"))
+    none = F.array(F.lit(None).cast(x.schema["r"].dataType["Secrets"].dataType.elementType))
+    found = x.select("arrival", "result", "fault", path.alias("path"), F.posexplode(F.when(F.col("fault").isNotNull(), none).otherwise(F.col("r.Secrets"))).alias("at", "s")).withColumn("kind", F.lit(1))
     begin = _line(s["StartLine"], 1)
     columns |= {
         "rule_id": s["RuleID"], "domain": F.lit("secret"), "title": _either(s["Title"], s["RuleID"]), "description": F.concat(F.coalesce(s["Category"], F.lit("secret")), F.lit(" detected by the scanner")),
         "severity": S.named_severity(s["Severity"]), "cwe_ids": F.expr(_EMPTY), "cve_id": _null("string"), "line_start": F.greatest(begin, F.lit(1)), "line_end": F.greatest(_line(s["EndLine"], begin), begin, F.lit(1)),
         "package": _null(PACKAGE), "secret": F.struct(s["RuleID"].alias("kind"), F.lit("").alias("last_four")), "raw": F.lit("{}"),
     }
-    return _broken(reports, first.unionByName(_finish(found, columns, {"Target": F.col("path"), "RuleID": s["RuleID"]}, order(1), strict)), strict)
+    return first.unionByName(_finish(found, columns, {"Target": F.col("path"), "RuleID": s["RuleID"]}, order, strict))
 
 
 def sarif_findings(reports: DataFrame, version: str = "unknown", tool: str = "codeql", strict: bool = False) -> DataFrame:
     """The first run and each result's first location; an unknown rule gives medium severity and its id as title."""
-    run = F.get(F.from_json("report", SARIF)["runs"], 0)
-    rules = reports.select("arrival", F.posexplode(run["tool"]["driver"]["rules"]).alias("no", "q")).where("q.id IS NOT NULL")
-    rules = rules.groupBy("arrival", F.col("q.id").alias("id")).agg(F.max_by("q", "no").alias("rule"))
-    x = reports.select("arrival", F.posexplode(run["results"]).alias("at", "r")).withColumn("id", F.col("r.ruleId")).join(rules, ["arrival", "id"], "left")
+    pair = f"struct<r {SARIF_RESULT}, rule {SARIF_RULE}>"
+
+    def with_rules(p: Column) -> Column:
+        """A run's results, each with the last rule of its id: the rules stay in the row that is exploded."""
+        run = F.get(p["runs"], F.lit(0))
+        rules = F.filter(F.coalesce(run["tool"]["driver"]["rules"], F.array().cast(f"array<{SARIF_RULE}>")), lambda q: q["id"].isNotNull())
+        last = lambda q, i: ~F.array_contains(F.transform(F.slice(rules, i + 2, F.greatest(F.size(rules), F.lit(1))), lambda o: o["id"]), q["id"])
+        by = F.map_from_entries(F.transform(F.filter(rules, last), lambda q: F.struct(q["id"], q)))
+        return _once(by, lambda known: F.transform(run["results"], lambda r: F.struct(r.alias("r"), F.try_element_at(known, r["ruleId"]).alias("rule"))))
+
+    x = _exploded(reports, SARIF, pair, with_rules).select("arrival", "at", "fault", F.col("e.r").alias("r"), F.col("e.rule").alias("rule"))
+    return _sarif_rows(x, version, tool, strict)
+
+
+def sarif_files(spark: SparkSession, paths: str | list[str], version: str = "unknown", tool: str = "codeql", strict: bool = False) -> DataFrame:
+    """As ``sarif_findings``, of files; results meet their rules by (file, id)."""
+    x = read_elements(spark, paths, {"results": "runs[0].results[]", "rules": "runs[0].tool.driver.rules[]"})
+    x = written(x, "elements")  # else results and rules would read the files twice
+    rules = x.where("target = 'rules'").select("file", "at", F.from_json("value", SARIF_RULE).alias("q")).where("q.id IS NOT NULL")
+    rules = rules.groupBy(F.concat("file").alias("of"), F.col("q.id").alias("id")).agg(F.max_by("q", "at").alias("rule"))
+    fault = F.when(F.col("error").isNotNull(), F.concat(F.lit("malformed report: "), "error"))
+    found = x.where("target = 'results' OR error IS NOT NULL").select(F.col("file").alias("arrival"), "at", F.from_json("value", SARIF_RESULT).alias("r"), fault.alias("fault"))
+    found = found.join(rules, (F.col("arrival") == F.col("of")) & (F.col("r.ruleId") == F.col("id")), "left").select("arrival", "at", "fault", "r", "rule")
+    return _sarif_rows(found, version, tool, strict)
+
+
+def _sarif_rows(x: DataFrame, version: str, tool: str, strict: bool) -> DataFrame:
     r, rule = F.col("r"), F.col("rule")
     place = F.get(r["locations"], 0)["physicalLocation"]
     path = S.relative_path(F.nullif(place["artifactLocation"]["uri"], F.lit("")))
@@ -134,7 +208,7 @@ def sarif_findings(reports: DataFrame, version: str = "unknown", tool: str = "co
         "line_start": F.greatest(start, F.lit(1)), "line_end": F.greatest(_line(place["region"]["endLine"], start), start, F.lit(1)), "package": _null(PACKAGE), "secret": _null(SECRET),
         "raw": F.to_json(F.struct(props["precision"].alias("precision"), props["security-severity"].alias("security_severity"))),
     }
-    return _broken(reports, _finish(x, columns, {"ruleId": r["ruleId"], "uri": path}, [F.col("arrival"), F.col("at")], strict), strict)
+    return _finish(x, columns, {"ruleId": r["ruleId"], "uri": path}, ["at"], strict)
 
 
 #: Adapters by the scanner's name; ``register`` adds others.

@@ -122,3 +122,45 @@ def test_elements_of_files(spark, tmp_path):
     assert cut == docs["big.json"]["results"][: len(cut)] and len(cut) > 1000
     assert [(r.file, r.error) for r in rows if r.error] == [("cut.json", "the document ends early")] and rows[[r.file for r in rows].index("d0.json") - 1].error
     assert Beginning().stack == []
+
+
+def test_reports_of_files_equal_whole_reports(spark, tmp_path):
+    """Each kind of report, read whole and in splits; a report that breaks off gives what is whole in it, and one error."""
+    from siftline.sources import adapters
+
+    rng = random.Random(12)
+    n = 400
+    rule = lambda i: {"check_id": f"r.{i % 9}", "path": rng.choice(["a.py", "/repo/b,c.py", "/etc/x"]), "start": {"line": i}, "end": {"line": i + 1}, "extra": {"message": f'm, "{i}" {{', "severity": "ERROR", "lines": "x", "metadata": {"cwe": ["CWE-89: x"]}}}
+    dependency = lambda i: {"Target": f"l{i}.json", "Packages": [{"Identifier": {"UID": "u"}, "Locations": [{"StartLine": 3, "EndLine": 4}]}], "Vulnerabilities": [{"VulnerabilityID": f"CVE-{i}", "PkgName": "p,q", "PkgIdentifier": {"UID": "u"}, "InstalledVersion": "1", "Severity": "HIGH"}], "Secrets": [{"RuleID": "k", "Severity": "LOW", "StartLine": 2}]}
+    rules = [{"id": f"q{i % 5}", "shortDescription": {"text": f"t{i}"}, "properties": {"tags": ["external/cwe/cwe-079"], "security-severity": str(i)}} for i in range(8)]
+    result = lambda i: {"ruleId": f"q{i % 6}", "message": {"text": f"m,{i}"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": f"f{i}.py"}, "region": {"startLine": i}}}]}
+    cases = [
+        (adapters.rule_findings, adapters.rule_files, {"errors": [{"path": "x"}], "results": [rule(i) for i in range(n)]}),
+        (adapters.dependency_findings, adapters.dependency_files, {"SchemaVersion": 2, "Results": [dependency(i) for i in range(n)]}),
+        (adapters.sarif_findings, adapters.sarif_files, {"runs": [{"tool": {"driver": {"name": "x", "rules": rules}}, "results": [result(i) for i in range(n)]}, {"results": [result(7)]}]}),
+    ]
+    for whole, files, doc in cases:
+        text = json.dumps(doc)
+        folder = tmp_path / whole.__name__
+        folder.mkdir()
+        (folder / "a.json").write_text(text)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+        try:
+            got = files(spark, str(folder))
+            keys = [c for c in got.columns if c not in ("arrival", "at", "result", "kind")]
+            rows = sorted(str(r) for r in got.select(*keys).collect())
+            assert rows == sorted(str(r) for r in whole(spark.createDataFrame([(text, 1)], "report string, arrival long")).select(*keys).collect()) and len(rows) >= n
+            (folder / "a.json").write_text(text[: len(text) // 2])
+            cut = files(spark, str(folder)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [r.error for r in cut if r.error and r.error.startswith("malformed")] == ["malformed report: the document ends early"] and n // 4 < len(cut) < n + n // 4
+
+
+def test_one_scan_and_parse_of_a_report(spark):
+    from siftline.sources import adapters
+
+    df = spark.createDataFrame([('{"runs": []}', 1), ("[1]", 2), ('{"a', 3), (None, 4), ('{"runs": [{"results": "odd"}]}', 5)], "report string, arrival long")
+    assert sorted((r.arrival, r.error) for r in adapters.sarif_findings(df).collect()) == [(2, "malformed report"), (3, "malformed report"), (4, "malformed report")]
+    text = adapters.sarif_findings(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("LocalRelation") + text.count("LogicalRDD") == 1 and text.count("from_json") == 1
