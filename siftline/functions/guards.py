@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from siftline.functions import fixed
+from siftline.functions.folding import nfkd
 from siftline.functions.scalar import entropy, strip
 
 #: Line ends as a text reader sees them; CR LF is one.
@@ -22,14 +19,8 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
-@F.pandas_udf(StringType())
-def nfkd(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks: Spark has no such function."""
-    return text.map(lambda s: s if s is None or s.isascii() else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
-
-
 def fold(line: Column, unicode: bool = False) -> Column:
-    """Look-alike letters as Latin, runs of blanks as one; with ``unicode``, decomposed first (one Arrow UDF)."""
+    """Look-alike letters as Latin, runs of blanks as one; with ``unicode``, decomposed first."""
     return F.regexp_replace(F.translate(nfkd(line) if unicode else line, *fixed.LOOKALIKES), r"[ \t]+", " ")
 
 

@@ -209,3 +209,30 @@ def test_purge_deletes_and_counts(spark, tmp_path):
     assert storage.purge_table(spark, path, "o1", 30, now) == 100 - len(want) > 0
     assert sorted(r.scan_id for r in spark.read.parquet(path).collect()) == sorted(want)
     assert storage.purge_table(spark, path, "o1", 30, now) == 0
+
+
+# -- folding --------------------------------------------------------------------------------------------------------------
+
+
+def test_folding_equals_the_unicode_data(spark):
+    import unicodedata
+
+    from siftline.functions.folding import nfkd
+
+    bare = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    points = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    rng = random.Random(13)
+    odd = [c for c in points if bare(c) != c]
+    texts = ["".join(points[i : i + 512]) for i in range(0, len(points), 512)]
+    texts += ["".join(rng.choice([rng.choice(points), rng.choice(odd), "a", "\n", "ẹ́"]) for _ in range(rng.randrange(30))) for _ in range(2000)] + ["", "plain", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = df.select("i", nfkd(F.col("t")).alias("n"))
+    assert {r.i: r.n for r in out.collect()} == {i: None if t is None else bare(t) for i, t in enumerate(texts)}
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_python_in_the_directive_scan(spark):
+    from siftline import catalogue
+
+    plan = catalogue.QUERIES["injection_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
