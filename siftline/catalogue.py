@@ -17,6 +17,7 @@ from siftline.operators.graph import shared_folder
 from siftline.plans import pipeline, reports
 from siftline.plans.views import DUCK_K, FINDINGS, findings
 from siftline.sources import adapters
+from siftline.streaming import reconciler
 from siftline.streaming.relay import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,9 +38,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scored(spark: SparkSession, sf_dir: str, scan: str | None = None) -> DataFrame:
+def _in_scores(spark: SparkSession, sf_dir: str, scan: str | None = None) -> DataFrame:
+    """Scores first: in the other order the generated method passes 8,000 bytes of code, beyond which no JVM compiles it."""
     x = findings(spark, sf_dir)
-    return ops.ranked(ops.risk(ops.fingerprint(x.where(F.col("scan") == scan) if scan else x)))
+    return ops.fingerprint(ops.risk(x.where(F.col("scan") == scan) if scan else x))
+
+
+def _scored(spark: SparkSession, sf_dir: str, scan: str | None = None) -> DataFrame:
+    return ops.ranked(_in_scores(spark, sf_dir, scan))
 
 
 # -- SQL building blocks ------------------------------------------------------------------------------------------------
@@ -233,7 +239,7 @@ _SIGNED = f"""{_SCORED}, q AS (SELECT scan, ord, issue_id, CASE WHEN domain <> '
 
 
 def _reconciled(spark, sf_dir):
-    x = _scored(spark, sf_dir).withColumn("content_signature", F.when(F.col("domain") != "sca", S.content_signature(F.col("tool"), F.col("rule_id"), F.col("code"))))
+    x = ops.placed(_in_scores(spark, sf_dir)).withColumn("content_signature", F.when(F.col("domain") != "sca", S.content_signature(F.col("tool"), F.col("rule_id"), F.col("code"))))
     part = lambda scan: x.where(F.col("scan") == scan).select("ord", "issue_id", "content_signature")
     return ops.reconcile(part("current"), part("base"))
 
@@ -248,6 +254,22 @@ def reconcile_counts(spark, sf_dir):
     return _reconciled(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
+_STREAMED = _SIGNED.replace(_SCORED, f"{_F}, s AS (SELECT *, arrival AS ord, {_ISSUE} AS issue_id FROM f)")
+
+
+@query(f"{_STREAMED} SELECT 1 AS scan, issue_id, status, previous_id FROM st UNION ALL SELECT 0, issue_id, 'new', NULL FROM bas")
+def streamed_status(spark, sf_dir):
+    """Findings of both scans arrive mixed, in three batches; the state after the last one."""
+    x = ops.fingerprint(findings(spark, sf_dir))
+    signature = F.when(F.col("domain") != "sca", S.content_signature(F.col("tool"), F.col("rule_id"), F.col("code")))
+    x = x.select((F.col("scan") == "current").cast("long").alias("scan"), F.col("arrival").alias("ord"), "issue_id", signature.alias("content_signature"))
+    folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    for part in range(3):
+        x.where(F.pmod(F.xxhash64("ord"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        reconciler.advance(spark.readStream.schema(reconciler.FINDING).parquet(f"{folder}/in"), f"{folder}/out")
+    return reconciler.statuses(spark, f"{folder}/out").select(F.col("scan").cast("int").alias("scan"), "issue_id", "status", "previous_id")
+
+
 @query(f"{_F} SELECT arrival FROM f WHERE file_path IN (SELECT file_path FROM f WHERE scan = 'base' AND severity = 'critical')")
 def changed_files(spark, sf_dir):
     x = findings(spark, sf_dir)
@@ -858,7 +880,7 @@ def scan_provenance(spark, sf_dir):
 @query(f"""{_SCORED} SELECT arrival, severity_bar, path_bar FROM (SELECT arrival, {_round2("base")} AS a, {_round2("path_part")} AS b, {_round2("verdict_part")} AS c, CASE WHEN domain = 'sca' THEN bonus ELSE 0 END AS d, coalesce({_round2("floor_part")}, 0) AS e,
   greatest(abs(a), abs(b), abs(c), abs(d), abs(e), 1) AS most, a / most AS severity_bar, CASE WHEN b <> 0 THEN b / most END AS path_bar FROM s)""")
 def contribution_bars(spark, sf_dir):
-    x = ops.risk(ops.fingerprint(findings(spark, sf_dir)))
+    x = ops.fingerprint(ops.risk(findings(spark, sf_dir)))
     bars = scans.contribution_bars(F.col("contributions"))
     return x.select("arrival", bars["severity"].alias("severity_bar"), bars["path_role"].alias("path_bar"))
 

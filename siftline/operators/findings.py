@@ -111,6 +111,12 @@ def risk(findings: DataFrame, policy: dict = fixed.POLICY) -> DataFrame:
     return x.drop("_base", "_path", "_verdict", "_placed", "_judged", "_bonus", "_raw", "_lifted", "_clamped", *(f"_{k}_part" for k in parts))
 
 
+def placed(findings: DataFrame) -> DataFrame:
+    """Adds ``ord``, a struct that sorts as (score descending, path, arrival) does: for what only compares places, as ``reconcile``
+    does, this is enough, and nothing is sorted or written."""
+    return findings.withColumn("ord", F.struct((-F.col("score")).alias("score"), "file_path", "arrival"))
+
+
 def ranked(findings: DataFrame) -> DataFrame:
     """Adds ``ord``, the place in (score descending, path, arrival) order, within each ``scan`` where there is that column.
 
