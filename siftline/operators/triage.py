@@ -10,6 +10,7 @@ import json
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,8 @@ from siftline.sources.model import ModelError, ModelReply
 REPLY = "verdict string, reachability string, confidence double, rationale string, citations array<struct<line_start:int,line_end:int,note:string>>, impact string, remediation string"
 KEYS = ("verdict", "reachability", "confidence", "rationale", "citations", "impact", "remediation")
 INPUT_TOKENS, OUTPUT_TOKENS, CHARS_PER_TOKEN = 2_000_000, 400_000, 4
+#: Requests that a task has under way; tokens of a reply at most, for the reservation.
+WINDOW, REPLY_TOKENS = 8, 1024
 ANALYSIS = ("verdict", "confidence", "rationale", "evidence", "impact", "remediation", "holds")
 EVIDENCE = "array<struct<file_path:string,line_start:int,line_end:int,note:string>>"
 PLACE = ("file_path", "line_start", "line_end")
@@ -72,7 +75,8 @@ def gate(findings: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     return x.withColumn("route", F.when(F.coalesce("matched", F.lit("")) == "", "hold:evidence").when(F.col("suspicious"), "hold:injection").when(hit, "cached").otherwise("ask"))
 
 
-def ask(asked: DataFrame, client: Callable[[str], tuple | ModelReply], attempts: int = 2, budget: tuple[int, int] | None = (INPUT_TOKENS, OUTPUT_TOKENS), accept: Callable[[str], bool] = usable) -> DataFrame:
+def ask(asked: DataFrame, client: Callable[[str], tuple | ModelReply], attempts: int = 2, budget: tuple[int, int] | None = (INPUT_TOKENS, OUTPUT_TOKENS), accept: Callable[[str], bool] = usable,
+        window: int = WINDOW, reserve: Callable[[str], tuple[int, int]] | None = None) -> DataFrame:
     """(ord, raw, status, detail, used_in, used_out): sends each prompt (ord, prompt, optional key) in order while the budget lasts.
 
     The budget is one running state, so rows go through one task in their order, but only while it can still pay: the
@@ -81,8 +85,14 @@ def ask(asked: DataFrame, client: Callable[[str], tuple | ModelReply], attempts:
     budget stops costs nothing; of rows of one ``key`` the first one that is answered stands for those after it (status
     ``cached``).  Without a budget the rows are asked where they lie, and share keys within a task only.  ``client``
     returns (text, tokens in, tokens out) and raises ModelError or ConnectionError; an unusable text is asked for again.
+
+    A task has up to ``window`` requests under way and takes the replies in the rows' order, so the rows are those of a
+    serial run whatever the latencies; ``client`` is called from threads.  A request is sent ahead only where what is under
+    way leaves it its tokens: ``reserve`` says what a prompt may cost at most (tokens in and out of all its attempts).  A
+    reply that costs more than that can only mean that a request sent ahead turns out to be held, and its reply unused.
     Runs its jobs when it is called, but for the last.
     """
+    reserve = reserve or (lambda prompt: (attempts * (len(prompt) // CHARS_PER_TOKEN + len(prompt) // CHARS_PER_TOKEN // 4 + 16), attempts * REPLY_TOKENS))
     key = F.col("key") if "key" in asked.columns else F.lit(None).cast("string")
     rows = asked.select("ord", key.alias("key"), "prompt")
     kind = rows.schema["ord"].dataType.simpleString()
@@ -91,37 +101,68 @@ def ask(asked: DataFrame, client: Callable[[str], tuple | ModelReply], attempts:
     def asking(used: list[int]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             spent, answered = list(used), set()
-            for batch in batches:
-                out = []
-                for no, name, prompt, known in zip(batch["ord"], batch["key"], batch["prompt"], batch["known"]):
-                    if known or (name is not None and name in answered):
-                        out.append((no, name, None, "cached", None, *spent))
-                        continue
-                    if budget and spent[0] + len(prompt) // CHARS_PER_TOKEN > budget[0]:
-                        out.append((no, name, None, "hold:budget", f"input budget exhausted: {spent[0]}/{budget[0]}", *spent))
-                        continue
-                    if budget and spent[1] >= budget[1]:
-                        out.append((no, name, None, "hold:budget", "output budget exhausted", *spent))
-                        continue
-                    raw, status = None, "hold:evidence"
-                    for _ in range(attempts):
-                        try:
-                            reply = client(prompt)
-                        except (ModelError, ConnectionError):
-                            raw = None
-                            break
-                        raw, a, b = (reply.text, reply.input_tokens, reply.output_tokens) if isinstance(reply, ModelReply) else reply
-                        spent = [spent[0] + a, spent[1] + b]
-                        if accept(raw):
-                            status = "answered"
-                            if name is not None:
-                                answered.add(name)
-                            break
-                    out.append((no, name, raw, status, None if status == "answered" else fixed.NO_RESPONSE, *spent))
-                yield pd.DataFrame(out, columns=["ord", "key", "raw", "status", "detail", "used_in", "used_out"])
+            with ThreadPoolExecutor(window) as pool:
+                for batch in batches:
+                    out = in_window(list(zip(batch["ord"], batch["key"], batch["prompt"], batch["known"])), pool, spent, answered)
+                    yield pd.DataFrame(out, columns=["ord", "key", "raw", "status", "detail", "used_in", "used_out"])
 
         return run
 
+    def one(prompt: str) -> tuple[str | None, bool, int, int]:
+        """A prompt's last text, whether it is accepted, and the tokens of all its attempts."""
+        raw, a, b = None, 0, 0
+        for _ in range(attempts):
+            try:
+                reply = client(prompt)
+            except (ModelError, ConnectionError):
+                return None, False, a, b
+            raw, more_in, more_out = (reply.text, reply.input_tokens, reply.output_tokens) if isinstance(reply, ModelReply) else reply
+            a, b = a + more_in, b + more_out
+            if accept(raw):
+                return raw, True, a, b
+        return raw, False, a, b
+
+    def in_window(rows: list[tuple], pool: ThreadPoolExecutor, spent: list[int], answered: set) -> list[tuple]:
+        """The rows in order; prompts behind the one that is due are sent ahead where they are sure to be asked."""
+        sent: dict[int, Future] = {}
+        ahead, out = 0, []
+
+        def sure(no: int) -> bool:
+            """Whether row ``no`` will be asked whatever the replies under way cost, as long as they keep within ``reserve``."""
+            name, prompt = rows[no][1:3]
+            if name is not None and any(rows[k][1] == name for k in sent):
+                return False
+            if budget:
+                held = [reserve(rows[k][2]) for k in sent]
+                return spent[0] + sum(a for a, _ in held) + len(prompt) // CHARS_PER_TOKEN <= budget[0] and spent[1] + sum(b for _, b in held) < budget[1]
+            return True
+
+        for due, (no, name, prompt, known) in enumerate(rows):
+            ahead = max(ahead, due)
+            while ahead < len(rows) and len(sent) < window:
+                if not (rows[ahead][3] or rows[ahead][1] is not None and rows[ahead][1] in answered):
+                    if sure(ahead):
+                        sent[ahead] = pool.submit(one, rows[ahead][2])
+                    elif budget and not (rows[ahead][1] is not None and any(rows[k][1] == rows[ahead][1] for k in sent)):
+                        break  # the budget may end before it
+                ahead += 1
+            under_way = sent.pop(due, None)
+            if known or (name is not None and name in answered):
+                out.append((no, name, None, "cached", None, *spent))
+                continue
+            if budget and spent[0] + len(prompt) // CHARS_PER_TOKEN > budget[0]:
+                out.append((no, name, None, "hold:budget", f"input budget exhausted: {spent[0]}/{budget[0]}", *spent))
+                continue
+            if budget and spent[1] >= budget[1]:
+                out.append((no, name, None, "hold:budget", "output budget exhausted", *spent))
+                continue
+            raw, good, a, b = under_way.result() if under_way else one(prompt)
+            spent[:] = spent[0] + a, spent[1] + b
+            if good and name is not None:
+                answered.add(name)
+            out.append((no, name, raw, "answered" if good else "hold:evidence", None if good else fixed.NO_RESPONSE, *spent))
+        return out
+
     def flagged(df: DataFrame) -> DataFrame:
         """With ``known``: whether an earlier stretch has answered the row's key."""
         found = [x.where("status = 'answered' AND key IS NOT NULL").select(F.col("key").alias("of"), F.lit(True).alias("known")) for x in done]

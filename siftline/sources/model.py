@@ -1,4 +1,4 @@
-"""Models that answer prompts: the reply, the errors, and a client of a local generation server, with attempts and backoff.
+"""Models that answer prompts: the reply, the errors, clients of a local server and of a hosted service, with attempts and backoff.
 
 ``ask`` of the triage operator runs a client on the executors, so a client must be picklable; it opens connections there.
 """
@@ -70,3 +70,24 @@ def local_model(model_id: str, base_url: str = "http://localhost:11434", timeout
         return ModelReply(found.get("response", ""), found.get("prompt_eval_count", 0), found.get("eval_count", 0))
 
     return with_attempts(send, attempts)
+
+
+#: The hosted service's path and the version of its wire format.
+MESSAGES_PATH, MESSAGES_VERSION = "/v1/messages", "2023-06-01"
+
+
+def hosted_model(model_id: str, key: str | None, base_url: str = "https://api.anthropic.com", timeout: float = 120.0, max_tokens: int = 1024, attempts: int = 4) -> Callable[[str], ModelReply]:
+    """A client of a hosted service with a key: one message, temperature 0, the text blocks of the answer."""
+    if not key:
+        raise ModelError("the hosted model needs a key")
+    url = f"{base_url.rstrip('/')}{MESSAGES_PATH}"
+
+    def send(prompt: str) -> ModelReply:
+        body = json.dumps({"model": model_id, "max_tokens": max_tokens, "temperature": 0, "messages": [{"role": "user", "content": prompt}]}).encode()
+        headers = {"Content-Type": "application/json", "x-api-key": key, "anthropic-version": MESSAGES_VERSION}
+        with urllib.request.urlopen(urllib.request.Request(url, data=body, headers=headers), timeout=timeout) as answer:
+            found = json.loads(answer.read())
+        text = "".join(x.get("text", "") for x in found.get("content", []) if x.get("type") == "text")
+        return ModelReply(text, found.get("usage", {}).get("input_tokens", 0), found.get("usage", {}).get("output_tokens", 0))
+
+    return with_attempts(send, attempts)

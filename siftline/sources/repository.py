@@ -11,15 +11,21 @@ import tarfile
 import zipfile
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from typing import BinaryIO
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siftline.functions.fixed import EXCLUDED_DIRS, UPLOAD_SUFFIXES
+from siftline.operators.graph import written
 from siftline.sources.model import ReportError
 
 MAX_FILES, MAX_FILE_BYTES, PER_TASK = 200_000, 5 << 20, 256
 ARCHIVE_FILES, ARCHIVE_FILE_BYTES, ARCHIVE_BYTES = 50_000, 100 << 20, 2 << 30
+#: Bytes of a zip that a task unpacks, about.
+PART_BYTES = 64 << 20
 
 
 class _Files(InputPartition):
@@ -51,22 +57,15 @@ class TreeReader(DataSourceReader):
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         for full, path, wanted in partition.paths:
-            size = content = None
-            try:
-                size = os.path.getsize(full) if wanted else None
-                if wanted and size <= self.max_bytes:
-                    with open(full, "rb") as f:
-                        content = f.read()
-            except OSError:  # counts as binary, and as skipped where it has no size
-                content = None
-            yield path, size, content, content is None or b"\0" in content[:8192]
+            yield _file_row(full, path, wanted, self.max_bytes)
 
 
 class Tree(DataSource):
     """``spark.read.format("siftline-tree").load(root)``: path, size, content (null where too large or unreadable), is_binary.
 
     Options maxFiles, maxBytes; skipped=true adds rows (without size) for links and for files under excluded directories,
-    which ``findings.file_counts`` counts.  The tree must be in a file system that the driver and all executors mount.
+    which ``findings.file_counts`` counts.  The tree must be in a file system that the driver and all executors mount.  The
+    driver lists it; ``read_tree`` gives the same rows of larger trees.
     """
 
     @classmethod
@@ -80,59 +79,221 @@ class Tree(DataSource):
         return TreeReader(self.options["path"], int(self.options.get("maxFiles", MAX_FILES)), int(self.options.get("maxBytes", MAX_FILE_BYTES)), self.options.get("skipped", "false").lower() == "true")
 
 
+def read_tree(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_bytes: int = MAX_FILE_BYTES, skipped: bool = False) -> DataFrame:
+    """The rows of ``siftline-tree`` for trees of any number of files: folders are listed in tasks, level by level.
+
+    The folders of a level are a written table, of which tasks list a few each and give files and the next level's folders;
+    so the driver sees neither.  Where there are more than ``max_files`` files, the place in walk order (a folder's files
+    by name, then its folders by name) of the last one that is read is found by counting ranges of that order.  Runs a job
+    a level when it is called.
+    """
+    own = "folder string, outside boolean, place binary"
+    row = "path string, wanted boolean, place binary"
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, outside, place in zip(*(batch.column(x).to_pylist() for x in ("folder", "outside", "place"))):
+                files, folders = [], []
+                try:
+                    entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
+                except OSError:  # it can't be read, or is gone
+                    continue
+                for e in entries:
+                    path = f"{folder}/{e.name}" if folder else e.name
+                    name = e.name.encode("utf-8", "surrogateescape") + b"\0"
+                    if e.is_dir() and not e.is_symlink():
+                        if skipped or e.name not in EXCLUDED_DIRS:
+                            folders.append((path, outside or e.name in EXCLUDED_DIRS, place + b"\2" + name))
+                    elif not e.is_dir() and (skipped or not e.is_symlink()):
+                        files.append((path, not (e.is_symlink() or outside), place + b"\1" + name))
+                for kind, found in ((True, files), (False, folders)):
+                    for at in range(0, len(found), 4096):
+                        columns = list(zip(*found[at : at + 4096]))
+                        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary()), pa.array([kind] * len(columns[0]))], ["path", "flag", "place", "is_file"])
+
+    tables: list[DataFrame] = []
+    level = spark.createDataFrame([("", False, bytearray())], own)
+    while True:
+        tasks = max(1, min(spark.sparkContext.defaultParallelism * 4, -(-level.count() // 16)))
+        found = written(level.repartition(tasks).mapInArrow(listed, "path string, flag boolean, place binary, is_file boolean"), "listing")
+        tables.append(found.where("is_file").selectExpr("path", "flag AS wanted", "place"))
+        level = found.where("NOT is_file").selectExpr("path AS folder", "flag AS outside", "place")
+        if level.isEmpty():
+            break
+    files = tables[0]
+    for more in tables[1:]:
+        files = files.unionByName(more)
+    allowed = F.col("wanted")
+    if files.where("wanted").count() > max_files:
+        allowed &= F.col("place") <= F.lit(_place_of(files.where("wanted"), max_files))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, wanted in zip(batch.column("path").to_pylist(), batch.column("wanted").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(_file_row(os.path.join(root, path), path, wanted, max_bytes), (pa.string(), pa.int64(), pa.binary(), pa.bool_()))], ["path", "size", "content", "is_binary"])
+
+    return files.withColumn("wanted", allowed).select("path", "wanted").mapInArrow(read, "path string, size long, content binary, is_binary boolean")
+
+
+def _place_of(files: DataFrame, number: int) -> bytearray:
+    """The place of the ``number``-th file: by counts of ranges, then within one range."""
+    slices = max(2, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = written(files.select("place").repartitionByRange(slices, "place").withColumn("slice", F.spark_partition_id()), "places")
+    before = 0
+    for r in x.groupBy("slice").count().orderBy("slice").collect():  # a row a range
+        if before + r["count"] >= number:
+            return x.where(F.col("slice") == r.slice).orderBy("place").offset(number - before - 1).limit(1).first().place
+        before += r["count"]
+    raise ValueError(f"there are fewer than {number} files")
+
+
+def _file_row(full: str, path: str, wanted: bool, max_bytes: int) -> tuple[str, int | None, bytes | None, bool]:
+    size = content = None
+    try:
+        size = os.path.getsize(full) if wanted else None
+        if wanted and size <= max_bytes:
+            with open(full, "rb") as f:
+                content = f.read()
+    except OSError:  # counts as binary, and as skipped where it has no size
+        content = None
+    return path, size, content, content is None or b"\0" in content[:8192]
+
+
 def unsafe(name: str) -> bool:
     p = name.replace("\\", "/")
     return not p or "\0" in p or len(p) > 4096 or p.startswith("/") or p[1:2] == ":" or ".." in p.split("/")
 
 
-def members(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """(path, content) of an archive's regular files; ValueError for unsafe members, links and exceeded limits."""
-    total = count = 0
+@contextmanager
+def opened(path: str) -> Iterator[BinaryIO]:
+    """A file for reading and seeking: a plain path, or an address of a file system that Arrow knows."""
+    if "://" not in path:
+        with open(path, "rb") as f:
+            yield f
+        return
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as f:
+        yield f
 
-    def account(name: str, stream) -> bytes:
-        nonlocal total, count
-        count += 1
-        if unsafe(name) or count > ARCHIVE_FILES:
+
+class Account:
+    """The limits of one archive, counted as it is read."""
+
+    def __init__(self):
+        self.files = self.total = 0
+
+    def member(self, name: str, size: int) -> None:
+        self.files += 1
+        if unsafe(name) or self.files > ARCHIVE_FILES:
             raise ValueError(f"unsafe member or too many: {name!r}")
-        content = stream.read(ARCHIVE_FILE_BYTES + 1)
-        total += len(content)
-        if len(content) > ARCHIVE_FILE_BYTES or total > ARCHIVE_BYTES:
+        self.content(name, size)
+
+    def content(self, name: str, size: int) -> None:
+        self.total += size
+        if size > ARCHIVE_FILE_BYTES or self.total > ARCHIVE_BYTES:
             raise ValueError(f"archive too large at {name!r}")
-        return content
-
-    if data[:4] in (b"PK\3\4", b"PK\5\6", b"PK\7\x08"):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for info in z.infolist():
-                if info.external_attr >> 16 & 0o170000 == 0o120000:
-                    raise ValueError(f"link: {info.filename!r}")
-                if not info.is_dir():
-                    with z.open(info) as f:
-                        yield info.filename, account(info.filename, f)
+
+
+def _directory(z: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    """A zip's files by its central directory, checked before any is unpacked."""
+    account, found = Account(), []
+    for info in z.infolist():
+        if info.external_attr >> 16 & 0o170000 == 0o120000:
+            raise ValueError(f"link: {info.filename!r}")
+        if not info.is_dir():
+            account.member(info.filename, info.file_size)
+            found.append(info)
+    return found
+
+
+def _unpacked(z: zipfile.ZipFile, infos: list[zipfile.ZipInfo]) -> Iterator[tuple[str, bytes]]:
+    for info in infos:
+        with z.open(info) as f:
+            content = f.read(info.file_size + 1)
+        if len(content) > info.file_size:  # it holds more than it says
+            raise ValueError(f"archive too large at {info.filename!r}")
+        yield info.filename, content
+
+
+def is_zip(head: bytes) -> bool:
+    return head[:4] in (b"PK\3\4", b"PK\5\6", b"PK\7\x08")
+
+
+def members(source: bytes | BinaryIO) -> Iterator[tuple[str, bytes]]:
+    """(path, content) of an archive's regular files, one at a time; ValueError for unsafe members, links and exceeded limits.
+
+    A zip is read by its central directory, a tar as a stream.
+    """
+    source = io.BytesIO(source) if isinstance(source, bytes) else source
+    head = source.read(4)
+    source.seek(0)
+    if is_zip(head):
+        with zipfile.ZipFile(source) as z:
+            yield from _unpacked(z, _directory(z))
         return
-    with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
+    account = Account()
+    with tarfile.open(fileobj=source, mode="r|*") as t:
         for info in t:
             if not (info.isreg() or info.isdir()):
                 raise ValueError(f"neither file nor folder: {info.name!r}")
             if info.isreg():
-                yield info.name, account(info.name, t.extractfile(info))
+                account.member(info.name, 0)
+                content = t.extractfile(info).read(ARCHIVE_FILE_BYTES + 1)
+                account.content(info.name, len(content))
+                yield info.name, content
 
 
-class ArchiveReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+class _Part(InputPartition):
+    """Members first .. last (by the central directory; all, where last is None) of an archive."""
 
-    def partitions(self) -> list[_Files]:
-        return [_Files([(p, p, True)]) for p in self.paths]
+    def __init__(self, path: str, first: int = 0, last: int | None = None):
+        self.path, self.first, self.last = path, first, last
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        for full, _, _ in partition.paths:
-            with open(full, "rb") as f:
-                for path, content in members(f.read()):
-                    yield full, path, len(content), content, b"\0" in content[:8192]
+
+class ArchiveReader(DataSourceReader):
+    def __init__(self, paths: list[str], part_bytes: int):
+        self.paths, self.part_bytes = paths, part_bytes
+
+    def partitions(self) -> list[_Part]:
+        """A part an archive; several for a zip of more than ``part_bytes``, of about that many unpacked bytes each."""
+        parts = []
+        for path in self.paths:
+            with opened(path) as f:
+                head = f.read(4)
+                if not is_zip(head) or f.seek(0, os.SEEK_END) <= self.part_bytes:
+                    parts.append(_Part(path))
+                    continue
+                f.seek(0)
+                with zipfile.ZipFile(f) as z:
+                    sizes = [info.file_size for info in _directory(z)]
+            first = held = 0
+            for no, size in enumerate(sizes):
+                if no > first and held + size > self.part_bytes:
+                    parts.append(_Part(path, first, no))
+                    first, held = no, 0
+                held += size
+            parts.append(_Part(path, first, len(sizes)))
+        return parts
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        with opened(partition.path) as f:
+            if partition.last is None:
+                found = members(f)
+            else:
+                z = zipfile.ZipFile(f)
+                found = _unpacked(z, _directory(z)[partition.first : partition.last])
+            for path, content in found:
+                yield partition.path, path, len(content), content, b"\0" in content[:8192]
 
 
 class Archive(DataSource):
-    """``spark.read.format("siftline-archive").load(paths)``: archive, path, size, content, is_binary; one task an archive."""
+    """``spark.read.format("siftline-archive").load(paths)``: archive, path, size, content, is_binary.
+
+    Paths may be addresses (``s3://``, ``hdfs://``) of file systems that Arrow reads.  One task an archive; a zip of more
+    than ``partBytes`` is dealt out to several, which seek their members by its central directory.  A task holds a member.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -142,7 +303,7 @@ class Archive(DataSource):
         return "archive string, path string, size long, content binary, is_binary boolean"
 
     def reader(self, schema) -> ArchiveReader:
-        return ArchiveReader(self.options["path"].split(","))
+        return ArchiveReader(self.options["path"].split(","), int(self.options.get("partBytes", PART_BYTES)))
 
 
 def register(spark: SparkSession) -> None:
@@ -175,8 +336,6 @@ def save_upload(name: str, chunks: Iterable[bytes], path: str, most: int = UPLOA
 
 def extraction(archives):
     """(archive, files, total_bytes) of the rows of ``siftline-archive``: what unpacking each archive yields."""
-    from pyspark.sql import functions as F
-
     return archives.groupBy("archive").agg(F.count("*").alias("files"), F.sum("size").alias("total_bytes"))
 
 
