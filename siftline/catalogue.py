@@ -526,13 +526,13 @@ def noise_funnel(spark, sf_dir):
     return storage.noise_funnel(scans.issue_summary(ops.dedupe(x, duplicates=False), x.select("instance_id", "verdict")))
 
 
-@query(f"""{_F}, c AS (SELECT scan, severity AS s, count(*) AS n FROM f WHERE severity <> 'info' GROUP BY ALL), k AS (SELECT scan, s, coalesce(n, 0) AS n FROM (SELECT DISTINCT scan FROM f) CROSS JOIN (SELECT unnest({list(fixed.SEVERITIES)}) AS s) LEFT JOIN c USING (scan, s))
-  SELECT scan, s AS severity, n, n / CAST(sum(n) OVER (PARTITION BY scan) AS DOUBLE) AS part, n / CAST(max(n) OVER (PARTITION BY scan) AS DOUBLE) AS height FROM k""")
+@query(f"""{_F}, c AS (SELECT file_path, severity AS s, count(*) AS n FROM f GROUP BY ALL), k AS (SELECT file_path, s, coalesce(n, 0) AS n FROM (SELECT DISTINCT file_path FROM f) CROSS JOIN (SELECT unnest({list(fixed.SEVERITIES)}) AS s) LEFT JOIN c USING (file_path, s))
+  SELECT file_path, s AS severity, n, n / CAST(sum(n) OVER (PARTITION BY file_path) AS DOUBLE) AS part, n / CAST(max(n) OVER (PARTITION BY file_path) AS DOUBLE) AS height FROM k""")
 def severity_bars(spark, sf_dir):
-    """Bars of the counts by severity; info is left out of the counts, so that one of them is missing."""
-    counts = findings(spark, sf_dir).where("severity <> 'info'").groupBy("scan", "severity").agg(F.count("*").alias("n")).groupBy("scan").agg(F.map_from_entries(F.collect_list(F.struct("severity", "n"))).alias("counts"))
-    x = counts.select("scan", F.explode(storage.severity_bars(F.col("counts"))).alias("severity", "bar"))
-    return x.select("scan", "severity", "bar.n", "bar.part", "bar.height")
+    """Bars of each file's counts by severity; few files have all of them."""
+    counts = findings(spark, sf_dir).groupBy("file_path", "severity").agg(F.count("*").alias("n")).groupBy("file_path").agg(F.map_from_entries(F.collect_list(F.struct("severity", "n"))).alias("counts"))
+    x = counts.select("file_path", F.explode(storage.severity_bars(F.col("counts"))).alias("severity", "bar"))
+    return x.select("file_path", "severity", "bar.n", "bar.part", "bar.height")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -702,8 +702,8 @@ _HEADS = ["504B0304", "504B0506FF", "1F8B08", "425A6839", "FD377A585A00", "28B52
 @query(f"SELECT page_id, {_AT(['zip', 'zip', 'tar', 'tar', 'tar', 'tar', None, None, None], 'page_id', 9)} AS format, page_id % 4 = 1 AS is_binary FROM pages")
 def archive_formats(spark, sf_dir):
     d = F.col("page_id")
-    text = F.when(d % 4 == 1, F.concat("html", F.lit("\x00"))).otherwise(F.col("html"))
-    return _table(spark, sf_dir, "pages").select("page_id", S.archive_format(F.unhex(_pick(_HEADS, d))).alias("format"), S.looks_binary(F.encode(F.substring(F.reverse(text), 1, 4000), "UTF-8")).alias("is_binary"))
+    text = F.when(d % 4 == 1, F.concat(F.lit("\x00"), "html")).otherwise(F.col("html"))
+    return _table(spark, sf_dir, "pages").select("page_id", S.archive_format(F.unhex(_pick(_HEADS, d))).alias("format"), S.looks_binary(text.cast("binary")).alias("is_binary"))
 
 
 _META = ['{"UpdatedAt": "2024-01-01T00:00:00Z", "NextUpdate": "%"}', '{"UpdatedAt": "2024-01-01T00:00:00Z"}', "not json", None]
@@ -889,7 +889,7 @@ _STAGE_SQL = ", ".join(f"({k}, '{stage}', '{label.replace(chr(39), chr(39) * 2)}
 
 
 @query(f"""WITH g AS (SELECT * FROM (VALUES {_STAGE_SQL}) AS t(no, stage, label)), c AS (SELECT DISTINCT user_id AS scan_id, ['completed', 'running', 'failed'][CAST(user_id % 3 AS INTEGER) + 1] AS status FROM events),
-  e AS (SELECT user_id AS scan_id, event_id AS ord, CASE event_type WHEN 'click' THEN 'fetch' WHEN 'view' THEN 'scan:semgrep' WHEN 'purchase' THEN 'scan:trivy' WHEN 'signup' THEN 'profile' ELSE 'scan' END AS step FROM events WHERE event_id % 4 = 0),
+  e AS (SELECT user_id AS scan_id, event_id AS ord, CASE event_type WHEN 'click' THEN 'fetch' WHEN 'view' THEN 'scan:semgrep' WHEN 'purchase' THEN 'scan:trivy' WHEN 'signup' THEN 'profile' ELSE 'scan' END AS step FROM events),
   d AS (SELECT *, CASE WHEN step LIKE 'scan:%' THEN 'scan' ELSE step END AS part FROM e WHERE step <> 'scan')
   SELECT d.scan_id, CAST(g.no AS INTEGER) AS stage_no, d.ord, d.step, CASE WHEN d.step LIKE 'scan:%' THEN concat('Scan · ', d.step[6:]) ELSE g.label END AS label, 'ok' AS status FROM d JOIN g ON g.stage = d.part
   UNION ALL SELECT c.scan_id, CAST(g.no AS INTEGER), NULL, g.stage, g.label, CASE WHEN c.status = 'running' AND g.stage = 'triage' THEN 'running' ELSE 'pending' END FROM c CROSS JOIN g
@@ -899,5 +899,5 @@ def scan_traces(spark, sf_dir):
     u = F.col("user_id")
     rows = x.select(u.alias("scan_id")).distinct().select("scan_id", _pick(["completed", "running", "failed"], F.col("scan_id")).alias("status"), F.lit("triage").alias("current_step"), F.lit(None).cast("string").alias("progress"))
     step = F.when(F.col("event_type") == "click", "fetch").when(F.col("event_type") == "view", "scan:semgrep").when(F.col("event_type") == "purchase", "scan:trivy").when(F.col("event_type") == "signup", "profile").otherwise("scan")
-    steps = x.where("event_id % 4 = 0").select(u.alias("scan_id"), F.col("event_id").alias("ord"), step.alias("step"), F.lit("ok").alias("status"), F.lit("").alias("detail"), F.lit(5).alias("duration_ms"))
+    steps = x.select(u.alias("scan_id"), F.col("event_id").alias("ord"), step.alias("step"), F.lit("ok").alias("status"), F.lit("").alias("detail"), F.lit(5).alias("duration_ms"))
     return scans.trace(rows, steps).select("scan_id", "stage_no", "ord", "step", "label", "status")
