@@ -160,12 +160,12 @@ def _encode_long(rows: DataFrame, path: str, pattern: str, chunk: int, overlap:
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, data): adds the bytes that the ids stand for."""
+    """(doc_id, ids, data): adds the bytes that the ids stand for; null and empty ids give none; repeated rows are decoded each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in batches:
-            data = [enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist()]
+            data = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(data, pa.binary())], ["doc_id", "ids", "data"])
 
     return encoded.mapInArrow(run, "doc_id long, ids binary, data binary")
@@ -179,7 +179,7 @@ def _digests(path: str, pattern: str, carried: bool):
                 piece = batch.slice(at, 256)
                 counts, ids_sha, data_sha = [], [], []
                 for raw in piece.column("ids"):
-                    ids = np.frombuffer(raw.as_buffer(), "<u4").tolist()
+                    ids = np.frombuffer(raw.as_buffer() or b"", "<u4").tolist()
                     counts.append(len(ids))
                     ids_sha.append(None if carried else hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
                     data_sha.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
@@ -190,10 +190,10 @@ def _digests(path: str, pattern: str, carried: bool):
 
 
 def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per text: count of ids, SHA-256 of the decimal ids joined by spaces, SHA-256 of the decoded bytes."""
+    """Per row: count of ids, SHA-256 of the decimal ids joined by spaces, SHA-256 of the decoded bytes; null ids count as none."""
     return encoded.mapInArrow(_digests(path, pattern, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decoded(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256): the ids with the SHA-256 of the bytes that they decode to."""
+    """(doc_id, n_tokens, ids, decoded_sha256): the ids with the SHA-256 of the bytes that they decode to; a row each, null ids as none."""
     return encoded.mapInArrow(_digests(path, pattern, True), "doc_id long, n_tokens long, ids binary, decoded_sha256 string")

@@ -22,6 +22,8 @@ from siftline.llm.runtime import Texts, trimmed
 SAMPLE_DOCS = 400
 #: Bytes of a text to learn from, at most; a language whose texts are all longer is learned from LONG_DOCS of them (about).
 SAMPLE_BYTES, LONG_DOCS = 1 << 18, 4
+#: Bytes of all texts to learn from, at most (about), however many languages there are: each gets its part of them.
+TOTAL_BYTES = 256 << 20
 #: N-gram sizes in bytes; slots of the table; hashes; share of a language's documents that an n-gram of it is in.
 SIZES, SLOT_BITS, HASHES, LEAST_SHARE = (3, 5), 20, 2, 0.02
 #: A document is rejected by the filter ``accepted`` where fewer of its n-grams belong to the language.
@@ -118,12 +120,15 @@ def build(texts: list[tuple[str, bytes]]) -> Filters:
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Filters:
     """From text and lang of the rows of ``docs`` that have both; about ``sample_docs`` of each language, of texts of up to
-    ``sample_bytes``.  Runs its jobs when it is called."""
+    ``sample_bytes``, and fewer where all languages' would pass TOTAL_BYTES.  Rows are chosen by a hash of doc_id and length, so
+    repeated rows are chosen together, and rows without a doc_id by their length.  Runs its jobs when it is called."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", (F.octet_length("text") <= sample_bytes).alias("short"))
-    counts = known.groupBy("lang").agg(F.count_if("short").alias("short"), F.count("*").alias("n")).collect()
+    counts = known.groupBy("lang").agg(F.count_if("short").alias("short"), F.count("*").alias("n"), F.avg(F.when(F.col("short"), F.octet_length("text"))).alias("bytes")).collect()
     if not counts:
         return build([])
-    limit = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, (sample_docs / r.short) if r.short else LONG_DOCS / r.n))))
+    expected = sum(min(sample_docs, r.short) * r.bytes for r in counts if r.short)
+    fewer = min(1.0, TOTAL_BYTES / max(1, expected))
+    limit = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, (sample_docs * fewer / r.short) if r.short else LONG_DOCS / r.n))))
     only_long = [r.lang for r in counts if not r.short]
     chosen = known.where((F.col("short") | F.col("lang").isin(*only_long)) & (F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) < F.element_at(limit, F.col("lang")) * (1 << 30)))
     rows = chosen.select("lang", "text").toArrow()

@@ -85,9 +85,9 @@ def balance(counts: DataFrame, goal: DataFrame, ceiling: float = CEILING, steps:
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceiling: float = CEILING, block: int = BLOCK) -> DataFrame:
     """(doc_id, row, size, source, source_size, target, rate, copies, taken), one row per row of ``docs``.
 
-    Null texts have size 0 and are not taken; a null source is a source of its own; equal rows are rounded each for
-    itself (ties broken by doc_id, a hash of the row, then by arrival among wholly equal rows, which have equal sizes);
-    an empty table gives no rows.  Extra columns only count in the row's hash.  Runs its jobs when it is called.
+    Null texts have size 0 and are not taken; a null source is a source of its own; ties are broken by doc_id, then by a
+    hash of the row.  Wholly equal rows are rounded as one row of their number, however many they are: some of them get
+    the rate rounded up, the others rounded down.  An empty table gives no rows.  Extra columns only count in the row's hash.  Runs its jobs when it is called.
     """
     own = materialise(sizes(docs).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-sizes")
     counts = materialise(own.groupBy("key", "size").agg(F.count("*").alias("n")), "mix-counts")
@@ -97,20 +97,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceiling: float
     tilt = balance(counts, goal.select("key", "target", "source_size"), ceiling)
     of = goal.join(tilt.select("key", "full", "mean", "lam"), "key").select(F.concat("key").alias("of"), "source_size", "target", "docs", "full", "mean", "lam")
     # concat() makes the key a new expression, so the join deals out both sides itself and can split a hot source
-    x = own.join(of, own["key"] == of["of"])
+    equal = own.groupBy("doc_id", "row", "source", "size", "key").agg(F.count("*").alias("equal"))
+    x = equal.join(of, equal["key"] == of["of"])
     z = F.col("size") / F.col("mean")
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("full"), F.lit(ceiling)).otherwise(F.exp(F.least(F.col("lam") * z, F.log(F.lit(ceiling)))))
     # dealt out by block: else the windows would keep the join's partitions, one for each source however large
     x = x.withColumn("rate", rate).withColumn("block", F.pmod(F.xxhash64("doc_id", "row"), F.ceil(F.col("docs") / block))).repartition("key", "block")
     of_block = Window.partitionBy("key", "block").orderBy(F.desc("size"), "doc_id", "row")
-    part = F.col("rate") - F.floor("rate")
+    part = (F.col("rate") - F.floor("rate")) * F.col("equal")
     x = x.withColumn("part", part).withColumn("upto", F.sum("part").over(of_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     whole = Window.partitionBy("key", "block")
     extra = lambda k: F.floor(F.col("upto") + (k + 0.5) / STARTS + 1e-9) - F.floor(F.col("upto") - F.col("part") + (k + 0.5) / STARTS + 1e-9)
     off = [F.struct(F.abs(F.sum(F.round((extra(k) - F.col("part")) * F.col("size") * 1e6).cast("long")).over(whole)).alias("off"), F.lit(k).alias("start")) for k in range(STARTS)]
     x = x.withColumn("start", F.array_min(F.array(*off))["start"])
     chosen = F.element_at(F.array(*(extra(k) for k in range(STARTS))), F.col("start") + 1)
-    x = x.withColumn("copies", F.least(F.floor("rate") + chosen, F.lit(int(ceiling))).cast("int"))
+    x = x.withColumn("chosen", chosen).withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), "equal")))
+    x = x.withColumn("copies", F.least(F.floor("rate") + (F.col("no") <= F.col("chosen")).cast("int"), F.lit(int(ceiling))).cast("int"))
     return x.select("doc_id", "row", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 

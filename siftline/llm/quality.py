@@ -126,7 +126,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_doc
     SAMPLE_BYTES, half of each label.  Runs its jobs when it is called.
 
     The sample is drawn from the labels, so its ids are few and only their texts are fetched.  Where a label has fewer
-    rows than half the sample, all of them are taken.
+    rows than half the sample, all of them are taken.  Rows without text, doc_id or a label of 0 or 1 take no part; a
+    repeated row, or a document with several labels, counts each time.
     """
     known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
     counts = {r.y: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}

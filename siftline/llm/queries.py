@@ -29,6 +29,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without a doc_id has held_out null: it is judged, and nothing is learned from it."""
     docs = table(spark, sf_dir, "documents")
     filters = langid.learn(docs.where(~langid.held_out(4, 2)))
     found = langid.identify(docs.select("doc_id", "text"), filters)
@@ -65,6 +66,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without a doc_id has held_out null: it is scored, and nothing is learned from it or from a label without one."""
     docs, held = table(spark, sf_dir, "documents"), langid.held_out(3, 1)
     net = quality.learn(docs, table(spark, sf_dir, "labels").where(~held))
     return quality.score(docs, net).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

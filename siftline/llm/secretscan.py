@@ -261,8 +261,8 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.nd
 
 
 def learn(findings: DataFrame, sample_findings: int = SAMPLE_FINDINGS) -> Forest:
-    """From a table (text, start, end, path, label), at most ``sample_findings`` of it by hash; rows without text or label go.
-    Runs its job when it is called."""
+    """From a table (text, start, end, path, label), at most ``sample_findings`` of it by hash; rows without text or label go;
+    repeated findings count each time; without any, every score is 0.  Runs its job when it is called."""
     own = findings.select("text", "start", "end", "path", F.col("label").cast("int").alias("label")).where(F.col("text").isNotNull() & F.col("label").isNotNull())
     return train([tuple(r) for r in own.orderBy(F.xxhash64("text", "start", "end"), "text", "start", "end", "path", "label").limit(sample_findings).collect()])
 

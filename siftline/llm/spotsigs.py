@@ -167,14 +167,21 @@ def fingerprint_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def near_documents(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
     """(doc_id, n_signatures, component_id): documents of fingerprints with a likeness of ``threshold`` or more, and their closure.
 
-    component_id is the least doc_id of the component.  Documents without signatures are near to nothing; equal
-    fingerprints are one class; other columns take no part; an empty table gives no rows.  Candidates share one of the
+    component_id is the least doc_id of the component, null only where none of it has a doc_id.  Documents without
+    signatures (null texts among them) are near to nothing; equal fingerprints are one class, and so repeated rows are; a
+    class is named by 64 bits of a 128-bit hash, or by the other 64 where two classes share the first; other columns take
+    no part; an empty table gives no rows.  Candidates share one of the
     signatures that the threshold forces them to (the rarest ones of each set) and lie in the same or neighbouring
     length partitions; pivots keep a list of many sets from meeting itself whole.  Runs jobs when it is called.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text")).alias("sigs"))
-    name = F.xxhash64(F.array_join(F.transform("sigs", lambda s: s.cast("string")), " "))
-    rows = materialise(rows.select("doc_id", name.alias("class"), "sigs"), "spots")
+    text = F.array_join(F.transform("sigs", lambda s: s.cast("string")), " ")
+    rows = materialise(rows.select("doc_id", F.xxhash64(text).alias("class"), F.xxhash64(F.lit(1), text).alias("check"), "sigs"), "spots")
+    twins = rows.groupBy("class").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select(F.expr("class + 0").alias("twin"))
+    if not twins.isEmpty():
+        renamed = rows.join(twins, F.col("class") == F.col("twin"), "left").withColumn("class", F.when(F.col("twin").isNull(), F.col("class")).otherwise(F.col("check"))).drop("twin")
+        first, rows = rows, materialise(renamed, "spots")
+        dropped(first)
     sets = materialise(rows.where(F.size("sigs") > 0).groupBy("class").agg(F.first("sigs").alias("sigs")), "sets")
     each = sets.select("class", F.size("sigs").alias("n"), F.explode("sigs").alias("token"))
     df = each.groupBy(F.expr("token + 0").alias("of")).agg(F.count("*").alias("df")).where("df > 1")

@@ -104,6 +104,8 @@ def frame_end(data: memoryview, at: int) -> int:
 
 def records(data: bytes) -> Iterator[bytes]:
     view = memoryview(data)
+    if not len(view):
+        return
     magic, size = struct.unpack_from("<II", view, 0)
     if magic != SKIPPABLE:
         raise ValueError("the archive doesn't begin with a dictionary frame")
@@ -149,12 +151,13 @@ def write(pages: DataFrame, least: int = REVISIT_BYTES, archive_bytes: int = ARC
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the archives."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the archives; null and empty archives
+    have none, and the records of an archive that is there twice are given twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("data"):
-                found = [parse(x) for x in records(data.as_py())]
+                found = [parse(x) for x in records(data.as_py() or b"")]
                 columns = zip(*found) if found else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 

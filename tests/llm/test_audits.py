@@ -283,3 +283,62 @@ def test_candidates_equal_a_plain_scan():
             i = max(j, i + 1)
         for m in re.finditer(r'(?:token|password|api_key)(?: =|:|":) ?"([^"\n\\]{6,})"', text):
             assert any(a <= m.start(1) and b >= m.end(1) for a, b in spans), (text, m.group())
+
+
+# -- 3, 9, 10: missing ids, many equal rows -------------------------------------------------------------------------------
+
+
+def test_many_equal_rows_of_the_mix(spark):
+    from siftline.llm import mixing
+
+    rows = [(7, "a b c", "en", "s0")] * 3000 + [(i, "w " * (i % 9), "en", "s0") for i in range(300)] + [(None, "x y", "en", "s1")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mix(df, block=64)
+    got = out.collect()
+    assert len(got) == len(rows) and all(r.taken <= 2 * r.size for r in got)
+    for source in ("s0", "s1"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 64
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7), block=64).collect()))
+    same = [r.copies for r in got if r.doc_id == 7]
+    assert max(same) - min(same) <= 1
+
+
+def test_rows_without_ids_are_not_learned_from(spark):
+    from siftline.llm import langid, quality
+
+    texts = [("the cat sat on the mat with an orange", "en"), ("le chat est sur la table avec une pomme", "fr")]
+    df = spark.createDataFrame([(i, *texts[i % 2]) for i in range(60)] + [(None, "zzz qqq xxx " * 5, "odd")] * 20, "doc_id long, text string, lang string")
+    filters = langid.learn(df.where(~langid.held_out(4, 2)))
+    assert filters.languages == ["en", "fr"]
+    rows = langid.identify(df, filters).collect()
+    assert len(rows) == 80 and {r.lang_pred for r in rows if r.doc_id is None} <= {"en", "fr"}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1)] * 9, "doc_id long, quality int")
+    assert quality.score(df, quality.learn(df, labels)).count() == 80
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    from siftline.llm import langid
+
+    df = spark.createDataFrame([(i, f"word{i % 7} of text number {i}", f"l{i % 5}") for i in range(2000)], "doc_id long, text string, lang string")
+    seen = []
+    real = langid.build
+    monkeypatch.setattr(langid, "build", lambda texts: seen.append(sum(len(t) for _, t in texts)) or real(texts))
+    monkeypatch.setattr(langid, "TOTAL_BYTES", 4000)
+    assert len(langid.learn(df).languages) == 5 and 1000 < seen[0] < 8000
+
+
+def test_missing_archives_and_ids(spark):
+    import numpy as np
+
+    from siftline.llm import bpe, warc
+
+    path, pattern = queries.vocabulary()
+    ids = np.array([5, 300], "<u4").tobytes()
+    df = spark.createDataFrame([(1, bytearray(ids)), (2, None), (3, bytearray()), (1, bytearray(ids))], "doc_id long, ids binary")
+    assert [r.n_tokens for r in bpe.digests(df, path, pattern).collect()] == [2, 0, 0, 2] == [r.n_tokens for r in bpe.decoded(df, path, pattern).collect()]
+    assert [len(r.data) > 0 for r in bpe.decode(df, path, pattern).collect()] == [True, False, False, True]
+    pages = spark.createDataFrame([(1, "u", "x" * 1200), (2, "u", None)], "page_id long, url string, html string")
+    archives = warc.write(pages)
+    every = archives.unionByName(archives).unionByName(archives.limit(1).withColumn("data", F.lit(None).cast("binary")))
+    assert sorted(r.page_id for r in warc.read(every).collect()) == [1, 1, 2, 2]
