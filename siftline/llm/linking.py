@@ -1,7 +1,13 @@
 """Links between sets that share postings, and their components, without all pairs of a list.  Only DataFrame functions.
 
-Postings are rows (token, class, n, step, weight, reach): a set of ``n`` parts, its size step, the share of its lists
-that others share, and a bound of the share of the set that follows the token in the common order (255 for all).
+Postings are rows (token, class, n, cap, step, weight, reach): a set of ``n`` parts, the largest size that a set linked
+with it may have, its size step, the share of its lists that others share, and a bound of the share of the set that
+follows the token in the common order (255 for all).
+
+``cap`` goes by the parts that no other set has, which can't be in common.  A set is stuck if its cap is below its own
+size: it only links with smaller ones.  Two stuck sets never link, as each would have to be smaller than the other.  So a
+list of sets that share some parts but each have enough of their own, as short texts from one template do, is not
+looked at, and stuck sets meet only those that aren't.
 """
 
 from __future__ import annotations
@@ -42,6 +48,12 @@ def may_link(a: str, b: str, threshold: float) -> Column:
     return _sizes_fit(m, n, threshold) & _links(m, n, F.least(F.floor((m + n - distance) / 2), m, n), threshold)
 
 
+def cap(n: Column, shared: Column, threshold: float) -> Column:
+    """The largest size of a set that may link with one of ``n`` parts, of which at most ``shared`` are in other sets."""
+    share = round(threshold * 100)
+    return F.floor((shared * (100 + share) - n * share) / share).cast("long")
+
+
 def _meet(m: Column, n: Column, x: Column, y: Column, threshold: float, count: int) -> Column:
     """Whether sets of sizes m and n may still reach T from places with the reaches x and y, the ``count``-th in common at most."""
     rest = F.least(F.floor(m * x / 255), F.floor(n * y / 255))
@@ -55,36 +67,41 @@ def _pairs(met: DataFrame, count: int) -> DataFrame:
 
 def _by_pivots(posted: DataFrame, threshold: float, count: int) -> DataFrame:
     """Every set against the pivots of its lists: for each size step the set that shares most of its lists, as an original does."""
-    steps = posted.where("root <> largest").groupBy("token", "step").agg(F.max(F.struct("weight", "class", "n", "reach", "root")).alias("p"))
-    near = steps.select(F.expr("token + 0").alias("of"), F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("at"), F.col("p.class").alias("other"), F.col("p.n").alias("o_n"), F.col("p.reach").alias("o_reach"), F.col("p.root").alias("o_root"))
-    on = (F.col("token") == F.col("of")) & (F.col("step") == F.col("at")) & (F.col("root") != F.col("o_root")) & _meet(F.col("n"), F.col("o_n"), F.col("reach"), F.col("o_reach"), threshold, count)
+    steps = posted.where("root <> largest").groupBy("token", "step").agg(F.max(F.struct("weight", "class", "n", "cap", "reach", "root")).alias("p"))
+    near = steps.select(F.expr("token + 0").alias("of"), F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("at"), F.col("p.class").alias("other"), F.col("p.n").alias("o_n"), F.col("p.cap").alias("o_cap"), F.col("p.reach").alias("o_reach"), F.col("p.root").alias("o_root"))
+    on = (F.col("token") == F.col("of")) & (F.col("step") == F.col("at")) & (F.col("root") != F.col("o_root")) & (F.col("n") <= F.col("o_cap")) & (F.col("o_n") <= F.col("cap")) & _meet(F.col("n"), F.col("o_n"), F.col("reach"), F.col("o_reach"), threshold, count)
     return _pairs(posted.join(near, on).select("class", "other", F.col("other").alias("asks")), count)
 
 
 def _by_lists(posted: DataFrame, bitmaps: DataFrame | None, threshold: float, count: int) -> DataFrame:
-    """The sets outside a list's largest component against all of its other components."""
-    y_columns = ["class", "n", "reach", "root"]
-    on = (F.col("x.token") == F.col("y.of")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("x.largest")) | (F.col("x.class") < F.col("y.class"))) & _meet(F.col("x.n"), F.col("y.n"), F.col("x.reach"), F.col("y.reach"), threshold, count)
+    """The sets outside a list's largest component against all of its other components; of stuck ones only against others."""
+    y_columns = ["class", "n", "cap", "reach", "root"]
+    same = (F.col("x.token") == F.col("y.of")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.n") <= F.col("y.cap")) & (F.col("y.n") <= F.col("x.cap")) & _meet(F.col("x.n"), F.col("y.n"), F.col("x.reach"), F.col("y.reach"), threshold, count)
+    once = (F.col("y.root") == F.col("x.largest")) | (F.col("x.class") < F.col("y.class"))
     both = [F.col("x.class").alias("class"), F.col("y.class").alias("other"), F.least("x.class", "y.class").alias("asks")]
-    rows = posted.where("not long") if bitmaps is not None else posted
-    short = rows.where("root <> largest").alias("x").join(rows.select(F.expr("token + 0").alias("of"), *y_columns).alias("y"), on).select(*both)
+
+    def met(rows: DataFrame, more: list[str], may: Column) -> DataFrame:
+        free, stuck = rows.where("cap >= n"), rows.where("cap < n")
+        against = lambda df: df.select(F.expr("token + 0").alias("of"), *y_columns, *more).alias("y")
+        first = free.where("root <> largest").alias("x").join(against(free), same & once & may).select(*both)
+        return first.unionByName(free.alias("x").join(against(stuck), same & may).select(*both))
+
     if bitmaps is None:
-        return _pairs(short, count)
+        return _pairs(met(posted, [], F.lit(True)), count)
     # long lists carry the bitmaps, so that the join itself drops what can't link
     bits = [f"b{i}" for i in range(BITMAP)]
     rows = posted.where("long").join(bitmaps.select(F.expr("class + 0").alias("named"), *bits), F.col("class") == F.col("named")).drop("named")
-    long = rows.where("root <> largest").alias("x").join(rows.select(F.expr("token + 0").alias("of"), *y_columns, *bits).alias("y"), on & may_link("x", "y", threshold)).select(*both)
-    return _pairs(short.unionByName(long), count)
+    return _pairs(met(posted.where("not long"), [], F.lit(True)).unionByName(met(rows, bits, may_link("x", "y", threshold))), count)
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(class, root): the least class that each node of ``edges`` (a, b) reaches; alternating star contraction.
 
     Each round links every node's larger neighbours to the least of its neighbourhood, then its smaller ones; rounds
     grow as the logarithm of the nodes.  Written tables cut the lineage, so this runs jobs when it is called.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(limit):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least.select(F.expr("u + 0").alias("w"), "m"), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -99,7 +116,6 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         now = then
         if done:
             return _kept(now.select(F.col("u").alias("class"), F.col("v").alias("root")), now)
-    raise RuntimeError("components did not settle")
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -140,13 +156,13 @@ def settle(postings: DataFrame, linked: Callable[[DataFrame], DataFrame | None],
         labelled = postings.join(own, F.col("class") == F.col("of"), "left").drop("of").withColumn("root", F.coalesce("root", "class"))
         labelled = materialise(labelled, "labelled")
         dropped(postings)
-        per = labelled.groupBy("token", "root").agg(F.count("*").alias("k"))
-        still = per.groupBy("token").agg(F.count("*").alias("roots"), F.sum("k").alias("length"), F.max(F.struct("k", "root")).alias("most")).where("roots > 1")
-        still = still.select(F.expr("token + 0").alias("of"), F.col("most.root").alias("largest"), "length")
+        per = labelled.groupBy("token", "root").agg(F.count("*").alias("k"), F.count_if(F.col("cap") >= F.col("n")).alias("free"))
+        still = per.groupBy("token").agg(F.count("*").alias("roots"), F.sum("k").alias("length"), F.sum("free").alias("free"), F.max(F.struct("k", "root")).alias("most")).where("roots > 1 AND free > 0")
+        still = still.select(F.expr("token + 0").alias("of"), F.col("most.root").alias("largest"), "length", "free")
         opened = materialise(labelled.join(still, F.col("token") == F.col("of")).drop("of"), "open")
         dropped(labelled)
-        left = opened.agg(F.count("*").alias("n"), F.sum(F.when(F.col("root") != F.col("largest"), F.col("length"))).alias("pairs")).first()
-        postings = _kept(opened.drop("root", "largest", "length"), opened)
+        left = opened.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("root") != F.col("largest"), F.when(F.col("cap") >= F.col("n"), F.col("length")).otherwise(F.col("free")))), F.lit(0)).alias("pairs")).first()
+        postings = _kept(opened.drop("root", "largest", "length", "free"), opened)
         if not left.n:
             break
         if left.pairs <= PAIRS_PER_POSTING * left.n or (before is not None and left.pairs > SAVED * before):

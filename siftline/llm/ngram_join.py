@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.linking import BITMAP, components, may_link, settle
+from siftline.llm.linking import BITMAP, cap, components, may_link, settle
 from siftline.llm.runtime import BLOCK_BYTES, Texts, buckets_for, dropped, materialise, row_key, trimmed, unused
 
 WORDS, THRESHOLD = 5, 0.8
@@ -469,9 +469,12 @@ def _linked(rows: DataFrame, described: DataFrame, twins: frozenset[int], words:
     weight = lists.groupBy("class").agg(F.count("*").alias("lists"))
     info = described.where("n > 0").groupBy("class").agg(F.min("key").alias("own"), F.first("n").alias("n"), *(F.first(f"b{i}").alias(f"b{i}") for i in range(BITMAP)))
     info = info.join(weight, "class").withColumn("weight", (F.col("lists") / F.col("n")).cast("float")).withColumn("step", F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(threshold))).cast("int"))
+    # the shingles of a short list that nobody shares are in no other set
+    posted = F.least("n", F.col("n") - F.ceil(F.col("n") * round(threshold * 100) / 100) + count)
+    info = info.withColumn("cap", cap(F.col("n"), F.col("n") - F.greatest(posted - F.col("lists"), F.lit(0)), threshold))
     info = materialise(info.drop("lists"), "classes")
     owners = info.select(F.expr("class + 0").alias("of"), "own")
-    of = info.select(F.expr("class + 0").alias("of"), "n", "step", "weight")
+    of = info.select(F.expr("class + 0").alias("of"), "n", "cap", "step", "weight")
     postings = materialise(lists.join(of, lists["class"] == of["of"]).drop("of"), "posted")
     dropped(lists)
 

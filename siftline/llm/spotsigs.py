@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.linking import settle
+from siftline.llm.linking import cap, settle
 from siftline.llm.runtime import dropped, materialise, text_or_empty
 
 #: Common words of English, French, German and Spanish.
@@ -188,8 +188,8 @@ def near_documents(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
     shared = each.join(df, F.col("token") == F.col("of")).groupBy("class").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     # signatures in one set only never match: they take the first places, so only their number matters
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))
-    heads = shared.where(keep > 0).select("class", "n", partition(F.col("n"), threshold).alias("step"), (F.size("shared") / F.col("n")).cast("float").alias("weight"), F.explode(F.slice("shared", F.lit(1), F.greatest(keep, F.lit(1)).cast("int"))).alias("head"))
-    postings = materialise(heads.select(F.col("head.token").alias("token"), "class", F.col("n").cast("long").alias("n"), "step", "weight", F.lit(255).cast("short").alias("reach")), "heads")
+    heads = shared.where(keep > 0).select("class", "n", cap(F.col("n"), F.size("shared"), threshold).alias("cap"), partition(F.col("n"), threshold).alias("step"), (F.size("shared") / F.col("n")).cast("float").alias("weight"), F.explode(F.slice("shared", F.lit(1), F.greatest(keep, F.lit(1)).cast("int"))).alias("head"))
+    postings = materialise(heads.select(F.col("head.token").alias("token"), "class", F.col("n").cast("long").alias("n"), "cap", "step", "weight", F.lit(255).cast("short").alias("reach")), "heads")
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.expr("class + 0").alias(f"of_{x}"), F.col("sigs").alias(f"sigs_{x}")) for x in "ab")

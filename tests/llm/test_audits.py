@@ -342,3 +342,29 @@ def test_missing_archives_and_ids(spark):
     archives = warc.write(pages)
     every = archives.unionByName(archives).unionByName(archives.limit(1).withColumn("data", F.lit(None).cast("binary")))
     assert sorted(r.page_id for r in warc.read(every).collect()) == [1, 1, 2, 2]
+
+
+# -- 5, 6: lists of many unlike sets --------------------------------------------------------------------------------------
+
+
+def test_texts_of_one_template_are_not_joined(spark, monkeypatch):
+    """Texts of eight shingles, seven of which are shared: no two can link, and no list of theirs is joined."""
+    from siftline.llm import linking, ngram_join
+
+    joined = []
+    real = linking._by_lists
+    monkeypatch.setattr(linking, "_by_lists", lambda posted, *rest: joined.append(posted.count()) or real(posted, *rest))
+    shared = "one two three four five six seven eight nine ten eleven"
+    rows = [(i, f"{shared} w{i}") for i in range(3000)] + [(5000 + i, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu" + (" xi" if i else "")) for i in range(2)]
+    out = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.component_id for r in out.collect()}
+    assert all(got[i] == i for i in range(3000)) and got[5001] == 5000
+    assert sum(joined) < 100
+
+
+def test_caps_allow_every_link():
+    """A set of n parts, s of them shared, links with none larger than its cap: against all sizes and overlaps."""
+    for n in range(1, 60):
+        for s in range(n + 1):
+            cap = (s * 180 - n * 80) // 80
+            assert all(m <= cap for m in range(1, 130) for o in range(min(s, m) + 1) if 100 * o >= 80 * (n + m - o))
