@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -313,6 +317,33 @@ def evaluate(findings: DataFrame, labels: DataFrame, verdicts: DataFrame | None
     return metrics(confusion(truth.withColumn("truth", F.col("vulnerable").cast("int")), "truth", "verdict")), unmatched
 
 
+def judged(findings: DataFrame, judge: Callable[[dict, dict | None], str | None], files: DataFrame | None = None) -> DataFrame:
+    """(instance_id, verdict, ord) of findings (case, file_path, line_start, line_end, instance_id, ord, ...) by a callable,
+    for ``evaluate``: the tasks that hold the findings call ``judge(finding, snippet)`` for each.
+
+    ``files`` (case, file_path, content) give the snippets (matched, context, context_start, truncated); without them, or
+    without the file, the snippet is None.  A verdict of None holds the finding.  ``judge`` must be picklable.
+    """
+    x = findings.withColumn("_path", F.concat_ws("/", "case", "file_path"))
+    cut = ("matched", "context", "context_start", "truncated")
+    if files is None:
+        x = x.withColumn("_snippet", F.lit(None).cast("string"))
+    else:
+        sources = readable(files.select(F.concat_ws("/", "case", "file_path").alias("file_path"), "content"))
+        found = snippets(x.select(F.col("_path").alias("file_path"), "line_start", "line_end").distinct(), sources).where("context <> ''")
+        found = found.select(F.col("file_path").alias("_of"), F.col("line_start").alias("_first"), F.col("line_end").alias("_last"), F.to_json(F.struct(*cut)).alias("_snippet"))
+        x = x.join(found, (F.col("_path") == F.col("_of")) & (F.col("line_start") == F.col("_first")) & F.col("line_end").eqNullSafe(F.col("_last")), "left")
+    own = x.select("instance_id", "ord", F.to_json(F.struct(*findings.columns), {"ignoreNullFields": "false"}).alias("finding"), "_snippet")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("finding").to_pylist(), batch.column("_snippet").to_pylist())
+            verdicts = [judge(json.loads(finding), json.loads(snippet) if snippet else None) for finding, snippet in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column("instance_id"), pa.array(verdicts, pa.string()), batch.column("ord")], ["instance_id", "verdict", "ord"])
+
+    return own.mapInArrow(run, f"instance_id string, verdict string, ord {findings.schema['ord'].dataType.simpleString()}")
+
+
 def excluded(path: Column) -> Column:
     """Whether a file lies under a directory that profiles leave out."""
     parts = F.split(path, "/")

@@ -236,3 +236,24 @@ def test_no_python_in_the_directive_scan(spark):
 
     plan = catalogue.QUERIES["injection_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_evaluation_by_a_callable(spark):
+    rows = [("c1", "a.py", 2, 2, "i1", 1, "CWE-89"), ("c1", "a.py", 3, 3, "i2", 2, "CWE-89"), ("c2", "a.py", 2, 2, "i3", 3, "CWE-79"), ("c2", "gone.py", 1, 1, "i4", 4, "CWE-79"), ("c2", "b.py", 1, 1, "i5", 5, "CWE-79")]
+    x = spark.createDataFrame(rows, "case string, file_path string, line_start int, line_end int, instance_id string, ord long, cwe string").withColumns({"cwe_ids": F.array("cwe"), "rule_id": F.lit("r"), "title": F.lit(None).cast("string")})
+    files = spark.createDataFrame([("c1", "a.py", "one\nbad(x)\nfine(x)"), ("c2", "a.py", "one\nfine(y)"), ("c2", "b.py", "held")], "case string, file_path string, content string")
+
+    def judge(finding, snippet):
+        assert finding["title"] is None and finding["case"] in ("c1", "c2")
+        if snippet is None:
+            return "needs_human"
+        return None if snippet["matched"] == "held" else "true_positive" if "bad" in snippet["matched"] else "false_positive"
+
+    verdicts = ops.judged(x, judge, files)
+    assert {r.instance_id: r.verdict for r in verdicts.collect()} == {"i1": "true_positive", "i2": "false_positive", "i3": "false_positive", "i4": "needs_human", "i5": None}
+    from siftline.operators import storage
+
+    labels = storage.labels({"c1": [{"file": "a.py", "line": 2, "cwe": "CWE-89", "vulnerable": True}], "c2": [{"file": "a.py", "line": 2, "cwe": "CWE-79", "vulnerable": False}, {"file": "b.py", "line": 1, "cwe": "CWE-79", "vulnerable": True}]}, spark)
+    row = ops.evaluate(x, labels, verdicts)[0].first()
+    assert row.tp >= 1 and row.tn == 1 and row.held == 1
+    assert {r.verdict for r in ops.judged(x, lambda finding, snippet: str(snippet)).collect()} == {"None"}
