@@ -156,13 +156,13 @@ def settle(postings: DataFrame, linked: Callable[[DataFrame], DataFrame | None],
         labelled = postings.join(own, F.col("class") == F.col("of"), "left").drop("of").withColumn("root", F.coalesce("root", "class"))
         labelled = materialise(labelled, "labelled")
         dropped(postings)
-        per = labelled.groupBy("token", "root").agg(F.count("*").alias("k"), F.count_if(F.col("cap") >= F.col("n")).alias("free"))
-        still = per.groupBy("token").agg(F.count("*").alias("roots"), F.sum("k").alias("length"), F.sum("free").alias("free"), F.max(F.struct("k", "root")).alias("most")).where("roots > 1 AND free > 0")
-        still = still.select(F.expr("token + 0").alias("of"), F.col("most.root").alias("largest"), "length", "free")
+        per = labelled.groupBy("token", "root").agg(F.count("*").alias("k"), F.bool_or(F.col("cap") >= F.col("n")).alias("free"))
+        still = per.groupBy("token").agg(F.count("*").alias("roots"), F.sum("k").alias("length"), F.bool_or("free").alias("free"), F.max(F.struct("k", "root")).alias("most")).where("roots > 1 AND free")
+        still = still.select(F.expr("token + 0").alias("of"), F.col("most.root").alias("largest"), "length")
         opened = materialise(labelled.join(still, F.col("token") == F.col("of")).drop("of"), "open")
         dropped(labelled)
-        left = opened.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("root") != F.col("largest"), F.when(F.col("cap") >= F.col("n"), F.col("length")).otherwise(F.col("free")))), F.lit(0)).alias("pairs")).first()
-        postings = _kept(opened.drop("root", "largest", "length", "free"), opened)
+        left = opened.agg(F.count("*").alias("n"), F.sum(F.when(F.col("root") != F.col("largest"), F.col("length"))).alias("pairs")).first()
+        postings = _kept(opened.drop("root", "largest", "length"), opened)
         if not left.n:
             break
         if left.pairs <= PAIRS_PER_POSTING * left.n or (before is not None and left.pairs > SAVED * before):
