@@ -25,8 +25,8 @@ from siftline.sources.model import ModelError, ModelReply
 REPLY = "verdict string, reachability string, confidence double, rationale string, citations array<struct<line_start:int,line_end:int,note:string>>, impact string, remediation string"
 KEYS = ("verdict", "reachability", "confidence", "rationale", "citations", "impact", "remediation")
 INPUT_TOKENS, OUTPUT_TOKENS, CHARS_PER_TOKEN = 2_000_000, 400_000, 4
-#: Requests that a task has under way; tokens of a reply at most, for the reservation.
-WINDOW, REPLY_TOKENS = 8, 1024
+#: Requests that a task has under way.
+WINDOW = 8
 ANALYSIS = ("verdict", "confidence", "rationale", "evidence", "impact", "remediation", "holds")
 EVIDENCE = "array<struct<file_path:string,line_start:int,line_end:int,note:string>>"
 PLACE = ("file_path", "line_start", "line_end")
@@ -88,11 +88,11 @@ def ask(asked: DataFrame, client: Callable[[str], tuple | ModelReply], attempts:
 
     A task has up to ``window`` requests under way and takes the replies in the rows' order, so the rows are those of a
     serial run whatever the latencies; ``client`` is called from threads.  A request is sent ahead only where what is under
-    way leaves it its tokens: ``reserve`` says what a prompt may cost at most (tokens in and out of all its attempts).  A
-    reply that costs more than that can only mean that a request sent ahead turns out to be held, and its reply unused.
+    way leaves it its tokens: ``reserve`` says what a prompt may cost at most (tokens in and out of all its attempts).
+    Without it a task's first request goes alone, and then as much is set aside for each as the dearest one so far took.  A
+    reply that costs more than was set aside can only mean that a request sent ahead turns out to be held, its reply unused.
     Runs its jobs when it is called, but for the last.
     """
-    reserve = reserve or (lambda prompt: (attempts * (len(prompt) // CHARS_PER_TOKEN + len(prompt) // CHARS_PER_TOKEN // 4 + 16), attempts * REPLY_TOKENS))
     key = F.col("key") if "key" in asked.columns else F.lit(None).cast("string")
     rows = asked.select("ord", key.alias("key"), "prompt")
     kind = rows.schema["ord"].dataType.simpleString()
@@ -100,10 +100,10 @@ def ask(asked: DataFrame, client: Callable[[str], tuple | ModelReply], attempts:
 
     def asking(used: list[int]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            spent, answered = list(used), set()
+            spent, dearest, answered = list(used), [], set()
             with ThreadPoolExecutor(window) as pool:
                 for batch in batches:
-                    out = in_window(list(zip(batch["ord"], batch["key"], batch["prompt"], batch["known"])), pool, spent, answered)
+                    out = in_window(list(zip(batch["ord"], batch["key"], batch["prompt"], batch["known"])), pool, spent, dearest, answered)
                     yield pd.DataFrame(out, columns=["ord", "key", "raw", "status", "detail", "used_in", "used_out"])
 
         return run
@@ -122,7 +122,7 @@ def ask(asked: DataFrame, client: Callable[[str], tuple | ModelReply], attempts:
                 return raw, True, a, b
         return raw, False, a, b
 
-    def in_window(rows: list[tuple], pool: ThreadPoolExecutor, spent: list[int], answered: set) -> list[tuple]:
+    def in_window(rows: list[tuple], pool: ThreadPoolExecutor, spent: list[int], dearest: list[int], answered: set) -> list[tuple]:
         """The rows in order; prompts behind the one that is due are sent ahead where they are sure to be asked."""
         sent: dict[int, Future] = {}
         ahead, out = 0, []
@@ -133,7 +133,10 @@ def ask(asked: DataFrame, client: Callable[[str], tuple | ModelReply], attempts:
             if name is not None and any(rows[k][1] == name for k in sent):
                 return False
             if budget:
-                held = [reserve(rows[k][2]) for k in sent]
+                if not (reserve or dearest):
+                    return not sent
+                tokens = lambda text: len(text) // CHARS_PER_TOKEN
+                held = [reserve(rows[k][2]) if reserve else (attempts * max(tokens(rows[k][2]), dearest[0]), attempts * max(1, dearest[1])) for k in sent]
                 return spent[0] + sum(a for a, _ in held) + len(prompt) // CHARS_PER_TOKEN <= budget[0] and spent[1] + sum(b for _, b in held) < budget[1]
             return True
 
@@ -158,6 +161,7 @@ def ask(asked: DataFrame, client: Callable[[str], tuple | ModelReply], attempts:
                 continue
             raw, good, a, b = under_way.result() if under_way else one(prompt)
             spent[:] = spent[0] + a, spent[1] + b
+            dearest[:] = [max(x) for x in zip(dearest or (0, 0), (a, b))]
             if good and name is not None:
                 answered.add(name)
             out.append((no, name, raw, "answered" if good else "hold:evidence", None if good else fixed.NO_RESPONSE, *spent))
