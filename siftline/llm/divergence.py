@@ -9,9 +9,10 @@ emits what differs from it.  With Z = f(p0_a, p0_b), the correction of a term is
   so postings are summed to (group, count, terms) first, and it is those that meet the other groups;
 * f(p_a, p_b) - f(p_a, p0_b) - f(p0_a, p_b) + Z more where a and b both have the term, nonzero only.
 
-Terms are counted in the tasks that read the texts; rows (lang, source, term) are what is shuffled, so a hot source or
-word is one row a task.  The pairs of a language are the result itself (every rank is asked for), and no other table is
-larger than they or the postings are.  Everything is integer arithmetic: decimals where counts meet SCALE, longs after.
+Terms are counted in the tasks that read the texts; rows (lang, source, term) are what is shuffled, once, by language and
+term: a hot source or word is a row a task.  A term's sources are then one list, no longer than its language's sources.
+The pairs of a language are the result itself (every rank is asked for), and no other table is larger than they or the
+postings are.  Everything is integer arithmetic: decimals where counts meet SCALE, longs after.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SCALE, LEAST_DOCS, TOP = 1_000_000_000, 10, 10
 #: Bytes that make up terms: ASCII letters, lower-cased, and whatever isn't ASCII; all others part them.
 TERM_BYTES = bytes(b if b > 127 or chr(b).islower() else b + 32 if chr(b).isupper() and b < 128 else 32 for b in range(256))
 #: Distinct (lang, source, term) that a task holds before it sends their counts, and bytes of terms.
-HELD, HELD_BYTES = 200_000, 16 << 20
+HELD, HELD_BYTES = 400_000, 32 << 20
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -91,16 +92,15 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     terms; ties go by the item's bytes; an empty table gives no rows; other columns take no part.  Writes the postings
     when it is called, and deletes the tables it no longer needs.
     """
-    counted = materialise(term_counts(docs).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "terms")
-    kept = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("all")).where(F.col("docs") >= least_docs)
-    # concat() makes new expressions: the join deals out both sides itself and can split what is hot
-    named = kept.select(F.concat("lang").alias("l"), F.concat("term").alias("t"), "all")
-    postings = materialise(counted.join(named, (F.col("lang") == F.col("l")) & (F.col("term") == F.col("t"))).select("lang", "source", "term", "count", "all"), "postings")
-    dropped(counted)
+    # dealt out by (lang, term), which serves both sums: by source, and over all sources of a term
+    counted = term_counts(docs).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    kept = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("all"), F.collect_list(F.struct("source", "count")).alias("sources")).where(F.col("docs") >= least_docs)
+    postings = kept.select("lang", "term", "all", F.posexplode("sources").alias("no", "s"))
+    postings = materialise(postings.select("lang", "s.source", "term", "s.count", "all", "no"), "postings")
 
     names = docs.select(*(F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in ("lang", "source"))).distinct()
     sums = postings.groupBy("lang", "source").agg(F.sum("count").alias("n"))
-    langs = postings.groupBy("lang", "term").agg(F.first("all").alias("all")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("lang_n"))
+    langs = postings.where("no = 0").groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("lang_n"))
     groups = names.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["n", "v", "lang_n"])
     groups = materialise(groups.withColumn("p0", F.when(F.col("v") > 0, rate(0)).otherwise(F.lit(1).cast("long"))), "groups")
 
