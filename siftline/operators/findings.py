@@ -51,8 +51,8 @@ def snippets(keys: DataFrame, files: DataFrame) -> DataFrame:
     (file_path, content), as ``readable`` gives them; a missing file or a start beyond its end gives empty text.
 
     Each distinct place is cut once.  The places of a file come to its text in blocks of about PLACES, sorted, and a block
-    makes one line index of it: the lines' offsets in the text, from which places take slices.  So neither the text nor
-    its lines travel with every key; what is shuffled is the keys, a text for each block, and the snippets.
+    splits the text into one array of lines, from which places take slices.  So neither the text nor its lines travel
+    with every key; what is shuffled is the keys, a text for each block, and the snippets.
     """
     place = ["file_path", "line_start", "line_end"]
     places = keys.select(*place).distinct()
