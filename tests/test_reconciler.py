@@ -40,3 +40,14 @@ def test_state_equals_reconcile_after_every_batch(spark, tmp_path):
     reconciler.advance(spark.readStream.schema(reconciler.FINDING).parquet(str(tmp_path / "in")), str(tmp_path / "out"))
     assert set(got) == {tuple(r) for r in reconciler.statuses(spark, str(tmp_path / "out")).collect()}
     assert F is not None
+
+
+def test_state_is_called_by_bucket_and_not_by_issue(spark, tmp_path):
+    rows = [(scan, n, f"i{n + 150 * scan}", f"s{n % 200}") for scan in (0, 1) for n in range(300)]
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, reconciler.FINDING).write.mode("append").parquet(str(tmp_path / "in"))
+        reconciler.advance(spark.readStream.schema(reconciler.FINDING).parquet(str(tmp_path / "in")), str(tmp_path / "out"), buckets=3)
+    got = [tuple(r) for r in reconciler.statuses(spark, str(tmp_path / "out")).collect()]
+    assert set(got) == wanted(spark, rows) and len(got) == len(set(got))
+    state = spark.read.format("statestore").option("stateVarName", "scans").load(str(tmp_path / "out" / "checkpoint-facts"))
+    assert state.count() <= 3 * 2  # a value for each bucket and scan
