@@ -187,7 +187,6 @@ def sarif_findings(reports: DataFrame, version: str = "unknown", tool: str = "co
 def sarif_files(spark: SparkSession, paths: str | list[str], version: str = "unknown", tool: str = "codeql", strict: bool = False) -> DataFrame:
     """As ``sarif_findings``, of files; results meet their rules by (file, id)."""
     x = read_elements(spark, paths, {"results": "runs[0].results[]", "rules": "runs[0].tool.driver.rules[]"})
-    x = written(x, "elements")  # else results and rules would read the files twice
     rules = x.where("target = 'rules'").select("file", "at", F.from_json("value", SARIF_RULE).alias("q")).where("q.id IS NOT NULL")
     rules = rules.groupBy(F.concat("file").alias("of"), F.col("q.id").alias("id")).agg(F.max_by("q", "at").alias("rule"))
     fault = F.when(F.col("error").isNotNull(), F.concat(F.lit("malformed report: "), "error"))

@@ -25,9 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.operators.graph import written
+
 #: Bytes of elements that a task gives together.
 GIVEN = 4 << 20
 _TOKEN = re.compile(rb'"[^"\\]*(?:\\.[^"\\]*)*"|["{}\[\],]', re.S)
+_STRING = rb'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def _balanced(depth: int) -> bytes:
+    inner = rb"(?:[^\"{}\[\]]++|" + _STRING + (b"|" + _balanced(depth - 1) if depth else b"") + rb")*+"
+    return rb"(?:\{" + inner + rb"\}|\[" + inner + rb"\])"
+
+
+#: Tokens, but objects and arrays that are whole and not deep are one, in a group.
+_SUMMED = re.compile(b"(" + _balanced(5) + b")|" + _TOKEN.pattern, re.S)
 _REST = re.compile(rb'[^"\\]*(?:\\.[^"\\]*)*"', re.S)
 _STEP = re.compile(r"\.?([^.\[\]]+)|\[(\d*)\]")
 _OPENS = {b"}": b"{", b"]": b"["}
@@ -58,10 +70,10 @@ def _name(raw: bytes) -> str | None:
 
 
 class Lexer:
-    """Brackets, commas and whole strings of a text that comes in parts."""
+    """Brackets, commas and whole strings of a text that comes in parts; ``summed``: but for what whole objects and arrays hold."""
 
-    def __init__(self, in_string: bool):
-        self.in_string, self.held = in_string, b""
+    def __init__(self, in_string: bool, summed: bool = False):
+        self.in_string, self.held, self.token = in_string, b"", _SUMMED if summed else _TOKEN
 
     def take(self, text: bytes) -> tuple[bytes, list[tuple[int, bytes]]]:
         """The text up to a string that is still open, and (place, token) in it; the rest is held for the next part."""
@@ -71,7 +83,9 @@ class Lexer:
                 self.held = text
                 return b"", found
             self.in_string, at = False, m.end()
-        for m in _TOKEN.finditer(text, at):
+        for m in self.token.finditer(text, at):
+            if m.lastindex:
+                continue
             if m[0] == b'"':
                 self.held = text[m.start() :]
                 return text[: m.start()], found
@@ -143,7 +157,7 @@ class Summing(Split):
 
     def __init__(self, last: bool):
         super().__init__(last)
-        self.both = [(Lexer(inside), Summary()) for inside in (False, True)]
+        self.both = [(Lexer(inside, summed=True), Summary()) for inside in (False, True)]
 
     def take(self, text: bytes) -> None:
         for lexer, summary in self.both:
@@ -300,7 +314,7 @@ def read_elements(spark: SparkSession, paths: str | list[str], targets: dict[str
     ``at`` rises in the order of a document.  A document that breaks off, or closes what isn't open, gives the whole elements
     before that and one row with ``error``, whose ``at`` is behind theirs; so does one that is no object or array.  Empty
     arrays and other members give nothing, and neither do empty files.  No target may lie in an element of another.
-    Runs the first pass, over documents of several splits, when it is called.
+    Runs both passes when it is called: the first, over documents of several splits, is one job.
     """
     parsed = {name: steps(path) for name, path in targets.items()}
     meta = [F.col(f"_metadata.file_{x}") for x in ("path", "block_start", "block_length", "size")]
@@ -313,7 +327,7 @@ def read_elements(spark: SparkSession, paths: str | list[str], targets: dict[str
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([begin], pa.int64()), pa.array([pickle.dumps(split.sums)], pa.binary())], ["file", "begin", "sums"])
 
     by: dict[str, list] = {}
-    for r in raw.where("part").mapInArrow(summed, "file string, begin long, sums binary").toLocalIterator():  # a row a split
+    for r in raw.where("part").mapInArrow(summed, "file string, begin long, sums binary").collect():  # a row a split, all in one job
         by.setdefault(r.file, []).append((r.begin, pickle.loads(r.sums)))
     sent = spark.sparkContext.broadcast({(file, place): begin for file, sums in by.items() for place, begin in beginnings(sums, parsed)})
     names = ["file", "target", "at", "of", "value", "begins", "ends", "error"]
@@ -336,7 +350,8 @@ def read_elements(spark: SparkSession, paths: str | list[str], targets: dict[str
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                 rows = []
 
-    got = raw.mapInArrow(read, "file string, target string, at long, of long, value binary, begins boolean, ends boolean, error string")
+    # written, else whole and cut elements would each read the documents
+    got = written(raw.mapInArrow(read, "file string, target string, at long, of long, value binary, begins boolean, ends boolean, error string"), "elements")
     whole = got.where("begins AND ends").select("file", "target", "at", F.col("value").cast("string").alias("value"), "error")
     # elements that splits have cut: as many rows as there are splits; one without an end is where the document breaks off
     cut = got.where("NOT (begins AND ends)").groupBy("file", "target", "of").agg(F.array_sort(F.collect_list(F.struct("at", F.hex("value").alias("value")))).alias("p"), F.bool_or("ends").alias("ends")).where("ends")

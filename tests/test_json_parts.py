@@ -164,3 +164,17 @@ def test_one_scan_and_parse_of_a_report(spark):
     assert sorted((r.arrival, r.error) for r in adapters.sarif_findings(df).collect()) == [(2, "malformed report"), (3, "malformed report"), (4, "malformed report")]
     text = adapters.sarif_findings(df)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("LocalRelation") + text.count("LogicalRDD") == 1 and text.count("from_json") == 1
+
+
+def test_the_first_pass_is_one_job(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps({"results": [{"a": [no, {"b": "x,]y"}]} for no in range(4000)]}))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.sparkContext.setJobGroup("first-pass", "reading elements")
+    try:
+        rows = read_elements(spark, str(tmp_path), TARGETS)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("first-pass"))
+        assert [json.loads(r.value)["a"][0] for r in rows.orderBy("at").collect()] == list(range(4000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 4  # one of each pass; a job for every split were more than twenty
