@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 
@@ -103,7 +104,8 @@ def ask(asked: DataFrame, client: Callable[[str], tuple | ModelReply], attempts:
             spent, dearest, answered = list(used), [], set()
             with ThreadPoolExecutor(window) as pool:
                 for batch in batches:
-                    out = in_window(list(zip(batch["ord"], batch["key"], batch["prompt"], batch["known"])), pool, spent, dearest, answered)
+                    rows = list(zip(batch["ord"], batch["key"], batch["prompt"], batch["known"]))
+                    out = in_window(rows, pool, spent, dearest, answered) if budget else freely(rows, pool, spent, answered)
                     yield pd.DataFrame(out, columns=["ord", "key", "raw", "status", "detail", "used_in", "used_out"])
 
         return run
@@ -167,6 +169,44 @@ def ask(asked: DataFrame, client: Callable[[str], tuple | ModelReply], attempts:
             out.append((no, name, raw, "answered" if good else "hold:evidence", None if good else fixed.NO_RESPONSE, *spent))
         return out
 
+    def freely(rows: list[tuple], pool: ThreadPoolExecutor, spent: list[int], answered: set) -> list[tuple]:
+        """The rows in order, without a budget: each thread takes the next row, or the next key's rows, until none is left, so no
+        request waits for an earlier one's reply, and threads are started once a batch."""
+        todo: dict[tuple, list[int]] = {}
+        for no, (_, name, _, known) in enumerate(rows):
+            if not known and (name is None or name not in answered):
+                todo.setdefault(("row", no) if name is None else ("key", name), []).append(no)
+        left, replies = deque(todo.values()), {}
+
+        def take() -> None:
+            try:
+                while True:
+                    try:
+                        own = left.popleft()
+                    except IndexError:
+                        return
+                    for no in own:
+                        replies[no] = one(rows[no][2])
+                        if replies[no][1]:
+                            break
+            except BaseException:
+                left.clear()
+                raise
+
+        for thread in [pool.submit(take) for _ in range(window)]:
+            thread.result()
+        out = []
+        for no, (ord_, name, _, _) in enumerate(rows):
+            if no not in replies:
+                out.append((ord_, name, None, "cached", None, *spent))
+                continue
+            raw, good, a, b = replies.pop(no)
+            spent[:] = spent[0] + a, spent[1] + b
+            if good and name is not None:
+                answered.add(name)
+            out.append((ord_, name, raw, "answered" if good else "hold:evidence", None if good else fixed.NO_RESPONSE, *spent))
+        return out
+
     def flagged(df: DataFrame) -> DataFrame:
         """With ``known``: whether an earlier stretch has answered the row's key."""
         found = [x.where("status = 'answered' AND key IS NOT NULL").select(F.col("key").alias("of"), F.lit(True).alias("known")) for x in done]

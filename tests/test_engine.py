@@ -424,3 +424,16 @@ def test_ranked_is_numbered_when_it_is_written(spark):
     assert "row_number" not in plan  # else every use would shuffle and sort the whole rows
     want = {(s, no): n for s in ("a", "b") for n, (_, _, no) in enumerate(sorted((-score, f, no) for t, score, f, no in rows if t == s), 1)}
     assert {(r.scan, r.arrival): r.ord for r in x.collect()} == want
+
+
+def test_without_a_budget_no_request_waits_for_an_earlier_reply(spark):
+    import time
+
+    def client(prompt):
+        time.sleep(3 if prompt == "0" else 0.01)
+        return str(time.time()), 1, 1
+
+    rows = spark.createDataFrame([(n, f"k{n % 2}" if n > 50 else None, str(n)) for n in range(60)], "ord long, key string, prompt string").coalesce(1)
+    got = {r.ord: r for r in triage.ask(rows, client, budget=None, accept=lambda raw: True).collect()}
+    assert [got[n].status for n in range(60)] == ["answered"] * 53 + ["cached"] * 7
+    assert float(got[50].raw) < float(got[0].raw) and [got[n].used_in for n in (0, 52, 59)] == [1, 53, 53]
