@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -65,6 +66,27 @@ def test_bpe_on_tables(spark, enc):
     assert bytes(back.data).decode() == texts()[9]
 
 
+def test_ids_without_a_search_for_special_tokens(enc):
+    rng, kinds = random.Random(5), ["'s", "'re", "'l", "'ll", "'d", " ", "  ", "\n", bpe.NEVER[0], "\x00", "é", "日", "12", "!!", "abc", "’", "\u00a0", "🎉"]
+    found = ["".join(rng.choice(kinds) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    for t in [*found, bpe.NEVER[0], "".join(found)]:
+        assert bpe.ids_of(t, PATH, PATTERN).tolist() == enc.encode_ordinary(t)
+        ends = [m.end() for m in bpe.regex.finditer(PATTERN, t)]
+        assert bpe.boundaries(t, PATTERN) == ends
+        for upto, since in ((5, 9), (0, 30), (7, 7), (100, 2000), (5, 6)):
+            assert [p for p in bpe.boundaries(t, PATTERN, upto, since) if p <= upto or p >= since] == [p for p in ends if p <= upto or p >= since]
+    text = "The plain words of 12 texts, and what they don't say. " * 8000
+    seconds = []
+    for run in (lambda: bpe.ids_of(text, PATH, PATTERN), lambda: enc.encode_to_numpy(text)):
+        took = []
+        for _ in range(4):
+            start = time.process_time()
+            run()
+            took.append(time.process_time() - start)
+        seconds.append(min(took))
+    assert seconds[0] < 0.9 * seconds[1]
+
+
 def test_best_fit_decreasing():
     rng = random.Random(2)
     for _ in range(50):
