@@ -46,9 +46,12 @@ def _either(words: tuple[str, ...]) -> str:
 
 
 _ANY = _either(ANCHORS)
-#: A space at a spot, and in a look-ahead (so that chains may overlap) its chain.
-_SPOT = rf"(?:^|(?<= ){_ANY}(?= )|(?=(?: (?!{_ANY} )[^ ]++){{{GAP}}}))(?=((?: (?:{_ANY} )*+[^ ]++){{1,{CHAIN}}}))"
-_SKIP = rf" {_ANY}(?= )"
+#: Stands before a content word that begins the text or follows anchors, which it replaces; no word has it.
+_MARK = "|"
+_ANCHORED = rf"[ {_MARK}](?:{_ANY} )++"
+#: In a marked text: the chain at a mark (it may go on behind the next one), and a run of words that has spots without one.
+_FIRST = rf"(?=(\{_MARK}[^ {_MARK}]++(?:[ {_MARK}][^ {_MARK}]++){{0,{CHAIN - 1}}}))\{_MARK}"
+_RUN = rf"\{_MARK}([^ {_MARK}]++(?: [^ {_MARK}]++){{{GAP},}}+)"
 
 
 def _once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -56,13 +59,32 @@ def _once(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def _chains(marked: Column) -> Column:
+    """The chains of CHAIN content words at a marked text's spots.
+
+    A run of content words has one spot at its mark, and one at each later word that GAP - 1 words of the run follow: so
+    runs are cut into words once, and no place looks at the words after it.
+    """
+    first = F.transform(F.regexp_extract_all(marked, F.lit(_FIRST), F.lit(1)), lambda s: F.translate(s, _MARK, " "))
+
+    def later(words: Column) -> Column:
+        n = F.size(words) - GAP
+        out = F.slice(words, 2, n)
+        for k in range(1, CHAIN):
+            out = F.zip_with(out, F.slice(words, 2 + k, n), lambda a, b: F.concat_ws(" ", a, b))
+        return F.transform(out, lambda s: F.concat(F.lit(" "), s))
+
+    runs = F.transform(F.regexp_extract_all(marked, F.lit(_RUN), F.lit(1)), lambda run: _once(F.split(run, " "), later))
+    return F.concat(first, F.flatten(runs))
+
+
 def signatures(text: Column) -> Column:
     """Sorted distinct signatures (hashes of BITS bits) of a text; null counts as empty, which has none."""
-    clean = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    spots = F.transform(F.regexp_extract_all(clean, F.lit(_SPOT), F.lit(1)), lambda s: F.regexp_replace(s, _SKIP, ""))
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    marked = F.regexp_replace(F.concat(F.lit(_MARK), words, F.lit(" ")), _ANCHORED, _MARK)
     short = lambda s: F.substring_index(s, " ", 2)
-    chains = _once(spots, lambda found: F.concat(found, F.transform(found, short)))
-    return F.array_sort(F.array_distinct(F.transform(chains, lambda s: F.shiftrightunsigned(F.xxhash64(s), 64 - BITS))))
+    chains = _once(_once(marked, _chains), lambda found: F.concat(found, F.transform(found, short)))
+    return F.sort_array(F.array_distinct(F.transform(chains, lambda s: F.shiftrightunsigned(F.xxhash64(s), 64 - BITS))))
 
 
 def printed(sigs: Column) -> Column:
@@ -164,25 +186,37 @@ def fingerprint_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return x.select("doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"), F.size("own").alias("n_signatures"))
 
 
+def _may_be_near(rows: DataFrame, threshold: float) -> DataFrame:
+    """(class, sigs) of the rows (class, n, sigs) whose class has enough signatures that other classes have as well.
+
+    A set that is near to another shares at least ``threshold`` of its own signatures.  A signature of one class alone
+    names its class, so those are counted without bringing the sets of a signature together: frequent ones are
+    aggregated where they are read, and only sets that remain are joined by signature.
+    """
+    tokens = rows.select("class", F.explode("sigs").alias("token")).groupBy("token").agg(F.min("class").alias("own"), F.max("class").alias("other"))
+    alone = tokens.where("own = other").groupBy(F.expr("own + 0").alias("of")).agg(F.count("*").alias("alone"))
+    x = rows.where("n > 0").select("class", "n", "sigs").join(alone, F.col("class") == F.col("of"), "left")
+    return x.where(F.col("n") - F.coalesce("alone", F.lit(0)) >= F.ceil(F.lit(threshold) * F.col("n") - 1e-9)).select("class", "sigs")
+
+
 def near_documents(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
     """(doc_id, n_signatures, component_id): documents of fingerprints with a likeness of ``threshold`` or more, and their closure.
 
     component_id is the least doc_id of the component, null only where none of it has a doc_id.  Documents without
     signatures (null texts among them) are near to nothing; equal fingerprints are one class, and so repeated rows are; a
     class is named by 64 bits of a 128-bit hash, or by the other 64 where two classes share the first; other columns take
-    no part; an empty table gives no rows.  Candidates share one of the
+    no part; an empty table gives no rows.  Sets with too few signatures that any other has are left out first; candidates share one of the
     signatures that the threshold forces them to (the rarest ones of each set) and lie in the same or neighbouring
     length partitions; pivots keep a list of many sets from meeting itself whole.  Runs jobs when it is called.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text")).alias("sigs"))
-    text = F.array_join(F.transform("sigs", lambda s: s.cast("string")), " ")
-    rows = materialise(rows.select("doc_id", F.xxhash64(text).alias("class"), F.xxhash64(F.lit(1), text).alias("check"), "sigs"), "spots")
+    rows = materialise(rows.select("doc_id", F.xxhash64("sigs").alias("class"), F.xxhash64(F.lit(1), "sigs").alias("check"), F.size("sigs").alias("n"), "sigs"), "spots")
     twins = rows.groupBy("class").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select(F.expr("class + 0").alias("twin"))
     if not twins.isEmpty():
         renamed = rows.join(twins, F.col("class") == F.col("twin"), "left").withColumn("class", F.when(F.col("twin").isNull(), F.col("class")).otherwise(F.col("check"))).drop("twin")
         first, rows = rows, materialise(renamed, "spots")
         dropped(first)
-    sets = materialise(rows.where(F.size("sigs") > 0).groupBy("class").agg(F.first("sigs").alias("sigs")), "sets")
+    sets = materialise(_may_be_near(rows, threshold).groupBy("class").agg(F.first("sigs").alias("sigs")), "sets")
     each = sets.select("class", F.size("sigs").alias("n"), F.explode("sigs").alias("token"))
     df = each.groupBy(F.expr("token + 0").alias("of")).agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(df, F.col("token") == F.col("of")).groupBy("class").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
@@ -198,7 +232,7 @@ def near_documents(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
 
     _, root = settle(postings, linked, threshold, 1)
     dropped(sets)
-    x = rows.join(root.select(F.expr("class + 0").alias("of"), "root"), F.col("class") == F.col("of"), "left").withColumn("root", F.coalesce("root", "class"))
+    x = rows.select("doc_id", "class", "n").join(root.select(F.expr("class + 0").alias("of"), "root"), F.col("class") == F.col("of"), "left").withColumn("root", F.coalesce("root", "class"))
     least = x.groupBy(F.expr("root + 0").alias("of_root")).agg(F.min("doc_id").alias("least"))
     out = x.join(least, F.col("root") == F.col("of_root"))
-    return out.select("doc_id", F.size("sigs").alias("n_signatures"), F.when(F.size("sigs") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_signatures"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

@@ -556,6 +556,26 @@ def test_spot_chains(spark):
         assert sigs == sorted(spots(texts[i])), texts[i]
 
 
+def test_spots_of_runs_of_every_length(spark):
+    """Runs of content words around GAP, between anchors, at the text's ends, and chains that go on behind an anchor."""
+    texts = [" the ".join(" ".join(f"{c}{k}" for k in range(n)) for c, n in zip("uvw", sizes)) for sizes in ((7, 8, 9), (8, 9, 10), (9, 1, 16), (1, 1, 17), (10, 0, 1), (0, 12, 0), (8, 0, 0))]
+    texts += ["a|b|the|c|of", "| x y z || the |", "the the the one of of two"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", spotsigs.signatures(F.col("text")).alias("s")).collect()
+    for i, sigs in got:
+        assert sigs == sorted(spots(texts[i])), texts[i]
+
+
+def test_spotsigs_sets_without_enough_shared_signatures(spark):
+    """Only sets of which others have 80 % of the signatures are kept; copies of a set don't count as others."""
+    rng = random.Random(14)
+    sets = [sorted(rng.sample(range(k % 3 * 40, k % 3 * 40 + 60), rng.randint(1, 20))) for k in range(40)] + [[1000 + k] for k in range(5)] + [list(range(2000, 2010)), list(range(2002, 2012)), list(range(2011, 2016)), []]
+    rows = [(k, len(x), x) for k, x in enumerate(sets)]
+    df = spark.createDataFrame(rows + rows, "class long, n int, sigs array<long>")
+    got = {r["class"] for r in spotsigs._may_be_near(df, 0.8).collect()}
+    want = {k for k, x in enumerate(sets) if x and 100 * sum(any(s in y for m, y in enumerate(sets) if m != k) for s in x) >= 80 * len(x)}
+    assert got == want and 0 < len(want) < len(sets)
+
+
 def brute_near(rows):
     sets = [spots(t) for _, t in rows]
     root = list(range(len(rows)))
