@@ -39,7 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256), a row each row: ids as little-endian uint32 bytes, and the SHA-256 of the
     bytes that they decode to, which are the text's; null texts count as empty."""
-    return bpe.decoded(bpe.encode(docs, *vocabulary()), *vocabulary())
+    return bpe.encode(docs, *vocabulary(), then=bpe.digester(*vocabulary(), carried=True))
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("secret scans", secrets), ("mixing", mixture), ("byte-level BPE", tokens)]

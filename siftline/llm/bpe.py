@@ -119,7 +119,7 @@ def _ids_bytes(ids: np.ndarray) -> bytes:
 
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, then: tuple | None = None) -> DataFrame:
     """(doc_id, ids): every whole text's ids as little-endian uint32 bytes.  ``then`` (a function of such batches, the schema
-    of what it gives) is applied where the ids are made, without another pass through the JVM.
+    of what it gives) is applied where the ids are made, in the same Python worker and without another pass through the JVM.
 
     Nulls count as empty texts, which have no ids.  Repeated rows give a row each.  Texts of up to ``chunk`` characters
     are one chunk and never move between executors; only longer ones are dealt out by chunk.  Other columns take no
@@ -127,24 +127,34 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     more, schema = then or (None, "doc_id long, ids binary")
-    ids = _encode_short(path, pattern)
-    short = rows.where(F.length("text") <= chunk).mapInArrow(trimmed((lambda batches: more(ids(batches))) if more else ids), schema)
-    long = _encode_long(rows.where(F.length("text") > chunk), path, pattern, chunk, overlap)
-    return short.unionByName(long.mapInArrow(trimmed(more), schema) if more else long)
 
+    def whole(own: DataFrame, at_once: int) -> DataFrame:
+        ids = _encode_whole(path, pattern, at_once)
+        return own.mapInArrow(trimmed((lambda batches: more(ids(batches))) if more else ids), schema)
+
+    sewn, unsewn = _encode_long(rows.where(F.length("text") > chunk), path, pattern, chunk, overlap)
+    short = rows.where(F.length("text") <= chunk).withColumn("copies", F.lit(1).cast("long"))
+    return whole(short, 256).unionByName(sewn.mapInArrow(trimmed(more), schema) if more else sewn).unionByName(whole(unsewn, 1))
+
+
+def _encode_whole(path: str, pattern: str, at_once: int):
+    """Batches (doc_id, text, copies) to batches (doc_id, ids): each text encoded once, in as many rows as it has copies."""
 
-def _encode_short(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            for at in range(0, len(batch), 256):
-                ids = [_ids_bytes(ids_of(t, path, pattern)) for t in texts.slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 256), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for at in range(0, len(batch), at_once):
+                own = batch.slice(at, at_once)
+                ids = pa.array([_ids_bytes(ids_of(t, path, pattern)) for t in own.column("text").to_pylist()], pa.binary())
+                left = own.column("copies").to_numpy()
+                while (open_ := np.flatnonzero(left > 0)).size:  # a copy of each at a time, so that many copies of a long text need no more memory
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id").take(pa.array(open_)), ids.take(pa.array(open_))], ["doc_id", "ids"])
+                    left = left - 1
 
     return run
 
 
-def _encode_long(rows: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+def _encode_long(rows: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, ids) of the texts whose chunks have seams, a row each row; (doc_id, text, copies) of the others, not yet encoded."""
     plain = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("copies", pa.int64()), ("no", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("text", pa.string())])
     found_in = pa.schema([*plain, ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
     columns = "doc_id long, row string, copies long, no int, start long, length long, text string"
@@ -168,11 +178,6 @@ def _encode_long(rows: DataFrame, path: str, pattern: str, chunk: int, overlap:
             ids = [_ids_bytes(ids_of(x["text"][x["from_"] - x["start"] : x["to_"] - x["start"]], path, pattern)) for x in batch.select(["text", "start", "from_", "to_"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "copies", "no")), pa.array(ids, pa.binary())], ["doc_id", "row", "copies", "no", "ids"])
 
-    def encode_whole(group: pa.Table) -> pa.Table:
-        texts = group.sort_by("no").column("text").to_pylist()
-        ids = _ids_bytes(ids_of("".join(t[:chunk] for t in texts), path, pattern))
-        return group.select(["doc_id", "row", "copies"]).slice(0, 1).append_column("ids", pa.array([ids], pa.binary()))
-
     # equal rows are encoded once and counted
     counted = rows.groupBy("doc_id", F.sha2("text", 256).alias("row")).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     found = counted.mapInArrow(cut, columns).repartition("doc_id", "row", "no").mapInArrow(find, f"{columns}, before array<long>, after array<long>")
@@ -184,9 +189,9 @@ def _encode_long(rows: DataFrame, path: str, pattern: str, chunk: int, overlap:
     parts = sewn.where("not open").mapInArrow(trimmed(encode_pieces), "doc_id long, row string, copies long, no int, ids binary")
     in_order = F.array_sort(F.collect_list(F.struct("no", "ids")))
     joined = parts.groupBy("doc_id", "row", "copies").agg(F.aggregate(in_order, F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
-    whole = sewn.where("open").select("doc_id", "row", "copies", "no", "text").groupBy("doc_id", "row").applyInArrow(encode_whole, "doc_id long, row string, copies long, ids binary")
-    every = joined.unionByName(whole)
-    return every.withColumn("_", F.explode(F.expr("sequence(1L, copies)"))).select("doc_id", "ids")
+    chunks = F.array_sort(F.collect_list(F.struct("no", F.substring("text", 1, chunk).alias("text"))))
+    unsewn = sewn.where("open").groupBy("doc_id", "row", "copies").agg(F.array_join(chunks["text"], "").alias("text"))
+    return joined.withColumn("_", F.explode(F.expr("sequence(1L, copies)"))).select("doc_id", "ids"), unsewn.select("doc_id", "text", "copies")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -201,7 +206,9 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, ids binary, data binary")
 
 
-def _digests(path: str, pattern: str, carried: bool):
+def digester(path: str, pattern: str, carried: bool = False) -> tuple:
+    """``digests`` (``decoded``, if ``carried``) as a function of batches (doc_id, ids), and the schema of what it gives."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in batches:
@@ -216,14 +223,19 @@ def _digests(path: str, pattern: str, carried: bool):
                 first = piece.column("ids") if carried else pa.array(ids_sha, pa.string())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(counts, pa.int64()), first, pa.array(data_sha, pa.string())], ["doc_id", "n_tokens", "ids" if carried else "ids_sha256", "decoded_sha256"])
 
-    return trimmed(run)
+    return run, "doc_id long, n_tokens long, ids binary, decoded_sha256 string" if carried else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digested(encoded: DataFrame, path: str, pattern: str, carried: bool) -> DataFrame:
+    run, schema = digester(path, pattern, carried)
+    return encoded.mapInArrow(trimmed(run), schema)
 
 
 def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per row: count of ids, SHA-256 of the decimal ids joined by spaces, SHA-256 of the decoded bytes; null ids count as none."""
-    return encoded.mapInArrow(_digests(path, pattern, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _digested(encoded, path, pattern, False)
 
 
 def decoded(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): the ids with the SHA-256 of the bytes that they decode to; a row each, null ids as none."""
-    return encoded.mapInArrow(_digests(path, pattern, True), "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
+    return _digested(encoded, path, pattern, True)

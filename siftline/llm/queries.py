@@ -54,7 +54,7 @@ def spotsigs_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), *vocabulary()), *vocabulary())
+    return bpe.encode(table(spark, sf_dir, "documents"), *vocabulary(), then=bpe.digester(*vocabulary()))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

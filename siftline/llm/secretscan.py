@@ -199,8 +199,10 @@ def labelled_findings(n: int = 4000, seed: int = 11, dictionary: tuple[str, ...]
 
 
 def labelled_table(spark: SparkSession, n: int = 4000, seed: int = 11) -> DataFrame:
-    """``labelled_findings`` as the table that ``learn`` takes."""
-    return spark.createDataFrame(labelled_findings(n, seed), "text string, start long, end long, path string, label int")
+    """``labelled_findings`` as the table that ``learn`` takes; sent as Arrow, so that executors start no Python workers for it."""
+    columns = zip(*labelled_findings(n, seed)) if n else [()] * 5
+    kinds = {"text": pa.string(), "start": pa.int64(), "end": pa.int64(), "path": pa.string(), "label": pa.int32()}
+    return spark.createDataFrame(pa.table({k: pa.array(v, t) for (k, t), v in zip(kinds.items(), columns)}))
 
 
 class Forest:
