@@ -100,7 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links every node's larger neighbours to the least of its neighbourhood, then its smaller ones; rounds
     grow as the logarithm of the nodes.  Written tables cut the lineage, so this runs jobs when it is called.
     """
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", shuffled=True)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -108,7 +108,7 @@ def components(edges: DataFrame) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least.select(F.expr("u + 0").alias("w"), "m"), F.col("u") == F.col("w"))
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).distinct()
-        then = materialise(small, "edges")
+        then = materialise(small, "edges", shuffled=True)
         dropped(now)
         # a forest of stars: no node has two smaller ends, or is one itself
         ends = then.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("over")), F.struct(F.col("v").alias("x"), F.lit(0).alias("over")))).alias("e")).groupBy("e.x").agg(F.sum("e.over").alias("over"), F.min("e.over").alias("least"))
@@ -138,7 +138,7 @@ def settle(postings: DataFrame, linked: Callable[[DataFrame], DataFrame | None],
     def judge(pairs: DataFrame) -> bool:
         for done in tested:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        tested.append(materialise(pairs, "candidates"))
+        tested.append(materialise(pairs, "candidates", shuffled=True))
         if (found := linked(tested[-1])) is None:
             return False
         links.append(found)
@@ -154,12 +154,12 @@ def settle(postings: DataFrame, linked: Callable[[DataFrame], DataFrame | None],
         # lists whose sets still lie in several components
         own = root.select(F.expr("class + 0").alias("of"), "root") if links else postings.select(F.col("class").alias("of"), F.col("class").alias("root")).where(F.lit(False))
         labelled = postings.join(own, F.col("class") == F.col("of"), "left").drop("of").withColumn("root", F.coalesce("root", "class"))
-        labelled = materialise(labelled, "labelled")
+        labelled = materialise(labelled, "labelled", shuffled=True)
         dropped(postings)
         per = labelled.groupBy("token", "root").agg(F.count("*").alias("k"), F.bool_or(F.col("cap") >= F.col("n")).alias("free"))
         still = per.groupBy("token").agg(F.count("*").alias("roots"), F.sum("k").alias("length"), F.bool_or("free").alias("free"), F.max(F.struct("k", "root")).alias("most")).where("roots > 1 AND free")
         still = still.select(F.expr("token + 0").alias("of"), F.col("most.root").alias("largest"), "length")
-        opened = materialise(labelled.join(still, F.col("token") == F.col("of")).drop("of"), "open")
+        opened = materialise(labelled.join(still, F.col("token") == F.col("of")).drop("of"), "open", shuffled=True)
         dropped(labelled)
         left = opened.agg(F.count("*").alias("n"), F.sum(F.when(F.col("root") != F.col("largest"), F.col("length"))).alias("pairs")).first()
         postings = _kept(opened.drop("root", "largest", "length"), opened)

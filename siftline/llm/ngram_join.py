@@ -189,7 +189,7 @@ def _count(table: pa.Table) -> pa.Table:
 def levels(rows: DataFrame, words: int, total: int) -> np.ndarray:
     """The level table: for each cell the highest level of the frequent shingles that fall into it, else 0."""
     counted = rows.select("text").mapInArrow(_sketch(words, total), "bucket int, lone binary, more binary").groupBy("bucket").applyInArrow(_count, "key long, n long")
-    counted = materialise(counted.select("key", F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("level")), "frequent")
+    counted = materialise(counted.select("key", F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("level")), "frequent", shuffled=True)
     by_level = sorted(((r.level, r["count"]) for r in counted.groupBy("level").count().collect()), reverse=True)
     lowest, held = None, 0
     for level, n in by_level:
@@ -398,7 +398,7 @@ def _fetch(rows: DataFrame, pairs: DataFrame, owners: DataFrame, words: int, twi
     keys are joined instead.
     """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(owners, F.col("class") == F.col("of")).select("own")
-    asked = materialise(asked, "asked")
+    asked = materialise(asked, "asked", shuffled=True)
     cell = F.shiftrightunsigned(F.xxhash64("own"), 64 - FILTER_BITS)
     marks = asked.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
@@ -428,7 +428,8 @@ def _fetch(rows: DataFrame, pairs: DataFrame, owners: DataFrame, words: int, twi
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], ["class", "set"])
 
     cells = F.shiftrightunsigned(F.xxhash64("own"), 64 - FILTER_BITS)
-    out = materialise(named.select("text", cells.alias("cell")).mapInArrow(trimmed(run), "class long, set binary"), "sets")
+    out = materialise(named.select("text", cells.alias("cell")).mapInArrow(trimmed(run), "class long, set binary"), "sets", shuffled=True)
+    sent.destroy()
     dropped(asked)
     return out
 
@@ -463,7 +464,8 @@ def _linked(rows: DataFrame, described: DataFrame, twins: frozenset[int], words:
     total = 1 << (buckets_for(rows.count(), ROWS_PER_BUCKET) - 1).bit_length()
     sent = rows.sparkSession.sparkContext.broadcast(levels(rows, words, total))
     merged = rows.select("text").mapInArrow(_prefixes(words, threshold, count, total, twins, sent), "bucket int, tokens binary, classes binary, reach binary").groupBy("bucket").applyInArrow(_merge(total), "token long, class long, reach short")
-    lists = materialise(merged, "lists")
+    lists = materialise(merged, "lists", shuffled=True)
+    sent.destroy()
 
     # one row a class that shares a short list: its size, bitmap, and how many shared lists it is in
     weight = lists.groupBy("class").agg(F.count("*").alias("lists"))
@@ -472,18 +474,18 @@ def _linked(rows: DataFrame, described: DataFrame, twins: frozenset[int], words:
     # the shingles of a short list that nobody shares are in no other set
     posted = F.least("n", F.col("n") - F.ceil(F.col("n") * round(threshold * 100) / 100) + count)
     info = info.withColumn("cap", cap(F.col("n"), F.col("n") - F.greatest(posted - F.col("lists"), F.lit(0)), threshold))
-    info = materialise(info.drop("lists"), "classes")
+    info = materialise(info.drop("lists"), "classes", shuffled=True)
     owners = info.select(F.expr("class + 0").alias("of"), "own")
     of = info.select(F.expr("class + 0").alias("of"), "n", "cap", "step", "weight")
-    postings = materialise(lists.join(of, lists["class"] == of["of"]).drop("of"), "posted")
+    postings = materialise(lists.join(of, lists["class"] == of["of"]).drop("of"), "posted", shuffled=True)
     dropped(lists)
 
     def linked(pairs: DataFrame) -> DataFrame | None:
-        pairs = materialise(_prune(pairs, info, threshold), "pairs")
+        pairs = materialise(_prune(pairs, info, threshold), "pairs", shuffled=True)
         if not pairs.limit(1).count():
             return None
         sets = _fetch(rows, pairs, owners, words, twins)
-        out = materialise(_search(pairs, sets, threshold), "links")
+        out = materialise(_search(pairs, sets, threshold), "links", shuffled=True)
         dropped(sets, pairs)
         return out
 
@@ -495,7 +497,7 @@ def _linked(rows: DataFrame, described: DataFrame, twins: frozenset[int], words:
 def _solved(docs: DataFrame, key: Column, words: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per row: doc_id, key, class, n; links between classes; (of, root): component of each linked class."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
-    described = materialise(_described(rows, words), "described")
+    described = materialise(_described(rows, words), "described", shuffled=True)
     if twins := _twins(described):
         described = described.withColumn("class", F.when(F.col("class").isin(*twins), F.col("check")).otherwise(F.col("class")))
     links, root = _linked(rows, described, twins, words, threshold)
@@ -516,7 +518,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> D
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_tree_links"))
     owner = described.groupBy("class").agg(F.min("doc_id").alias("own"))
     labels = owner.join(root, F.col("class") == F.col("of"), "left").drop("of").withColumn("root", F.coalesce("root", "class"))
-    least = materialise(labels.groupBy("root").agg(F.min("own").alias("component_id")), "least")  # so the join can split a hot component
+    least = materialise(labels.groupBy("root").agg(F.min("own").alias("component_id")), "least", shuffled=True)  # so the join can split a hot component
     labels = labels.join(least.select(F.expr("root + 0").alias("of"), "component_id"), F.col("root") == F.col("of")).join(degree, "class", "left")
     labels = labels.select(F.expr("class + 0").alias("of"), "component_id", F.coalesce("n_tree_links", F.lit(0)).alias("n_tree_links"))
     out = described.select("doc_id", "class", "n").join(labels, F.col("class") == F.col("of"))
@@ -534,10 +536,10 @@ def keep_first(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     x = described.where("n > 0").join(root, F.col("class") == F.col("of"), "left").select("doc_id", "key", F.coalesce("root", "class").alias("root"))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")
     groups = x.groupBy("root").agg(F.count("*").alias("size"), F.min(place).alias("first")).where("size > 1").select(F.expr("root + 0").alias("of"), "first")
-    groups = materialise(groups, "groups")  # a table beside the rows: the join can then split a hot component
+    groups = materialise(groups, "groups", shuffled=True)  # a table beside the rows: the join can then split a hot component
     rows = x.groupBy("root", "doc_id", "key").agg(F.count("*").alias("copies")).join(groups, F.col("root") == F.col("of"))
     stays = F.col("key").eqNullSafe(F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-    marks = materialise(rows.select("key", "doc_id", stays.alias("stays"), "copies").where("NOT stays OR copies > 1"), "marks")
+    marks = materialise(rows.select("key", "doc_id", stays.alias("stays"), "copies").where("NOT stays OR copies > 1"), "marks", shuffled=True)
 
     key, of_key, of_id = (unused(docs.columns, x) for x in ("key", "of_key", "of_id"))
     keyed = docs.withColumn(key, row_key(docs))
